@@ -15,8 +15,11 @@ vocabulary.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, documents, keyed_join, partitions, shared, small_batches, worker_state, written
+from .common import Memo, documents, keyed_join, partitions, shared, small_batches, worker_state, written
 
 INTERVAL = 256
 BLOCK_IDS = 1 << 18
@@ -123,37 +126,63 @@ class Coder:
 # Writing
 
 
+#: Words of these characters only are normalised and cut here: composed already, with simple lower case, no digits but 0-9.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u017e]*").fullmatch
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+").findall
+#: What decides the patterns above, in a tokenizer's file.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """A byte-level tokenizer's letter for each byte, by Latin-1 character: itself if printable, else the next from U+0100."""
+    out: dict[int, str] = {}
+    for b in range(256):
+        shown = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out[b] = chr(b) if shown else chr(256 + sum(1 for x in out.values() if ord(x) > 255))
+    return out
+
+
 class _WordIds:
     """Ids of texts by a tokenizers library file that drops white space, so that words can be encoded alone and kept.
 
     Texts are cut at the six ASCII white-space characters only: no pattern or normalisation of such a tokenizer reaches
-    across them. `word_cut` off encodes texts as a whole.
+    across them. If the file has the word splitting of `_SPLIT`, words of plain Latin letters are cut into its pre-tokens
+    here and only those go to its model; all other words go through the whole tokenizer. `word_cut` off encodes whole texts.
     """
 
     def __init__(self, source: str, word_cut: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.word_cut, self.known = Tokenizer.from_str(source), word_cut, {}
+        self.tokenizer, self.word_cut = Tokenizer.from_str(source), word_cut
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, self.kind).tobytes() for e in run(texts, add_special_tokens=False)]
+        self.code = "H" if self.kind == np.uint16 else "I"
+        spec = json.loads(source)
+        cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.plain = (spec.get("normalizer") or {}).get("normalizers") == _NORMAL and len(cut) == 2 and cut[0].get("pattern") == {"Regex": _SPLIT} and cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True and cut[1].get("type") == "ByteLevel" and not cut[1].get("use_regex") and not cut[1].get("add_prefix_space")
+        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
+        self.letters = _byte_letters()
+        self.words, self.parts = Memo(self._word), Memo(self._part)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if not self.plain or not _PLAIN(word) or any(m in word for m in self.marks):
+            return self._whole(word)
+        parts = _PARTS(word.lower())
+        return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.word_cut:
-            return self._encode([t or "" for t in texts])
-        words = [t.encode().split() if t else [] for t in texts]
-        every = set().union(*words)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, every
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.known.update(zip(part, self._encode([w.decode() for w in part]), strict=True))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+            return [self._whole(t or "") for t in texts]
+        return [b"".join(map(self.words.__getitem__, t.encode().split())) if t else b"" for t in texts]
 
 
 def _encode_texts(broadcast, word_cut: bool, end_id: int):

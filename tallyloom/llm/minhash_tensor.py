@@ -5,10 +5,13 @@ and a key of the second is the key of one table, so side*side tables of 2*rows m
 functions (192 for 576 tables, where plain banding needs 4,608). A pair of similarity s meets in no table with
 probability about 2*(1-s**rows)**side: 2.2e-4 at s = 0.75, 2e-6 at 0.8, for the default 24 and 4.
 
-How the work stays linear in a hot group: equal sets are one node from the start; two rounds link each document with
-the one pivot (the smallest id of a table's bucket) it meets most often and merge what that connects; only then are
-pairs formed, between members of different components that share a bucket. A large group of near copies is one
-component by then and forms no pairs.
+How the work stays linear in a hot group: equal sets are one node from the start; then rounds link each document with
+the one pivot (the smallest id of a table's bucket, of another component) it meets most often, and merge what that
+connects, until a round gives no link; only then are pairs formed, between members of different components that share a
+bucket. A large group of near copies is one component by then and forms no pairs. A pair in a bucket must also fit in size and in a sketch of one bit of every
+minhash: bits differ where the minhashes do and chance has it, in (1-s)/2 of the places, 24 of 192 expected at 0.75;
+pairs that differ in more than 42 are dropped in the join itself (a pair of 0.75 with probability 5e-5). So a passage in
+very many documents, which alone makes them 0.3 similar, yields few pairs.
 """
 
 from __future__ import annotations
@@ -56,33 +59,38 @@ class Signer:
         self.a = (rng.randint(0, 2**31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.b = rng.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32)[:, None]
 
-    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of both collections, and the sketch as numbers of 64 bits."""
         x = (shingles >> _U(32)).astype(np.uint32)[None, :]
         with np.errstate(over="ignore"):
             least = np.min([np.min(self.a * x[:, i : i + 2048] + self.b, axis=1) for i in range(0, x.shape[1], 2048)], axis=0)
-            least = least.astype(_U).reshape(2 * self.side, self.rows)
+            least = least.astype(_U)
+            bits = np.packbits((_mixed(least + _MIX[0]) & _U(1)).astype(np.uint8))
+            bits = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view(np.int64)
+            least = least.reshape(2 * self.side, self.rows)
             out = np.arange(1, 2 * self.side + 1, dtype=_U)
             for j in range(self.rows):
                 out = _mixed(out * _MIX[0] + least[:, j])
-        return out[: self.side].view(np.int64), out[self.side :].view(np.int64)
+        return out[: self.side].view(np.int64), out[self.side :].view(np.int64), bits
 
 
 def _signatures(size: int, rows: int, side: int):
     def run(batches):
         signer = Signer(rows, side)
         for batch in batches:
-            ids, n, k1, k2, a, b = batch.column("doc_id"), [], [], [], [], []
+            ids, n, k1, k2, a, b, bits = batch.column("doc_id"), [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, size)
                 n.append(len(found))
                 key = xxhash.xxh3_128_digest(found.tobytes())
                 k1.append(int.from_bytes(key[:8], "little", signed=True))
                 k2.append(int.from_bytes(key[8:], "little", signed=True))
-                x, y = signer.keys(found) if len(found) else (None, None)
+                x, y, z = signer.keys(found) if len(found) else (None, None, None)
                 a.append(x)
                 b.append(y)
+                bits.append(z)
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(a, kind), pa.array(b, kind)], ["doc_id", "n", "k1", "k2", "a", "b"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(a, kind), pa.array(b, kind), pa.array(bits, kind)], ["doc_id", "n", "k1", "k2", "a", "b", "bits"])
 
     return run
 
@@ -137,6 +145,7 @@ class _Links:
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int):
         self.nodes, self.texts, self.check, self.labels = nodes, texts, _confirm(size, num, den), None
+        self.tested = None
 
     def labelled(self, df: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -144,7 +153,7 @@ class _Links:
         return df.join(self.labels, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
     def buckets(self, side: int) -> DataFrame:
-        """(key, doc_id, comp, pivot): the tensored tables' buckets that hold more than one component.
+        """(key, doc_id, comp, pivot): the tensored tables' buckets that hold more than one component; pivot is the first member.
 
         A document whose every key of the first collection meets its own component only can't meet another in any table.
         """
@@ -154,31 +163,43 @@ class _Links:
         few = keyed_join(self.nodes, meet, "doc_id", "inner")
         part = few.select("doc_id", "comp", F.explode(F.slice("a", 1, side)).alias("p"), F.slice("b", 1, side).alias("b"))
         rows = part.select("doc_id", "comp", "p", F.explode("b").alias("q")).select(F.xxhash64("p", "q").alias("key"), "doc_id", "comp")
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc_id").alias("pivot")).filter("lo < hi")
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("doc_id", "comp")).alias("pivot")).filter("lo < hi")
         return rows.join(mixed.select("key", "pivot"), "key")
 
-    def link(self, pairs: DataFrame) -> None:
-        """Confirms the pairs (x, y) on full sets and merges the components they connect."""
+    def untested(self, pairs: DataFrame) -> DataFrame:
+        return pairs if self.tested is None else pairs.join(self.tested, ["x", "y"], "left_anti")
+
+    def link(self, pairs: DataFrame) -> bool:
+        """Confirms the pairs (x, y), x < y, on full sets and merges the components they connect; whether there were any."""
         pairs = written(pairs, "pairs")
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
         both = _with_text(_with_text(pairs, self.texts, "y"), self.texts, "x")
         links = written(both.mapInArrow(self.check, "x long, y long"), "links")
+        if links.isEmpty():
+            return False
         ends = self.labelled(links.withColumnRenamed("x", "doc_id")).select(F.col("comp").alias("cx"), F.col("y").alias("doc_id"))
         roots = connected(self.labelled(ends).select(F.col("cx").alias("x"), F.col("comp").alias("y")))
         touched = links.select(F.col("x").alias("doc_id")).union(links.select("y"))
         known = touched if self.labels is None else touched.union(self.labels.select("doc_id"))
         new = self.labelled(known.distinct()).join(roots, F.col("comp") == F.col("node"), "left")
         self.labels = written(new.select("doc_id", F.coalesce("root", "comp").alias("comp")), "labels")
+        return True
 
-    def star(self, side: int) -> None:
-        met = self.buckets(side).filter("pivot <> doc_id").groupBy("doc_id", "pivot").agg(F.count("*").alias("tables"))
-        best = met.groupBy("doc_id").agg(F.max_by("pivot", F.struct("tables", -F.col("pivot"))).alias("x"))
-        self.link(best.select("x", F.col("doc_id").alias("y")))
+    def star(self, side: int) -> bool:
+        """Links each document with the pivot of another component that it meets in the most tables and wasn't held against yet."""
+        met = self.buckets(side).filter("pivot.comp <> comp").groupBy(F.col("pivot.doc_id").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("tables"))
+        best = self.untested(met).groupBy("y").agg(F.max_by("x", F.struct("tables", -F.col("x"))).alias("x"))
+        return self.link(best.select("x", "y"))
 
-    def cross(self, side: int, tables: int) -> None:
-        rows = written(self.buckets(side).select("key", "doc_id", "comp"), "buckets")
-        left, right = (rows.select("key", F.col("doc_id").alias(c), F.col("comp").alias(f"c{c}")) for c in "xy")
-        pairs = left.join(right, "key").filter("x < y and cx <> cy").groupBy("x", "y").agg(F.count("*").alias("tables"))
-        self.link(pairs.filter(F.col("tables") >= tables).select("x", "y"))
+    def cross(self, side: int, tables: int, num: int, den: int, differ: int, longs: int) -> None:
+        rows = self.buckets(side).join(self.nodes.select("doc_id", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(longs))), "doc_id")
+        rows = written(rows.drop("pivot"), "buckets")
+        left, right = (rows.select("key", *(F.col(f).alias(f"{c}_{f}") for f in rows.columns if f != "key")) for c in "xy")
+        apart = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(longs)), F.lit(0))
+        fit = (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num) & (apart <= differ)
+        met = left.join(right, (left["key"] == right["key"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_comp") != F.col("y_comp")) & fit)
+        pairs = met.groupBy(F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y")).agg(F.count("*").alias("tables"))
+        self.link(self.untested(pairs.filter(F.col("tables") >= tables).select("x", "y")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, num: int = 75, den: int = 100, rows: int = 4, side: int = 24, rounds: tuple[int, ...] = (4, 8), tables: int = 3, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -194,16 +215,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     small_batches(spark)
     docs = documents(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sig = written(docs.mapInArrow(_signatures(shingle, rows, side), "doc_id long, n long, k1 long, k2 long, a array<long>, b array<long>"), "signatures")
+    sig = written(docs.mapInArrow(_signatures(shingle, rows, side), "doc_id long, n long, k1 long, k2 long, a array<long>, b array<long>, bits array<long>"), "signatures")
     real = sig.filter("n > 0 and doc_id is not null")
-    first = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = written(real.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
+    first = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
+    members = real.select("doc_id", "k1", "k2").join(first, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    members = written(members.distinct(), "members")
     own = members.filter("doc_id = rep").select("doc_id").distinct()
     # A document that shares no key of the first collection with another is a candidate nowhere: its text isn't needed.
     flat = keyed_join(real, own, "doc_id", "left_semi", broadcast_keys).select("doc_id", F.explode("a").alias("key"))
     shared = flat.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     able = written(flat.join(shared, "key").select("doc_id").distinct(), "able")
-    nodes = written(keyed_join(real, able, "doc_id", "left_semi", broadcast_keys).select("doc_id", "a", "b"), "nodes")
+    nodes = written(keyed_join(real, able, "doc_id", "left_semi", broadcast_keys).select("doc_id", "n", "a", "b", "bits"), "nodes")
     texts = written(keyed_join(docs, able, "doc_id", "left_semi", broadcast_keys).distinct(), "texts")
     links = _Links(nodes, texts, shingle, num, den)
     spread = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y")
@@ -212,8 +234,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links.labels = written(connected(many).select(F.col("node").alias("doc_id"), F.col("root").alias("comp")), "labels")
     for n in rounds:
         links.star(min(n, side))
-    links.cross(side, tables)
-    labels = members.join(links.labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
+    while links.star(side):  # until the pivots give no link more; each time every linked document's component shrinks the rest
+        pass
+    places = 2 * rows * side
+    links.cross(side, tables, num, den, -(-places * 7 // 32), -(-places // 64))
+    labels = members.withColumn("comp", F.col("rep"))
+    if links.labels is not None:
+        labels = members.join(links.labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
     labels = labels.groupBy("doc_id").agg(F.min("comp").alias("comp"))
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
