@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .operators import conversations, corpus, evaluation, groups, selection, tools  # noqa: F401  they register their queries
 from .plans.registry import REGISTRY
+from .streaming import windows  # noqa: F401
 
 FLAGSHIP = "leakage_free_split_report"
 

@@ -36,3 +36,9 @@ def ship_package(spark: SparkSession) -> None:
                     archive.write(full, os.path.relpath(full, os.path.dirname(root)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Leaves spark.checkpoint.dir as it is set; else (tests, one machine) sets a folder of our own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyloom-"))
