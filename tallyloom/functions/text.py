@@ -67,6 +67,13 @@ def shingles(tokens: Column, size: int = 3, least: int = 8) -> Column:
     return F.when(F.size(tokens) >= least, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def with_shingles(df, text: str = "text", out: str = "sh", least: int = 8):
+    """The rows of df that have shingles, with them. The tokens are bound to a lambda's variable: as a column they would
+    be inlined wherever the optimizer copies the expression below a filter, and then be found anew for each shingle."""
+    bound = F.get(F.transform(F.array(words(F.col(text))), lambda w: shingles(w, least=least)), F.lit(0))
+    return df.withColumn(out, bound).filter(F.size(out) > 0)
+
+
 def nearest_rank(column: str, percent: int) -> Column:
     """The value at position ceil(n * percent / 100) in order; null when empty."""
     return F.expr(f"percentile_disc({percent / 100}) within group (order by {column})")

@@ -63,7 +63,7 @@ def ascii_template_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_shingles(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(T.shingles(T.words(F.col("text")))).alias("s"))
+    return T.with_shingles(docs).select("doc_id", F.explode("sh").alias("s"))
 
 
 _SHINGLE = r"""sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z_]+|[㐀-鿿]|\p{L}+') AS w FROM documents) WHERE len(w) >= 8))"""
@@ -72,8 +72,8 @@ _PAIRS = _SHINGLE + """, sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1)
 
 @query(f"WITH {_SHINGLE} SELECT doc_id, count(*) AS n_shingles FROM sh GROUP BY 1")
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
-    sizes = table(spark, d, "documents").select("doc_id", F.size(T.shingles(T.words(F.col("text")))).cast("bigint").alias("n_shingles"))
-    return sizes.filter("n_shingles > 0")
+    sizes = T.with_shingles(table(spark, d, "documents")).select("doc_id", F.size("sh").cast("bigint").alias("n_shingles"))
+    return sizes
 
 
 def similar_pairs(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -83,7 +83,7 @@ def similar_pairs(docs: DataFrame, percent: int = 85) -> DataFrame:
     n - ceil(t*n) + 1 of each, so only those are joined, and frequent passages never are. Equal sets are one text here:
     the pairs of copies follow from membership. Candidates are verified on whole sets.
     """
-    sets = docs.select("doc_id", F.array_sort(T.shingles(T.words(F.col("text")))).alias("sh")).filter("size(sh) > 0")
+    sets = T.with_shingles(docs.select("doc_id", "text")).select("doc_id", F.sort_array("sh").alias("sh"))
     firsts = sets.groupBy(F.sha2(F.array_join("sh", "\n"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
     sets = sets.join(firsts.select("doc_id"), "doc_id")
     flat = sets.select("doc_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
@@ -100,7 +100,7 @@ def similar_pairs(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def copy_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, rep): the first document with the same shingle set; texts without shingles left out."""
-    sets = docs.select("doc_id", T.shingles(T.words(F.col("text"))).alias("sh")).filter("size(sh) > 0").select("doc_id", F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256).alias("h"))
+    sets = T.with_shingles(docs.select("doc_id", "text")).select("doc_id", F.sha2(F.array_join(F.sort_array("sh"), "\n"), 256).alias("h"))
     return sets.join(sets.groupBy("h").agg(F.min("doc_id").alias("rep")), "h").select("doc_id", "rep")
 
 
@@ -113,7 +113,7 @@ def neardup_exact_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""WITH bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z_]+|[㐀-鿿]|\p{{L}}+') AS w FROM benchmark), bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM bw WHERE len(w) >= 8)), {_SHINGLE}, bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), hit AS (SELECT doc_id, item_id, count(*) AS m FROM sh JOIN bs USING (s) GROUP BY ALL)
 SELECT DISTINCT doc_id, true AS contaminated FROM hit JOIN bn USING (item_id) WHERE 2 * m >= n""")
 def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", T.shingles(T.words(F.col("text"))).alias("sh"))
+    items = T.with_shingles(table(spark, d, "benchmark"))
     own = items.select("item_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
     hits = document_shingles(table(spark, d, "documents")).join(own, "s").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("m"))
     return hits.filter("2 * m >= n").select("doc_id").distinct().withColumn("contaminated", F.lit(True))
@@ -122,9 +122,9 @@ def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""WITH bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z_]+|[㐀-鿿]|\p{{L}}+') AS w FROM benchmark), bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM bw WHERE len(w) >= 8)), {_SHINGLE}, bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), hit AS (SELECT doc_id, item_id, count(*) AS m FROM sh JOIN bs USING (s) GROUP BY ALL), sc AS (SELECT item_id, doc_id, round(m / (bn.n + sz.n - m), 6) AS jaccard FROM hit JOIN bn USING (item_id) JOIN sz USING (doc_id))
 SELECT item_id, doc_id AS nearest_doc, jaccard FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY jaccard DESC, doc_id) = 1""")
 def nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", T.shingles(T.words(F.col("text"))).alias("sh"))
+    items = T.with_shingles(table(spark, d, "benchmark"))
     own = items.select("item_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    docs = table(spark, d, "documents").select("doc_id", T.shingles(T.words(F.col("text"))).alias("sh")).select("doc_id", F.size("sh").alias("k"), F.explode("sh").alias("s"))
+    docs = T.with_shingles(table(spark, d, "documents")).select("doc_id", F.size("sh").alias("k"), F.explode("sh").alias("s"))
     hits = docs.join(own, "s").groupBy("doc_id", "item_id", "n", "k").agg(F.count("*").alias("m"))
     score = F.round(F.col("m") / (F.col("n") + F.col("k") - F.col("m")), 6)
     best = hits.groupBy("item_id").agg(F.max(F.struct(score.alias("jaccard"), (-F.col("doc_id")).alias("back"))).alias("b"))
