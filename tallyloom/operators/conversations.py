@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..sources.tables import table
 
-_BY_TURN = Window.partitionBy("conv_id").orderBy("turn")
+
+def _by_turn():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 @query("SELECT conv_id, turn, text AS target, n_before, roles FROM (SELECT conv_id, turn, role, text, count(*) OVER w AS n_before, coalesce(string_agg(role, ',') OVER w, '') AS roles FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE role = 'assistant'")
 def decision_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """Each assistant turn with all strictly earlier turns, never itself."""
-    before = _BY_TURN.rowsBetween(Window.unboundedPreceding, -1)
+    before = _by_turn().rowsBetween(Window.unboundedPreceding, -1)
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("target"), F.collect_list("role").over(before).alias("r"))
     return turns.filter("role = 'assistant'").select("conv_id", "turn", "target", F.size("r").cast("bigint").alias("n_before"), F.array_join("r", ",").alias("roles"))
 
@@ -22,7 +24,7 @@ def decision_prefixes(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) SELECT conv_id, CASE WHEN bool_or(turn <> place) THEN 'gap' WHEN bool_or(NOT coalesce(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev IN ('system', 'assistant') THEN role = 'user' WHEN prev = 'user' THEN role = 'assistant' END, false)) THEN 'role_order' ELSE 'ok' END AS verdict FROM t GROUP BY 1")
 def history_protocol(spark: SparkSession, d: str) -> DataFrame:
     """Turns contiguous from 0; system or user first, a user after system and assistant, an assistant after user."""
-    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(_BY_TURN).alias("prev"), (F.row_number().over(_BY_TURN) - 1).alias("place"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(_by_turn()).alias("prev"), (F.row_number().over(_by_turn()) - 1).alias("place"))
     fine = F.when(F.col("prev").isNull(), F.col("role").isin("system", "user")).when(F.col("prev").isin("system", "assistant"), F.col("role") == "user").when(F.col("prev") == "user", F.col("role") == "assistant")
     verdict = F.when(F.bool_or(F.col("turn") != F.col("place")), "gap").when(F.bool_or(~F.coalesce(fine, F.lit(False))), "role_order").otherwise("ok")
     return t.groupBy("conv_id").agg(verdict.alias("verdict"))
@@ -42,7 +44,7 @@ _LENGTHS = r"SELECT conv_id, turn, role, len(regexp_extract_all(text, '[^\s]+'))
 def length_predicate_profile(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))).cast("bigint")
     t = table(spark, d, "conversations").select("conv_id", "turn", "role", n.alias("response"))
-    t = t.withColumn("context", F.coalesce(F.sum("response").over(_BY_TURN.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = t.withColumn("context", F.coalesce(F.sum("response").over(_by_turn().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     long_context, long_response = F.col("context") > 256, F.col("response") > 64
     verdict = F.when(long_context & long_response, "both").when(long_context, "context_only").when(long_response, "response_only").otherwise("eligible")
     return t.filter("role = 'assistant'").select("conv_id", "turn", "context", "response", verdict.alias("verdict"))
@@ -52,7 +54,7 @@ def length_predicate_profile(spark: SparkSession, d: str) -> DataFrame:
 def sequence_mask(spark: SparkSession, d: str) -> DataFrame:
     """Prompt, completion and one end id (0), with a loss mask over completion and end; words' lengths stand in for ids."""
     ids = F.transform(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)), lambda x: F.length(x))
-    t = table(spark, d, "conversations").select("conv_id", "turn", "role", ids.alias("ids")).withColumn("prompt", F.coalesce(F.lag("ids").over(_BY_TURN), F.array().cast("array<int>")))
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", ids.alias("ids")).withColumn("prompt", F.coalesce(F.lag("ids").over(_by_turn()), F.array().cast("array<int>")))
     mask = F.concat(F.repeat(F.lit("0"), F.size("prompt")), F.repeat(F.lit("1"), F.size("ids") + 1))
     joined = F.array_join(F.concat("prompt", "ids", F.array(F.lit(0))).cast("array<string>"), ",")
     return t.filter("role = 'assistant'").select("conv_id", "turn", F.size("prompt").cast("bigint").alias("n_prompt"), (F.size("ids") + 1).cast("bigint").alias("n_supervised"), mask.alias("mask"), joined.alias("ids"))
@@ -62,6 +64,6 @@ def sequence_mask(spark: SparkSession, d: str) -> DataFrame:
 def prefix_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Words that a turn has in common with the one before, from the first on."""
     w = F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))
-    t = table(spark, d, "conversations").select("conv_id", "turn", w.alias("a")).withColumn("b", F.lag("a").over(_BY_TURN))
+    t = table(spark, d, "conversations").select("conv_id", "turn", w.alias("a")).withColumn("b", F.lag("a").over(_by_turn()))
     same = F.expr("aggregate(zip_with(a, b, (x, y) -> x <=> y), named_struct('n', 0L, 'on', true), (s, e) -> named_struct('n', s.n + IF(s.on and e, 1L, 0L), 'on', s.on and e), s -> s.n)")
     return t.select("conv_id", "turn", F.coalesce(same, F.lit(0).cast("bigint")).alias("n_common"))
