@@ -78,7 +78,8 @@ def derive(response_id: str, uri: str, date: str, http_headers: str, payload: st
     title, lang = _TITLE.search(payload), _LANG.search(payload)
     links = [_clean(html.unescape(next(x for x in m.groups() if x is not None))) for m in _LINK.finditer(payload)]
     fields = [("conversion-record", conversion_id), ("source-payload-digest", source["payload"]), ("source-block-digest", source["block"]), ("source-content-length", str(len(body)))]
-    fields += [("title", _clean(html.unescape(title[1])))] * bool(title) + [("language", lang[1].lower())] * bool(lang)
+    fields += [("title", _clean(html.unescape(title[1])))] if title else []
+    fields += [("language", lang[1].lower())] if lang else []
     fields += [("source-header", _clean(line)) for line in http_headers.split("\r\n") if line.strip()] + [("outlink", x) for x in links]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
     out = []
