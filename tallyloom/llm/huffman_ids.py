@@ -163,7 +163,7 @@ class _WordIds:
         self.plain = (spec.get("normalizer") or {}).get("normalizers") == _NORMAL and len(cut) == 2 and cut[0].get("pattern") == {"Regex": _SPLIT} and cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True and cut[1].get("type") == "ByteLevel" and not cut[1].get("use_regex") and not cut[1].get("add_prefix_space")
         self.marks = [t["content"] for t in spec.get("added_tokens", [])]
         self.letters = _byte_letters()
-        self.words, self.parts = Memo(self._word), Memo(self._part)
+        self.words, self.parts = Memo(self._word, 900_000), Memo(self._part, 700_000)  # about 270 MB when full
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

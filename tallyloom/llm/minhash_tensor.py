@@ -5,9 +5,9 @@ and a key of the second is the key of one table, so side*side tables of 2*rows m
 functions (192 for 576 tables, where plain banding needs 4,608). A pair of similarity s meets in no table with
 probability about 2*(1-s**rows)**side: 2.2e-4 at s = 0.75, 2e-6 at 0.8, for the default 24 and 4.
 
-How the work stays linear in a hot group: equal sets are one node from the start; then rounds link each document with
+How the work stays linear in a hot group: equal sets are one node from the start; then `rounds` link each document with
 the one pivot (the smallest id of a table's bucket, of another component) it meets most often, and merge what that
-connects, until a round gives no link; only then are pairs formed, between members of different components that share a
+connects; only then are pairs formed, between members of different components that share a
 bucket. A large group of near copies is one component by then and forms no pairs. A pair in a bucket must also fit in size and in a sketch of one bit of every
 minhash: bits differ where the minhashes do and chance has it, in (1-s)/2 of the places, 24 of 192 expected at 0.75;
 pairs that differ in more than 42 are dropped in the join itself (a pair of 0.75 with probability 5e-5). So a passage in
@@ -234,8 +234,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links.labels = written(connected(many).select(F.col("node").alias("doc_id"), F.col("root").alias("comp")), "labels")
     for n in rounds:
         links.star(min(n, side))
-    while links.star(side):  # until the pivots give no link more; each time every linked document's component shrinks the rest
-        pass
     places = 2 * rows * side
     links.cross(side, tables, num, den, -(-places * 7 // 32), -(-places // 64))
     labels = members.withColumn("comp", F.col("rep"))

@@ -59,7 +59,7 @@ class PieceCodec:
         self.number = [str(i) for i in range(len(model["pieces"]))]
         self.separable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.pairs = Memo(lambda ab: self.merged(ab[0] + ab[1]) == list(ab), 200_000)
-        self.segments = Memo(self._segment, 300_000)
+        self.segments = Memo(self._segment, 1_000_000)  # about 200 MB when full
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the best-scored pair of neighbours, leftmost first, until no pair forms a piece."""
