@@ -161,7 +161,9 @@ class _WordIds:
         spec = json.loads(source)
         cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.plain = (spec.get("normalizer") or {}).get("normalizers") == _NORMAL and len(cut) == 2 and cut[0].get("pattern") == {"Regex": _SPLIT} and cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True and cut[1].get("type") == "ByteLevel" and not cut[1].get("use_regex") and not cut[1].get("add_prefix_space")
-        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
+        names = [t["content"] for t in spec.get("added_tokens", [])]
+        self.marks = re.compile("|".join(map(re.escape, names))) if names else None
+        self.letters_only = self.plain and not any(n.isalpha() for n in names)
         self.letters = _byte_letters()
         self.words, self.parts = Memo(self._word, 900_000), Memo(self._part, 700_000)  # about 270 MB when full
 
@@ -173,8 +175,10 @@ class _WordIds:
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _word(self, raw: bytes) -> bytes:
+        if self.letters_only and raw.isalpha():  # of ASCII letters alone: one pre-token, and no special token's name
+            return self.parts[raw.lower().decode()]
         word = raw.decode()
-        if not self.plain or not _PLAIN(word) or any(m in word for m in self.marks):
+        if not self.plain or not _PLAIN(word) or self.marks and self.marks.search(word):
             return self._whole(word)
         parts = _PARTS(word.lower())
         return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
