@@ -7,11 +7,14 @@ probability about 2*(1-s**rows)**side: 2.2e-4 at s = 0.75, 2e-6 at 0.8, for the
 
 How the work stays linear in a hot group: equal sets are one node from the start; then `rounds` link each document with
 the one pivot (the smallest id of a table's bucket, of another component) it meets most often, and merge what that
-connects; only then are pairs formed, between members of different components that share a
-bucket. A large group of near copies is one component by then and forms no pairs. A pair in a bucket must also fit in size and in a sketch of one bit of every
-minhash: bits differ where the minhashes do and chance has it, in (1-s)/2 of the places, 24 of 192 expected at 0.75;
-pairs that differ in more than 42 are dropped in the join itself (a pair of 0.75 with probability 5e-5). So a passage in
-very many documents, which alone makes them 0.3 similar, yields few pairs.
+connects. What is left is resolved inside tasks: the rows of a key of the first collection, in blocks of at most
+BLOCK_ROWS, meet block by block, and pairs are formed in memory, not as rows. A pair of different components is taken up
+at its first common key alone and must share enough tables, fit in size, in a sketch of one bit of every minhash (bits
+differ in (1-s)/2 of the places, 24 of 192 expected at 0.75; more than 42 has probability 5e-5) and in the least hashes of
+its sets, as many as there are minhashes: of sets no larger these decide, and of the pairs they decide only a spanning
+forest leaves the task; of larger sets they estimate the similarity, and pairs up to four deviations below the limit leave
+it. All that leave are confirmed on the whole sets. So neither a large group of near copies, nor a passage in very many
+documents, yields rows by the square of its members.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_KEYS, Memo, ascii_lower_words, documents, keyed_join, small_batches, worker_state, written
 
+#: Most rows of one side of a pair of blocks that meet in a task.
+BLOCK_ROWS = 512
+
 _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 
@@ -59,26 +65,27 @@ class Signer:
         self.a = (rng.randint(0, 2**31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.b = rng.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32)[:, None]
 
-    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The keys of both collections, and the sketch as numbers of 64 bits."""
+    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """The keys of both collections; and packed: their low 32 bits, the sketch in numbers of 64 bits, the least hashes."""
         x = (shingles >> _U(32)).astype(np.uint32)[None, :]
         with np.errstate(over="ignore"):
             least = np.min([np.min(self.a * x[:, i : i + 2048] + self.b, axis=1) for i in range(0, x.shape[1], 2048)], axis=0)
             least = least.astype(_U)
             bits = np.packbits((_mixed(least + _MIX[0]) & _U(1)).astype(np.uint8))
-            bits = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view(np.int64)
+            bits = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view(_U)
             least = least.reshape(2 * self.side, self.rows)
             out = np.arange(1, 2 * self.side + 1, dtype=_U)
             for j in range(self.rows):
                 out = _mixed(out * _MIX[0] + least[:, j])
-        return out[: self.side].view(np.int64), out[self.side :].view(np.int64), bits
+        packed = out.astype(np.uint32).tobytes() + bits.tobytes() + x[0, : 2 * self.side * self.rows].tobytes()
+        return out[: self.side].view(np.int64), out[self.side :].view(np.int64), packed
 
 
 def _signatures(size: int, rows: int, side: int):
     def run(batches):
         signer = Signer(rows, side)
         for batch in batches:
-            ids, n, k1, k2, a, b, bits = batch.column("doc_id"), [], [], [], [], [], []
+            ids, n, k1, k2, a, b, packed = batch.column("doc_id"), [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, size)
                 n.append(len(found))
@@ -88,9 +95,9 @@ def _signatures(size: int, rows: int, side: int):
                 x, y, z = signer.keys(found) if len(found) else (None, None, None)
                 a.append(x)
                 b.append(y)
-                bits.append(z)
+                packed.append(z)
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(a, kind), pa.array(b, kind), pa.array(bits, kind)], ["doc_id", "n", "k1", "k2", "a", "b", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(a, kind), pa.array(b, kind), pa.array(packed, pa.binary())], ["doc_id", "n", "k1", "k2", "a", "b", "packed"])
 
     return run
 
@@ -109,6 +116,88 @@ def _confirm(size: int, num: int, den: int):
     return run
 
 
+class _Block:
+    """The rows of one key that meet in a task: (doc_id, comp, n, side of the pair of blocks, packed)."""
+
+    def __init__(self, rows: pa.RecordBatch, side: int, places: int):
+        self.ids, self.comp, self.n, self.part = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n", "part"))
+        raw, longs = rows.column("packed").to_pylist(), -(-places // 64)
+        head = 8 * side + 8 * longs
+        fixed = np.frombuffer(b"".join(r[:head] for r in raw), np.uint8).reshape(len(raw), head)
+        keys = np.ascontiguousarray(fixed[:, : 8 * side]).view(np.uint32)
+        self.a, self.b, self.bits = keys[:, :side], keys[:, side:], np.ascontiguousarray(fixed[:, 8 * side :]).view(_U)
+        self.low = [np.frombuffer(r, np.uint32, offset=head) for r in raw]
+        whole = self.n <= places
+        self.last = np.array([0xFFFFFFFF if w else int(v[-1]) for w, v in zip(whole, self.low, strict=True)], np.uint32)
+        self.whole = whole
+
+    def common(self, x: int, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For x and each of ys: least hashes in both and in either, up to where both sets are known."""
+        mine, sizes = self.low[x], np.array([len(self.low[y]) for y in ys])
+        theirs, upto = np.concatenate([self.low[y] for y in ys]), np.minimum(self.last[x], self.last[ys])
+        known = theirs <= np.repeat(upto, sizes)
+        found = known & (mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs)
+        starts = np.cumsum(sizes) - sizes
+        both = np.add.reduceat(found.astype(np.int64), starts)
+        return both, np.add.reduceat(known.astype(np.int64), starts) + np.searchsorted(mine, upto, side="right") - both
+
+    def pairs(self, place: int, num: int, den: int, tables: int, differ: int) -> list[tuple[int, int]]:
+        """The pairs that leave the task; those that the least hashes decide join components here."""
+        out, comp, share = [], self.comp.copy(), num / den
+        one_block = self.part.min() == self.part.max()
+        others = None if one_block else np.flatnonzero(self.part == self.part.max())
+        for x in range(len(comp)) if one_block else np.flatnonzero(self.part == self.part.min()).tolist():
+            ys = np.arange(x + 1, len(comp)) if one_block else others
+            n = self.n[ys]
+            ys = ys[(comp[ys] != comp[x]) & (np.minimum(n, self.n[x]) * den >= np.maximum(n, self.n[x]) * num)]
+            if len(ys):
+                ys = ys[np.bitwise_count(self.bits[ys] ^ self.bits[x]).sum(axis=1) <= differ]
+            if not len(ys):
+                continue
+            same = self.a[ys] == self.a[x]
+            met = same.sum(axis=1) * (self.b[ys] == self.b[x]).sum(axis=1)
+            ys = ys[(same.argmax(axis=1) == place) & (met >= tables)]
+            if not len(ys):
+                continue
+            both, either = self.common(x, ys)
+            sure = self.whole[ys] & self.whole[x]
+            slack = np.where(sure, 0.0, 4 * np.sqrt(share * (1 - share) * either))
+            for y, decided in zip(ys[both >= share * either - slack - 1e-6].tolist(), sure[both >= share * either - slack - 1e-6].tolist(), strict=True):
+                if comp[x] != comp[y]:
+                    out.append((int(min(self.ids[x], self.ids[y])), int(max(self.ids[x], self.ids[y]))))
+                    if decided:
+                        comp[comp == comp[y]] = comp[x]
+        return out
+
+
+def _resolved(side: int, places: int, num: int, den: int, tables: int, differ: int):
+    """Of rows sorted by key and pair of blocks: the pairs of each such group."""
+
+    def run(batches):
+        rest = None
+        for batch in _ended(batches):
+            last = batch is None
+            rows = rest if last else batch if rest is None else pa.concat_batches([rest, batch])
+            if rows is None or not rows.num_rows:
+                continue
+            k, i, j = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cuts = np.concatenate(([0], cuts, [len(k)] if last else []))
+            rest, out = None if last else rows.slice(int(cuts[-1])), []
+            for at, end in zip(cuts[:-1].astype(int).tolist(), cuts[1:].astype(int).tolist(), strict=True):
+                part = rows.column("part").slice(at, end - at).to_numpy(zero_copy_only=False)
+                if end - at > 1 and (i[at] == j[at] or part.min() != part.max()):
+                    out += _Block(rows.slice(at, end - at), side, places).pairs(int(rows.column("place")[at].as_py()), num, den, tables, differ)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["x", "y"])
+
+    return run
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
 def _with_text(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
     """pairs with the text of one side. An id in many pairs is salted: its text is copied once for each 256 of them."""
     other = "y" if side == "x" else "x"
@@ -191,15 +280,17 @@ class _Links:
         best = self.untested(met).groupBy("y").agg(F.max_by("x", F.struct("tables", -F.col("x"))).alias("x"))
         return self.link(best.select("x", "y"))
 
-    def cross(self, side: int, tables: int, num: int, den: int, differ: int, longs: int) -> None:
-        rows = self.buckets(side).join(self.nodes.select("doc_id", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(longs))), "doc_id")
-        rows = written(rows.drop("pivot"), "buckets")
-        left, right = (rows.select("key", *(F.col(f).alias(f"{c}_{f}") for f in rows.columns if f != "key")) for c in "xy")
-        apart = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(longs)), F.lit(0))
-        fit = (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num) & (apart <= differ)
-        met = left.join(right, (left["key"] == right["key"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_comp") != F.col("y_comp")) & fit)
-        pairs = met.groupBy(F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y")).agg(F.count("*").alias("tables"))
-        self.link(self.untested(pairs.filter(F.col("tables") >= tables).select("x", "y")))
+    def cross(self, side: int, tables: int, num: int, den: int, places: int) -> None:
+        """Links what different components still share: rows of a key meet in pairs of blocks, each pair of blocks in one task."""
+        flat = self.labelled(self.nodes.select("doc_id", F.posexplode("a").alias("place", "key")))
+        mixed = flat.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        rows = flat.join(mixed.filter("lo < hi").select("key", "blocks"), "key").join(self.nodes.select("doc_id", "n", "packed").distinct(), "doc_id")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "place", "doc_id", "comp", "n", "part", "packed")
+        dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+        found = dealt.mapInArrow(_resolved(side, places, num, den, tables, -(-places * 7 // 32)), "x long, y long")
+        self.link(self.untested(found.distinct()))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, num: int = 75, den: int = 100, rows: int = 4, side: int = 24, rounds: tuple[int, ...] = (4, 8), tables: int = 3, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -215,7 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     small_batches(spark)
     docs = documents(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sig = written(docs.mapInArrow(_signatures(shingle, rows, side), "doc_id long, n long, k1 long, k2 long, a array<long>, b array<long>, bits array<long>"), "signatures")
+    sig = written(docs.mapInArrow(_signatures(shingle, rows, side), "doc_id long, n long, k1 long, k2 long, a array<long>, b array<long>, packed binary"), "signatures")
     real = sig.filter("n > 0 and doc_id is not null")
     first = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
     members = real.select("doc_id", "k1", "k2").join(first, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
@@ -225,7 +316,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flat = keyed_join(real, own, "doc_id", "left_semi", broadcast_keys).select("doc_id", F.explode("a").alias("key"))
     shared = flat.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     able = written(flat.join(shared, "key").select("doc_id").distinct(), "able")
-    nodes = written(keyed_join(real, able, "doc_id", "left_semi", broadcast_keys).select("doc_id", "n", "a", "b", "bits"), "nodes")
+    nodes = written(keyed_join(real, able, "doc_id", "left_semi", broadcast_keys).select("doc_id", "n", "a", "b", "packed"), "nodes")
     texts = written(keyed_join(docs, able, "doc_id", "left_semi", broadcast_keys).distinct(), "texts")
     links = _Links(nodes, texts, shingle, num, den)
     spread = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y")
@@ -235,7 +326,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for n in rounds:
         links.star(min(n, side))
     places = 2 * rows * side
-    links.cross(side, tables, num, den, -(-places * 7 // 32), -(-places // 64))
+    links.cross(side, tables, num, den, places)
     labels = members.withColumn("comp", F.col("rep"))
     if links.labels is not None:
         labels = members.join(links.labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
