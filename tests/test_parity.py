@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tallyloom import catalog
+from tallyloom.functions.records import canonical, equivalent_texts
 from tallyloom.operators.corpus import exact_dedup
 from tallyloom.operators.evaluation import bootstrap_interval
 from tallyloom.operators.groups import components
@@ -46,3 +47,9 @@ def test_golden_values(spark):
     assert sorted((r["start"], r["end"]) for r in merged_intervals(spans, "k").collect()) == [(0, 7), (9, 10)]
     rows = spark.createDataFrame([(2, "x"), (1, "x"), (3, None)], "i long, k string")
     assert {r["i"]: r["kept"] for r in exact_dedup(rows, "k", ["i"]).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_json_functions():
+    assert canonical('{"b": 1.0, "a": "é"}') == '{"a":"é","b":1.0}' and canonical("NaN") is None and canonical(None) is None and canonical("{") is None
+    assert equivalent_texts('{"a": 1, "b": [2]}', '{"b": [2.0], "a": 1.00}') is True
+    assert equivalent_texts("1", "true") is False and equivalent_texts("[1, 2]", "[2, 1]") is False and equivalent_texts("x", "1") is None
