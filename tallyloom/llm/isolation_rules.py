@@ -2,9 +2,11 @@
 
 Statistics of every whole text are computed once and written. A forest of random trees is grown on a bounded sample (the
 `sample` documents of lowest hash of their id, of those that pass the base rules): each tree isolates `subsample` of them
-by random splits, and a document's score is 2**(-mean path length / expected path length), near 1 for anomalies. The
-threshold comes from all labelled rows: the score, of a grid of fixed size, with the best weighted accuracy, a good document
-lost weighing `loss` times a bad one kept. A document is kept if it passes the base rules and scores at most the threshold.
+by random splits, and a document's score is 2**(-mean path length / expected path length), near 1 for anomalies. In the
+mean a tree weighs more the better its path lengths tell the labelled bad documents of the sample from the good ones, since
+good documents are odd too, in other ways. The threshold comes from all labelled rows that pass the base rules: of a grid of
+fixed size, of the cuts that lose at most the share `good_lost` of the good rows, the one with the largest share of bad rows
+caught less share of good rows lost. A document is kept if it passes the base rules and scores below the threshold.
 """
 
 from __future__ import annotations
@@ -118,18 +120,33 @@ class IsolationForest:
                     depth.append(0.0)
                     todo.append((len(feature) - 1, part, level + 1))
             self.trees.append(tuple(map(np.array, (feature, value, left, depth))))
-        self.limit = limit
+        self.limit, self.weights = limit, np.ones(len(self.trees))
+
+    def path_lengths(self, x: np.ndarray, tree: int) -> np.ndarray:
+        feature, value, left, depth = self.trees[tree]
+        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(self.limit + 1):
+            f = feature[at]
+            at = np.where(f >= 0, left[at] + (x[rows, f] >= value[at]), at)
+        return depth[at]
+
+    def weigh(self, good: np.ndarray, bad: np.ndarray) -> None:
+        """A tree weighs the difference of both kinds' mean path lengths over their variances, 0 if bad ones are the deeper; all weigh the same without rows of both kinds."""
+        if not len(good) or not len(bad):
+            return
+        w = np.zeros(len(self.trees))
+        for t in range(len(w)):
+            g, b = self.path_lengths(good, t), self.path_lengths(bad, t)
+            w[t] = max(0.0, g.mean() - b.mean()) / (g.var() + b.var() + 1.0)
+        if w.sum():
+            self.weights = w * len(w) / w.sum()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.trees or not len(x):
             return np.zeros(len(x))
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for feature, value, left, depth in self.trees:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(self.limit + 1):
-                f = feature[at]
-                at = np.where(f >= 0, left[at] + (x[rows, f] >= value[at]), at)
-            total += depth[at]
+        total = np.zeros(len(x))
+        for t in np.flatnonzero(self.weights):
+            total += self.weights[t] * self.path_lengths(x, t)
         return 2.0 ** (-total / len(self.trees) / max(_expected(self.subsample), 1e-9))
 
 
@@ -142,19 +159,20 @@ def _scores(broadcast, kind: str):
     return run
 
 
-def threshold(histogram: list[tuple[int, int, int]], loss: float) -> float:
-    """Of (bin, good rows, bad rows): the upper edge of the bin that keeps the best; 1 without rows of both kinds."""
+def threshold(histogram: list[tuple[int, int, int]], good_lost: float) -> float:
+    """Of (bin, good rows, bad rows): the upper edge of the last bin kept (see above; the highest of equal ones); 1 without rows of both kinds."""
     good, bad = np.zeros(BINS), np.zeros(BINS)
     for b, g, n in histogram:
         good[b], bad[b] = g, n
     if not good.sum() or not bad.sum():
         return 1.0
-    worth = bad.sum() - np.cumsum(bad) - loss * (good.sum() - np.cumsum(good))
+    lost, caught = good.sum() - np.cumsum(good), bad.sum() - np.cumsum(bad)
+    worth = np.where(lost <= good_lost * good.sum(), caught * good.sum() - lost * bad.sum(), -np.inf)
     best = np.flatnonzero(worth == worth.max())[-1]
     return float((best + 1) / BINS)
 
 
-def rule_decisions(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", *, min_words: int = 50, repeat_percent: int = 50, sample: int = 25_600, trees: int = 128, subsample: int = 256, loss: float = 4.0, seed: int = 2) -> DataFrame:
+def rule_decisions(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", *, min_words: int = 50, repeat_percent: int = 50, sample: int = 25_600, trees: int = 128, subsample: int = 256, good_lost: float = 0.025, seed: int = 2) -> DataFrame:
     """One row per row of df: doc_id, the statistics, base_failed, score (of documents that pass the base rules), kept.
 
     A null or empty text has no words and fails. Labels with a null id or label are left out; of several labels of one id
@@ -169,14 +187,18 @@ def rule_decisions(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     stats = written(stats.withColumn("base_failed", failed), "rule-statistics")
     passed = stats.filter("not base_failed")
-    chosen = passed.orderBy(F.xxhash64("doc_id"), "doc_id", *_BASE, *_MORE).limit(sample).select(*_BASE, *_MORE).toArrow()
-    forest = shared(spark, IsolationForest(features(chosen), trees, subsample, seed))
+    marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+    order = (F.xxhash64("doc_id"), "doc_id", *_BASE, *_MORE)
+    chosen = passed.orderBy(*order).limit(sample).join(marks, "doc_id", "left").orderBy(*order).select(*_BASE, *_MORE, (F.col("label") > 0).alias("good")).toArrow()
+    rows, good = features(chosen), np.array([np.nan if g is None else g for g in chosen.column("good").to_pylist()], float)
+    grown = IsolationForest(rows, trees, subsample, seed)
+    grown.weigh(rows[good == 1], rows[good == 0])
+    forest = shared(spark, grown)
     scored = passed.mapInArrow(_scores(forest, kind), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _BASE + _MORE) + ", base_failed boolean, score double")
     scored = written(scored, "rule-scores")
-    marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
     rows = scored.join(marks, "doc_id").groupBy(place.alias("bin")).agg(F.count_if(F.col("label") > 0).alias("good"), F.count_if(F.col("label") <= 0).alias("bad")).collect()  # at most BINS
-    limit = threshold([(r["bin"], r["good"], r["bad"]) for r in rows], loss)
+    limit = threshold([(r["bin"], r["good"], r["bad"]) for r in rows], good_lost)
     out = scored.unionByName(stats.filter("base_failed").withColumn("score", F.lit(None).cast("double")))
     return out.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & (F.col("score") < limit)).alias("kept"), "score")
 

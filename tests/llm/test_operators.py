@@ -18,7 +18,7 @@ from tallyloom.llm.aho_decontaminate import contamination, normal_words, scan_be
 from tallyloom.llm.classifier_chain import toxicity
 from tallyloom.llm.huffman_ids import Coder, code_lengths, read_ids, write_ids
 from tallyloom.llm.interpolated_lm import interpolated_scores, mixture_weights, pack, unpack
-from tallyloom.llm.isolation_rules import rule_decisions
+from tallyloom.llm.isolation_rules import rule_decisions, threshold
 from tallyloom.llm.minhash_tensor import near_duplicates, shingle_set
 from tallyloom.llm.piece_codec import PieceCodec, encode_and_decode, read_model
 from tallyloom.llm.secret_forest import redact, secret_findings
@@ -99,6 +99,22 @@ def test_rules(spark, docs, texts, odd):
     assert rule_decisions(odd, none).count() == 9 and rule_decisions(docs.limit(0), none).count() == 0
 
 
+def test_rules_on_documents_held_back(spark):
+    """Of documents that pass the base rules and whose labels weren't seen, nearly all bad ones go and few good ones."""
+    base = "/root/testdata/sf0.1"
+    labels, docs = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("labels", "documents"))
+    rows = rule_decisions(docs, labels.filter("doc_id % 3 <> 0")).filter("not base_failed").join(labels.filter("doc_id % 3 = 0").select("doc_id", "quality"), "doc_id").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    print("held back: good lost", len(good) - sum(good), len(good), "bad caught", len(bad) - sum(bad), len(bad))
+    assert len(bad) > 50 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.96 * len(good)
+
+
+def test_threshold_of_rules():
+    assert threshold([], 0.1) == threshold([(5, 9, 0)], 0.1) == 1.0
+    rows = [(100, 90, 0), (200, 5, 1), (300, 4, 8), (400, 1, 1)]
+    assert threshold(rows, 0.05) == 300 / 2000 and threshold(rows, 0.02) == 400 / 2000 and threshold(rows, 0) == 1.0
+
+
 def test_toxicity_on_documents_held_back(spark, odd):
     base = "/root/testdata/sf0.1"
     labels, docs = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("labels", "documents"))
