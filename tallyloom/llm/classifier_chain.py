@@ -5,12 +5,12 @@ earlier categories. In training, those probabilities are out of fold: each label
 seen it (folds by crc32 of the id), so later models learn from inputs like those they will get. Models are logistic
 regressions with an L2 penalty on hashed words, of which each model keeps at most `kept_words`, those that tell its category
 apart best. Trained on a bounded sample: the `sample` labelled documents of lowest hash of their id, of each label of the
-first category. Cut-offs are the probabilities with the best F1 over the out-of-fold predictions.
+first category, whose rows weigh as much as that label's share of all labelled ones. Cut-offs are the probabilities with the
+best F1 over the out-of-fold predictions of all labelled rows, counted on a grid of fixed size.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -25,6 +25,8 @@ from .common import Memo, documents, keyed_join, shared, small_batches, worker_s
 DIMENSION = 1 << 22
 #: A word is kept if its rows differ from the base rate by so many standard deviations, beyond what the best of a million words of chance reach, and it is in so many rows.
 LEAST_Z, LEAST_ROWS = 5.5, 5
+#: Bins of the log-odds from -LOGITS to LOGITS, on which out-of-fold predictions are counted.
+BINS, LOGITS = 4000, 14.0
 
 
 def word_ids(text: str | None) -> np.ndarray:
@@ -44,7 +46,7 @@ def _words(batches):
 class LinearModel:
     """Logistic regression on kept words and dense columns, by Newton steps with conjugate gradients on sparse rows."""
 
-    def __init__(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, kept_words: int, l2: float = 1.0, steps: int = 25):
+    def __init__(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, weight: np.ndarray, kept_words: int, l2: float = 1.0, steps: int = 25):
         flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
         at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         words, place = np.unique(flat, return_inverse=True)
@@ -58,9 +60,9 @@ class LinearModel:
         order[best] = np.arange(len(best))
         column = order[place]
         use = column >= 0
-        self.fit(at[use], column[use], dense, y, l2, steps)
+        self.fit(at[use], column[use], dense, y, weight, l2, steps)
 
-    def fit(self, row, column, dense, y, l2, steps):
+    def fit(self, row, column, dense, y, weight, l2, steps):
         n, k = len(y), len(self.words)
         size = k + dense.shape[1] + 1
         w = np.zeros(size)
@@ -75,10 +77,10 @@ class LinearModel:
         penalty[-1] = 1e-6
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
-            gradient = back(p - y) + penalty * w
+            gradient = back(weight * (p - y)) + penalty * w
             if np.abs(gradient).max() < 1e-4:
                 break
-            h = p * (1 - p)
+            h = weight * p * (1 - p)
             step, r = np.zeros(size), -gradient
             d, rr = r.copy(), float(r @ r)
             for _ in range(30):
@@ -110,21 +112,36 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, kept_words: int = 2000, l2: float = 1.0):
-        self.key, self.models, self.cuts = uuid.uuid4().hex, [], []
+    """models has one a category, fold_models those of each fold of the sample, by fold: None if no rows are left without it."""
+
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, weight: np.ndarray, kept_words: int = 2000, l2: float = 1.0):
+        self.models, self.fold_models, self.base = [], [], []
         dense = np.empty((len(rows), 0))
         for c in range(labels.shape[1]):
             y = labels[:, c].astype(float)
-            out = np.full(len(rows), y.mean() if len(y) else 0.0)
-            for f in np.unique(folds):
-                train, test = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-                if len(train):
-                    model = LinearModel([rows[i] for i in train], dense[train], y[train], kept_words, l2)
-                    out[test] = model.probability([rows[i] for i in test], dense[test])
-            self.models.append(LinearModel(rows, dense, y, kept_words, l2))
-            self.cuts.append(best_cut(out, y))
-            dense = np.concatenate([dense, _logit(out)[:, None]], axis=1)
-        self.out_of_fold = 1 / (1 + np.exp(-dense))
+            self.base.append(float(np.average(y, weights=weight)) if len(y) else 0.0)
+            found = {}
+            for f in np.unique(folds).tolist():
+                train = np.flatnonzero(folds != f)
+                found[f] = LinearModel([rows[i] for i in train], dense[train], y[train], weight[train], kept_words, l2) if len(train) else None
+            self.models.append(LinearModel(rows, dense, y, weight, kept_words, l2))
+            self.fold_models.append(found)
+            dense = np.concatenate([dense, _logit(self.out_of_fold_step(c, rows, folds, dense))[:, None]], axis=1)
+
+    def out_of_fold_step(self, c: int, rows: list[np.ndarray], folds: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Of category c, given the log-odds of the earlier ones; rows of a fold without sample rows are new to the whole model."""
+        out = np.full(len(rows), self.base[c])
+        for f in np.unique(folds).tolist():
+            own, model = np.flatnonzero(folds == f), self.fold_models[c].get(f, self.models[c])
+            if model is not None:
+                out[own] = model.probability([rows[i] for i in own], dense[own])
+        return out
+
+    def out_of_fold(self, rows: list[np.ndarray], folds: np.ndarray) -> np.ndarray:
+        dense = np.empty((len(rows), 0))
+        for c in range(len(self.models)):
+            dense = np.concatenate([dense, _logit(self.out_of_fold_step(c, rows, folds, dense))[:, None]], axis=1)
+        return 1 / (1 + np.exp(-dense))
 
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
         dense = np.empty((len(rows), 0))
@@ -133,34 +150,45 @@ class Chain:
         return 1 / (1 + np.exp(-dense))
 
 
-def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, half-way between neighbouring predictions; 0.5 where no row is positive."""
-    if not y.sum():
+def bins(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((_logit(p) + LOGITS) * (BINS / (2 * LOGITS))), 0, BINS - 1).astype(np.int32)
+
+
+def best_cut(histogram: list[tuple[int, int, int]]) -> float:
+    """Of (bin, rows, positive rows): the cut with the best F1, half-way between neighbouring bins that have rows; 0.5 where no row is positive."""
+    found = sorted(histogram, reverse=True)
+    if not sum(h[2] for h in found):
         return 0.5
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][p[order][:-1] == p[order][1:]] = -1
-    best = int(np.argmax(f1))
-    return float((p[order][best] + (p[order][best + 1] if best + 1 < len(y) else 0.0)) / 2)
+    at, rows, hits = (np.array(c, float) for c in zip(*found, strict=True))
+    best = int(np.argmax(2 * np.cumsum(hits) / (np.cumsum(rows) + hits.sum())))
+    edge = lambda b: 1 / (1 + np.exp(LOGITS - b * (2 * LOGITS / BINS)))
+    return float((edge(at[best]) + (edge(at[best + 1] + 1) if best + 1 < len(at) else 0.0)) / 2)
 
 
-def _predict(broadcast, categories: list[str]):
+def _fold(ids: list, folds: int) -> np.ndarray:
+    return np.array([zlib.crc32(str(i).encode()) % folds for i in ids], np.int64)
+
+
+def _predict(broadcast, categories: list[str], folds: int):
     def run(batches):
         chain = broadcast.value
         for batch in batches:
-            p = chain.probabilities([word_ids(t) for t in batch.column("text").to_pylist()])
-            columns = [pa.array(np.ascontiguousarray(p[:, c])) for c in range(len(categories))]
-            flags = [pa.array(p[:, c] > chain.cuts[c]) for c in range(len(categories))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *flags], ["doc_id", *(f"p_{c}" for c in categories), *categories])
+            rows = [word_ids(t) for t in batch.column("text").to_pylist()]
+            p, places = chain.probabilities(rows), bins(chain.out_of_fold(rows, _fold(batch.column("doc_id").to_pylist(), folds)))
+            columns = [pa.array(np.ascontiguousarray(a[:, c])) for a in (p, places) for c in range(len(categories))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *(f"{k}_{c}" for k in ("p", "bin") for c in categories)])
 
     return run
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int, folds: int, kept_words: int, l2: float) -> Chain:
-    names = list(categories)
+def label_table(labels: DataFrame, categories: dict[str, Column]) -> DataFrame:
+    """One row per labelled id: doc_id and 0 or 1 for each category."""
     marks = labels.select(F.col("label_id").alias("doc_id"), *(c.cast("int").alias(n) for n, c in categories.items())).dropna()
-    marks = marks.groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
+    return written(marks.groupBy("doc_id").agg(*(F.max(n).alias(n) for n in categories)), "chain-labels")
+
+
+def train_chain(docs: DataFrame, marks: DataFrame, names: list[str], sample: int, folds: int, kept_words: int, l2: float) -> Chain:
+    """marks: label_table()."""
     chosen = marks.filter(F.col(names[0]) > 0).orderBy(F.xxhash64("doc_id")).limit(sample).unionByName(marks.filter(F.col(names[0]) <= 0).orderBy(F.xxhash64("doc_id")).limit(sample))
     chosen = written(chosen, "chain-sample")
     table = keyed_join(docs, chosen, "doc_id", "inner").mapInArrow(_words, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema) + ", words array<int>").toArrow()
@@ -168,8 +196,10 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     table = table.take(pa.array(order, pa.int64()))
     rows = [np.array(r.values.to_numpy(), np.int64) for r in table.column("words")]
     y = np.stack([np.array(table.column(n).to_pylist(), float) > 0 for n in names], axis=1) if rows else np.zeros((0, len(names)))
-    fold = np.array([zlib.crc32(str(i).encode()) % folds for i in table.column("doc_id").to_pylist()], np.int64)
-    return Chain(rows, y, fold, kept_words, l2)
+    counts = marks.agg(F.count("*").alias("n"), F.count_if(F.col(names[0]) > 0).alias("yes")).first()
+    yes, no = (max(1.0, n / sample) for n in (counts["yes"], counts["n"] - counts["yes"]))
+    weight = np.where(y[:, 0], yes, no)
+    return Chain(rows, y, _fold(table.column("doc_id").to_pylist(), folds), weight / weight.mean() if rows else weight, kept_words, l2)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", *, sample: int = 4000, folds: int = 5, kept_words: int = 2000, l2: float = 1.0) -> DataFrame:
@@ -183,7 +213,10 @@ def toxicity(df: DataFrame, labels: DataFrame, categories: dict[str, Column], id
     spark = df.sparkSession
     small_batches(spark)
     docs = documents(df, id_col, text_col)
-    marks = labels.withColumn("label_id", F.col(label_id))
-    chain = shared(spark, train_chain(docs, marks, categories, sample, folds, kept_words, l2))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"p_{c} double" for c in categories) + ", " + ", ".join(f"{c} boolean" for c in categories)
-    return docs.mapInArrow(_predict(chain, list(categories)), schema)
+    names, marks = list(categories), label_table(labels.withColumn("label_id", F.col(label_id)), categories)
+    chain = shared(spark, train_chain(docs, marks, names, sample, folds, kept_words, l2))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"p_{c} double" for c in names) + ", " + ", ".join(f"bin_{c} int" for c in names)
+    scored = written(docs.mapInArrow(_predict(chain, names, folds), schema), "chain-scores")
+    known = scored.join(marks, "doc_id")
+    cuts = {c: best_cut([tuple(r) for r in known.groupBy(f"bin_{c}").agg(F.count("*"), F.count_if(F.col(c) > 0)).collect()]) for c in names}  # at most BINS rows each
+    return scored.select("doc_id", *(f"p_{c}" for c in names), *((F.col(f"p_{c}") > cuts[c]).alias(c) for c in names))

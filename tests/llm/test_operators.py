@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tallyloom.llm import queries as Q
 from tallyloom.llm.aho_decontaminate import contamination, normal_words, scan_benchmark
-from tallyloom.llm.classifier_chain import toxicity
+from tallyloom.llm.classifier_chain import best_cut, bins, toxicity
 from tallyloom.llm.huffman_ids import Coder, code_lengths, read_ids, write_ids
 from tallyloom.llm.interpolated_lm import interpolated_scores, mixture_weights, pack, unpack
 from tallyloom.llm.isolation_rules import rule_decisions, threshold
@@ -124,6 +124,24 @@ def test_toxicity_on_documents_held_back(spark, odd):
     assert toxicity(odd, labels.limit(0), Q.categories()).count() == 9 and toxicity(docs.limit(0), labels, Q.categories()).count() == 0
 
 
+def test_toxicity_from_a_sample_whose_caps_bind(spark):
+    """Predictions keep the labels' true rate, and cuts come from all labelled rows."""
+    base = "/root/testdata/sf0.1"
+    labels, docs = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("labels", "documents"))
+    rows = toxicity(docs, labels, Q.categories(), sample=300).join(labels.select("doc_id", F.col("toxic").alias("y"), "quality"), "doc_id").collect()
+    assert min(sum(r["y"] == k for r in rows) for k in (0, 1)) > 300
+    for p, y in (("p_toxic", [r["y"] for r in rows]), ("p_toxic_junk", [r["y"] * (r["quality"] == 0) for r in rows])):
+        assert abs(sum(r[p] for r in rows) - sum(y)) <= 0.02 * len(rows)
+    assert sum(r["toxic_junk"] for r in rows) < 0.2 * len(rows)
+
+
+def test_cut_of_counted_predictions():
+    place = lambda p: int(bins(np.array([p]))[0])
+    rows = [(place(0.9), 10, 10), (place(0.4), 10, 8), (place(0.1), 100, 2)]
+    assert abs(best_cut(rows) - 0.25) < 0.01 and best_cut(rows[::-1]) == best_cut(rows)
+    assert best_cut([]) == best_cut([(7, 5, 0)]) == 0.5 and best_cut([(place(0.2), 5, 5)]) < 0.2
+
+
 def test_pieces_equal_the_library(spark, docs, texts, odd):
     sp, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), PieceCodec(read_model(PIECES))
     rng = random.Random(4)
