@@ -267,3 +267,50 @@ def test_pipeline(spark):
     stage = stage.join(near_duplicates(stage).filter("kept").select("doc_id"), "doc_id", "left_semi")
     bad = contamination(stage, spark.read.parquet(f"{SMALL}/benchmark.parquet")).filter("contaminated")
     assert kept == {r["doc_id"] for r in stage.join(bad, "doc_id", "left_anti").collect()} and kept
+
+
+def test_pipeline_rows_equal_plain_stages(spark, tmp_path):
+    """Whole rows of run() on planted rejects, copies, benchmark windows and secrets, against plain Python stages. Without labels only the base rules reject."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    vocabulary = [a + b + c for a in ("ba", "ri", "mo", "te", "lu", "sa") for b in ("n", "r", "l", "st") for c in ("a", "o", "ed", "ing", "er")]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    key, window = hashlib.sha1(b"planted").hexdigest(), prose(12)
+    texts = {i: prose(90) for i in range(1, 16)}
+    texts |= {20: "", 21: prose(12), 22: "one two three four " * 30, 23: None}
+    texts |= {30: texts[1], 31: texts[2].rsplit(" ", 1)[0] + " other", 32: texts[3] + " " + prose(90)}
+    texts |= {40: f"{prose(30)} {window} {prose(30)}", 41: f"{prose(30)} {' '.join(window.split()[:9])}. {prose(40)}"}
+    texts |= {50: f'{prose(40)} say token = "{key}" here {prose(40)}', 51: f"{prose(40)} at commit {key} we fixed it {prose(40)}"}
+    rows = [(i, t, "en", "made", len(t or "")) for i, t in texts.items()]
+    for name, df in {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, window)], "item_id long, text string"),
+    }.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def passes(text):
+        words = (text or "").split()
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        hit = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        return len(words) >= 50 and 100 * len(hit) <= 50 * len(words)
+
+    def grams(text, n):
+        words = "".join(c if c.isalnum() else " " for c in text).split() if n == 10 else text.split()
+        return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+    left = {i: t for i, t in texts.items() if passes(t)}
+    assert set(texts) - set(left) == {20, 21, 22, 23}
+    sets = {i: grams(t, 5) for i, t in left.items()}
+    copies = {b for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert copies == {30, 31}
+    leaks = {i for i, t in left.items() if grams(t, 10) & grams(window, 10)}
+    assert leaks == {40}
+    sp, expected = sentencepiece.SentencePieceProcessor(model_file=PIECES), set()
+    for i, t in left.items():
+        if i not in copies | leaks:
+            ids = sp.encode(t.replace(f'"{key}"', '"[secret]"'))
+            expected.add((i, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), sp.decode(ids)))))
+    found = [tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(found) == len(expected) and set(found) == expected
