@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-#: Rows of whole texts that go to Python at once; long texts make larger batches unsafe.
+#: Rows of whole texts that become Python objects at once.
 BATCH_ROWS = 256
 #: Most rows of 8-byte keys that are broadcast (about 32 MB as a hashed relation); beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
@@ -23,32 +27,87 @@ BROADCAST_KEYS = 1_000_000
 CACHE_WORDS = 400_000
 
 _own_dir: list[str] = []
+_left: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where it is set, else (tests, one machine) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, on one machine only, a folder of our own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tallyloom-"))
-        spark.sparkContext.setCheckpointDir("file://" + _own_dir[0])
+        atexit.register(shutil.rmtree, _own_dir[0], True)
     return "file://" + _own_dir[0]
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder in whatever store its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_results() -> None:
+    """At the end of the process: results that were kept for their readers go; in other stores than a local folder only if the session still lives."""
+    spark = SparkSession.getActiveSession()
+    for path in _left:
+        local = "/" + path.removeprefix("file:").lstrip("/")
+        if os.path.isdir(local):
+            shutil.rmtree(local, ignore_errors=True)
+        elif spark is not None:
+            try:
+                delete(spark, path)
+            except Exception:  # noqa: BLE001, the session is going down
+                return
+
+
+class Scratch:
+    """The scratch tables of one call, in one folder of the shared folder; used in a `with`, after which the folder is gone.
+
+    A table cuts the lineage, survives lost executors and is computed once. What a call returns to be read later is written
+    by `result` beside the folder and stays until the process ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{scratch_dir(spark)}/tallyloom-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.root)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        return _table(df, self.path(name), compression)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return kept(df, name)
+
+
+def _table(df: DataFrame, path: str, compression: str) -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of few rows, since one row may hold a text of many megabytes; and this package on the executors."""
-    ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder that stays until the process ends."""
+    path = f"{scratch_dir(df.sparkSession)}/tallyloom-{name}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_drop_results)
+    _left.append(path)
+    return _table(df, path, "zstd")
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: Spark bounds a batch in bytes (spark.sql.execution.arrow.maxBytesPerBatch), this bounds what becomes Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,16 +125,18 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew beyond `limit` entries."""
+    """A dict that computes what it lacks and starts anew beyond `limit` entries. Keys longer than `longest` aren't kept, so its bytes are bounded, too."""
 
-    def __init__(self, make: Callable[[Any], Any], limit: int = CACHE_WORDS):
+    def __init__(self, make: Callable[[Any], Any], limit: int = CACHE_WORDS, longest: int = 64):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 

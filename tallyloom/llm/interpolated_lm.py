@@ -1,23 +1,22 @@
-"""Language-model scores by deleted interpolation.
-
-The model mixes the maximum-likelihood bigram estimate c(v w)/c(v) with a smoothed unigram estimate
-(c(w)+1)/(N+V+1). The mixture weight depends on a bucket of the context's frequency, floor(log2 c(v)); the weights are
-learned by expectation-maximisation on held-out counts: training documents of one residue of crc32(id) are held out,
-estimates come from the others, and each bucket's likelihood depends only on the ratio of the two estimates, of which a
-histogram with a fixed number of bins is gathered over all held-out tokens. Final scores use the counts of all training
-documents. A text's first word has the end mark as its context.
-
-Counts cross the network as packed, compressed blocks: a task gives each cell (a hash of the bigram) one block of its
-sorted bigrams, and a cell answers with one vector of score sums for each block of documents. The word counts are
-broadcast only while at most `max_words` distinct words (16 bytes each) exist; beyond that the same scores come from
-joins (`_by_joins`). Bigrams, not trigrams: each further order adds more than the input's size again to the shuffle.
+"""Language-model scores by deleted interpolation, by default of trigrams.
+
+The maximum-likelihood estimates of all orders are mixed from below: p_k(w) = m * c(context w)/c(context) + (1-m) * p_k-1(w),
+where m depends on the order and on the bucket floor(log2 c(context)), and p_0 = 1/(V+1) (V known tokens and one unknown).
+The weights are learned by expectation-maximisation on held-out counts, order by order: training documents of one residue of
+crc32(id) are held out, estimates come from the others, and each bucket's likelihood depends only on the ratio of the two
+estimates, of which a histogram with a fixed number of bins is gathered over all held-out tokens. Final scores use the
+counts of all training documents. A text begins after end marks as its context and closes with one.
+
+Nothing that grows with the vocabulary is broadcast or collected. Texts are read once, into chunks of about CHUNK_TOKENS
+tokens (packed columns of a table). A chunk asks each cell (a hash of the n-gram) once for each of its distinct n-grams,
+with its own counts of it; the cell adds up what all chunks sent and answers each. So the commonest n-gram costs one entry
+for each chunk, not for each document, and the number of cells follows from the number of tokens (CELL_KEYS asked for in
+each), so that a task's memory stays the same at any size. n-grams are known by 62-bit hashes; equal ones would be counted
+together. A document isn't split: memory is bounded by the chunk or by the longest text.
 """
 
 from __future__ import annotations
 
-
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,200 +24,246 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Memo, ascii_lower_words, crc_residue, documents, partitions, shared, small_batches, worker_state, written
+from .common import Memo, Scratch, ascii_lower_words, crc_residue, documents, partitions, ship_package, slices, worker_state
 
 _U = np.uint64
+_MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9))
 END = xxhash.xxh3_64_intdigest(b" end ")
 BINS, PER_OCTAVE, LOWEST = 2048, 32, -20 * 32
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS, CELL_KEYS = 1 << 20, 1 << 21
 NO_CONTEXT = 63
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
+# Packed columns
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, which compress well where the numbers are small."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
 
+def pack(*columns: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole-number columns, of any lengths, compressed; the first as differences if ascending.
 
-def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, and columns of 32-bit numbers beside them, compressed."""
-    parts = [np.array([len(keys), len(columns)], np.uint64).tobytes(), _planes(np.diff(keys, prepend=_U(0)))]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts + [_planes(c.astype(np.uint32)) for c in columns]))
+    Each is stored in the fewest of 1, 2, 4 or 8 bytes, bytes of equal weight side by side, which compress well where the
+    numbers are small.
+    """
+    head, body = [len(columns), int(ascending)], []
+    for k, c in enumerate(columns):
+        c = np.ascontiguousarray(c).astype(_U)
+        if ascending and k == 0 and len(c):
+            c = np.diff(c, prepend=_U(0))
+        top = int(c.max()) if len(c) else 0
+        width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+        head += [len(c), width]
+        body.append(np.ascontiguousarray(c.astype(f"<u{width}").view(np.uint8).reshape(len(c), width).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, _U).tobytes() + b"".join(body))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, columns = raw[:16].view(np.uint64).tolist()
-    out, at = [], 16
-    for width, kind in [(8, np.uint64)] + [(4, np.uint32)] * columns:
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
-        at += n * width
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    n, ascending = raw[:16].view(_U).tolist()
+    sizes, at, out = raw[16 : 16 + 16 * n].view(_U).tolist(), 16 + 16 * n, []
+    for length, width in zip(sizes[::2], sizes[1::2], strict=True):
+        planes = raw[at : at + length * width].reshape(width, length)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(length).astype(_U))
+        at += length * width
+    if ascending:
+        out[0] = np.cumsum(out[0], dtype=_U)
     return out
 
 
-def _cells(keys: np.ndarray, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (keys ^ (keys >> _U(31))) * _U(0x9E3779B97F4A7C15)
-        return ((x >> _U(40)) % _U(n)).astype(np.uint16 if n <= 65536 else np.uint32)
-
-
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal neighbours."""
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
 
 
-def _split(residue: np.ndarray, test: int, held: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each document trains, and whether its estimates are retained ones."""
-    return residue != test, (residue != test) & (residue != held)
+# Chunks of documents
 
 
-def _word_counts(modulus: int, test: int, held: int):
-    def run(batches):
-        hashes, kinds, tokens = [], [], 0
-        memo = worker_state("lm hashes", lambda: Memo(_hash))
-
-        def flush():
-            keys = np.concatenate(hashes)
-            kept = np.concatenate(kinds)
-            order = np.argsort(keys)
-            keys, kept = keys[order], kept[order]
-            at = _runs(keys)
-            counts = np.add.reduceat(np.ones(len(keys), np.int64), at)
-            return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(counts), pa.array(np.add.reduceat(kept.astype(np.int64), at))], ["h", "c", "r"])
-
-        for batch in batches:
-            train, retained = _split(crc_residue(batch.column("doc_id").to_pylist(), modulus), test, held)
-            for text, t, r in zip(batch.column("text").to_pylist(), train, retained, strict=True):
-                if t:
-                    words = ascii_lower_words(text)
-                    h = np.empty(len(words) + 1, _U)
-                    h[:-1] = np.fromiter(map(memo.__getitem__, words), _U, len(words))
-                    h[-1] = END
-                    hashes.append(h)
-                    kinds.append(np.full(len(h), r))
-                    tokens += len(h)
-            if tokens >= CHUNK_TOKENS:
-                yield flush()
-                hashes, kinds, tokens = [], [], 0
-        if hashes:
-            yield flush()
+def _table_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    return run
 
+def _chunks(modulus: int, test: int, held: int, kind: pa.DataType):
+    """Texts to rows (chunk, n_tokens, docs, tokens): the documents' table, and their tokens as places in a list of hashes."""
 
-class Words:
-    """Counts by index: words in order of their hash. all: in training documents; ret: in those not held out."""
+    def run(batches):
+        memo = worker_state("lm hashes", lambda: Memo(xxhash.xxh3_64_intdigest))
+        chunk, ids, roles, hashes, size = TaskContext.get().partitionId() << 24, [], [], [], 0
+
+        def full():
+            nonlocal chunk, ids, roles, hashes, size
+            lengths = np.array([len(h) for h in hashes], np.int64)
+            docs = pa.table({"doc_id": pa.array(ids, kind), "n": lengths, "role": pa.array(roles, pa.int8())})
+            found, place, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            rank = np.argsort(-times, kind="stable")  # common words get small numbers
+            to = np.empty(len(rank), np.int64)
+            to[rank] = np.arange(len(rank))
+            row = {"chunk": [chunk], "n_tokens": [size], "docs": [_table_bytes(docs)], "tokens": [pack(found[rank], to[place])]}
+            chunk, ids, roles, hashes, size = chunk + 1, [], [], [], 0
+            return pa.RecordBatch.from_pydict(row, pa.schema([("chunk", pa.int64()), ("n_tokens", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary())]))
+
+        for batch in slices(batches):
+            own = batch.column("doc_id").to_pylist()
+            residue = crc_residue(own, modulus)
+            for i, r, text in zip(own, residue.tolist(), batch.column("text").to_pylist(), strict=True):
+                words = ascii_lower_words(text)
+                h = np.empty(len(words) + 1, _U)
+                h[:-1] = np.fromiter(map(memo.__getitem__, words), _U, len(words))
+                h[-1] = END
+                ids.append(i)
+                roles.append(0 if r == test else 1 if r == held else 2)  # not trained on; held out while weights are learned; retained
+                hashes.append(h)
+                size += len(h)
+                if size >= CHUNK_TOKENS:
+                    yield full()
+        if ids:
+            yield full()
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, r: np.ndarray):
-        self.key = uuid.uuid4().hex
-        order = np.argsort(h)
-        self.h, self.all, self.ret = h[order], c[order].astype(np.uint32), r[order].astype(np.uint32)
-        self.n_all, self.n_ret = int(c.sum()), int(r.sum())
-        self.v_all, self.v_ret = len(h), int((r > 0).sum())
+    return run
 
-    def index(self, word_hash: int) -> int:
-        at = int(np.searchsorted(self.h, _U(word_hash)))
-        return at if at < len(self.h) and self.h[at] == word_hash else -1
 
+class Chunk:
+    """A chunk's documents, and for each order of n-grams the distinct keys and each token's place among them."""
+
+    def __init__(self, docs: bytes, tokens: bytes, order: int):
+        self.docs = pa.ipc.open_stream(docs).read_all()
+        self.n, role = (self.docs.column(c).to_numpy() for c in ("n", "role"))
+        self.starts = np.cumsum(self.n) - self.n
+        self.role = np.repeat(role, self.n)
+        hashes, place = unpack(tokens)
+        h, pad, gram, self.keys, self.places = hashes[place.astype(np.int64)], _U(END), None, [], []
+        with np.errstate(over="ignore"):
+            for k in range(1, order + 1):
+                if k == 1:
+                    gram = h
+                else:
+                    context = np.empty_like(gram)
+                    context[1:] = gram[:-1]
+                    context[self.starts] = pad
+                    gram = self._mixed(context, h)
+                    pad = self._mixed(pad, _U(END))
+                found, at = np.unique((gram & ~_U(3)) | _U(k), return_inverse=True)
+                self.keys.append(found)
+                self.places.append(at)
+
+    @staticmethod
+    def _mixed(context, h):
+        x = context * _MIX[0] + h
+        x = (x ^ (x >> _U(32))) * _MIX[1]
+        return x ^ (x >> _U(29))
+
+    def cells(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All keys; their order by (cell, key); and the bounds of each cell in that order."""
+        keys = np.concatenate(self.keys)
+        with np.errstate(over="ignore"):
+            cell = (((keys ^ (keys >> _U(31))) * _MIX[0] >> _U(32)) % _U(n)).astype(np.uint16 if n <= 65536 else np.uint32)
+        order = np.argsort(keys, kind="stable")
+        order = order[np.argsort(cell[order], kind="stable")]
+        return keys, order, np.searchsorted(cell[order], np.arange(n + 1))
+
+    def totals(self, answers: list[tuple[int, bytes]], cells: int, column: int) -> list[np.ndarray]:
+        """Of each order, each token's count over all documents: column 0 in all training ones, 1 in the retained ones."""
+        _, order, _ = self.cells(cells)
+        values = np.empty(len(order), _U)
+        parts = [unpack(blob) for _, blob in sorted(answers)]
+        values[order] = np.concatenate([p[0] if column == 0 else p[0] - p[1] for p in parts])
+        out, at = [], 0
+        for found, place in zip(self.keys, self.places, strict=True):
+            out.append(values[at : at + len(found)][place])
+            at += len(found)
+        return out
 
-def _bucket(count: np.ndarray) -> np.ndarray:
-    return np.where(count > 0, np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), NO_CONTEXT - 1), NO_CONTEXT)
 
+def _requests(order: int, cells: int):
+    def run(batches):
+        for batch in batches:
+            for number, docs, tokens in zip(*(batch.column(c) for c in ("chunk", "docs", "tokens")), strict=True):
+                own = Chunk(docs.as_py(), tokens.as_py(), order)
+                keys, by_cell, bounds = own.cells(cells)
+                sums = [np.concatenate([np.bincount(p[own.role >= r], minlength=len(k)) for p, k in zip(own.places, own.keys, strict=True)]) for r in (1, 2)]
+                full = np.flatnonzero(np.diff(bounds))
+                blobs = [pack(keys[part], *(s[part] for s in sums), ascending=True) for part in (by_cell[bounds[c] : bounds[c + 1]] for c in full)]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([number.as_py()] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["cell", "chunk", "blob"])
 
-def _indexes(broadcast):
-    words = broadcast.value
-    end = words.index(END)
-    memo = worker_state(("lm words", words.key), lambda: Memo(lambda w: words.index(_hash(w))))
+    return run
 
-    def of(text) -> np.ndarray:
-        found = ascii_lower_words(text)
-        out = np.empty(len(found) + 1, np.int64)
-        out[:-1] = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
-        out[-1] = end
-        return out
 
-    return words, end, of
+def _answers(table: pa.Table) -> pa.Table:
+    """Of one cell: the sums of what chunks sent, to each of them; and a row of the cell's known tokens and all tokens, in all and in retained documents."""
+    cell = table.column("cell")[0].as_py()
+    chunks, parts = table.column("chunk").to_pylist(), [unpack(b.as_py()) for b in table.column("blob")]
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.argsort(keys)
+    at = _runs(keys[order])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(keys))))
+    every, kept = (np.add.reduceat(np.concatenate([p[c] for p in parts])[order], at) for c in (1, 2))
+    word = (keys[order][at] & _U(3)) == 1
+    rows = [(-1, b"", int((every[word] > 0).sum()), int(every[word].sum()), int((kept[word] > 0).sum()), int(kept[word].sum()))]
+    start = 0
+    for chunk, p in zip(chunks, parts, strict=True):
+        own = place[start : start + len(p[0])]
+        rows.append((chunk, pack(every[own], every[own] - kept[own]), 0, 0, 0, 0))
+        start += len(own)
+    names = ["chunk", "blob", "v_all", "n_all", "v_ret", "n_ret"]
+    columns = [pa.array(c, pa.binary() if n == "blob" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)]
+    return pa.table([pa.array([cell] * len(rows), pa.int32()), *columns], names=["cell", *names])
 
 
-def _to_cells(keys: np.ndarray, n: int, *columns: np.ndarray):
-    """(cell, its packed part) of keys in ascending order."""
-    cell = _cells(keys, n)
-    order = np.argsort(cell, kind="stable")
-    bounds = np.searchsorted(cell[order], np.arange(n + 1))
-    for i in range(n):
-        part = order[bounds[i] : bounds[i + 1]]
-        if len(part):
-            yield i, pack(keys[part], *(c[part] for c in columns))
+# The mixture
 
 
-def _contexts(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(([end], ids[:-1])), ids
+def _bucket(count: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), NO_CONTEXT - 1), NO_CONTEXT)
 
 
-def _held_counts(broadcast, cells: int, modulus: int, test: int, held: int):
-    """Each task's bigram counts, retained and held out, packed by cell."""
+def _levels(counts: list[np.ndarray], starts: np.ndarray, n: int, v: int, weights: list[np.ndarray]):
+    """For each order that has weights, and the next: each token's context bucket, and its estimate over the mixture below; then the mixture of all with weights."""
+    below = np.full(len(counts[0]), 1.0 / (v + 1))
+    ends = np.append(starts[1:], len(below)) - 1
+    for k in range(min(len(counts), len(weights) + 1)):
+        if k == 0:
+            context = np.full(len(below), float(n))
+            bucket = np.zeros(len(below), np.int64)
+        else:
+            context = np.empty(len(below))
+            context[1:] = counts[k - 1][:-1]
+            context[starts] = counts[0][ends]  # as many end marks as beginnings
+            bucket = _bucket(context)
+        ratio = counts[k].astype(float) / np.maximum(context, 1) / below
+        yield bucket, ratio
+        if k < len(weights):
+            m = weights[k][bucket]
+            below = below * (m * ratio + 1 - m)
+    yield below
+
+
+def _histogram(weights: list[np.ndarray], n: int, v: int):
+    """Held-out tokens by context bucket and bin of the ratio of the next order's estimate to the mixture below."""
 
     def run(batches):
-        words, end, of = _indexes(broadcast)
-        keys, tokens = [], 0
-
-        def flush():
-            both = np.sort(np.concatenate(keys))  # the last bit: held out
-            key, is_held = both >> _U(1), (both & _U(1)).astype(np.int64)
-            at = _runs(key)
-            n = np.add.reduceat(np.ones(len(key), np.int64), at)
-            h = np.add.reduceat(is_held, at)
-            rows = list(_to_cells(key[at], cells, n - h, h))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["cell", "blob"])
-
+        size = (NO_CONTEXT + 1) * BINS
+        count, total = np.zeros(size), np.zeros(size)
         for batch in batches:
-            train, retained = _split(crc_residue(batch.column("doc_id").to_pylist(), modulus), test, held)
-            for text, t, r in zip(batch.column("text").to_pylist(), train, retained, strict=True):
-                if t:
-                    v, w = _contexts(of(text), end)
-                    keys.append((v.astype(_U) << _U(33)) | (w.astype(_U) << _U(1)) | _U(0 if r else 1))
-                    tokens += len(v)
-            if tokens >= CHUNK_TOKENS:
-                yield flush()
-                keys, tokens = [], 0
-        if keys:
-            yield flush()
+            for blob in batch.column("held"):
+                lengths, *counts = unpack(blob.as_py())
+                if len(lengths):
+                    lengths = lengths.astype(np.int64)
+                    bucket, ratio = list(_levels(counts, np.cumsum(lengths) - lengths, n, v, weights))[-2]
+                    with np.errstate(divide="ignore"):
+                        place = np.where(ratio > 0, 1 + np.clip(np.floor(np.log2(ratio) * PER_OCTAVE) - LOWEST, 0, BINS - 2), 0).astype(np.int64)
+                    count += np.bincount(bucket * BINS + place, minlength=size)
+                    total += np.bincount(bucket * BINS + place, ratio, size)
+        full = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(full // BINS), pa.array(full % BINS), pa.array(count[full].astype(np.int64)), pa.array(total[full])], ["bucket", "bin", "n", "total"])
 
     return run
 
 
-def _ratio_histogram(table: pa.Table, broadcast) -> pa.Table:
-    """Of one cell: held-out tokens by context bucket and bin of the ratio of the bigram to the unigram estimate."""
-    words = broadcast.value
-    parts = [unpack(b) for b in table.column("blob").to_pylist()]
-    key, kept, held = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key)
-    key, kept, held = key[order], kept[order].astype(np.int64), held[order].astype(np.int64)
-    at = _runs(key)
-    key, kept, held = key[at], np.add.reduceat(kept, at), np.add.reduceat(held, at)
-    key, kept, held = (x[held > 0] for x in (key, kept, held))
-    context = words.ret[(key >> _U(32)).astype(np.int64)].astype(np.int64)
-    unigram = (words.ret[(key & _U(0xFFFFFFFF)).astype(np.int64)] + 1.0) / (words.n_ret + words.v_ret + 1.0)
-    return _binned(_bucket(context), kept / np.maximum(context, 1) / unigram, held)
-
-
-def _binned(bucket: np.ndarray, ratio: np.ndarray, held: np.ndarray) -> pa.Table:
-    with np.errstate(divide="ignore"):
-        place = np.where(ratio > 0, 1 + np.clip(np.floor(np.log2(ratio) * PER_OCTAVE) - LOWEST, 0, BINS - 2), 0).astype(np.int64)
-    slot = bucket * BINS + place
-    size = (NO_CONTEXT + 1) * BINS
-    n, total = np.bincount(slot, held, size), np.bincount(slot, held * ratio, size)
-    full = np.flatnonzero(n)
-    return pa.table({"bucket": full // BINS, "bin": full % BINS, "n": n[full].astype(np.int64), "total": total[full].astype(float)})
-
-
 def mixture_weights(histogram: list[tuple[int, int, float]], rounds: int = 300) -> np.ndarray:
-    """Each bucket's weight of the bigram estimate, by expectation-maximisation over (bucket, held-out tokens, ratio).
+    """Each bucket's weight of the higher estimate, by expectation-maximisation over (bucket, held-out tokens, ratio).
 
     A bucket without held-out tokens takes the weight of the next lower one that has some, else 0; the bucket of unseen
     contexts always has 0. Weights stay below 1, so that no text has probability 0.
@@ -237,173 +282,71 @@ def mixture_weights(histogram: list[tuple[int, int, float]], rounds: int = 300)
     return out
 
 
-def _score_blocks(broadcast, weights: np.ndarray, cells: int, modulus: int, test: int, held: int):
-    """Blocks of each task's (bigram, document) counts by cell; and, for each block of documents, what needs no cell."""
+def _chunk_and_answers(table: pa.Table, order: int) -> tuple[Chunk, list[tuple[int, bytes]]]:
+    own, answers = None, []
+    for cell, docs, blob in zip(*(table.column(c) for c in ("cell", "docs", "blob")), strict=True):
+        if docs.is_valid:
+            own = Chunk(docs.as_py(), blob.as_py(), order)
+        else:
+            answers.append((cell.as_py(), blob.as_py()))
+    return own, answers
 
-    def run(batches):
-        words, end, of = _indexes(broadcast)
-        base_of = lambda c, n, v: np.log10((c + 1.0) / (n + v + 1.0))
-        chunk = TaskContext.get().partitionId() << 24
-        docs, keys, tokens = [], [], 0
-
-        def flush():
-            nonlocal chunk
-            rows = [(chunk % cells, _table_bytes(docs))]
-            if keys:
-                key, doc, train = np.concatenate([k[0] for k in keys]), np.concatenate([np.full(len(k[0]), k[1], np.uint32) for k in keys]), np.array([d[2] for d in docs])
-                order = np.argsort(key, kind="stable")
-                key, doc = key[order], doc[order]
-                at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
-                times = np.diff(np.append(at, len(key)))
-                key, doc = key[at], doc[at]
-                rows += [(cell, blob) for cell, blob in _to_cells(key, cells, doc, times, train[doc])]
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([i == 0 for i in range(len(rows))]), pa.array([r[1] for r in rows], pa.binary())], ["cell", "chunk", "docs", "blob"])
-            chunk += 1
-            return out
 
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            train, _ = _split(crc_residue(ids, modulus), test, held)
-            for i, text, t in zip(ids, batch.column("text").to_pylist(), train, strict=True):
-                v, w = _contexts(of(text), end)
-                seen, both = w >= 0, (w >= 0) & (v >= 0)
-                count = np.where(seen, words.all[w] if len(words.all) else 0, 0).astype(float)
-                base = base_of(count, words.n_all, words.v_all)
-                alone = ~both
-                context = np.where(v >= 0, words.all[v] if len(words.all) else 0, 0)[alone]
-                own = float((base[alone] + np.log10(1 - weights[_bucket(context)])).sum())
-                if both.any():
-                    keys.append(((v[both].astype(_U) << _U(32)) | w[both].astype(_U), len(docs)))
-                docs.append((i, len(w), bool(t), int(seen.sum()), float(base.sum()), own))
-                tokens += len(w)
-            if tokens >= CHUNK_TOKENS:
-                yield flush()
-                docs, keys, tokens = [], [], 0
-        if docs:
-            yield flush()
+def _held_counts(order: int, cells: int):
+    def run(table: pa.Table) -> pa.Table:
+        own, answers = _chunk_and_answers(table, order)
+        held = own.role == 1
+        counts = [c[held] for c in own.totals(answers, cells, 1)] if held.any() else [np.empty(0, _U)] * order
+        return pa.table({"held": pa.array([pack(own.n[own.docs.column("role").to_numpy() == 1], *counts)], pa.binary())})
 
     return run
 
 
-def _table_bytes(docs: list[tuple]) -> bytes:
-    sink = pa.BufferOutputStream()
-    names = ["doc_id", "n_tokens", "train", "n_known", "base_score", "own"]
-    table = pa.table({n: pa.array(list(c)) for n, c in zip(names, zip(*docs, strict=True), strict=True)})
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _cell_scores(table: pa.Table, broadcast, weights: np.ndarray) -> pa.Table:
-    """Of one cell: for each block of documents the sums of their tokens' scores; the documents' own rows pass through."""
-    words = broadcast.value
-    chunks, is_docs, blobs = (table.column(c).to_pylist() for c in ("chunk", "docs", "blob"))
-    out = [(c, True, b) for c, d, b in zip(chunks, is_docs, blobs, strict=True) if d]
-    parts = [(c, unpack(b)) for c, d, b in zip(chunks, is_docs, blobs, strict=True) if not d]
-    if parts:
-        key, times, train = (np.concatenate([p[1][i] for p in parts]) for i in (0, 2, 3))
-        unique, inverse = np.unique(key, return_inverse=True)
-        together = np.bincount(inverse, times.astype(np.int64) * train, len(unique))
-        context = words.all[(unique >> _U(32)).astype(np.int64)].astype(np.int64)
-        unigram = (words.all[(unique & _U(0xFFFFFFFF)).astype(np.int64)] + 1.0) / (words.n_all + words.v_all + 1.0)
-        weight = weights[_bucket(context)]
-        value = np.log10(weight * together / np.maximum(context, 1) + (1 - weight) * unigram)[inverse] * times
-        at = 0
-        for c, p in parts:
-            sums = np.bincount(p[1], value[at : at + len(p[1])])
-            out.append((c, False, sums.astype(np.float64).tobytes()))
-            at += len(p[1])
-    return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "docs": pa.array([o[1] for o in out], pa.bool_()), "blob": pa.array([o[2] for o in out], pa.binary())})
-
-
-def _document_scores(table: pa.Table, total: int, id_type: pa.DataType) -> pa.Table:
-    """Of one block of documents: their rows, with the sums of all cells."""
-    is_docs, blobs = table.column("docs").to_pylist(), table.column("blob").to_pylist()
-    docs = pa.ipc.open_stream(next(b for d, b in zip(is_docs, blobs, strict=True) if d)).read_all()
-    score = np.array(docs.column("own").to_pylist(), float)
-    for d, b in zip(is_docs, blobs, strict=True):
-        if not d:
-            sums = np.frombuffer(b)
-            score[: len(sums)] += sums
-    train = np.array(docs.column("train").to_pylist(), bool)
-    return pa.table({"doc_id": docs.column("doc_id").cast(id_type), "held_out": ~train, "n_tokens": docs.column("n_tokens").cast(pa.int64()), "n_known": docs.column("n_known").cast(pa.int64()), "train_tokens": np.full(len(train), total, np.int64), "base_score": docs.column("base_score").cast(pa.float64()), "score": score})
-
-
-def _token_rows(modulus: int, test: int, held: int):
-    """For _by_joins: distinct (document row, context, word) with their counts."""
-
-    def run(batches):
-        memo = worker_state("lm hashes", lambda: Memo(_hash))
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            train, retained = _split(crc_residue(ids, modulus), test, held)
-            take, rows = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                h = [*map(memo.__getitem__, ascii_lower_words(text)), END]
-                pairs, n = np.unique(np.array([[END, *h[:-1]], h], _U), axis=1, return_counts=True)
-                take += [k] * len(n)
-                rows.append((pairs[0].view(np.int64), pairs[1].view(np.int64), n, np.full(len(n), row)))
-                row += 1
-            if rows:
-                v, w, n, r = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(take)), pa.array(r, pa.int64()), pa.array(train[take]), pa.array(retained[take]), pa.array(v), pa.array(w), pa.array(n.astype(np.int64))], ["doc_id", "row", "train", "retained", "v", "w", "n"])
+def _scores(order: int, cells: int, weights: list[np.ndarray], n: int, v: int):
+    def run(table: pa.Table) -> pa.Table:
+        own, answers = _chunk_and_answers(table, order)
+        counts = own.totals(answers, cells, 0)
+        words = counts[0].astype(float)
+        *_, p = _levels(counts, own.starts, n, v, weights)
+        per_doc = lambda x: np.add.reduceat(x, own.starts)
+        return pa.table({"doc_id": own.docs.column("doc_id"), "held_out": own.docs.column("role").to_numpy() == 0, "n_tokens": own.n, "n_known": per_doc((words > 0).astype(np.int64)), "train_tokens": np.full(len(own.n), n, np.int64), "base_score": per_doc(np.log10((words + 1.0) / (n + v + 1.0))), "score": per_doc(np.log10(p))})
 
     return run
 
 
-def _by_joins(docs: DataFrame, counts: DataFrame, totals, fold: tuple[int, int, int]) -> DataFrame:
-    """The same scores where the word counts are too many to broadcast: counts are joined to the bigrams."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_token_rows(*fold), f"doc_id {id_type}, row long, train boolean, retained boolean, v long, w long, n long"), "token-rows")
-    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    grams = rows.groupBy("v", "w").agg(count(F.col("train")).alias("vw"), count(F.col("retained")).alias("vw_ret"))
-    grams = grams.join(counts.select(F.col("h").alias("v"), F.col("c").alias("cv"), F.col("r").alias("rv")), "v", "left").join(counts.select(F.col("h").alias("w"), F.col("c").alias("cw"), F.col("r").alias("rw")), "w", "left")
-    grams = written(grams.na.fill(0), "bigrams")
-    bucket = lambda c: F.when(F.col(c) > 0, F.least(F.floor(F.log2(F.greatest(F.col(c), F.lit(1)))), F.lit(NO_CONTEXT - 1))).otherwise(NO_CONTEXT)
-    held = grams.filter("vw > vw_ret").select(bucket("rv").alias("bucket"), (F.col("vw") - F.col("vw_ret")).alias("n"), (F.col("vw_ret") / F.greatest(F.col("rv"), F.lit(1)) / ((F.col("rw") + 1.0) / (totals["n_ret"] + totals["v_ret"] + 1.0))).alias("ratio"))
-    place = F.when(F.col("ratio") > 0, F.greatest(F.lit(0), F.least(F.lit(BINS - 2), F.floor(F.log2("ratio") * PER_OCTAVE) - LOWEST)) + 1).otherwise(0)
-    binned = held.groupBy("bucket", place.alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("ratio")).alias("total"))
-    weights = mixture_weights([(r["bucket"], r["n"], r["total"] / r["n"]) for r in binned.collect()])
-    weight = F.element_at(F.array(*map(F.lit, weights.tolist())), (bucket("cv") + 1).cast("int"))
-    unigram = (F.col("cw") + 1.0) / (totals["n_all"] + totals["v_all"] + 1.0)
-    scored = grams.select("v", "w", "cw", F.log10(unigram).alias("base"), F.log10(weight * F.col("vw") / F.greatest(F.col("cv"), F.lit(1)) + (1 - weight) * unigram).alias("value"))
-    out = rows.join(scored, ["v", "w"]).groupBy("row", "doc_id", "train").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("cw") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.col("base")).alias("base_score"), F.sum(F.col("n") * F.col("value")).alias("score"))
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(totals["n_all"]).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, modulus: int = 7, test: int = 2, held: int = 3, max_words: int = 6_000_000) -> DataFrame:
+def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = 3, modulus: int = 7, test: int = 2, held: int = 3) -> DataFrame:
     """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Documents with crc32(id) mod `modulus` equal to `test` aren't learned from; those with `held` give the held-out
-    counts that the weights are learned on, and count in the final model. A null or empty text is the end mark alone. A
-    null id counts as empty text for its residue. Repeated rows count each. Without training documents all scores are 0.
+    order: words of the longest n-grams, 1 to 3. Documents with crc32(id) mod `modulus` equal to `test` aren't learned from;
+    those with `held` give the held-out counts that the weights are learned on, and count in the final model. A null or
+    empty text is the end mark alone. A null id counts as empty text for its residue. Repeated rows count each. Without
+    training documents all scores are 0: the one unknown token has probability 1. An empty table gives no rows.
     """
+    if not 1 <= order <= 3:
+        raise ValueError("order must be 1, 2 or 3")
     spark: SparkSession = df.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     docs = documents(df, id_col, text_col)
-    fold = (modulus, test, held)
-    counts = docs.mapInArrow(_word_counts(*fold), "h long, c long, r long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    counts = written(counts, "word-counts")
-    totals = counts.agg(F.count("*").alias("v_all"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_all"), F.count_if(F.col("r") > 0).alias("v_ret"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_ret")).first()
-    if totals["v_all"] > max_words:
-        return _by_joins(docs, counts, totals, fold)
-    table = counts.select("h", F.col("c").cast("int").alias("c") if totals["n_all"] < 2**31 else "c", F.col("r").cast("int").alias("r") if totals["n_all"] < 2**31 else "r").toArrow()
-    words = shared(spark, Words(table.column("h").to_numpy().view(_U), table.column("c").to_numpy(), table.column("r").to_numpy()))
-    del table
-    cells = partitions(spark)
-    blocks = docs.mapInArrow(_held_counts(words, cells, *fold), "cell int, blob binary")
-    histogram = blocks.groupBy("cell").applyInArrow(lambda t: _ratio_histogram(t, words), "bucket long, bin long, n long, total double")
-    rows = histogram.groupBy("bucket", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # at most 64 * 2048
-    weights = mixture_weights([(r["bucket"], r["n"], r["total"] / r["n"]) for r in rows])
-    blocks = docs.mapInArrow(_score_blocks(words, weights, cells, *fold), "cell int, chunk long, docs boolean, blob binary")
-    sums = blocks.groupBy("cell").applyInArrow(lambda t: _cell_scores(t, words, weights), "chunk long, docs boolean, blob binary")
     id_type = docs.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    total, kind = totals["n_all"], to_arrow_type(id_type)
-    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return sums.groupBy("chunk").applyInArrow(lambda t: _document_scores(t, total, kind), schema)
+    with Scratch(spark) as scratch:
+        chunks = docs.mapInArrow(_chunks(modulus, test, held, to_arrow_type(id_type)), "chunk long, n_tokens long, docs binary, tokens binary")
+        chunks = scratch.written(chunks, "lm-chunks", "uncompressed")
+        tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        cells = max(partitions(spark), -(-tokens * order // (2 * CELL_KEYS)))  # about half of the n-grams of a chunk are new to it
+        asked = chunks.mapInArrow(_requests(order, cells), "cell int, chunk long, blob binary")
+        answers = asked.groupBy("cell").applyInArrow(_answers, "cell int, chunk long, blob binary, v_all long, n_all long, v_ret long, n_ret long")
+        answers = scratch.written(answers, "lm-answers", "uncompressed")
+        sums = answers.filter("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v_all", "n_all", "v_ret", "n_ret"))).first()
+        own = chunks.select("chunk", F.lit(-1).alias("cell"), "docs", F.col("tokens").alias("blob"))
+        both = own.unionByName(answers.filter("chunk >= 0").select("chunk", "cell", F.lit(None).cast("binary").alias("docs"), "blob")).groupBy("chunk")
+        held_out = scratch.written(both.applyInArrow(_held_counts(order, cells), "held binary"), "lm-held", "uncompressed")
+        weights: list[np.ndarray] = []
+        for _ in range(order):
+            found = held_out.mapInArrow(_histogram(weights, sums["n_ret"], sums["v_ret"]), "bucket long, bin long, n long, total double")
+            rows = found.groupBy("bucket", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # at most 64 * BINS
+            weights.append(mixture_weights([(r["bucket"], r["n"], r["total"] / r["n"]) for r in rows]))
+        schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        return scratch.result(both.applyInArrow(_scores(order, cells, weights, sums["n_all"], sums["v_all"]), schema), "lm-scores")
 
 
 __all__ = ["interpolated_scores", "mixture_weights", "pack", "unpack"]
