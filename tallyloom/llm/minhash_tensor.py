@@ -7,14 +7,21 @@ probability about 2*(1-s**rows)**side: 2.2e-4 at s = 0.75, 2e-6 at 0.8, for the
 
 How the work stays linear in a hot group: equal sets are one node from the start; then `rounds` link each document with
 the one pivot (the smallest id of a table's bucket, of another component) it meets most often, and merge what that
-connects. What is left is resolved inside tasks: the rows of a key of the first collection, in blocks of at most
-BLOCK_ROWS, meet block by block, and pairs are formed in memory, not as rows. A pair of different components is taken up
-at its first common key alone and must share enough tables, fit in size, in a sketch of one bit of every minhash (bits
-differ in (1-s)/2 of the places, 24 of 192 expected at 0.75; more than 42 has probability 5e-5) and in the least hashes of
-its sets, as many as there are minhashes: of sets no larger these decide, and of the pairs they decide only a spanning
-forest leaves the task; of larger sets they estimate the similarity, and pairs up to four deviations below the limit leave
-it. All that leave are confirmed on the whole sets. So neither a large group of near copies, nor a passage in very many
-documents, yields rows by the square of its members.
+connects; more such rounds follow while one still joins more than a twentieth of the nodes left to it. What is left:
+
+- Keys of the first collection with at most BLOCK_ROWS rows are resolved inside tasks, where pairs are formed in memory, not
+  as rows. A pair of different components is taken up at its first common key alone and must share enough tables, fit in
+  size, in a sketch of one bit of every minhash (bits differ in (1-s)/2 of the places, 24 of 192 expected at 0.75; more than
+  42 has probability 5e-5) and in the least hashes of its sets, as many as there are minhashes: of sets no larger these
+  decide, and of the pairs they decide only a spanning forest leaves the task; of larger sets they estimate the similarity,
+  and pairs up to four deviations below the limit leave it.
+- Documents of keys with more rows must, beside meeting in the tables, share one of their rarest shingles (`_rare_pairs`, an
+  exact filter that loses no link): no copy of a row is made for others of its key, and documents that share a common
+  passage, however many, aren't compared for it.
+
+All that is left is confirmed on the whole sets. So neither a large group of near copies, nor a passage in very many
+documents, yields rows by the square of its members. Links are lost by the tables (2.2e-4 of the pairs at 0.75, less above),
+`tables` (2e-5) and the sketch (5e-5), and where 32-bit hashes of a pair's sets collide (below 1e-5).
 """
 
 from __future__ import annotations
@@ -25,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, Memo, ascii_lower_words, documents, keyed_join, small_batches, worker_state, written
+from .common import BROADCAST_KEYS, Memo, Scratch, ascii_lower_words, documents, keyed_join, ship_package, slices, worker_state
 
-#: Most rows of one side of a pair of blocks that meet in a task.
+#: Most rows of a key that meet in a task.
 BLOCK_ROWS = 512
 
 _U = np.uint64
@@ -84,7 +91,7 @@ class Signer:
 def _signatures(size: int, rows: int, side: int):
     def run(batches):
         signer = Signer(rows, side)
-        for batch in batches:
+        for batch in slices(batches):
             ids, n, k1, k2, a, b, packed = batch.column("doc_id"), [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, size)
@@ -104,11 +111,12 @@ def _signatures(size: int, rows: int, side: int):
 
 def _confirm(size: int, num: int, den: int):
     def run(batches):
-        sets = Memo(lambda t: shingle_set(t, size), 64)
-        for batch in batches:
-            keep = []
+        for batch in slices(batches):
+            keep, seen, last = [], {}, None
             for s, t in zip(batch.column("text_x").to_pylist(), batch.column("text_y").to_pylist(), strict=True):
-                x, y = sets[s or ""], sets[t or ""]
+                if s != last:  # rows of one x often stand together
+                    seen, last = {"x": shingle_set(s, size)}, s
+                x, y = seen["x"], shingle_set(t, size)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
@@ -116,11 +124,21 @@ def _confirm(size: int, num: int, den: int):
     return run
 
 
+def _shingles(size: int):
+    def run(batches):
+        for batch in slices(batches, 64):
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), batch.column("comp").take(pa.array(at)), pa.array(np.array([len(x) for x in sets], np.int64)[at]), pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], _U).view(np.int64)[at]), pa.array(np.concatenate([*sets, np.empty(0, _U)]).view(np.int64))], ["doc_id", "comp", "n", "k", "h"])
+
+    return run
+
+
 class _Block:
-    """The rows of one key that meet in a task: (doc_id, comp, n, side of the pair of blocks, packed)."""
+    """The rows of one key that meet in a task: (doc_id, comp, n, packed)."""
 
     def __init__(self, rows: pa.RecordBatch, side: int, places: int):
-        self.ids, self.comp, self.n, self.part = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n", "part"))
+        self.ids, self.comp, self.n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n"))
         raw, longs = rows.column("packed").to_pylist(), -(-places // 64)
         head = 8 * side + 8 * longs
         fixed = np.frombuffer(b"".join(r[:head] for r in raw), np.uint8).reshape(len(raw), head)
@@ -144,10 +162,8 @@ class _Block:
     def pairs(self, place: int, num: int, den: int, tables: int, differ: int) -> list[tuple[int, int]]:
         """The pairs that leave the task; those that the least hashes decide join components here."""
         out, comp, share = [], self.comp.copy(), num / den
-        one_block = self.part.min() == self.part.max()
-        others = None if one_block else np.flatnonzero(self.part == self.part.max())
-        for x in range(len(comp)) if one_block else np.flatnonzero(self.part == self.part.min()).tolist():
-            ys = np.arange(x + 1, len(comp)) if one_block else others
+        for x in range(len(comp)):
+            ys = np.arange(x + 1, len(comp))
             n = self.n[ys]
             ys = ys[(comp[ys] != comp[x]) & (np.minimum(n, self.n[x]) * den >= np.maximum(n, self.n[x]) * num)]
             if len(ys):
@@ -171,7 +187,7 @@ class _Block:
 
 
 def _resolved(side: int, places: int, num: int, den: int, tables: int, differ: int):
-    """Of rows sorted by key and pair of blocks: the pairs of each such group."""
+    """Of rows sorted by key: the pairs of each key."""
 
     def run(batches):
         rest = None
@@ -180,13 +196,12 @@ def _resolved(side: int, places: int, num: int, den: int, tables: int, differ: i
             rows = rest if last else batch if rest is None else pa.concat_batches([rest, batch])
             if rows is None or not rows.num_rows:
                 continue
-            k, i, j = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
-            cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            k = rows.column("key").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
             cuts = np.concatenate(([0], cuts, [len(k)] if last else []))
             rest, out = None if last else rows.slice(int(cuts[-1])), []
             for at, end in zip(cuts[:-1].astype(int).tolist(), cuts[1:].astype(int).tolist(), strict=True):
-                part = rows.column("part").slice(at, end - at).to_numpy(zero_copy_only=False)
-                if end - at > 1 and (i[at] == j[at] or part.min() != part.max()):
+                if end - at > 1:
                     out += _Block(rows.slice(at, end - at), side, places).pairs(int(rows.column("place")[at].as_py()), num, den, tables, differ)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["x", "y"])
 
@@ -207,13 +222,13 @@ def _with_text(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
     return salted.drop("copies").join(copies.drop("copies"), [side, "salt"]).drop("salt").withColumnRenamed("text", f"text_{side}")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of the edges (x, y): root is the smallest node that it reaches.
 
     Large-star and small-star rounds over DataFrames until nothing changes; each round is written to the shared folder.
     The only values that reach the driver are a count and a checksum of each round.
     """
-    edges = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u > v").distinct(), "edges")
+    edges = scratch.written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u > v").distinct(), "edges")
     before = None
     while True:
         ways = edges.union(edges.select("v", "u"))
@@ -222,7 +237,7 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u > v").distinct(), "edges")
+        edges = scratch.written(small.filter("u > v").distinct(), "edges")
         state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -232,23 +247,26 @@ def connected(edges: DataFrame) -> DataFrame:
 class _Links:
     """Components so far: labels holds (node, comp) of the nodes that are linked."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int):
-        self.nodes, self.texts, self.check, self.labels = nodes, texts, _confirm(size, num, den), None
-        self.tested = None
+    def __init__(self, scratch: Scratch, nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int):
+        self.scratch, self.nodes, self.texts, self.size, self.num, self.den = scratch, nodes, texts, size, num, den
+        self.labels = self.tested = None
 
     def labelled(self, df: DataFrame) -> DataFrame:
         if self.labels is None:
             return df.withColumn("comp", F.col("doc_id"))
         return df.join(self.labels, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
-    def buckets(self, side: int) -> DataFrame:
-        """(key, doc_id, comp, pivot): the tensored tables' buckets that hold more than one component; pivot is the first member.
+    def meeting(self, side: int) -> DataFrame:
+        """(doc_id, comp) of the documents with a key of the first collection that more than one component has.
 
-        A document whose every key of the first collection meets its own component only can't meet another in any table.
+        A document whose every such key meets its own component only can't meet another in any table.
         """
         flat = self.labelled(self.nodes.select("doc_id", F.explode(F.slice("a", 1, side)).alias("key")))
         shared = flat.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        meet = written(flat.join(shared, "key").select("doc_id", "comp").distinct(), "meet")
+        return self.scratch.written(flat.join(shared, "key").select("doc_id", "comp").distinct(), "meet")
+
+    def buckets(self, meet: DataFrame, side: int) -> DataFrame:
+        """(key, doc_id, comp, pivot): the tensored tables' buckets that hold more than one component; pivot is the first member."""
         few = keyed_join(self.nodes, meet, "doc_id", "inner")
         part = few.select("doc_id", "comp", F.explode(F.slice("a", 1, side)).alias("p"), F.slice("b", 1, side).alias("b"))
         rows = part.select("doc_id", "comp", "p", F.explode("b").alias("q")).select(F.xxhash64("p", "q").alias("key"), "doc_id", "comp")
@@ -258,41 +276,75 @@ class _Links:
     def untested(self, pairs: DataFrame) -> DataFrame:
         return pairs if self.tested is None else pairs.join(self.tested, ["x", "y"], "left_anti")
 
-    def link(self, pairs: DataFrame) -> bool:
-        """Confirms the pairs (x, y), x < y, on full sets and merges the components they connect; whether there were any."""
-        pairs = written(pairs, "pairs")
+    def link(self, pairs: DataFrame) -> int:
+        """Confirms the pairs (x, y), x < y, on full sets and merges the components they connect; the number of links."""
+        pairs = self.scratch.written(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         both = _with_text(_with_text(pairs, self.texts, "y"), self.texts, "x")
-        links = written(both.mapInArrow(self.check, "x long, y long"), "links")
-        if links.isEmpty():
-            return False
+        links = self.scratch.written(both.mapInArrow(_confirm(self.size, self.num, self.den), "x long, y long"), "links")
+        found = links.count()
+        if not found:
+            return 0
         ends = self.labelled(links.withColumnRenamed("x", "doc_id")).select(F.col("comp").alias("cx"), F.col("y").alias("doc_id"))
-        roots = connected(self.labelled(ends).select(F.col("cx").alias("x"), F.col("comp").alias("y")))
+        roots = connected(self.labelled(ends).select(F.col("cx").alias("x"), F.col("comp").alias("y")), self.scratch)
         touched = links.select(F.col("x").alias("doc_id")).union(links.select("y"))
         known = touched if self.labels is None else touched.union(self.labels.select("doc_id"))
         new = self.labelled(known.distinct()).join(roots, F.col("comp") == F.col("node"), "left")
-        self.labels = written(new.select("doc_id", F.coalesce("root", "comp").alias("comp")), "labels")
-        return True
+        self.labels = self.scratch.written(new.select("doc_id", F.coalesce("root", "comp").alias("comp")), "labels")
+        return found
 
-    def star(self, side: int) -> bool:
-        """Links each document with the pivot of another component that it meets in the most tables and wasn't held against yet."""
-        met = self.buckets(side).filter("pivot.comp <> comp").groupBy(F.col("pivot.doc_id").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("tables"))
+    def star(self, side: int) -> float:
+        """Links each document with the pivot of another component that it meets in the most tables and wasn't held against yet; the links' share of the documents that meet others."""
+        meet = self.meeting(side)
+        met = self.buckets(meet, side).filter("pivot.comp <> comp").groupBy(F.col("pivot.doc_id").alias("x"), F.col("doc_id").alias("y")).agg(F.count("*").alias("tables"))
         best = self.untested(met).groupBy("y").agg(F.max_by("x", F.struct("tables", -F.col("x"))).alias("x"))
-        return self.link(best.select("x", "y"))
+        return self.link(best.select("x", "y")) / max(1, meet.count())
 
-    def cross(self, side: int, tables: int, num: int, den: int, places: int) -> None:
-        """Links what different components still share: rows of a key meet in pairs of blocks, each pair of blocks in one task."""
+    def keys(self) -> DataFrame:
+        """(key, doc_id, place, comp, crowded) of the keys of the first collection that more than one component has."""
         flat = self.labelled(self.nodes.select("doc_id", F.posexplode("a").alias("place", "key")))
-        mixed = flat.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-        rows = flat.join(mixed.filter("lo < hi").select("key", "blocks"), "key").join(self.nodes.select("doc_id", "n", "packed").distinct(), "doc_id")
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "place", "doc_id", "comp", "n", "part", "packed")
-        dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
-        found = dealt.mapInArrow(_resolved(side, places, num, den, tables, -(-places * 7 // 32)), "x long, y long")
+        mixed = flat.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") > BLOCK_ROWS).alias("crowded")).filter("lo < hi")
+        return flat.join(mixed.select("key", "crowded"), "key")
+
+    def crowded(self) -> None:
+        """Links the documents of crowded keys: of those that share a rare shingle and meet in a table."""
+        members = self.keys().filter("crowded").select("doc_id", "comp").distinct()
+        members = self.scratch.written(members, "crowded")
+        if members.isEmpty():
+            return
+        pairs = self.untested(_rare_pairs(self.scratch, members.join(self.texts, "doc_id"), self.size, self.num, self.den))
+        sides = [self.nodes.select(F.col("doc_id").alias(k), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}")) for k in ("x", "y")]
+        same = lambda c: F.exists(F.zip_with(f"{c}x", f"{c}y", lambda p, q: p == q), lambda e: e)
+        self.link(pairs.join(sides[0], "x").join(sides[1], "y").filter(same("a") & same("b")).select("x", "y"))
+
+    def resolve(self, side: int, tables: int, places: int) -> None:
+        """Links what different components still share in keys that aren't crowded: a key's rows meet in one task."""
+        rows = self.keys().filter("not crowded").select("key", "doc_id", "place", "comp").join(self.nodes.select("doc_id", "n", "packed").distinct(), "doc_id")
+        dealt = rows.repartition("key").sortWithinPartitions("key", "doc_id")
+        found = dealt.mapInArrow(_resolved(side, places, self.num, self.den, tables, -(-places * 7 // 32)), "x long, y long")
         self.link(self.untested(found.distinct()))
 
 
+def _rare_pairs(scratch: Scratch, members: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs x < y of members (doc_id, comp, text) of different components that can be linked, by a filter that loses none.
+
+    All sets are put in one order, rarest shingle first. With t = num/den, linked sets of sizes m <= n share t/(1+t)*(m+n)
+    shingles at least, so that at their first common one both have as many left. Hence the smaller's is among its first
+    m - 2t/(1+t)*m + 1, the larger's among its first n - t*n + 1, and both places fit the pair's sizes. A shingle of one
+    member alone has no row, but counts for the places.
+    """
+    rows = scratch.written(members.mapInArrow(_shingles(size), "doc_id long, comp long, n long, k long, h long"), "member-shingles")
+    common = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    lists = rows.join(common, "h").groupBy("doc_id", "comp", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    rare = lists.select("doc_id", "comp", "n", (F.col("n") - F.size("s")).alias("alone"), F.expr(f"slice(s, 1, int(greatest(0, n - ceil({num} * n / {den}) + 1 - (n - size(s)))))").alias("s"))
+    flat = scratch.written(rare.select("doc_id", "comp", "n", F.posexplode("s").alias("i", "v"), "alone").select("doc_id", "comp", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("v.h").alias("h")), "rare")
+    mixed = flat.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+    flat = flat.join(mixed, "h")
+    small = flat.filter(f"{num + den} * left >= {2 * num} * n").select("h", *(F.col(c).alias(f"s_{c}") for c in ("doc_id", "comp", "n", "left")))
+    fits = F.expr(f"s_comp <> comp AND (s_n < n OR s_n = n AND s_doc_id < doc_id) AND {den} * s_n >= {num} * n AND {num + den} * least(s_left, left) >= {num} * (s_n + n)")
+    return flat.join(small, "h").filter(fits).select(F.least("doc_id", "s_doc_id").alias("x"), F.greatest("doc_id", "s_doc_id").alias("y")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, num: int = 75, den: int = 100, rows: int = 4, side: int = 24, rounds: tuple[int, ...] = (4, 8), tables: int = 3, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is it).
 
@@ -304,35 +356,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null, kept true. Several rows of one doc_id are one node. ids must be whole numbers.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     docs = documents(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sig = written(docs.mapInArrow(_signatures(shingle, rows, side), "doc_id long, n long, k1 long, k2 long, a array<long>, b array<long>, packed binary"), "signatures")
-    real = sig.filter("n > 0 and doc_id is not null")
-    first = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
-    members = real.select("doc_id", "k1", "k2").join(first, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    members = written(members.distinct(), "members")
-    own = members.filter("doc_id = rep").select("doc_id").distinct()
-    # A document that shares no key of the first collection with another is a candidate nowhere: its text isn't needed.
-    flat = keyed_join(real, own, "doc_id", "left_semi", broadcast_keys).select("doc_id", F.explode("a").alias("key"))
-    shared = flat.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
-    able = written(flat.join(shared, "key").select("doc_id").distinct(), "able")
-    nodes = written(keyed_join(real, able, "doc_id", "left_semi", broadcast_keys).select("doc_id", "n", "a", "b", "packed"), "nodes")
-    texts = written(keyed_join(docs, able, "doc_id", "left_semi", broadcast_keys).distinct(), "texts")
-    links = _Links(nodes, texts, shingle, num, den)
-    spread = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y")
-    if not spread.isEmpty():  # several rows of one id, with different sets, join those sets' nodes
-        many = members.join(spread.select("doc_id", "x"), "doc_id").filter("rep <> x").select("x", F.col("rep").alias("y"))
-        links.labels = written(connected(many).select(F.col("node").alias("doc_id"), F.col("root").alias("comp")), "labels")
-    for n in rounds:
-        links.star(min(n, side))
-    places = 2 * rows * side
-    links.cross(side, tables, num, den, places)
-    labels = members.withColumn("comp", F.col("rep"))
-    if links.labels is not None:
-        labels = members.join(links.labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
-    labels = labels.groupBy("doc_id").agg(F.min("comp").alias("comp"))
-    out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    with Scratch(spark) as scratch:
+        sig = scratch.written(docs.mapInArrow(_signatures(shingle, rows, side), "doc_id long, n long, k1 long, k2 long, a array<long>, b array<long>, packed binary"), "signatures")
+        real = sig.filter("n > 0 and doc_id is not null")
+        first = scratch.written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
+        members = real.select("doc_id", "k1", "k2").join(first, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+        members = scratch.written(members.distinct(), "members")
+        own = members.filter("doc_id = rep").select("doc_id").distinct()
+        # A document that shares no key of the first collection with another is a candidate nowhere: its text isn't needed.
+        flat = keyed_join(real, own, "doc_id", "left_semi", broadcast_keys).select("doc_id", F.explode("a").alias("key"))
+        shared = flat.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
+        able = scratch.written(flat.join(shared, "key").select("doc_id").distinct(), "able")
+        nodes = scratch.written(keyed_join(real, able, "doc_id", "left_semi", broadcast_keys).select("doc_id", "n", "a", "b", "packed"), "nodes")
+        texts = scratch.written(keyed_join(docs, able, "doc_id", "left_semi", broadcast_keys).distinct(), "texts")
+        links = _Links(scratch, nodes, texts, shingle, num, den)
+        spread = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y")
+        if not spread.isEmpty():  # several rows of one id, with different sets, join those sets' nodes
+            many = members.join(spread.select("doc_id", "x"), "doc_id").filter("rep <> x").select("x", F.col("rep").alias("y"))
+            links.labels = scratch.written(connected(many, scratch).select(F.col("node").alias("doc_id"), F.col("root").alias("comp")), "labels")
+        joined = 1.0
+        for n in rounds:
+            joined = links.star(min(n, side))
+        while rounds and joined > 0.05:
+            joined = links.star(min(rounds[-1], side))
+        links.crowded()
+        links.resolve(side, tables, 2 * rows * side)
+        labels = members.withColumn("comp", F.col("rep"))
+        if links.labels is not None:
+            labels = members.join(links.labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
+        labels = labels.groupBy("doc_id").agg(F.min("comp").alias("comp"))
+        out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left")
+        out = out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.coalesce("comp", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        return scratch.result(out, "components")
 
 
 __all__ = ["Signer", "connected", "near_duplicates", "shingle_set"]
