@@ -1,12 +1,13 @@
 """Quality rules with an isolation forest on rule statistics.
 
-Statistics of every whole text are computed once and written. A forest of random trees is grown on a bounded sample (the
-`sample` documents of lowest hash of their id, of those that pass the base rules): each tree isolates `subsample` of them
-by random splits, and a document's score is 2**(-mean path length / expected path length), near 1 for anomalies. In the
-mean a tree weighs more the better its path lengths tell the labelled bad documents of the sample from the good ones, since
-good documents are odd too, in other ways. The threshold comes from all labelled rows that pass the base rules: of a grid of
-fixed size, of the cuts that lose at most the share `good_lost` of the good rows, the one with the largest share of bad rows
-caught less share of good rows lost. A document is kept if it passes the base rules and scores below the threshold.
+Statistics of every whole text are computed once and written. A forest of random trees is grown over all documents that
+pass the base rules, as the method has it: each tree isolates `subsample` documents of its own by random splits, dealt out in
+order of a hash of the id, and a document's score is 2**(-mean path length / expected path length), near 1 for anomalies. In
+the mean a tree weighs more the better its path lengths tell labelled bad documents from good ones (of each kind the
+`label_sample` of lowest hash), since good documents are odd too, in other ways. The threshold comes from all labelled rows
+that pass the base rules: of a grid of fixed size, of the cuts that lose at most the share `good_lost` of the good rows, the
+one with the largest share of bad rows caught less share of good rows lost. A document is kept if it passes the base rules
+and its score's bin is at most the threshold's.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, shared, small_batches, worker_state, written
+from .common import Memo, Scratch, documents, shared, ship_package, slices, worker_state
 
 _SPACES = re.compile(r"[\x20\x09-\x0D]")
 _SYMBOLS = "#*$%&|<>"
@@ -75,7 +76,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 
 def _statistics(batches):
-    for batch in batches:
+    for batch in slices(batches):
         rows = [statistics(t) for t in batch.column("text").to_pylist()]
         columns = zip(*rows, strict=True) if rows else [()] * len(_BASE + _MORE)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *_BASE, *_MORE])
@@ -99,8 +100,9 @@ class IsolationForest:
         rng = np.random.RandomState(seed)
         self.subsample, self.trees = min(subsample, len(x)), []
         limit = int(np.ceil(np.log2(max(2, self.subsample))))
-        for _ in range(trees if len(x) else 0):
-            rows = x[rng.choice(len(x), self.subsample, replace=False)]
+        enough = len(x) >= trees * self.subsample  # each tree has rows of its own; of fewer rows they are drawn
+        for t in range(trees if len(x) else 0):
+            rows = x[t * self.subsample : (t + 1) * self.subsample] if enough else x[rng.choice(len(x), self.subsample, replace=False)]
             feature, value, left, depth = [-1], [0.0], [0], [0.0]
             todo = [(0, rows, 0)]
             while todo:
@@ -159,20 +161,19 @@ def _scores(broadcast, kind: str):
     return run
 
 
-def threshold(histogram: list[tuple[int, int, int]], good_lost: float) -> float:
-    """Of (bin, good rows, bad rows): the upper edge of the last bin kept (see above; the highest of equal ones); 1 without rows of both kinds."""
+def threshold(histogram: list[tuple[int, int, int]], good_lost: float) -> int:
+    """Of (bin, good rows, bad rows): the last bin kept (see above; the highest of equal ones); the last of all without rows of both kinds."""
     good, bad = np.zeros(BINS), np.zeros(BINS)
     for b, g, n in histogram:
         good[b], bad[b] = g, n
     if not good.sum() or not bad.sum():
-        return 1.0
+        return BINS - 1
     lost, caught = good.sum() - np.cumsum(good), bad.sum() - np.cumsum(bad)
     worth = np.where(lost <= good_lost * good.sum(), caught * good.sum() - lost * bad.sum(), -np.inf)
-    best = np.flatnonzero(worth == worth.max())[-1]
-    return float((best + 1) / BINS)
+    return int(np.flatnonzero(worth == worth.max())[-1])
 
 
-def rule_decisions(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", *, min_words: int = 50, repeat_percent: int = 50, sample: int = 25_600, trees: int = 128, subsample: int = 256, good_lost: float = 0.025, seed: int = 2) -> DataFrame:
+def rule_decisions(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", *, min_words: int = 50, repeat_percent: int = 50, trees: int = 128, subsample: int = 256, label_sample: int = 4000, good_lost: float = 0.025, seed: int = 2) -> DataFrame:
     """One row per row of df: doc_id, the statistics, base_failed, score (of documents that pass the base rules), kept.
 
     A null or empty text has no words and fails. Labels with a null id or label are left out; of several labels of one id
@@ -180,27 +181,30 @@ def rule_decisions(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     passes them. Repeated rows are decided each by itself. The forest (bounded by its parameters) is broadcast.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     docs = documents(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    stats = docs.mapInArrow(_statistics, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _BASE + _MORE))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    stats = written(stats.withColumn("base_failed", failed), "rule-statistics")
-    passed = stats.filter("not base_failed")
-    marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
-    order = (F.xxhash64("doc_id"), "doc_id", *_BASE, *_MORE)
-    chosen = passed.orderBy(*order).limit(sample).join(marks, "doc_id", "left").orderBy(*order).select(*_BASE, *_MORE, (F.col("label") > 0).alias("good")).toArrow()
-    rows, good = features(chosen), np.array([np.nan if g is None else g for g in chosen.column("good").to_pylist()], float)
-    grown = IsolationForest(rows, trees, subsample, seed)
-    grown.weigh(rows[good == 1], rows[good == 0])
-    forest = shared(spark, grown)
-    scored = passed.mapInArrow(_scores(forest, kind), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _BASE + _MORE) + ", base_failed boolean, score double")
-    scored = written(scored, "rule-scores")
-    place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
-    rows = scored.join(marks, "doc_id").groupBy(place.alias("bin")).agg(F.count_if(F.col("label") > 0).alias("good"), F.count_if(F.col("label") <= 0).alias("bad")).collect()  # at most BINS
-    limit = threshold([(r["bin"], r["good"], r["bad"]) for r in rows], good_lost)
-    out = scored.unionByName(stats.filter("base_failed").withColumn("score", F.lit(None).cast("double")))
-    return out.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & (F.col("score") < limit)).alias("kept"), "score")
+    with Scratch(spark) as scratch:
+        stats = docs.mapInArrow(_statistics, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _BASE + _MORE))
+        failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+        stats = scratch.written(stats.withColumn("base_failed", failed), "rule-statistics")
+        passed = stats.filter("not base_failed")
+        marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+        marks = scratch.written(marks, "rule-labels")
+        order = (F.xxhash64("doc_id"), "doc_id", *_BASE, *_MORE)
+        first = lambda rows, n: features(rows.orderBy(*order).limit(n).orderBy(*order).select(*_BASE, *_MORE).toArrow())
+        grown = IsolationForest(first(passed, trees * subsample), trees, subsample, seed)
+        known = scratch.written(passed.join(marks, "doc_id").select("doc_id", *_BASE, *_MORE, (F.col("label") > 0).alias("good")), "rule-known")
+        grown.weigh(first(known.filter("good"), label_sample), first(known.filter("not good"), label_sample))
+        forest = shared(spark, grown)
+        scored = passed.mapInArrow(_scores(forest, kind), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _BASE + _MORE) + ", base_failed boolean, score double")
+        place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+        scored = scratch.written(scored.withColumn("bin", place), "rule-scores")
+        rows = scored.join(marks, "doc_id").groupBy("bin").agg(F.count_if(F.col("label") > 0).alias("good"), F.count_if(F.col("label") <= 0).alias("bad")).collect()  # at most BINS
+        limit = threshold([(r["bin"], r["good"], r["bad"]) for r in rows], good_lost)
+        out = scored.unionByName(stats.filter("base_failed"), allowMissingColumns=True)
+        out = out.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("bin") <= limit, F.lit(False))).alias("kept"), "score")
+        return scratch.result(out, "rule-decisions")
 
 
 __all__ = ["IsolationForest", "rule_decisions", "statistics", "threshold"]
