@@ -8,7 +8,7 @@ position from being tried twice. A sequence of tokens whose neighbours are all c
 yields: the first merge across a boundary would have to happen in the pair alone, too.
 
 Texts are cut before each space mark that follows another character. This is exact for a vocabulary in which no piece
-has the space mark after another character, which is checked; else a text is one segment. Segments are cached.
+has the space mark after another character, which is checked; else a text is one segment. Short segments are cached.
 Merging order: highest score, then leftmost. Characters that the vocabulary lacks become bytes.
 """
 
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, documents, shared, small_batches, worker_state
+from .common import Memo, documents, shared, ship_package, slices, worker_state
 
 SPACE = "▁"
 
@@ -59,7 +59,7 @@ class PieceCodec:
         self.number = [str(i) for i in range(len(model["pieces"]))]
         self.separable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.pairs = Memo(lambda ab: self.merged(ab[0] + ab[1]) == list(ab), 200_000)
-        self.segments = Memo(self._segment, 1_000_000)  # about 200 MB when full
+        self.segments = Memo(self._segment, 1_000_000, longest=32)  # about 200 MB when full; longer segments aren't kept
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the best-scored pair of neighbours, leftmost first, until no pair forms a piece."""
@@ -96,7 +96,7 @@ class PieceCodec:
         for own in lengths:  # found in order of their ends, so of their lengths; single characters always match
             if not own or own[0] != 1:
                 own.insert(0, 1)
-        open_at = (1 << (n + 1)) - 1  # the bitfield: positions not yet known to fail
+        failed = bytearray((n >> 3) + 1)  # the bitfield: positions from which no way led to the end
         out: list[str] = []
         at, choice = 0, len(lengths[0]) - 1 if n else -1
         chosen: list[int] = []
@@ -104,7 +104,7 @@ class PieceCodec:
             while choice >= 0:
                 size = lengths[at][choice]
                 token = text[at : at + size]
-                if open_at >> (at + size) & 1 and (not out or self.pairs[out[-1], token]):
+                if not failed[(at + size) >> 3] >> ((at + size) & 7) & 1 and (not out or self.pairs[out[-1], token]):
                     break
                 choice -= 1
             if choice >= 0:
@@ -115,7 +115,7 @@ class PieceCodec:
             else:
                 if not out:
                     raise AssertionError("no compatible sequence")  # merging always has one
-                open_at &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 at -= len(out.pop())
                 choice = chosen.pop() - 1
         return out
@@ -185,7 +185,7 @@ def _codec(broadcast) -> PieceCodec:
 def _round_trip(broadcast, keep: bool):
     def run(batches):
         codec = _codec(broadcast)
-        for batch in batches:
+        for batch in slices(batches):
             ids, n, id_digest, text_digest, texts = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = codec.encode(text)
@@ -214,7 +214,7 @@ def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", te
     broadcast.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     docs = documents(df, id_col, text_col)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs
     return docs.mapInArrow(_round_trip(shared(spark, read_model(model_path)), outputs), schema)

@@ -16,7 +16,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, shared, small_batches, worker_state
+from .common import documents, shared, ship_package, slices, worker_state
 
 SPACE = "▁"
 
@@ -86,7 +86,7 @@ def _count(broadcast):
     def run(batches):
         key, scores = broadcast.value
         trie = worker_state(("trie", key), lambda: SharedTrie(scores))
-        for batch in batches:
+        for batch in slices(batches):
             words = [t.encode().split() if t else [] for t in batch.column("text").to_pylist()]
             for w in sorted(set().union(*words)):
                 trie.counts(w)
@@ -107,7 +107,7 @@ def token_counts(df: DataFrame, scores: dict[str, float], id_col: str = "doc_id"
     A null, empty or all-space text has 0 of each. Repeated rows count each. scores, bounded by a vocabulary, is broadcast.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     docs = documents(df, id_col, text_col)
     key = hashlib.sha256(repr(sorted(scores.items())).encode()).hexdigest()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pretokens long, n_tokens long, score double"
