@@ -1,41 +1,89 @@
 """WARC derivatives: responses become linked metadata and plain-text conversion records (WARC 1.1).
 
 Each response gives two records that refer to it by WARC-Refers-To: a conversion whose block is the page's text, and a
-metadata record (application/warc-fields) that keeps the source's HTTP headers and digests and names the conversion.
-Record ids are derived from the response's id, so rebuilding gives the same records. All work is per record: no shuffle.
+metadata record (application/warc-fields) that keeps the source record's headers, its HTTP headers and digests and names the
+conversion. Record ids are derived from the response's id, so rebuilding gives the same records. `read_records` takes the
+records of WARC files (plain or compressed record by record). `write_records` stores records as a table of gzip members, so it
+lives in any store Spark writes to: members joined are a WARC file. All work is per record or per file: no shuffle.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import ship_package, slices
 
 # Elements whose content isn't text, and elements that end a line.
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_RAW = ("script", "style", "noscript", "template")
+_LINES = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul title".split())
+# What may stand in a head; any other element ends a head whose end tag was left out.
+_HEAD = frozenset("base basefont bgsound link meta title script style noscript template head html".split())
+#: A comment, a declaration, or a tag with its quoted attributes; a bare < is none.
+_MARK = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*)>", re.S)
+_LINK = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_LANG = re.compile(r"""(?:^|\s)lang\s*=\s*["']?([A-Za-z-]+)""", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
 
 
+def page_parts(page: str | None) -> tuple[str, str | None, str | None, list[str]]:
+    """Text, title, language and links of an HTML page, in one pass over its tags.
+
+    Scripts, styles, heads and comments are dropped, up to the end of the page if they aren't closed; a head without an end
+    tag ends at the first element, or text, that can't stand in one. Block elements stand on lines of their own. A < that
+    begins no tag is text. Null is an empty page.
+    """
+    out: list[str] = []
+    title, lang, links, inside, at, page = None, None, [], False, 0, page or ""
+    lower = page.lower()
+    if len(lower) != len(page):  # a capital whose small form is longer: fold ASCII alone
+        lower = page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    for m in iter(lambda: _MARK.search(page, at), None):
+        text = page[at : m.start()]
+        if inside and text.strip():
+            inside = False
+        if not inside:
+            out.append(text)
+        at = m.end()
+        if not m[2]:
+            out.append("" if inside else " ")
+            continue
+        name, closing = m[2].lower(), bool(m[1])
+        if inside and (name not in _HEAD or closing and name == "head"):
+            inside = False
+        if name in _RAW and not closing or name == "title" and not closing and title is None:
+            end = lower.find("</" + name, at)
+            body = page[at : end if end >= 0 else len(page)]
+            if name == "title":
+                title = body
+            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+            out.append(" ")
+        elif name == "head":
+            inside = not closing
+        elif name == "html":
+            lang = lang or (_LANG.search(m[3]) or [None, None])[1]
+        elif name == "a" and not closing and (link := _LINK.search(m[3])):
+            links.append(next(x for x in link.groups() if x is not None))
+        if name in _LINES:
+            out.append("\n")
+    if not inside or page[at:].strip():
+        out.append(page[at:])
+    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape("".join(out)).split("\n"))
+    return "\n".join(line for line in lines if line), title, lang, links
+
+
 def plain_text(page: str | None) -> str:
-    """The text of an HTML page: scripts, styles, head and comments dropped, block elements on lines of their own."""
-    if not page:
-        return ""
-    text = html.unescape(_TAG.sub("", _BREAKS.sub("\n", _DROPPED.sub(" ", page))))
-    lines = (_BLANKS.sub(" ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return page_parts(page)[0]
 
 
 def sha1_label(data: bytes) -> str:
@@ -52,84 +100,204 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def member(record: bytes) -> bytes:
+    """A record as a gzip member, the same on every call: members joined in any order are a .warc.gz file."""
+    return gzip.compress(record, 6, mtime=0)
+
+
 def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Headers and blocks of the records of a WARC file."""
+    """Headers and blocks of the records of a WARC file; a repeated header's values are joined by newlines.
+
+    A file cut short gives its whole records; a record without Content-Length ends it.
+    """
     out, at = [], 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        headers = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        size = int(headers["Content-Length"])
-        out.append((headers, data[end + 4 : end + 4 + size]))
-        at = end + 4 + size + 4
+    while (end := data.find(b"\r\n\r\n", at)) >= 0:
+        headers: dict[str, str] = {}
+        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            headers[name] = f"{headers[name]}\n{value.strip()}" if name in headers else value.strip()
+        size = headers.get("Content-Length", "")
+        if not size.isdigit() or end + 4 + int(size) > len(data):
+            break
+        out.append((headers, data[end + 4 : end + 4 + int(size)]))
+        at = end + 4 + int(size)
+        while data[at : at + 2] == b"\r\n":
+            at += 2
     return out
 
 
+def unzipped(data: bytes) -> bytes:
+    """The members of a gzip file, joined; other data as it is. A member cut short gives what it holds."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        out.append(one.decompress(data))
+        data = one.unused_data
+    return b"".join(out) if out else data
+
+
 def _clean(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value).strip()
 
 
-def derive(response_id: str, uri: str, date: str, http_headers: str, payload: str) -> list[dict]:
-    """The conversion and the metadata record of one response."""
+def derive(response_id: str, uri: str, date: str, http_headers: str, payload: str, source_headers: dict[str, str] | None = None) -> list[dict]:
+    """The conversion and the metadata record of one response; digests that its own record states are kept as they stand."""
     body = payload.encode("utf-8", "surrogatepass")
-    text = plain_text(payload)
-    block = text.encode("utf-8", "surrogatepass")
-    source = {"payload": sha1_label(body), "block": sha1_label(http_headers.encode() + b"\r\n\r\n" + body)}
+    text, title, lang, links = page_parts(payload)
+    links = [_clean(html.unescape(x)) for x in links]
+    block, own = text.encode("utf-8", "surrogatepass"), source_headers or {}
+    source = {"payload": own.get("WARC-Payload-Digest") or sha1_label(body), "block": own.get("WARC-Block-Digest") or sha1_label(http_headers.encode() + b"\r\n\r\n" + body)}
     conversion_id, metadata_id = record_id("conversion", response_id), record_id("metadata", response_id)
-    title, lang = _TITLE.search(payload), _LANG.search(payload)
-    links = [_clean(html.unescape(next(x for x in m.groups() if x is not None))) for m in _LINK.finditer(payload)]
     fields = [("conversion-record", conversion_id), ("source-payload-digest", source["payload"]), ("source-block-digest", source["block"]), ("source-content-length", str(len(body)))]
-    fields += [("title", _clean(html.unescape(title[1])))] if title else []
-    fields += [("language", lang[1].lower())] if lang else []
+    fields += [("title", _clean(html.unescape(title)))] if title is not None else []
+    fields += [("language", lang.lower())] if lang else []
+    fields += [("source-record-header", _clean(f"{k}: {v}")) for k, v in own.items()]
     fields += [("source-header", _clean(line)) for line in http_headers.split("\r\n") if line.strip()] + [("outlink", x) for x in links]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
     out = []
-    for kind, own, content, mime in (("conversion", conversion_id, block, "text/plain; charset=utf-8"), ("metadata", metadata_id, meta, "application/warc-fields")):
-        headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", _clean(uri)), ("WARC-Refers-To", response_id)]
+    for kind, ident, content, mime in (("conversion", conversion_id, block, "text/plain; charset=utf-8"), ("metadata", metadata_id, meta, "application/warc-fields")):
+        headers = [("WARC-Type", kind), ("WARC-Record-ID", ident), ("WARC-Date", date), ("WARC-Target-URI", _clean(uri)), ("WARC-Refers-To", response_id)]
         headers += [("WARC-Refers-To-Payload-Digest", source["payload"])] * (kind == "conversion")
         headers += [("WARC-Block-Digest", sha1_label(content)), ("Content-Type", mime), ("Content-Length", str(len(content)))]
-        out.append({"kind": kind, "record_id": own, "refers_to": response_id, "headers": headers, "block": content, "digest": sha1_label(content), "source_digest": source["payload"], "links": len(links)})
+        out.append({"kind": kind, "record_id": ident, "refers_to": response_id, "headers": headers, "block": content, "digest": sha1_label(content), "source_digest": source["payload"], "links": len(links)})
     return out
 
 
+_NAMES = ["key", "kind", "record_id", "refers_to", "block_digest", "source_digest", "n_bytes", "n_links"]
+
+
 def _derive(keep: bool):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys, rows = [], []
-            for k, (rid, uri, date, head, payload) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("response_id", "uri", "date", "http_headers", "payload")), strict=True)):
-                found = derive(rid, uri or "", date or "", head or "", payload or "")
+            for k, (rid, uri, date, head, payload, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("response_id", "uri", "date", "http_headers", "payload", "record_headers")), strict=True)):
+                found = derive(rid, uri or "", date or "", head or "", payload or "", dict(own or ()))
                 keys += [k] * len(found)
                 rows += found
             column = lambda n, kind: pa.array([r[n] for r in rows], kind)
             out = [batch.column("key").take(pa.array(keys, pa.int64()))] + [column(n, pa.string()) for n in ("kind", "record_id", "refers_to", "digest", "source_digest")] + [pa.array([len(r["block"]) for r in rows], pa.int64()), column("links", pa.int64())]
-            names = ["key", "kind", "record_id", "refers_to", "block_digest", "source_digest", "n_bytes", "n_links"]
             if keep:
-                out.append(pa.array([record_bytes(r["headers"], r["block"]) for r in rows], pa.binary()))
-                names.append("record")
-            yield pa.RecordBatch.from_arrays(out, names)
+                out.append(pa.array([member(record_bytes(r["headers"], r["block"])) for r in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, _NAMES + ["record"] * keep)
 
     return run
 
 
+# Sources
+
+
+RESPONSE = "response_id string, uri string, date string, http_headers string, payload string, record_headers map<string,string>"
+
+
+def response_of(headers: dict[str, str], block: bytes) -> tuple | None:
+    """A response record as a row of RESPONSE; None for other records. Bodies that aren't UTF-8 are read with their declared, else replaced, characters."""
+    if headers.get("WARC-Type") != "response" or "WARC-Record-ID" not in headers:
+        return None
+    head, found, body = block.partition(b"\r\n\r\n")
+    head = head.decode("latin-1") if found else ""
+    body = body if found else block
+    charset = re.search(r"(?im)^content-type:[^\r\n]*charset=[\"']?([\w.-]+)", head)
+    try:
+        text = body.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    return headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), headers.get("WARC-Date"), head, text, headers
+
+
+def _responses_of_files(batches) -> Iterator[pa.RecordBatch]:
+    names = ["key", "response_id", "uri", "date", "http_headers", "payload"]
+    for batch in slices(batches, 1):
+        key, data = batch.column("key")[0], batch.column("content")[0].as_py()
+        rows = [r for r in (response_of(*x) for x in parse_records(unzipped(data or b""))) if r]
+        for at in range(0, len(rows), 256):
+            part = rows[at : at + 256]
+            columns = [pa.array([key.as_py()] * len(part), key.type), *(pa.array([r[c] for r in part], pa.string()) for c in range(5)), pa.array([list(r[5].items()) for r in part], pa.map_(pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "record_headers"])
+
+
+def response_rows(files: DataFrame) -> DataFrame:
+    """The response records of WARC data in rows (key, content): key and RESPONSE. Null content has none."""
+    ship_package(files.sparkSession)
+    kind = files.schema["key"].dataType.simpleString()
+    return files.select("key", "content").mapInArrow(_responses_of_files, f"key {kind}, {RESPONSE}")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of the WARC files at a path that Spark reads; key is the file's path. A file is read whole, in one task."""
+    return response_rows(spark.read.format("binaryFile").load(path).select(F.col("path").alias("key"), "content"))
+
+
+def _written_response(batches) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        out = []
+        for rid, uri, date, head, payload in zip(*(batch.column(c).to_pylist() for c in ("response_id", "uri", "date", "http_headers", "payload")), strict=True):
+            body = (payload or "").encode("utf-8", "surrogatepass")
+            block = (head or "").encode() + b"\r\n\r\n" + body
+            headers = [("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Date", date or ""), ("WARC-Target-URI", _clean(uri or "")), ("WARC-Payload-Digest", sha1_label(body)), ("WARC-Block-Digest", sha1_label(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+            out.append(record_bytes(headers, block))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(member, out), pa.binary())], ["key", "content"])
+
+
 def responses(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Response columns (key, response_id, uri, date, http_headers, payload) of a table of fetched pages without records.
+    """Rows (key, content) of a table of fetched pages: each page as the gzip member of a WARC response record, for a crawl that kept no records.
 
-    The id derives from key, URL and page by SHA-1, so equal rows are one response.
+    The id derives from key, URL and page by SHA-1, so equal rows are one response. The date, which such a table lacks, is a
+    parameter, and the HTTP header states the status, the type and the length alone.
     """
+    ship_package(pages.sparkSession)
     digest = F.sha1(F.concat_ws("\n", F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))))
     ident = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digest, "^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "$1-$2-5$3-8$4-$5"), F.lit(">"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.coalesce(F.octet_length(html_col), F.lit(0)).cast("string"))
-    return pages.select(F.col(key_col).alias("key"), ident.alias("response_id"), F.col(url_col).alias("uri"), F.lit(date).alias("date"), head.alias("http_headers"), F.col(html_col).alias("payload"))
+    rows = pages.select(F.col(key_col).alias("key"), ident.alias("response_id"), F.col(url_col).alias("uri"), F.lit(date).alias("date"), head.alias("http_headers"), F.col(html_col).alias("payload"))
+    return rows.mapInArrow(_written_response, f"key {rows.schema['key'].dataType.simpleString()}, content binary")
+
+
+# Derivatives and their files
 
 
 def derivatives(source: DataFrame, *, records: bool = True) -> DataFrame:
-    """Two rows for each response: key, kind, record_id, refers_to, block_digest, source_digest, n_bytes, n_links and, with
-    `records`, record (its bytes in a WARC file).
+    """Two rows for each response (key and RESPONSE): key, kind, record_id, refers_to, block_digest, source_digest, n_bytes,
+    n_links and, with `records`, record (its gzip member of a WARC file).
 
     A null payload, header, date or URI counts as empty; the conversion of an empty page has an empty block. Responses
     without an id are left out. Repeated rows give repeated records. The key may be null.
     """
-    small_batches(source.sparkSession)
-    rows = source.select("key", "response_id", "uri", "date", "http_headers", "payload").filter("response_id is not null")
+    ship_package(source.sparkSession)
+    rows = source.select("key", "response_id", "uri", "date", "http_headers", "payload", "record_headers").filter("response_id is not null")
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, kind string, record_id string, refers_to string, block_digest string, source_digest string, n_bytes long, n_links long" + ", record binary" * records
     return rows.mapInArrow(_derive(records), schema)
+
+
+def write_records(rows: DataFrame, path: str, column: str = "record") -> None:
+    """Stores the members of a column, with their key, as a table (key, content) at `path`, which must be new. Null ones are left out."""
+    rows.select("key", F.col(column).alias("content")).filter("content is not null").write.option("compression", "uncompressed").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """What write_records stored: key, content."""
+    return spark.read.parquet(path)
+
+
+def _parsed(batches) -> Iterator[pa.RecordBatch]:
+    field = lambda b, name: next((x[len(name) + 2 :] for x in b.decode("utf-8", "replace").split("\r\n") if x.startswith(name + ": ")), None)
+    for batch in slices(batches):
+        at, rows = [], []
+        for k, data in enumerate(batch.column("content").to_pylist()):
+            for h, b in parse_records(unzipped(data)):
+                if h.get("WARC-Type") in ("conversion", "metadata"):
+                    at.append(k)
+                    rows.append((h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Block-Digest"], h.get("WARC-Refers-To-Payload-Digest") or field(b, "source-payload-digest"), len(b), b.count(b"\r\noutlink: ") if h["WARC-Type"] == "metadata" else 0))
+        columns = [pa.array([r[c] for r in rows], pa.string() if c < 5 else pa.int64()) for c in range(7)]
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), *columns], _NAMES)
+
+
+def read_derivatives(files: DataFrame) -> DataFrame:
+    """The conversion and metadata records of WARC data in rows (key, content): key, kind, record_id, refers_to, block_digest,
+    source_digest, n_bytes and n_links (0 for conversions), all from the stored bytes."""
+    ship_package(files.sparkSession)
+    kind = files.schema["key"].dataType.simpleString()
+    return files.select("key", "content").mapInArrow(_parsed, f"key {kind}, kind string, record_id string, refers_to string, block_digest string, source_digest string, n_bytes long, n_links long")
+
+
+__all__ = ["derivatives", "derive", "member", "parse_records", "plain_text", "read_derivatives", "read_records", "record_bytes", "response_rows", "responses", "stored", "write_records"]
