@@ -6,8 +6,8 @@ space at each end, so a match always covers whole words. Match ends are mapped t
 the original text. Words are bytes of UTF-8 decoded as Latin-1, one character for each byte, for the automaton.
 
 The automaton is broadcast as its patterns. A test set of more than `block_windows` distinct windows is worked through in
-blocks, each a narrow pass that adds its hits to the documents' rows, so memory doesn't grow with the test set; only the
-windows of one block at a time are sent.
+blocks, each a job of its own whose rows are written before the next one begins, so memory doesn't grow with the test set: the
+driver and a worker hold one block's windows at a time.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import documents, shared, small_batches, worker_state, written
+from .common import Scratch, documents, shared, ship_package, slices, worker_state
 
 #: Lower-cases A-Z and turns every separator into a space; bytes from 0x80 on belong to words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -91,11 +92,16 @@ def original_offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(spans[a][0], spans[b][1]) for a, b in ranges]
 
 
-def _scan(broadcast, id_type):
+def _scan(broadcast, id_type, keep_text: bool):
     def run(batches):
         key, windows = broadcast.value
-        automaton = worker_state(("automaton", key), lambda: Automaton(windows))
-        for batch in batches:
+        kept = worker_state("automaton", dict)
+        if key not in kept:
+            kept.clear()  # one block's at a time
+            kept[key] = Automaton(windows)
+        automaton = kept[key]
+        pair = lambda a, b: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))
+        for batch in slices(batches):
             n, spans, chars, items = [], [], [], []
             before = (batch.column(c).to_pylist() for c in ("words_hit", "items"))
             for text, hit, had in zip(batch.column("text").to_pylist(), *before, strict=True):
@@ -106,37 +112,39 @@ def _scan(broadcast, id_type):
                 spans.append([{"first": a, "last": b} for a, b in ranges])
                 chars.append([{"start": a, "end": b} for a, b in original_offsets(text or "", ranges)])
                 items.append(sorted(found | set(had)))
-            pair = lambda a, b: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, pair("first", "last")), pa.array(chars, pair("start", "end")), pa.array(items, pa.list_(id_type))], ["doc_id", "text", "n_words", "words_hit", "spans", "items"])
+            columns = [batch.column("doc_id"), *[batch.column("text")] * keep_text, pa.array(n, pa.int64()), pa.array(spans, pair("first", "last")), pa.array(chars, pair("start", "end")), pa.array(items, pa.list_(id_type))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *["text"] * keep_text, "n_words", "words_hit", "spans", "items"])
 
     return run
 
 
 def scan_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, window: int = 10, block_windows: int = 500_000) -> DataFrame:
-    """One row per row of df: doc_id, text, n_words, words_hit (ranges of word numbers), spans (their character offsets in
-    the original text), items (sorted distinct ids of the items with occurring windows).
+    """One row per row of df: doc_id, n_words, words_hit (ranges of word numbers), spans (their character offsets in the
+    original text), items (sorted distinct ids of the items with occurring windows).
 
     Null and empty texts, of documents or items, have no words and no windows. Items with a null id are left out. Items
     that repeat a window, or an id, count once each. An empty benchmark hits nothing.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     spark = df.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     tests = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     kind = tests.schema["item_id"].dataType
-    windows = tests.mapInArrow(_windows(window), f"item_id {kind.simpleString()}, w binary").groupBy("w").agg(F.collect_set("item_id").alias("items"))
-    windows = written(windows.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(2**31))), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
     pair = "array<struct<{}: bigint, {}: bigint>>".format
+    schema = f"n_words long, words_hit {pair('first', 'last')}, spans {pair('start', 'end')}, items array<{kind.simpleString()}>"
     id_type = df.select(id_col).schema[0].dataType.simpleString()
-    schema = f"doc_id {id_type}, text string, n_words long, words_hit {pair('first', 'last')}, spans {pair('start', 'end')}, items array<{kind.simpleString()}>"
-    out = documents(df, id_col, text_col).withColumns({"words_hit": F.lit(None).cast(pair("first", "last")), "items": F.array().cast(f"array<{kind.simpleString()}>")})
-    for k in range(blocks):
-        rows = [(bytes(r["w"]), r["items"]) for r in windows.filter(F.col("part") % blocks == k).select("w", "items").collect()]  # about block_windows at most
-        key = hashlib.sha256(repr(sorted(rows)).encode()).hexdigest()
-        out = out.mapInArrow(_scan(shared(spark, (key, rows)), to_arrow_type(kind)), schema)
-    return out
+    with Scratch(spark) as scratch:
+        windows = tests.mapInArrow(_windows(window), f"item_id {kind.simpleString()}, w binary").groupBy("w").agg(F.collect_set("item_id").alias("items"))
+        windows = scratch.written(windows.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(2**31))), "windows")
+        blocks = max(1, -(-windows.count() // block_windows))
+        out = documents(df, id_col, text_col).withColumns({"words_hit": F.lit(None).cast(pair("first", "last")), "items": F.array().cast(f"array<{kind.simpleString()}>")})
+        for k in range(blocks):
+            rows = [(bytes(r["w"]), r["items"]) for r in windows.filter(F.col("part") % blocks == k).select("w", "items").collect()]  # about block_windows at most
+            key = hashlib.sha256(repr(sorted(rows)).encode()).hexdigest()
+            more = k + 1 < blocks
+            out = out.mapInArrow(_scan(shared(spark, (key, rows)), to_arrow_type(kind), more), f"doc_id {id_type}, " + "text string, " * more + schema)
+            if blocks > 1:
+                out = scratch.written(out, "hits") if more else scratch.result(out, "hits")
+        return out
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A written set of ids is a Parquet table of blocks, so it lives in any store that Spark writes to. Block rows hold whole
 documents in ascending id order: (shard, block, n_ids, offset, doc_ids, lengths, checkpoints, payload); one row with
-shard -1 holds the code lengths. Shards ascend with the ids; `offset` counts the ids of earlier blocks of the shard.
+shard -1 holds the code lengths. Files are in the order of the ids, too: a shard is the range of ids of one part file, whose
+number ascends with it; `offset` counts the ids of earlier blocks of the shard.
 
 payload: big-endian bit string; each document begins at a byte. checkpoints: unsigned 32-bit bit offsets, for each
 document those of its ids 0, interval, 2*interval, ...; decoding runs all stretches between checkpoints at once, one
@@ -15,6 +16,7 @@ vocabulary.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, keyed_join, partitions, shared, small_batches, worker_state, written
+from .common import Memo, Scratch, documents, keyed_join, partitions, shared, ship_package, slices, worker_state
 
 INTERVAL = 256
 BLOCK_IDS = 1 << 18
@@ -165,7 +168,7 @@ class _WordIds:
         self.marks = re.compile("|".join(map(re.escape, names))) if names else None
         self.letters_only = self.plain and not any(n.isalpha() for n in names)
         self.letters = _byte_letters()
-        self.words, self.parts = Memo(self._word, 900_000), Memo(self._part, 700_000)  # about 270 MB when full
+        self.words, self.parts = Memo(self._word, 900_000, 32), Memo(self._part, 700_000, 32)  # about 270 MB when full; longer ones aren't kept
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -194,7 +197,7 @@ def _encode_texts(broadcast, word_cut: bool, end_id: int):
         key, source = broadcast.value
         encode = worker_state(("word ids", key, word_cut), lambda: _WordIds(source, word_cut))
         end = np.array([end_id], encode.kind).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([i + end for i in encode(batch.column("text").to_pylist())], pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -216,48 +219,33 @@ def _coder(broadcast) -> Coder:
     return worker_state(("huffman", key), lambda: Coder(np.frombuffer(lengths, np.uint8)))
 
 
-def _code(broadcast, kind):
-    """Each document's bit string, by itself."""
-
-    def run(batches):
-        coder = _coder(broadcast)
-        for batch in batches:
-            blobs = batch.column("ids").to_pylist()
-            counts = np.array([len(b) // np.dtype(kind).itemsize for b in blobs], np.int64)
-            if len(blobs):
-                payload, bounds, marks = coder.encode(np.frombuffer(b"".join(blobs), kind).astype(np.int64), counts)
-                parts = [payload[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(counts, pa.int32()), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(parts, pa.binary())], ["doc_id", "shard", "n", "marks", "payload"])
-
-    return run
+_BLOCK_ROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("offset", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
 
 
-def _blocks(block_ids: int):
-    """Rows in order of shard and id to blocks of whole documents."""
+def _blocks(broadcast, kind, block_ids: int):
+    """A partition's rows, in order of id, to blocks of coded documents; the shard is the partition's number."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shard, block, offset, docs = None, 0, 0, []
+        coder, width = _coder(broadcast), np.dtype(kind).itemsize
+        shard, block, offset, held, docs, blobs = TaskContext.get().partitionId(), 0, 0, 0, [], []
 
         def full():
-            nonlocal block, offset, docs
-            n, start, marks = sum(d[1] for d in docs), 0, []
-            for d in docs:
-                marks.append(np.frombuffer(d[2], np.uint32) + np.uint32(start * 8))
-                start += len(d[3])
-            row = {"shard": [shard], "block": [block], "n_ids": [n], "offset": [offset], "doc_ids": [[d[0] for d in docs]], "lengths": [[d[1] for d in docs]], "checkpoints": [np.concatenate(marks).tobytes()], "payload": [b"".join(d[3] for d in docs)]}
-            block, offset, docs = block + 1, offset + n, []
-            return pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("offset", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("checkpoints", pa.binary()), ("payload", pa.binary())]))
-
-        held = 0
-        for batch in batches:
-            for s, *doc in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "marks", "payload")), strict=True):
-                if docs and (s != shard or held + doc[1] > block_ids):
+            nonlocal block, offset, held, docs, blobs
+            counts = np.array([len(b) // width for b in blobs], np.int64)
+            payload, bounds, marks = coder.encode(np.frombuffer(b"".join(blobs), kind).astype(np.int64), counts)
+            marks = np.concatenate([m + np.uint32(8 * at) for m, at in zip(marks, bounds[:-1].tolist(), strict=True)])
+            row = {"shard": [shard], "block": [block], "n_ids": [held], "offset": [offset], "doc_ids": [docs], "lengths": [counts], "checkpoints": [marks.tobytes()], "payload": [payload.tobytes()]}
+            block, offset, held, docs, blobs = block + 1, offset + held, 0, [], []
+            return pa.RecordBatch.from_pydict(row, _BLOCK_ROW)
+
+        for batch in slices(batches):
+            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                n = len(blob) // width
+                if docs and held + n > block_ids:
                     yield full()
-                    held = 0
-                if s != shard:
-                    shard, block, offset = s, 0, 0
                 docs.append(doc)
-                held += doc[1]
+                blobs.append(blob)
+                held += n
         if docs:
             yield full()
 
@@ -267,32 +255,29 @@ def _blocks(block_ids: int):
 def write_ids(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, word_cut: bool = True, limit: int = 16, block_ids: int = BLOCK_IDS) -> None:
     """Encodes the texts, appends end_id to each, and writes the blocks and the code table to `path` (which must be new).
 
-    A null or empty text is the end id alone. Ids ascend, null ids first; documents of one id stand together. The code
-    lengths of an empty table are all 0, and it has no blocks. word_cut needs a tokenizer that drops white space.
+    A null or empty text is the end id alone. Ids ascend, null ids first; documents of one id stand together, in order
+    of a hash of their ids, by which a hot id is split over parts. The code lengths of an empty table are all 0, and it has no blocks. word_cut needs a
+    tokenizer that drops white space.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    source = open(tokenizer_path, encoding="utf-8").read()
     from tokenizers import Tokenizer
 
-    size = max(end_id + 1, Tokenizer.from_str(source).get_vocab_size())
-    kind = np.uint16 if Tokenizer.from_str(source).get_vocab_size() <= 1 << 16 else np.uint32
+    spark = df.sparkSession
+    ship_package(spark)
+    source = open(tokenizer_path, encoding="utf-8").read()
+    vocabulary = Tokenizer.from_str(source).get_vocab_size()
+    size, kind = max(end_id + 1, vocabulary), np.uint16 if vocabulary <= 1 << 16 else np.uint32
     docs = documents(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = shared(spark, (zlib.crc32(source.encode()), source))
-    ids = written(docs.mapInArrow(_encode_texts(texts, word_cut, end_id), "doc_id long, ids binary"), "ids")
-    counts = np.zeros(size, np.int64)
-    for row in ids.mapInArrow(_count_ids(kind, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
-        counts[row["id"]] = row["n"]
-    lengths = code_lengths(counts, max(limit, int(np.count_nonzero(counts)).bit_length()))
-    code = shared(spark, (zlib.crc32(lengths.tobytes()), lengths.tobytes()))
-    parts = partitions(spark)
-    shards = 4 * parts
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    coded = ids.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(place)).mapInArrow(_code(code, kind), "doc_id long, shard int, n int, marks binary, payload binary")
-    ordered = coded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "payload")
-    ordered.mapInArrow(_blocks(block_ids), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    texts = shared(spark, (hashlib.sha256(source.encode()).hexdigest(), source))
+    with Scratch(spark) as scratch:
+        ids = scratch.written(docs.mapInArrow(_encode_texts(texts, word_cut, end_id), "doc_id long, ids binary"), "ids")
+        counts = np.zeros(size, np.int64)
+        for row in ids.mapInArrow(_count_ids(kind, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+            counts[row["id"]] = row["n"]
+        lengths = code_lengths(counts, max(limit, int(np.count_nonzero(counts)).bit_length()))
+        code = shared(spark, (hashlib.sha256(lengths.tobytes()).hexdigest(), lengths.tobytes()))
+        order = (F.asc_nulls_first("doc_id"), F.xxhash64("ids"))
+        ordered = ids.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "ids")
+        ordered.mapInArrow(_blocks(code, kind, block_ids), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
     table = [(-1, 0, 0, 0, [], [], b"", lengths.tobytes())]
     spark.createDataFrame(table, BLOCK_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
@@ -303,7 +288,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_
 def _read(broadcast, keep: bool):
     def run(batches):
         coder = _coder(broadcast)
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 lengths = np.array(row["lengths"], np.int64)
                 stretches = -(-lengths // INTERVAL)
@@ -321,13 +306,13 @@ def _read(broadcast, keep: bool):
 
 def read_ids(spark, path: str, *, outputs: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, with `outputs`, ids of each document."""
-    small_batches(spark, 8)
+    ship_package(spark)
     rows = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     lengths = bytes(rows.filter("shard = -1").select("payload").first()[0])
     blocks = rows.filter("shard >= 0")
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each shard: four for each partition
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each part file
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     starts = shards.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
     placed = keyed_join(blocks, starts, "shard", "inner").withColumn("first", F.col("before") + F.col("offset"))
-    code = shared(spark, (zlib.crc32(lengths), lengths))
+    code = shared(spark, (hashlib.sha256(lengths).hexdigest(), lengths))
     return placed.select("doc_ids", "lengths", "checkpoints", "payload", "first").mapInArrow(_read(code, outputs), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * outputs)

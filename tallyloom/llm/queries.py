@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .aho_decontaminate import contamination
 from .classifier_chain import toxicity
-from .common import scratch_dir
+from .common import Scratch
 from .huffman_ids import read_ids, write_ids
 from .interpolated_lm import interpolated_scores
 from .isolation_rules import rule_decisions
@@ -17,7 +15,7 @@ from .minhash_tensor import near_duplicates
 from .piece_codec import encode_and_decode
 from .secret_forest import secret_findings
 from .trie_counts import rank_scores, token_counts
-from .warc_derivatives import derivatives, responses
+from .warc_derivatives import derivatives, read_derivatives, response_rows, responses, stored, write_records
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,13 +37,13 @@ def op2_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categories() -> dict:
-    """Toxic, and toxic in a text of low quality: in chain order. The labels' table has no finer categories."""
-    return {"toxic": F.col("toxic") > 0, "toxic_junk": (F.col("toxic") > 0) & (F.col("quality") <= 0)}
+    """In chain order: of low quality; toxic, which sees the first's probability; both, which sees the two. The labels' table has no finer categories."""
+    toxic, low = F.col("toxic") > 0, F.col("quality") <= 0
+    return {"low_quality": low, "toxic": toxic, "toxic_junk": toxic & low}
 
 
 def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), categories())
-    return found.withColumn("toxic_junk", F.col("toxic") & F.col("toxic_junk"))
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), categories(), stratum="toxic")
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +51,19 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derivatives(responses(_table(spark, sf_dir, "pages")), records=False).withColumnRenamed("key", "page_id")
+    """Pages as stored WARC responses, their derivatives as stored records, and what those hold."""
+    with Scratch(spark) as scratch:
+        source, made = scratch.path("responses"), scratch.path("derivatives")
+        write_records(responses(_table(spark, sf_dir, "pages")), source, "content")
+        write_records(derivatives(response_rows(stored(spark, source))), made)
+        return scratch.result(read_derivatives(stored(spark, made)).withColumnRenamed("key", "page_id"), "warc-rows")
 
 
 def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/id-blocks-{uuid.uuid4().hex}"
-    write_ids(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
-    return read_ids(spark, path, outputs=False)
+    with Scratch(spark) as scratch:
+        path = scratch.path("id-blocks")
+        write_ids(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+        return scratch.result(read_ids(spark, path, outputs=False), "id-rows")
 
 
 def op7_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
