@@ -6,13 +6,11 @@ stage's result is written as Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.aho_decontaminate import contamination
-from tallyloom.llm.common import keyed_join, scratch_dir, written
+from tallyloom.llm.common import Scratch, keyed_join, kept
 from tallyloom.llm.isolation_rules import rule_decisions
 from tallyloom.llm.minhash_tensor import near_duplicates
 from tallyloom.llm.piece_codec import encode_and_decode
@@ -22,7 +20,7 @@ from tallyloom.llm.secret_forest import redact
 
 def _without(docs: DataFrame, decisions: DataFrame, rejected: str, name: str) -> DataFrame:
     """docs without the ids for which the condition holds; broadcast only if those are few."""
-    gone = written(decisions.filter(rejected).select("doc_id").filter("doc_id is not null").distinct(), name)
+    gone = kept(decisions.filter(rejected).select("doc_id").filter("doc_id is not null").distinct(), name)
     return keyed_join(docs, gone, "doc_id", "left_anti")
 
 
@@ -62,10 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"), "snappy")
+        return scratch.result(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
