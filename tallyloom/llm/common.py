@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -88,6 +89,11 @@ class Scratch:
     def result(self, df: DataFrame, name: str) -> DataFrame:
         return kept(df, name)
 
+    def settle(self) -> None:
+        """Lets Spark's cleaner find the shuffles of jobs that have ended, so that their files go before the next large step."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def _table(df: DataFrame, path: str, compression: str) -> DataFrame:
     df.write.option("compression", compression).parquet(path)

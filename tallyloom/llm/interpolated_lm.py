@@ -11,8 +11,9 @@ Nothing that grows with the vocabulary is broadcast or collected. Texts are read
 tokens (packed columns of a table). A chunk asks each cell (a hash of the n-gram) once for each of its distinct n-grams,
 with its own counts of it; the cell adds up what all chunks sent and answers each. So the commonest n-gram costs one entry
 for each chunk, not for each document, and the number of cells follows from the number of tokens (CELL_KEYS asked for in
-each), so that a task's memory stays the same at any size. n-grams are known by 62-bit hashes; equal ones would be counted
-together. A document isn't split: memory is bounded by the chunk or by the longest text.
+each), so that a task's memory stays the same at any size. Words are known by 62-bit hashes, longer n-grams by hashes with
+20 bits more than their number has (62 at most), so that one in a million shares its count with another, at any size. A
+document isn't split: memory is bounded by the chunk or by the longest text.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def _chunks(modulus: int, test: int, held: int, kind: pa.DataType):
 class Chunk:
     """A chunk's documents, and for each order of n-grams the distinct keys and each token's place among them."""
 
-    def __init__(self, docs: bytes, tokens: bytes, order: int):
+    def __init__(self, docs: bytes, tokens: bytes, order: int, bits: int):
         self.docs = pa.ipc.open_stream(docs).read_all()
         self.n, role = (self.docs.column(c).to_numpy() for c in ("n", "role"))
         self.starts = np.cumsum(self.n) - self.n
@@ -144,7 +145,7 @@ class Chunk:
                     context[self.starts] = pad
                     gram = self._mixed(context, h)
                     pad = self._mixed(pad, _U(END))
-                found, at = np.unique((gram & ~_U(3)) | _U(k), return_inverse=True)
+                found, at = np.unique((gram & ~_U(3) if k == 1 else gram >> _U(64 - bits) << _U(2)) | _U(k), return_inverse=True)
                 self.keys.append(found)
                 self.places.append(at)
 
@@ -176,11 +177,11 @@ class Chunk:
         return out
 
 
-def _requests(order: int, cells: int):
+def _requests(order: int, bits: int, cells: int):
     def run(batches):
         for batch in batches:
             for number, docs, tokens in zip(*(batch.column(c) for c in ("chunk", "docs", "tokens")), strict=True):
-                own = Chunk(docs.as_py(), tokens.as_py(), order)
+                own = Chunk(docs.as_py(), tokens.as_py(), order, bits)
                 keys, by_cell, bounds = own.cells(cells)
                 sums = [np.concatenate([np.bincount(p[own.role >= r], minlength=len(k)) for p, k in zip(own.places, own.keys, strict=True)]) for r in (1, 2)]
                 full = np.flatnonzero(np.diff(bounds))
@@ -282,19 +283,19 @@ def mixture_weights(histogram: list[tuple[int, int, float]], rounds: int = 300)
     return out
 
 
-def _chunk_and_answers(table: pa.Table, order: int) -> tuple[Chunk, list[tuple[int, bytes]]]:
+def _chunk_and_answers(table: pa.Table, order: int, bits: int) -> tuple[Chunk, list[tuple[int, bytes]]]:
     own, answers = None, []
     for cell, docs, blob in zip(*(table.column(c) for c in ("cell", "docs", "blob")), strict=True):
         if docs.is_valid:
-            own = Chunk(docs.as_py(), blob.as_py(), order)
+            own = Chunk(docs.as_py(), blob.as_py(), order, bits)
         else:
             answers.append((cell.as_py(), blob.as_py()))
     return own, answers
 
 
-def _held_counts(order: int, cells: int):
+def _held_counts(order: int, bits: int, cells: int):
     def run(table: pa.Table) -> pa.Table:
-        own, answers = _chunk_and_answers(table, order)
+        own, answers = _chunk_and_answers(table, order, bits)
         held = own.role == 1
         counts = [c[held] for c in own.totals(answers, cells, 1)] if held.any() else [np.empty(0, _U)] * order
         return pa.table({"held": pa.array([pack(own.n[own.docs.column("role").to_numpy() == 1], *counts)], pa.binary())})
@@ -302,9 +303,9 @@ def _held_counts(order: int, cells: int):
     return run
 
 
-def _scores(order: int, cells: int, weights: list[np.ndarray], n: int, v: int):
+def _scores(order: int, bits: int, cells: int, weights: list[np.ndarray], n: int, v: int):
     def run(table: pa.Table) -> pa.Table:
-        own, answers = _chunk_and_answers(table, order)
+        own, answers = _chunk_and_answers(table, order, bits)
         counts = own.totals(answers, cells, 0)
         words = counts[0].astype(float)
         *_, p = _levels(counts, own.starts, n, v, weights)
@@ -333,20 +334,23 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         chunks = scratch.written(chunks, "lm-chunks", "uncompressed")
         tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
         cells = max(partitions(spark), -(-tokens * order // (2 * CELL_KEYS)))  # about half of the n-grams of a chunk are new to it
-        asked = chunks.mapInArrow(_requests(order, cells), "cell int, chunk long, blob binary")
+        bits = min(62, 20 + (tokens * order).bit_length())
+        asked = chunks.mapInArrow(_requests(order, bits, cells), "cell int, chunk long, blob binary")
         answers = asked.groupBy("cell").applyInArrow(_answers, "cell int, chunk long, blob binary, v_all long, n_all long, v_ret long, n_ret long")
         answers = scratch.written(answers, "lm-answers", "uncompressed")
+        scratch.settle()
         sums = answers.filter("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v_all", "n_all", "v_ret", "n_ret"))).first()
         own = chunks.select("chunk", F.lit(-1).alias("cell"), "docs", F.col("tokens").alias("blob"))
         both = own.unionByName(answers.filter("chunk >= 0").select("chunk", "cell", F.lit(None).cast("binary").alias("docs"), "blob")).groupBy("chunk")
-        held_out = scratch.written(both.applyInArrow(_held_counts(order, cells), "held binary"), "lm-held", "uncompressed")
+        held_out = scratch.written(both.applyInArrow(_held_counts(order, bits, cells), "held binary"), "lm-held", "uncompressed")
+        scratch.settle()
         weights: list[np.ndarray] = []
         for _ in range(order):
             found = held_out.mapInArrow(_histogram(weights, sums["n_ret"], sums["v_ret"]), "bucket long, bin long, n long, total double")
             rows = found.groupBy("bucket", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # at most 64 * BINS
             weights.append(mixture_weights([(r["bucket"], r["n"], r["total"] / r["n"]) for r in rows]))
         schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return scratch.result(both.applyInArrow(_scores(order, cells, weights, sums["n_all"], sums["v_all"]), schema), "lm-scores")
+        return scratch.result(both.applyInArrow(_scores(order, bits, cells, weights, sums["n_all"], sums["v_all"]), schema), "lm-scores")
 
 
 __all__ = ["interpolated_scores", "mixture_weights", "pack", "unpack"]

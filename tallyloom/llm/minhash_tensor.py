@@ -279,6 +279,7 @@ class _Links:
     def link(self, pairs: DataFrame) -> int:
         """Confirms the pairs (x, y), x < y, on full sets and merges the components they connect; the number of links."""
         pairs = self.scratch.written(pairs, "pairs")
+        self.scratch.settle()
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         both = _with_text(_with_text(pairs, self.texts, "y"), self.texts, "x")
         links = self.scratch.written(both.mapInArrow(_confirm(self.size, self.num, self.den), "x long, y long"), "links")
