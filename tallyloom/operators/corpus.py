@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.registry import query
+from ..session import checkpoint_folder
 from ..sources.tables import table
 
 BOUNDS = [512, 1024, 2048, 4096]
@@ -26,9 +27,11 @@ def dedup_exact_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, count(*) - count(DISTINCT text) AS n_dropped, count(DISTINCT source) AS n_sources FROM documents")
 def dup_report(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", T.text_hash(F.col("text")).alias("h"))
-    one = docs.agg(F.count("*").alias("n"), F.count_distinct("h").alias("n_distinct"), F.count_distinct("source").alias("n_sources"))
-    return one.withColumn("n_dropped", F.col("n") - F.col("n_distinct")).filter(F.assert_true(F.col("n") == F.col("n_distinct") + F.col("n_dropped")).isNull())
+    """Counts of kept and dropped rows, each counted on its own rows; the query fails unless they add up to the source's."""
+    kept = dedup_exact_documents(spark, d).agg(F.count_if("kept").alias("n_distinct"), F.count_if(~F.col("kept")).alias("n_dropped"))
+    source = table(spark, d, "documents").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
+    closes = F.assert_true(F.col("n") == F.col("n_distinct") + F.col("n_dropped"), F.lit("kept and dropped rows don't add up"))
+    return source.join(kept, how="full").filter(closes.isNull())
 
 
 @query("""SELECT CASE WHEN n_chars <= 512 THEN 'le_512' WHEN n_chars <= 1024 THEN 'le_1024' WHEN n_chars <= 2048 THEN 'le_2048' WHEN n_chars <= 4096 THEN 'le_4096' ELSE 'over_limit' END AS bucket, count(*) AS n FROM documents GROUP BY 1""")
@@ -62,8 +65,25 @@ def ascii_template_hash(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(T.template(F.col("text")), 256).alias("template_sha256"))
 
 
-def document_shingles(docs: DataFrame) -> DataFrame:
-    return T.with_shingles(docs).select("doc_id", F.explode("sh").alias("s"))
+#: Most shingles of a small table that are broadcast (64 MB as a hashed relation at most); beyond it the join shuffles.
+BROADCAST_SHINGLES = 1_000_000
+
+
+def hashed_shingles(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, h) of the rows that have shingles: their number, and their sorted distinct 64-bit hashes."""
+    own = T.with_shingles(rows.select(key, "text"), out="h", each=F.xxhash64)
+    return own.select(key, F.size("h").cast("bigint").alias("n"), F.array_sort("h").alias("h"))
+
+
+def met_by(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n, k, m) of documents and items that share m shingles, of n of the item's and k of the document's.
+
+    The items' shingles go to the documents where they are few, as counted, so that documents' shingles aren't shuffled.
+    """
+    own = hashed_shingles(items, "item_id").select("item_id", "n", F.explode("h").alias("s"))
+    every = hashed_shingles(docs, "doc_id").select("doc_id", F.col("n").alias("k"), F.explode("h").alias("s"))
+    joined = every.join(F.broadcast(own) if own.count() <= BROADCAST_SHINGLES else own, "s")
+    return joined.groupBy("doc_id", "item_id", "n", "k").agg(F.count("*").alias("m"))
 
 
 _SHINGLE = r"""sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z_]+|[㐀-鿿]|\p{L}+') AS w FROM documents) WHERE len(w) >= 8))"""
@@ -72,36 +92,60 @@ _PAIRS = _SHINGLE + """, sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1)
 
 @query(f"WITH {_SHINGLE} SELECT doc_id, count(*) AS n_shingles FROM sh GROUP BY 1")
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
-    sizes = T.with_shingles(table(spark, d, "documents")).select("doc_id", F.size("sh").cast("bigint").alias("n_shingles"))
-    return sizes
+    return hashed_shingles(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("n").alias("n_shingles"))
+
+
+class SimilarSets:
+    """Shingle sets of documents, written once; equal sets are one node, the smallest doc_id of them."""
+
+    def __init__(self, docs: DataFrame, percent: int = 85):
+        checkpoint_folder(docs.sparkSession)
+        self.percent = percent
+        sets = hashed_shingles(docs, "doc_id").withColumn("same", F.struct("n", F.xxhash64("h"), F.hash("h"))).checkpoint()
+        #: (doc_id, rep): the first document with the same set; texts without shingles left out.
+        self.classes = sets.select("doc_id", "same").join(sets.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep").checkpoint()
+        self.sets = sets.drop("same").join(self.classes.filter("doc_id = rep").select("doc_id"), "doc_id").checkpoint()
+        self.rare = self._rare().checkpoint()
+
+    def _rare(self) -> DataFrame:
+        """(doc_id, n, left, s) of the shingles by which a set can first meet a similar one.
+
+        With all sets in one order, rarest shingle first, similar sets have at their first common shingle as many left as
+        they must share; `left` counts those from it on. Frequent passages aren't among them. A shingle of one set alone has
+        no row, but counts for the places.
+        """
+        flat = self.sets.select("doc_id", "n", F.explode("h").alias("s"))
+        common = flat.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+        lists = flat.join(common, "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("v"))
+        first = F.expr(f"slice(v, 1, int(greatest(0, size(v) - ceil({self.percent} * n / 100) + 1)))")
+        return lists.select("doc_id", "n", F.size("v").alias("k"), F.posexplode(first).alias("i", "v")).select("doc_id", "n", (F.col("k") - F.col("i")).cast("bigint").alias("left"), F.col("v.s").alias("s"))
+
+    def candidates(self, rows: DataFrame, across: str) -> DataFrame:
+        """(x, y), x < y, of rows of one shingle for which `across` holds (of the columns and their small_ namesakes) and sizes and places fit."""
+        p = self.percent
+        small = rows.filter(f"{100 + p} * left >= {2 * p} * n").select("s", *(F.col(c).alias(f"small_{c}") for c in rows.columns if c != "s"))
+        fits = f"({across}) AND (small_n < n OR small_n = n AND small_doc_id < doc_id) AND 100 * small_n >= {p} * n AND {100 + p} * least(small_left, left) >= {p} * (small_n + n)"
+        pairs = rows.join(small, "s").filter(fits)
+        return pairs.select(F.least("doc_id", "small_doc_id").alias("x"), F.greatest("doc_id", "small_doc_id").alias("y")).distinct()
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """(x, y, shared, united) of the pairs that are similar on their whole sets."""
+        x, y = (self.sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("h").alias(f"h{k}")) for k in "xy")
+        both = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", F.size(F.array_intersect("hx", "hy")).cast("bigint").alias("shared"))
+        sized = both.select("x", "y", "shared", (F.col("nx") + F.col("ny") - F.col("shared")).alias("united"))
+        return sized.filter(F.col("shared") * 100 >= F.col("united") * self.percent)
+
+    def pairs(self) -> DataFrame:
+        return self.confirmed(self.candidates(self.rare, "true"))
 
 
 def similar_pairs(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(x, y, shared, united) of the pairs of texts whose shingle sets are at least `percent` similar, exactly.
+    """(x, y, shared, united) of the pairs of texts whose shingle sets are at least `percent` similar, exactly (but for equal 64-bit hashes of shingles).
 
-    Prefix filter: shingles in ascending order of frequency; two sets that similar share one of the first
-    n - ceil(t*n) + 1 of each, so only those are joined, and frequent passages never are. Equal sets are one text here:
-    the pairs of copies follow from membership. Candidates are verified on whole sets.
+    A prefix and position filter (`SimilarSets._rare`), and candidates verified on whole sets. Equal sets are one text here:
+    the pairs of copies follow from membership. As many rows as there are similar pairs; use `near_groups` for components.
     """
-    sets = T.with_shingles(docs.select("doc_id", "text")).select("doc_id", F.sort_array("sh").alias("sh"))
-    firsts = sets.groupBy(F.sha2(F.array_join("sh", "\n"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    sets = sets.join(firsts.select("doc_id"), "doc_id")
-    flat = sets.select("doc_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    counted = flat.join(flat.groupBy("s").agg(F.count("*").alias("f")), "s")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("f", "s"))
-    prefix = counted.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("doc_id", "n", "s")
-    left, right = (prefix.select("s", F.col("doc_id").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
-    fit = (F.col("x") < F.col("y")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    pairs = left.join(right, "s").filter(fit).select("x", "y").distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("sh").alias("a")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("sh").alias("b")), "y")
-    sized = both.select("x", "y", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"), F.size(F.array_union("a", "b")).cast("bigint").alias("united"))
-    return sized.filter(F.col("shared") * 100 >= F.col("united") * percent)
-
-
-def copy_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep): the first document with the same shingle set; texts without shingles left out."""
-    sets = T.with_shingles(docs.select("doc_id", "text")).select("doc_id", F.sha2(F.array_join(F.sort_array("sh"), "\n"), 256).alias("h"))
-    return sets.join(sets.groupBy("h").agg(F.min("doc_id").alias("rep")), "h").select("doc_id", "rep")
+    return SimilarSets(docs, percent).pairs()
 
 
 @query(f"""WITH {_PAIRS}, cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep FROM (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS h FROM sh GROUP BY 1))
@@ -113,29 +157,26 @@ def neardup_exact_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""WITH bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z_]+|[㐀-鿿]|\p{{L}}+') AS w FROM benchmark), bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM bw WHERE len(w) >= 8)), {_SHINGLE}, bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), hit AS (SELECT doc_id, item_id, count(*) AS m FROM sh JOIN bs USING (s) GROUP BY ALL)
 SELECT DISTINCT doc_id, true AS contaminated FROM hit JOIN bn USING (item_id) WHERE 2 * m >= n""")
 def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
-    items = T.with_shingles(table(spark, d, "benchmark"))
-    own = items.select("item_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    hits = document_shingles(table(spark, d, "documents")).join(own, "s").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("m"))
+    hits = met_by(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return hits.filter("2 * m >= n").select("doc_id").distinct().withColumn("contaminated", F.lit(True))
 
 
 @query(rf"""WITH bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z_]+|[㐀-鿿]|\p{{L}}+') AS w FROM benchmark), bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM bw WHERE len(w) >= 8)), {_SHINGLE}, bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), hit AS (SELECT doc_id, item_id, count(*) AS m FROM sh JOIN bs USING (s) GROUP BY ALL), sc AS (SELECT item_id, doc_id, round(m / (bn.n + sz.n - m), 6) AS jaccard FROM hit JOIN bn USING (item_id) JOIN sz USING (doc_id))
 SELECT item_id, doc_id AS nearest_doc, jaccard FROM sc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY jaccard DESC, doc_id) = 1""")
 def nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
-    items = T.with_shingles(table(spark, d, "benchmark"))
-    own = items.select("item_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    docs = T.with_shingles(table(spark, d, "documents")).select("doc_id", F.size("sh").alias("k"), F.explode("sh").alias("s"))
-    hits = docs.join(own, "s").groupBy("doc_id", "item_id", "n", "k").agg(F.count("*").alias("m"))
+    hits = met_by(table(spark, d, "documents"), table(spark, d, "benchmark"))
     score = F.round(F.col("m") / (F.col("n") + F.col("k") - F.col("m")), 6)
     best = hits.groupBy("item_id").agg(F.max(F.struct(score.alias("jaccard"), (-F.col("doc_id")).alias("back"))).alias("b"))
     return best.select("item_id", (-F.col("b.back")).alias("nearest_doc"), "b.jaccard")
 
 
-@query("SELECT doc_id, regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|sk-(proj-)?[A-Za-z0-9_-]{30,}|-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----|/Users/[A-Za-z0-9._-]+/|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS sensitive FROM documents")
+# The patterns of keys, private home paths and private ids.
+_SENSITIVE = "gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|sk-(proj-)?[A-Za-z0-9_-]{30,}|-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----|/Users/[A-Za-z0-9._-]+/|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{_SENSITIVE}') AS sensitive FROM documents")
 def sensitive_scan(spark: SparkSession, d: str) -> DataFrame:
-    # The patterns of keys, private home paths and private ids.
-    pattern = "gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|sk-(proj-)?[A-Za-z0-9_-]{30,}|-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----|/Users/[A-Za-z0-9._-]+/|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(pattern).alias("sensitive"))
+    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(_SENSITIVE).alias("sensitive"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter(['email', 'number', 'question', 'long'], lambda x: (x = 'email' AND regexp_matches(text, '[a-z0-9]@[a-z]')) OR (x = 'number' AND regexp_matches(text, '[0-9]{4,}')) OR (x = 'question' AND contains(text, '?')) OR (x = 'long' AND n_chars > 4096)), ',') AS patterns FROM documents""")

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..plans.registry import query
 from ..session import checkpoint_folder
 from ..sources.tables import table
-from .corpus import _ASCII, _PAIRS, _TEMPLATE, copy_classes, similar_pairs
+from .corpus import _ASCII, _PAIRS, _TEMPLATE, SimilarSets
 
 
 def first_owner_edges(keys: DataFrame) -> DataFrame:
@@ -38,10 +38,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, component) over near-duplicate links, copies included by their class."""
-    classes = copy_classes(docs)
-    edges = similar_pairs(docs).select("x", "y").union(classes.filter("doc_id <> rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y")))
-    return components(docs.select("doc_id"), edges)
+    """(doc_id, component) over near-duplicate links, copies included by their class.
+
+    First each set is held against the first set of each of its rare shingles, which merges a large group of variants by as
+    many links as it has members; then only pairs of different components are left to form.
+    """
+    sets = SimilarSets(docs)
+    owner = sets.rare.groupBy("s").agg(F.min(F.struct("doc_id", "n", "left")).alias("o"))
+    firsts = sets.rare.join(owner, "s").filter("doc_id > o.doc_id").select(F.col("o.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
+    links = sets.confirmed(firsts).select("x", "y").checkpoint()
+    merged = components(sets.sets.select("doc_id"), links)
+    rows = sets.rare.join(merged, "doc_id")
+    mixed = rows.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
+    more = sets.confirmed(sets.candidates(rows.join(mixed, "s"), "component <> small_component")).select("x", "y")
+    copies = sets.classes.filter("doc_id <> rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
+    return components(docs.select("doc_id"), links.union(more).union(copies))
 
 
 _GROUPS = _PAIRS + """, way AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near), reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT way.y, reach.root FROM reach JOIN way ON way.x = reach.doc_id WHERE reach.root < way.y), grp AS (SELECT doc_id, min(root) AS component FROM reach GROUP BY 1)"""
