@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import conversations, corpus, evaluation, groups, records, selection, tools  # noqa: F401  they register their queries
+from .operators import conversations, corpus, evaluation, groups, records, selection, tools, toolset  # noqa: F401  they register their queries
 from .plans.registry import REGISTRY
 from .streaming import windows  # noqa: F401
 
