@@ -33,7 +33,7 @@ _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9))
 END = xxhash.xxh3_64_intdigest(b" end ")
 BINS, PER_OCTAVE, LOWEST = 2048, 32, -20 * 32
-CHUNK_TOKENS, CELL_KEYS = 1 << 20, 1 << 21
+CHUNK_TOKENS, CELL_KEYS = 1 << 18, 1 << 20
 NO_CONTEXT = 63
 
 
@@ -333,7 +333,7 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         chunks = docs.mapInArrow(_chunks(modulus, test, held, to_arrow_type(id_type)), "chunk long, n_tokens long, docs binary, tokens binary")
         chunks = scratch.written(chunks, "lm-chunks", "uncompressed")
         tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-        cells = max(partitions(spark), -(-tokens * order // (2 * CELL_KEYS)))  # about half of the n-grams of a chunk are new to it
+        cells = max(partitions(spark), -(-tokens * order // (2 * CELL_KEYS)))  # at least half of the n-grams of a chunk are new to it
         bits = min(62, 20 + (tokens * order).bit_length())
         asked = chunks.mapInArrow(_requests(order, bits, cells), "cell int, chunk long, blob binary")
         answers = asked.groupBy("cell").applyInArrow(_answers, "cell int, chunk long, blob binary, v_all long, n_all long, v_ret long, n_ret long")
