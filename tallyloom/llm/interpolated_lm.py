@@ -1,4 +1,4 @@
-"""Language-model scores by deleted interpolation, by default of trigrams.
+"""Language-model scores by deleted interpolation, by default of bigrams.
 
 The maximum-likelihood estimates of all orders are mixed from below: p_k(w) = m * c(context w)/c(context) + (1-m) * p_k-1(w),
 where m depends on the order and on the bucket floor(log2 c(context)), and p_0 = 1/(V+1) (V known tokens and one unknown).
@@ -315,10 +315,10 @@ def _scores(order: int, bits: int, cells: int, weights: list[np.ndarray], n: int
     return run
 
 
-def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = 3, modulus: int = 7, test: int = 2, held: int = 3) -> DataFrame:
+def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, order: int = 2, modulus: int = 7, test: int = 2, held: int = 3) -> DataFrame:
     """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    order: words of the longest n-grams, 1 to 3. Documents with crc32(id) mod `modulus` equal to `test` aren't learned from;
+    order: words of the longest n-grams, 1 to 3; with 3 about three times as many n-grams are sent as with 2. Documents with crc32(id) mod `modulus` equal to `test` aren't learned from;
     those with `held` give the held-out counts that the weights are learned on, and count in the final model. A null or
     empty text is the end mark alone. A null id counts as empty text for its residue. Repeated rows count each. Without
     training documents all scores are 0: the one unknown token has probability 1. An empty table gives no rows.
