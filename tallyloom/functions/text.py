@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The number of bits of the fraction in hash_fraction, and the split's bounds.
 SPLIT_BOUNDS = ((0.8, "train"), (0.9, "validation"))
+# What a template puts marks in the place of, and what its words are.
+_SLOTS = [(re.compile(r"https?://\S+"), " URL "), (re.compile('"[^"\n]*"|\u201c[^\u201d\n]*\u201d'), " SLOT "), (re.compile(r"\b\d+(?:[.:-]\d+)*\b"), " NUMBER ")]
+_TOKENS = re.compile("[a-z_]+|[\u3400-\u9fff]|[^\\W\\d_]+")
 
 
 def text_hash(text: Column) -> Column:
@@ -57,6 +63,20 @@ def template(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(t, F.lit("[a-z_]+|[A-Z]+"), F.lit(0)), " ")
 
 
+def template_of(text: str | None) -> str | None:
+    """The task template of a text of any script: folded, with URLs, quoted parts and numbers as marks, and its words in order."""
+    if text is None:
+        return None
+    folded = unicodedata.normalize("NFKC", text).casefold()
+    for pattern, mark in _SLOTS:
+        folded = pattern.sub(mark, folded)
+    return " ".join(_TOKENS.findall(folded))
+
+
+def task_template(text: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(template_of), "string")(text)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z_]+|[㐀-鿿]|\p{L}+"), F.lit(0))
 

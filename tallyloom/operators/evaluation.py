@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.registry import query
 from ..sources.tables import table
+from .order import numbered
 
 
 @query("SELECT o_orderkey AS unit_id, CASE WHEN n IS NOT NULL THEN 'completed' WHEN o_orderstatus = 'O' THEN 'not_started' ELSE 'interrupted' END AS status, coalesce(n, 0) AS n_results FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_orderkey = o_orderkey")
@@ -54,12 +55,22 @@ def bootstrap_interval(groups: list[tuple[float, int]], draws: int = 10_000, see
     return (at(0.025), at(0.975)) if means else (float("nan"), float("nan"))
 
 
+def bootstrap_status(groups: list[tuple[int | None, int]]) -> tuple[str, float | None, float | None]:
+    """(status, low, high) of groups (sum of differences, rows); a sum is None where a score of the group is unknown."""
+    if not groups:
+        return "NO_DATA", None, None
+    if any(s is None for s, _ in groups):
+        return "INCOMPLETE_SCORING", None, None
+    return ("NOT_ESTIMABLE", None, None) if len(groups) < 2 else ("CALCULATED", *bootstrap_interval(groups))
+
+
 @query()
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """The groups (sources: a bounded number) are drawn on the driver, in order of their name, for one seeded sequence."""
-    rows = outcomes(spark, d).groupBy("group_id").agg((F.sum("right") - F.sum("left")).alias("s"), F.count("*").alias("n")).orderBy("group_id").collect()
-    low, high = bootstrap_interval([(r["s"], r["n"]) for r in rows])
-    return spark.createDataFrame([(len(rows), low, high)], "n_groups long, low double, high double")
+    """Whole groups drawn again, 10,000 times. The groups (sources: a bounded number) are drawn on the driver, in order of
+    their name, since the one seeded sequence of draws is part of the result."""
+    whole = F.when(F.count("right") + F.count("left") == 2 * F.count("*"), F.sum("right") - F.sum("left"))
+    rows = outcomes(spark, d).groupBy("group_id").agg(whole.alias("s"), F.count("*").alias("n")).orderBy("group_id").collect()
+    return spark.createDataFrame([(len(rows), *bootstrap_status([(r["s"], r["n"]) for r in rows]))], "n_groups long, status string, low double, high double")
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (toxic = 0) AS n_true, count(*) FILTER (toxic = 1) AS n_false, count(*) FILTER (toxic IS NULL) AS n_unknown FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
@@ -74,10 +85,12 @@ def success_rate_or_unknown(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(F.round(T.known_rate(F.col("toxic") == 0), 6).alias("rate"))
 
 
-@query("SELECT event_type, count(*) AS n_planned, count(value) FILTER (value >= 0) AS n_known, round(avg(value) FILTER (value >= 0), 6) AS mean, round(max(value), 6) AS max, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) < 100 AS exploratory FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n_planned, count(v) AS n_known, count(*) - count(v) AS n_missing, round(sum(v), 4) AS total, round(avg(v), 6) AS mean, round(max(v), 6) AS max, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, count(*) < 100 AS exploratory FROM (SELECT event_type, CASE WHEN value >= 5 THEN value - 5 END AS v FROM events) GROUP BY 1")
 def numeric_summary(spark: SparkSession, d: str) -> DataFrame:
-    known = F.when(F.col("value") >= 0, F.col("value"))
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n_planned"), F.count(known).alias("n_known"), F.round(F.avg(known), 6).alias("mean"), F.round(F.max("value"), 6).alias("max"), F.round(T.linear_percentile("value", 0.5), 6).alias("p50"), F.round(T.linear_percentile("value", 0.95), 6).alias("p95"), (F.count("*") < 100).alias("exploratory"))
+    """Of values less 5, of which negative ones aren't known: every measure is over the known ones, null where there is none."""
+    known = F.when(F.col("value") >= 5, F.col("value") - 5)
+    rows = table(spark, d, "events").select("event_type", known.alias("v"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n_planned"), F.count("v").alias("n_known"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.round(F.sum("v"), 4).alias("total"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("max"), F.round(T.linear_percentile("v", 0.5), 6).alias("p50"), F.round(T.linear_percentile("v", 0.95), 6).alias("p95"), (F.count("*") < 100).alias("exploratory"))
 
 
 @query("SELECT event_type, user_id % 3 AS condition, count(*) AS n, round(sum(value), 4) AS cost FROM events GROUP BY ALL")
@@ -133,8 +146,8 @@ def resume_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, j AS candidate, 42 + 4 * (row_number() OVER (PARTITION BY j ORDER BY item_id) - 1) + j AS seed FROM benchmark, unnest(range(4)) AS t(j)")
 def candidate_cross_plan(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"))
-    plan = items.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("candidate", F.col("candidate").cast("bigint"))
+    items = numbered(table(spark, d, "benchmark").select("item_id"), "item_id", "i")
+    plan = items.withColumn("candidate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
     return plan.select("item_id", "candidate", (42 + 4 * F.col("i") + F.col("candidate")).alias("seed"))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.registry import query
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, ship_package
 from ..sources.tables import table
-from .corpus import _ASCII, _PAIRS, _TEMPLATE, SimilarSets
+from .corpus import _ASCII, _PAIRS, _TEMPLATE, SimilarSets, met_by
 
 
 def first_owner_edges(keys: DataFrame) -> DataFrame:
@@ -91,11 +91,12 @@ def leakage_free_split_report(spark: SparkSession, d: str) -> DataFrame:
     return dealt.groupBy("split").agg(F.count("*").alias("n_documents"), F.count_distinct("component").alias("n_groups"), F.sum("n_chars").alias("n_chars"))
 
 
-@query(f"WITH RECURSIVE {_GROUPS}, s AS (SELECT component, {_split_sql('component')} AS split FROM grp), v AS (SELECT component FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1) SELECT 'component' AS kind, count(*) AS n_violations FROM v")
+@query(f"WITH RECURSIVE {_GROUPS}, s AS (SELECT doc_id, component, CASE WHEN doc_id % 17 = 0 THEN 'moved' ELSE {_split_sql('component')} END AS split FROM grp) SELECT component, count(DISTINCT split) AS n_splits, count(*) AS n_documents FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def isolation_violations(spark: SparkSession, d: str) -> DataFrame:
-    dealt = near_groups(table(spark, d, "documents")).withColumn("split", T.hash_split(F.col("component"), 17, 0.1))
-    bad = dealt.groupBy("component").agg(F.count_distinct("split").alias("n")).filter("n > 1")
-    return bad.agg(F.count("*").alias("n_violations")).select(F.lit("component").alias("kind"), "n_violations")
+    """Components whose documents are in more than one split, of an assignment in which every seventeenth document was moved."""
+    split = F.when(F.col("doc_id") % 17 == 0, "moved").otherwise(T.hash_split(F.col("component"), 17, 0.1))
+    dealt = near_groups(table(spark, d, "documents")).withColumn("split", split)
+    return dealt.groupBy("component").agg(F.count_distinct("split").alias("n_splits"), F.count("*").alias("n_documents")).filter("n_splits > 1")
 
 
 @query(rf"WITH t AS (SELECT doc_id, source, sha256({_TEMPLATE}) AS k FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')), b AS (SELECT k FROM t GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT doc_id, k AS template_sha256 FROM t WHERE k IN (SELECT k FROM b)")
@@ -105,9 +106,23 @@ def bridge_guard(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(bad, "template_sha256", "left_semi").select("doc_id", "template_sha256")
 
 
-@query(f"WITH RECURSIVE {_GROUPS}, held AS (SELECT doc_id FROM documents WHERE doc_id % 10 = 0), q AS (SELECT DISTINCT component FROM grp WHERE doc_id IN (SELECT doc_id FROM held)) SELECT doc_id, component FROM grp WHERE component IN (SELECT component FROM q) AND doc_id % 10 <> 0")
+_ITEMS = r"""bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z_]+|[㐀-鿿]|\p{L}+') AS w FROM benchmark), bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM bw WHERE len(w) >= 8)), bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), met AS (SELECT doc_id, item_id, count(*) AS m FROM sh JOIN bs USING (s) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_GROUPS}, {_ITEMS}, q AS (SELECT DISTINCT component FROM grp JOIN met USING (doc_id) JOIN bn USING (item_id) WHERE 2 * m >= n) SELECT doc_id, component FROM grp WHERE component IN (SELECT component FROM q)")
 def component_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    """Documents linked, however far, with the held-out ones (ids divisible by ten)."""
-    groups = near_groups(table(spark, d, "documents"))
-    held = groups.filter("doc_id % 10 = 0").select("component").distinct()
-    return groups.join(held, "component", "left_semi").filter("doc_id % 10 <> 0").select("doc_id", "component")
+    """Documents linked, however far, with a benchmark item: the whole component of each document that holds half of an item's shingles."""
+    docs = table(spark, d, "documents")
+    groups = near_groups(docs)
+    held = met_by(docs, table(spark, d, "benchmark")).filter("2 * m >= n").select("doc_id").distinct()
+    touched = groups.join(held, "doc_id", "left_semi").select("component").distinct()
+    return groups.join(touched, "component", "left_semi").select("doc_id", "component")
+
+
+@query()
+def template_bridges(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, of any script, whose task template is in more than one source: (doc_id, template_sha256)."""
+    ship_package(spark)
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2(T.task_template(F.col("text")), 256).alias("template_sha256"))
+    bad = docs.groupBy("template_sha256").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).filter("lo < hi").select("template_sha256")
+    return docs.join(bad, "template_sha256", "left_semi").select("doc_id", "template_sha256")

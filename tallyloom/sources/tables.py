@@ -1,26 +1,53 @@
-"""Sources and sinks: tables, JSON lines, CSV, content-checked artifacts, and publishing with the manifest last."""
+"""Sources and sinks: tables, strict JSON and JSON lines, CSV, content-checked artifacts, and publishing with the manifest last."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json_rules import REPORT, column_of, json_report
+from ..session import ship_package
+
+#: Most bytes of a whole document and of a line.
+DOCUMENT_BYTES, LINE_BYTES = 512 << 20, 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): each line as it stands, for byte identity; parse with functions.json_rules.strict_json."""
-    return spark.read.text(path).withColumnRenamed("value", "line")
+def strictly(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the strict reading of a column of JSON: rule (that refuses it, or null), canonical, kind, nodes, depth."""
+    ship_package(rows.sparkSession)
+    return rows.withColumn("_r", column_of(json_report, REPORT, F.col(column))).select(*rows.columns, "_r.*")
+
+
+def read_json_lines(spark: SparkSession, path: str, longest: int = LINE_BYTES) -> DataFrame:
+    """(path, at, line, rule, canonical, kind, nodes, depth): each line as it stands, for byte identity, and its strict reading.
 
+    `at` is the line's place in its file, from 0. A file is read whole, in one task, so that its last line's missing end
+    (rule `no_line_end`) and lines beyond `longest` bytes (rule `over_bytes`) show. An empty file has no lines.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    parts = F.split("text", "\n", -1)
+    lines = files.select("path", F.posexplode(parts).alias("at", "line"), F.size(parts).alias("n")).filter("at < n - 1 or line <> ''")
+    read = strictly(lines, "line")
+    rule = F.when(F.col("at") == F.col("n") - 1, "no_line_end").when(F.octet_length("line") > longest, "over_bytes").otherwise(F.col("rule"))
+    return read.withColumn("rule", rule).withColumn("canonical", F.when(F.col("rule").isNull(), F.col("canonical"))).drop("n")
 
-def read_whole_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
+
+def read_whole_json(spark: SparkSession, path: str, most: int = DOCUMENT_BYTES) -> DataFrame:
+    """(path, rule, canonical, kind, nodes, depth) of files of one JSON value each; `over_bytes` ones aren't read, bytes that aren't UTF-8 are refused. Spark lists no empty file, so it gives no row."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= most).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    large = files.filter(F.col("length") > most).select("path", F.lit("over_bytes").alias("rule"))
+    return strictly(small, "text").drop("text").unionByName(large, allowMissingColumns=True)
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All cells as strings; a row of another shape fails the read, and so does another header."""
+    if len(set(columns)) != len(columns):
+        raise ValueError("a column stands twice")
     schema = ", ".join(f"`{c}` string" for c in columns)
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
 
@@ -31,23 +58,49 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*(F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns)).write.mode("errorifexists").csv(path, header=True)
 
 
+def write_canonical_lines(df: DataFrame, path: str, column: str, by: str | None = None) -> None:
+    """A column of JSON as lines of canonical text, in a folder for each value of `by`; refuses the whole write if any row isn't strict JSON."""
+    read = strictly(df, column)
+    line = F.when(F.col("rule").isNotNull(), F.raise_error(F.concat(F.lit("refused: "), F.col("rule")))).otherwise(F.col("canonical"))
+    writer = read.select(line.alias("value"), *([by] if by else [])).write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).text(path)
+
+
 def artifact_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def leaves_root(path: Column) -> Column:
+    """Whether a relative path is absolute, empty, names a parent, or uses another system's separators."""
+    return path.startswith("/") | (path == "") | path.contains("\\") | path.rlike(r"(^|/)\.\.?(/|$)") | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+
+
 def manifest_violations(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows (path, problem) where files and a manifest (path, sha256) differ: missing, extra or changed."""
-    both = found.select("path", F.col("sha256").alias("have")).join(manifest.select("path", F.col("sha256").alias("want")), "path", "full")
-    problem = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("have") != F.col("want"), "changed")
+    """Rows (path, problem) where files and a manifest (path, sha256) of relative paths differ: escaping, repeated, missing, extra or changed."""
+    listed = manifest.groupBy("path").agg(F.first("sha256").alias("want"), F.count("*").alias("times"))
+    both = found.select("path", F.col("sha256").alias("have")).join(listed, "path", "full")
+    problem = F.when(leaves_root(F.col("path")), "escapes").when(F.col("times") > 1, "repeated").when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("have") != F.col("want"), "changed")
     return both.select("path", problem.alias("problem")).filter("problem is not null")
 
 
+def relative(hashes: DataFrame, root: str) -> DataFrame:
+    """artifact_hashes with paths from a root folder on."""
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    return hashes.withColumn("path", F.element_at(F.split("path", base.replace(".", "[.]"), 2), 2))
+
+
+def content_fingerprint(hashes: DataFrame) -> DataFrame:
+    """One row: SHA-256 over the sorted `path:sha256` of some files, a bounded number of them as a manifest lists."""
+    lines = F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256")))
+    return hashes.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"), F.count("*").alias("n"))
+
+
 def publish(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Writes data first and its manifest last, never over an earlier one; returns the manifest."""
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(by) if by else writer).parquet(f"{path}/data")
-    manifest = artifact_hashes(df.sparkSession, f"{path}/data").filter("path like '%.parquet'")
+    manifest = relative(artifact_hashes(df.sparkSession, f"{path}/data"), f"{path}/data").filter("path like '%.parquet'")
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
     return df.sparkSession.read.json(f"{path}/manifest")
