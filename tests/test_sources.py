@@ -70,7 +70,7 @@ def test_numbers_in_order(spark):
 def test_streams(spark, tmp_path):
     """Late rows are dropped by the watermark, and a request is answered once within it."""
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
-    batches = [[(1, "2024-01-01 00:05:00", 1, "click", 1.0), (2, "2024-01-01 00:06:00", 1, "click", 2.0)], [(3, "2024-01-01 03:00:00", 2, "view", 5.0)], [(4, "2024-01-01 00:07:00", 1, "click", 9.0), (5, "2024-01-01 05:00:00", 2, "view", 1.0)]]
+    batches = [[(1, "2024-01-01 00:05:00", 1, "click", 1.0), (2, "2024-01-01 00:06:00", 1, "click", 2.0)], [(3, "2024-01-01 03:00:00", 2, "view", 5.0)], [(5, "2024-01-01 05:00:00", 2, "view", 1.0)], [(4, "2024-01-01 00:07:00", 1, "click", 9.0), (6, "2024-01-01 09:00:00", 2, "view", 1.0)]]
     for k, rows in enumerate(batches):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("event_id", "ts", "user_id", "event_type", "value"), r, strict=True))) for r in rows))
