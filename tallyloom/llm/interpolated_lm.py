@@ -87,24 +87,24 @@ def _table_bytes(table: pa.Table) -> bytes:
 
 
 def _chunks(modulus: int, test: int, held: int, kind: pa.DataType):
-    """Texts to rows (chunk, n_tokens, docs, tokens): the documents' table, and their tokens as places in a list of hashes."""
+    """Texts to rows (chunk, n_tokens, docs, tokens): the documents' table, and their tokens as places in a list of hashes. Held-out documents have chunks of their own, of odd numbers."""
+
+    schema = pa.schema([("chunk", pa.int64()), ("n_tokens", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary())])
+
+    def packed(number, ids, roles, hashes):
+        lengths = np.array([len(h) for h in hashes], np.int64)
+        docs = pa.table({"doc_id": pa.array(ids, kind), "n": lengths, "role": pa.array(roles, pa.int8())})
+        found, place, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        rank = np.argsort(-times, kind="stable")  # common words get small numbers
+        to = np.empty(len(rank), np.int64)
+        to[rank] = np.arange(len(rank))
+        return pa.RecordBatch.from_pydict({"chunk": [number], "n_tokens": [int(lengths.sum())], "docs": [_table_bytes(docs)], "tokens": [pack(found[rank], to[place])]}, schema)
 
     def run(batches):
         memo = worker_state("lm hashes", lambda: Memo(xxhash.xxh3_64_intdigest))
-        chunk, ids, roles, hashes, size = TaskContext.get().partitionId() << 24, [], [], [], 0
-
-        def full():
-            nonlocal chunk, ids, roles, hashes, size
-            lengths = np.array([len(h) for h in hashes], np.int64)
-            docs = pa.table({"doc_id": pa.array(ids, kind), "n": lengths, "role": pa.array(roles, pa.int8())})
-            found, place, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-            rank = np.argsort(-times, kind="stable")  # common words get small numbers
-            to = np.empty(len(rank), np.int64)
-            to[rank] = np.arange(len(rank))
-            row = {"chunk": [chunk], "n_tokens": [size], "docs": [_table_bytes(docs)], "tokens": [pack(found[rank], to[place])]}
-            chunk, ids, roles, hashes, size = chunk + 1, [], [], [], 0
-            return pa.RecordBatch.from_pydict(row, pa.schema([("chunk", pa.int64()), ("n_tokens", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary())]))
-
+        number = TaskContext.get().partitionId() << 24
+        open_chunks = {False: ([], [], []), True: ([], [], [])}
+        size = {False: 0, True: 0}
         for batch in slices(batches):
             own = batch.column("doc_id").to_pylist()
             residue = crc_residue(own, modulus)
@@ -113,14 +113,17 @@ def _chunks(modulus: int, test: int, held: int, kind: pa.DataType):
                 h = np.empty(len(words) + 1, _U)
                 h[:-1] = np.fromiter(map(memo.__getitem__, words), _U, len(words))
                 h[-1] = END
-                ids.append(i)
-                roles.append(0 if r == test else 1 if r == held else 2)  # not trained on; held out while weights are learned; retained
-                hashes.append(h)
-                size += len(h)
-                if size >= CHUNK_TOKENS:
-                    yield full()
-        if ids:
-            yield full()
+                aside = r == held != test
+                for column, value in zip(open_chunks[aside], (i, 0 if r == test else 1 if aside else 2, h), strict=True):  # not trained on; held out while weights are learned; retained
+                    column.append(value)
+                size[aside] += len(h)
+                if size[aside] >= CHUNK_TOKENS:
+                    yield packed(number << 1 | aside, *open_chunks[aside])
+                    number, open_chunks[aside], size[aside] = number + 1, ([], [], []), 0
+        for aside, columns in open_chunks.items():
+            if columns[0]:
+                yield packed(number << 1 | aside, *columns)
+                number += 1
 
     return run
 
@@ -165,7 +168,7 @@ class Chunk:
         return keys, order, np.searchsorted(cell[order], np.arange(n + 1))
 
     def totals(self, answers: list[tuple[int, bytes]], cells: int, column: int) -> list[np.ndarray]:
-        """Of each order, each token's count over all documents: column 0 in all training ones, 1 in the retained ones."""
+        """Of each order, each token's count over all documents: column 0 in all training ones, 1 in the retained ones (known to held-out chunks)."""
         _, order, _ = self.cells(cells)
         values = np.empty(len(order), _U)
         parts = [unpack(blob) for _, blob in sorted(answers)]
@@ -206,7 +209,7 @@ def _answers(table: pa.Table) -> pa.Table:
     start = 0
     for chunk, p in zip(chunks, parts, strict=True):
         own = place[start : start + len(p[0])]
-        rows.append((chunk, pack(every[own], every[own] - kept[own]), 0, 0, 0, 0))
+        rows.append((chunk, pack(every[own], *[every[own] - kept[own]] * (chunk & 1)), 0, 0, 0, 0))
         start += len(own)
     names = ["chunk", "blob", "v_all", "n_all", "v_ret", "n_ret"]
     columns = [pa.array(c, pa.binary() if n == "blob" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)]
@@ -296,9 +299,7 @@ def _chunk_and_answers(table: pa.Table, order: int, bits: int) -> tuple[Chunk, l
 def _held_counts(order: int, bits: int, cells: int):
     def run(table: pa.Table) -> pa.Table:
         own, answers = _chunk_and_answers(table, order, bits)
-        held = own.role == 1
-        counts = [c[held] for c in own.totals(answers, cells, 1)] if held.any() else [np.empty(0, _U)] * order
-        return pa.table({"held": pa.array([pack(own.n[own.docs.column("role").to_numpy() == 1], *counts)], pa.binary())})
+        return pa.table({"held": pa.array([pack(own.n, *own.totals(answers, cells, 1))], pa.binary())})
 
     return run
 
@@ -341,8 +342,13 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         scratch.settle()
         sums = answers.filter("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v_all", "n_all", "v_ret", "n_ret"))).first()
         own = chunks.select("chunk", F.lit(-1).alias("cell"), "docs", F.col("tokens").alias("blob"))
-        both = own.unionByName(answers.filter("chunk >= 0").select("chunk", "cell", F.lit(None).cast("binary").alias("docs"), "blob")).groupBy("chunk")
-        held_out = scratch.written(both.applyInArrow(_held_counts(order, bits, cells), "held binary"), "lm-held", "uncompressed")
+        told = answers.filter("chunk >= 0").select("chunk", "cell", F.lit(None).cast("binary").alias("docs"), "blob")
+
+        def both(held_only: bool = False):
+            rows = own.unionByName(told)
+            return (rows.filter("chunk % 2 = 1") if held_only else rows).groupBy("chunk")
+
+        held_out = scratch.written(both(held_only=True).applyInArrow(_held_counts(order, bits, cells), "held binary"), "lm-held", "uncompressed")
         scratch.settle()
         weights: list[np.ndarray] = []
         for _ in range(order):
@@ -350,7 +356,7 @@ def interpolated_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows = found.groupBy("bucket", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # at most 64 * BINS
             weights.append(mixture_weights([(r["bucket"], r["n"], r["total"] / r["n"]) for r in rows]))
         schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return scratch.result(both.applyInArrow(_scores(order, bits, cells, weights, sums["n_all"], sums["v_all"]), schema), "lm-scores")
+        return scratch.result(both().applyInArrow(_scores(order, bits, cells, weights, sums["n_all"], sums["v_all"]), schema), "lm-scores")
 
 
 __all__ = ["interpolated_scores", "mixture_weights", "pack", "unpack"]
