@@ -213,35 +213,37 @@ def _ended(batches):
     yield None
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
-    """pairs with the text of one side. An id in many pairs is salted: its text is copied once for each 256 of them."""
-    other = "y" if side == "x" else "x"
-    degrees = pairs.groupBy(side).agg(F.ceil(F.count("*") / 256).alias("copies"))
-    copies = degrees.join(texts.withColumnRenamed("doc_id", side), side).withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    salted = pairs.join(degrees, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("copies")).cast("int"))
-    return salted.drop("copies").join(copies.drop("copies"), [side, "salt"]).drop("salt").withColumnRenamed("text", f"text_{side}")
+def _small(rows: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """rows of a few whole numbers, to be broadcast if they are at most `limit` as counted."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (written) with the texts of both sides. Texts are met by their ids, then by the pair, of which no key is hot."""
+    own = _small(pairs)
+    sides = [own.join(texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")), k) for k in ("x", "y")]
+    return sides[0].join(sides[1], ["x", "y"])
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of the edges (x, y): root is the smallest node that it reaches.
 
-    Large-star and small-star rounds over DataFrames until nothing changes; each round is written to the shared folder.
-    The only values that reach the driver are a count and a checksum of each round.
+    Large-star and small-star rounds over DataFrames until all edges are stars: no root has an edge of its own, no node two.
+    Each round is written to the shared folder. The only value that reaches the driver is a count of each round.
     """
     edges = scratch.written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u > v").distinct(), "edges")
-    before = None
+    near = F.broadcast if edges.count() <= BROADCAST_KEYS // 2 else lambda rows: rows  # no round has more nodes than the first
     while True:
         ways = edges.union(edges.select("v", "u"))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = ways.filter("v > u").join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(near(least), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         edges = scratch.written(small.filter("u > v").distinct(), "edges")
-        state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == before:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
 
 
 class _Links:
@@ -254,7 +256,7 @@ class _Links:
     def labelled(self, df: DataFrame) -> DataFrame:
         if self.labels is None:
             return df.withColumn("comp", F.col("doc_id"))
-        return df.join(self.labels, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        return df.join(_small(self.labels), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
     def meeting(self, side: int) -> DataFrame:
         """(doc_id, comp) of the documents with a key of the first collection that more than one component has.
@@ -274,15 +276,14 @@ class _Links:
         return rows.join(mixed.select("key", "pivot"), "key")
 
     def untested(self, pairs: DataFrame) -> DataFrame:
-        return pairs if self.tested is None else pairs.join(self.tested, ["x", "y"], "left_anti")
+        return pairs if self.tested is None else pairs.join(_small(self.tested), ["x", "y"], "left_anti")
 
     def link(self, pairs: DataFrame) -> int:
         """Confirms the pairs (x, y), x < y, on full sets and merges the components they connect; the number of links."""
         pairs = self.scratch.written(pairs, "pairs")
         self.scratch.settle()
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        both = _with_text(_with_text(pairs, self.texts, "y"), self.texts, "x")
-        links = self.scratch.written(both.mapInArrow(_confirm(self.size, self.num, self.den), "x long, y long"), "links")
+        links = self.scratch.written(_with_texts(pairs, self.texts).mapInArrow(_confirm(self.size, self.num, self.den), "x long, y long"), "links")
         found = links.count()
         if not found:
             return 0
@@ -290,7 +291,7 @@ class _Links:
         roots = connected(self.labelled(ends).select(F.col("cx").alias("x"), F.col("comp").alias("y")), self.scratch)
         touched = links.select(F.col("x").alias("doc_id")).union(links.select("y"))
         known = touched if self.labels is None else touched.union(self.labels.select("doc_id"))
-        new = self.labelled(known.distinct()).join(roots, F.col("comp") == F.col("node"), "left")
+        new = self.labelled(known.distinct()).join(_small(roots), F.col("comp") == F.col("node"), "left")
         self.labels = self.scratch.written(new.select("doc_id", F.coalesce("root", "comp").alias("comp")), "labels")
         return found
 
