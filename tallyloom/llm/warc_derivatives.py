@@ -30,7 +30,7 @@ _LINES = frozenset("address article aside blockquote body br dd div dl dt fields
 # What may stand in a head; any other element ends a head whose end tag was left out.
 _HEAD = frozenset("base basefont bgsound link meta title script style noscript template head html".split())
 #: A comment, a declaration, or a tag with its quoted attributes; a bare < is none.
-_MARK = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*)>", re.S)
+_MARK = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
 _LINK = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _LANG = re.compile(r"""(?:^|\s)lang\s*=\s*["']?([A-Za-z-]+)""", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
@@ -102,7 +102,7 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def member(record: bytes) -> bytes:
     """A record as a gzip member, the same on every call: members joined in any order are a .warc.gz file."""
-    return gzip.compress(record, 6, mtime=0)
+    return gzip.compress(record, 1, mtime=0)
 
 
 def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
