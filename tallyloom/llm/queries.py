@@ -11,8 +11,11 @@ from .common import Scratch
 from .huffman_ids import read_ids, write_ids
 from .interpolated_lm import interpolated_scores
 from .isolation_rules import rule_decisions
+from .license_scan import license_labels
+from .merkle_manifest import folded, manifest, proof_hash
 from .minhash_tensor import near_duplicates
 from .piece_codec import encode_and_decode
+from .row_patterns import valleys
 from .secret_forest import secret_findings
 from .trie_counts import rank_scores, token_counts
 from .warc_derivatives import derivatives, read_derivatives, response_rows, responses, stored, write_records
@@ -83,8 +86,29 @@ def op10_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cents = F.when(~F.isnan("value"), F.floor(100 * F.col("value") + 0.5))
+    found = valleys(_table(spark, sf_dir, "clicks"), "client_id", "ts", "click_id", cents, F.col("kind") != "error", F.col("kind") == "click")
+    times = lambda letter, n: F.repeat(F.lit(letter), F.col(n).cast("int"))
+    labels = F.concat(F.lit("A"), times("D", "n_down"), times("U", "n_up"), F.lit("P"))
+    return found.select(F.col("key").alias("client_id"), F.col("match_no").cast("long").alias("match_no"), F.col("first_row").alias("first_id"), F.col("last_row").alias("last_id"), "n_rows", F.col("total").alias("sum_cents"), F.sha2(labels, 256).alias("labels_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower)
+    found = manifest(_table(spark, sf_dir, "documents"), "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": tampered})
+    root = folded(F.coalesce("altered", "leaf"), F.col("path"))
+    out = found.select(F.col("row").alias("doc_id"), "leaf", "subroot", "root", proof_hash(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict:
-    own = (op1_deleted_interpolation, op2_isolation_rules, op3_classifier_chain, op4_piece_codec, op5_warc_derivatives, op6_huffman_ids, op7_trie_counts, op8_aho_decontaminate, op9_secret_forest, op10_minhash_tensor)
+    own = (op1_deleted_interpolation, op2_isolation_rules, op3_classifier_chain, op4_piece_codec, op5_warc_derivatives, op6_huffman_ids, op7_trie_counts, op8_aho_decontaminate, op9_secret_forest, op10_minhash_tensor, op11_row_patterns, op12_merkle_manifest, op13_license_scan)
     return {f.__name__: f for f in own}
 
 
@@ -135,6 +159,36 @@ FROM doc JOIN comp ON comp.doc_id = doc.doc_id LEFT JOIN size ON size.doc_id = d
 """
 
 
+_OP11 = """
+WITH numbered AS (
+  SELECT client_id, click_id, ts, kind, CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS cents,
+    row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id) AS i
+  FROM (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL)
+), near AS (
+  SELECT *, ts <= lag(ts) OVER own + INTERVAL 5 MINUTE AS soon, lag(cents) OVER own AS before,
+    sum(coalesce(cents, 0)) OVER (PARTITION BY client_id ORDER BY i) AS so_far, count(*) OVER (PARTITION BY client_id) AS n
+  FROM numbered WINDOW own AS (PARTITION BY client_id ORDER BY i)
+), letter AS (
+  SELECT *, coalesce(soon AND kind <> 'error' AND cents < before, false) AS d, coalesce(soon AND kind <> 'error' AND cents > before, false) AS u,
+    coalesce(soon AND kind = 'click' AND cents IS NOT NULL AND before IS NOT NULL, false) AS p
+  FROM near
+), run AS (
+  SELECT *, coalesce(min(CASE WHEN NOT d THEN i END) OVER ahead, n + 1) AS d_end, coalesce(min(CASE WHEN NOT u THEN i END) OVER ahead, n + 1) AS u_end
+  FROM letter WINDOW ahead AS (PARTITION BY client_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), found AS (
+  SELECT a.client_id, a.i, any_value(fall.d_end) AS up_from, max(goal.i) AS last
+  FROM run a JOIN run fall ON fall.client_id = a.client_id AND fall.i = a.i + 1 AND fall.d
+  JOIN run rise ON rise.client_id = a.client_id AND rise.i = fall.d_end AND rise.u
+  JOIN run goal ON goal.client_id = a.client_id AND goal.i BETWEEN rise.i + 1 AND rise.u_end AND goal.p AND goal.cents >= a.cents
+  GROUP BY a.client_id, a.i
+)
+SELECT found.client_id, row_number() OVER (PARTITION BY found.client_id ORDER BY found.i) AS match_no, a.click_id AS first_id, z.click_id AS last_id,
+  last - found.i + 1 AS n_rows, CAST(z.so_far - a.so_far + a.cents AS BIGINT) AS sum_cents,
+  sha256('A' || repeat('D', CAST(up_from - 1 - found.i AS INT)) || repeat('U', CAST(last - up_from AS INT)) || 'P') AS labels_sha256
+FROM found JOIN run a ON a.client_id = found.client_id AND a.i = found.i JOIN run z ON z.client_id = found.client_id AND z.i = last
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """What DuckDB can express: operators 8 and 10. The others are held against brute force in tests/llm."""
-    return {"op8_aho_decontaminate": _OP8, "op10_minhash_tensor": _OP10}
+    """What DuckDB can express: operators 8, 10 and 11. The others are held against brute force in tests/llm."""
+    return {"op8_aho_decontaminate": _OP8, "op10_minhash_tensor": _OP10, "op11_row_patterns": _OP11}
