@@ -95,15 +95,6 @@ def with_shingles(df, text: str = "text", out: str = "sh", least: int = 8, each=
     return df.withColumn(out, bound).filter(F.size(out) > 0)
 
 
-def nearest_rank(column: str, percent: int) -> Column:
-    """The value at position ceil(n * percent / 100) in order; null when empty."""
-    return F.expr(f"percentile_disc({percent / 100}) within group (order by {column})")
-
-
-def linear_percentile(column: str, fraction: float) -> Column:
-    return F.percentile(column, F.lit(fraction))
-
-
 def known_rate(flag: Column) -> Column:
     """The share of true, or null if any is unknown or there is none."""
     return F.when((F.count(flag) == F.count("*")) & (F.count("*") > 0), F.count_if(flag) / F.count("*"))

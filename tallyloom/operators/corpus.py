@@ -43,17 +43,6 @@ def length_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(T.length_bucket(F.col("n_chars"), BOUNDS).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT coalesce(lang, 'all') AS lang, count(*) AS n, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.9) AS p90, quantile_disc(n_chars, 0.95) AS p95, quantile_disc(n_chars, 0.99) AS p99 FROM documents GROUP BY ROLLUP (lang)""")
-def length_quantiles_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    ranks = [T.nearest_rank("n_chars", p).cast("bigint").alias(f"p{p}") for p in (50, 90, 95, 99)]
-    return table(spark, d, "documents").rollup("lang").agg(F.count("*").alias("n"), *ranks).withColumn("lang", F.coalesce("lang", F.lit("all")))
-
-
-@query("SELECT round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(quantile_cont(n_chars, 0.99), 6) AS p99 FROM documents")
-def length_linear_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").agg(*(F.round(T.linear_percentile("n_chars", p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)))
-
-
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[㐀-鿿]') AND regexp_matches(text, '[A-Za-z]') THEN 'han_and_latin' WHEN regexp_matches(text, '[㐀-鿿]') THEN 'han' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS script FROM documents""")
 def script_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.script_label(F.col("text")).alias("script"))
@@ -74,9 +63,9 @@ BROADCAST_SHINGLES = 1_000_000
 
 
 def hashed_shingles(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n, h) of the rows that have shingles: their number, and their sorted distinct 64-bit hashes."""
+    """(key, n, h) of the rows that have shingles: their number, and their distinct 64-bit hashes."""
     own = T.with_shingles(rows.select(key, "text"), out="h", each=F.xxhash64)
-    return own.select(key, F.size("h").cast("bigint").alias("n"), F.array_sort("h").alias("h"))
+    return own.select(key, F.size("h").cast("bigint").alias("n"), "h")
 
 
 def met_by(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -105,7 +94,7 @@ class SimilarSets:
     def __init__(self, docs: DataFrame, percent: int = 85):
         checkpoint_folder(docs.sparkSession)
         self.percent = percent
-        sets = hashed_shingles(docs, "doc_id").withColumn("same", F.struct("n", F.xxhash64("h"), F.hash("h"))).checkpoint()
+        sets = hashed_shingles(docs, "doc_id").withColumn("h", F.sort_array("h")).withColumn("same", F.struct("n", F.xxhash64("h"), F.hash("h"))).checkpoint()
         #: (doc_id, rep): the first document with the same set; texts without shingles left out.
         self.classes = sets.select("doc_id", "same").join(sets.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep").checkpoint()
         self.sets = sets.drop("same").join(self.classes.filter("doc_id = rep").select("doc_id"), "doc_id").checkpoint()

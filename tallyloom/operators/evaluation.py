@@ -85,14 +85,6 @@ def success_rate_or_unknown(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(F.round(T.known_rate(F.col("toxic") == 0), 6).alias("rate"))
 
 
-@query("SELECT event_type, count(*) AS n_planned, count(v) AS n_known, count(*) - count(v) AS n_missing, round(sum(v), 4) AS total, round(avg(v), 6) AS mean, round(max(v), 6) AS max, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, count(*) < 100 AS exploratory FROM (SELECT event_type, CASE WHEN value >= 5 THEN value - 5 END AS v FROM events) GROUP BY 1")
-def numeric_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Of values less 5, of which negative ones aren't known: every measure is over the known ones, null where there is none."""
-    known = F.when(F.col("value") >= 5, F.col("value") - 5)
-    rows = table(spark, d, "events").select("event_type", known.alias("v"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n_planned"), F.count("v").alias("n_known"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.round(F.sum("v"), 4).alias("total"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("max"), F.round(T.linear_percentile("v", 0.5), 6).alias("p50"), F.round(T.linear_percentile("v", 0.95), 6).alias("p95"), (F.count("*") < 100).alias("exploratory"))
-
-
 @query("SELECT event_type, user_id % 3 AS condition, count(*) AS n, round(sum(value), 4) AS cost FROM events GROUP BY ALL")
 def cost_by_condition(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 3).alias("condition")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("cost"))

@@ -36,13 +36,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(now.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("doc_id", F.coalesce("v", "doc_id").alias("component"))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, sets: SimilarSets | None = None) -> DataFrame:
     """(doc_id, component) over near-duplicate links, copies included by their class.
 
     First each set is held against the first set of each of its rare shingles, which merges a large group of variants by as
     many links as it has members; then only pairs of different components are left to form.
     """
-    sets = SimilarSets(docs)
+    sets = sets or SimilarSets(docs)
     owner = sets.rare.groupBy("s").agg(F.min(F.struct("doc_id", "n", "left")).alias("o"))
     firsts = sets.rare.join(owner, "s").filter("doc_id > o.doc_id").select(F.col("o.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
     links = sets.confirmed(firsts).select("x", "y").checkpoint()

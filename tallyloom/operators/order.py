@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
@@ -23,3 +23,19 @@ def numbered(rows: DataFrame, order: str, out: str) -> DataFrame:
         at += sizes[k]
     first = rows.sparkSession.createDataFrame(starts or [(0, 0)], "_range long, _first long")
     return placed.join(F.broadcast(first), "_range").withColumn(out, F.col("_first") + F.col("_at")).drop("_range", "_first", "_at")  # a row for each range
+
+
+def running_sums(rows: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
+    """rows with the sum of `value` over their group's rows up to and with them, in an order without ties.
+
+    Rows are dealt by ranges of (group, order), so a large group spans many tasks: each sums its own part, and the sums of a
+    group's parts before it, a row for each part, are added.
+    """
+    checkpoint_folder(rows.sparkSession)
+    dealt = rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    parts = dealt.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), before.alias("_before"))
+    within = F.sum(value).over(Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    own = dealt.withColumn("_within", within).join(offsets, (F.col("_of") == F.col("_part")) & F.col("_group").eqNullSafe(F.col(group)))
+    return own.withColumn(out, F.col("_before") + F.col("_within")).drop("_part", "_of", "_group", "_before", "_within")

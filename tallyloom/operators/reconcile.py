@@ -416,15 +416,6 @@ def frozen_plans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_brand").agg(n.alias("n"), state.alias("state"))
 
 
-@query("SELECT field, count(v) AS n, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, round(sum(v) * 1.0 / sum(sum(v)) OVER (), 6) AS share FROM (SELECT role AS field, length(text) AS v FROM conversations) GROUP BY 1")
-def length_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Counts, quantiles and the share of all characters, by field."""
-    rows = table(spark, d, "conversations").select(F.col("role").alias("field"), F.char_length("text").alias("v"))
-    found = rows.groupBy("field").agg(F.count("v").alias("n"), T.nearest_rank("v", 50).cast("bigint").alias("p50"), T.nearest_rank("v", 95).cast("bigint").alias("p95"), F.sum("v").alias("total"))
-    whole = rows.agg(F.sum("v").alias("whole"))
-    return found.join(F.broadcast(whole)).select("field", "n", "p50", "p95", F.round(F.col("total") / F.col("whole"), 6).alias("share"))  # one row
-
-
 @query("SELECT count(*) FILTER (WHERE k = 1) AS n_only_first, count(*) FILTER (WHERE k = 2) AS n_only_second, count(*) FILTER (WHERE k = 3) AS n_both FROM (SELECT doc_id, sum(b) AS k FROM (SELECT doc_id, 1 AS b FROM documents WHERE n_chars > 1000 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 2 = 0) GROUP BY 1)")
 def rebuilt_selection(spark: SparkSession, d: str) -> DataFrame:
     """A selection against its rebuilding: rows in one only, and in both."""
