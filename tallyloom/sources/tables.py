@@ -1,4 +1,4 @@
-"""Sources and sinks: tables, strict JSON and JSON lines, CSV, content-checked artifacts, and publishing with the manifest last."""
+"""Sources and sinks: tables, strict JSON, CSV, and content-checked artifacts."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.json_rules import REPORT, column_of, json_report
 from ..session import ship_package
 
-#: Most bytes of a whole document and of a line.
-DOCUMENT_BYTES, LINE_BYTES = 512 << 20, 2 << 20
+#: Most bytes of a whole document.
+DOCUMENT_BYTES = 512 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +22,6 @@ def strictly(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("_r", column_of(json_report, REPORT, F.col(column))).select(*rows.columns, "_r.*")
 
 
-def read_json_lines(spark: SparkSession, path: str, longest: int = LINE_BYTES) -> DataFrame:
-    """(path, at, line, rule, canonical, kind, nodes, depth): each line as it stands, for byte identity, and its strict reading.
-
-    `at` is the line's place in its file, from 0. A file is read whole, in one task, so that its last line's missing end
-    (rule `no_line_end`) and lines beyond `longest` bytes (rule `over_bytes`) show. An empty file has no lines.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    parts = F.split("text", "\n", -1)
-    lines = files.select("path", F.posexplode(parts).alias("at", "line"), F.size(parts).alias("n")).filter("at < n - 1 or line <> ''")
-    read = strictly(lines, "line")
-    rule = F.when(F.col("at") == F.col("n") - 1, "no_line_end").when(F.octet_length("line") > longest, "over_bytes").otherwise(F.col("rule"))
-    return read.withColumn("rule", rule).withColumn("canonical", F.when(F.col("rule").isNull(), F.col("canonical"))).drop("n")
-
-
 def read_whole_json(spark: SparkSession, path: str, most: int = DOCUMENT_BYTES) -> DataFrame:
     """(path, rule, canonical, kind, nodes, depth) of files of one JSON value each; `over_bytes` ones aren't read, bytes that aren't UTF-8 are refused. Spark lists no empty file, so it gives no row."""
     files = spark.read.format("binaryFile").load(path)
@@ -95,12 +81,3 @@ def content_fingerprint(hashes: DataFrame) -> DataFrame:
     """One row: SHA-256 over the sorted `path:sha256` of some files, a bounded number of them as a manifest lists."""
     lines = F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256")))
     return hashes.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"), F.count("*").alias("n"))
-
-
-def publish(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
-    """Writes data first and its manifest last, never over an earlier one; returns the manifest."""
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(by) if by else writer).parquet(f"{path}/data")
-    manifest = relative(artifact_hashes(df.sparkSession, f"{path}/data"), f"{path}/data").filter("path like '%.parquet'")
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
-    return df.sparkSession.read.json(f"{path}/manifest")

@@ -11,7 +11,7 @@ from tallyloom.functions.json_rules import outcome
 from tallyloom.functions.text import template_of
 from tallyloom.operators.evaluation import bootstrap_status
 from tallyloom.operators.order import numbered
-from tallyloom.sources import tables
+from tallyloom.sources import lines, publish, tables
 from tallyloom.streaming.windows import first_requests, tumbling
 
 
@@ -26,7 +26,7 @@ def test_strict_json_files(spark, tmp_path):
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x").write_text('{"a":  1}\n\nNaN\n[2]')
     (tmp_path / "y").write_text("")
-    rows = sorted((r["at"], r["line"], r["rule"], r["canonical"]) for r in tables.read_json_lines(spark, f"file://{tmp_path}").collect())
+    rows = sorted((r["at"], r["line"], r["rule"], r["canonical"]) for r in lines.read_json_lines(spark, f"file://{tmp_path}").collect())
     assert rows == [(0, '{"a":  1}', None, '{"a":1}'), (1, "", "not_json", None), (2, "NaN", "not_finite", None), (3, "[2]", "no_line_end", None)]
     df = spark.createDataFrame([(1, '{"b": 1, "a": [ ]}', "s"), (2, "3", "t")], "i int, j string, split string")
     tables.write_canonical_lines(df, f"file://{tmp_path}/out", "j", "split")
@@ -46,15 +46,81 @@ def test_csv(spark, tmp_path):
         tables.read_csv_strings(spark, f"file://{tmp_path}/c", ["i", "wrong", "t"]).collect()
 
 
-def test_publish_and_manifest(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "i int, split string")
+def test_json_lines_by_byte_ranges(spark, tmp_path):
+    """Many tasks give what one gives: places, ends, marks, bad bytes and long lines, with lines across the ranges' bounds."""
+    data = {"a": b"".join(b'{"k": %d, "t": "%s"}\n' % (k, b"x" * (k % 90)) for k in range(3000)), "b": b"\xef\xbb\xbf[1]\n[2]\n", "c": b"\xef\xbb\xbf[1]\n[2]", "d": b"", "e": b"\n\n1\r\n\xff\n" + b'"' + b"y" * 500 + b'"\n', "f": "\u00e9\u2028\n".encode(), "g": b"[1]\n[2]"}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = lines.read_json_lines(spark, f"file://{tmp_path}", longest=400)
+        assert found.rdd.getNumPartitions() > 8
+        rows = {}
+        for r in found.collect():
+            rows.setdefault(r["path"][-1], {})[r["at"]] = r
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, content in data.items():
+        parts = content.split(b"\n")
+        ended = parts.pop() == b""
+        parts = parts if ended else content.split(b"\n")
+        assert sorted(rows.get(name, {})) == list(range(len(parts)))
+        for k, raw in enumerate(parts):
+            r = rows[name][k]
+            try:
+                text = raw.decode()
+                rule = json_rules.json_report(text)["rule"]
+            except UnicodeDecodeError:
+                text, rule = None, "not_utf8"
+            rule = "no_line_end" if not ended and k == len(parts) - 1 else "over_bytes" if len(raw) > 400 else rule
+            assert (r["line"], r["rule"]) == (text, rule), (name, k)
+    verdicts = {r["path"][-1]: (r["n_records"], r["n_refused"], r["first_at"], r["verdict"]) for r in lines.line_verdicts(found).collect()}
+    assert verdicts["a"] == (3000, 0, None, "valid") and verdicts["g"] == (2, 1, 1, "invalid") and verdicts["c"][1] == 2 and "d" not in verdicts
+    checked = lines.read_json_lines(spark, f"file://{tmp_path}/a", check=lambda v: "odd" if v["k"] % 2 else None)
+    assert checked.filter("rule = 'odd'").count() == 1500
+
+
+def test_publish_once(spark, tmp_path):
+    df = spark.createDataFrame([(k, chr(97 + k % 3)) for k in range(50)], "i int, s string").repartition(4)
     root = f"file://{tmp_path}/p"
-    manifest = tables.publish(df, root, "split")
-    found = tables.relative(tables.artifact_hashes(spark, f"{root}/data"), f"{root}/data").filter("path like '%.parquet'")
-    assert manifest.count() == 2 and tables.manifest_violations(found, manifest).count() == 0
-    assert tables.content_fingerprint(found).first()["n"] == 2 and sorted(r["split"] for r in spark.read.parquet(f"{root}/data").collect()) == ["a", "b"]
-    with pytest.raises(Exception, match="(?i)exists"):
-        tables.publish(df, root, "split")
+    manifest = publish.publish(df, root)
+    assert manifest["rows"] == 50 and len(manifest["files"]) == 4 and sum(f["rows"] for f in manifest["files"]) == 50
+    assert publish.publish_violations(spark, root).count() == 0
+    assert sorted(map(tuple, publish.published(spark, root).collect())) == sorted((k, chr(97 + k % 3)) for k in range(50))
+    with pytest.raises(FileExistsError):
+        publish.publish(df, root)
+    first = manifest["files"][0]["path"]
+    (tmp_path / "p" / first).write_bytes(b"other")
+    (tmp_path / "p" / manifest["files"][1]["path"]).unlink()
+    (tmp_path / "p" / manifest["folder"] / "part-x.parquet").write_bytes(b"more")
+    assert sorted(r["problem"] for r in publish.publish_violations(spark, root).collect()) == ["changed", "extra", "missing"]
+    assert publish.publish(df.limit(0), f"{tmp_path}/none")["files"] == [] and publish.published(spark, f"{tmp_path}/none", "i int").count() == 0
+
+
+def test_a_publish_that_fails_leaves_nothing(spark, tmp_path):
+    """A failing row, a failing task attempt, and a folder that a killed driver left behind: a rerun succeeds."""
+    root = f"file://{tmp_path}/q"
+    bad = spark.range(0, 40, 1, 4).select(F.when(F.col("id") == 33, F.raise_error(F.lit("no such row"))).otherwise(F.col("id")).alias("i"))
+    with pytest.raises(Exception, match="no such row"):
+        publish.publish(bad, root)
+    left = tmp_path / "q"
+    assert not (left / "manifest.json").exists()
+    (left / "data-dead").mkdir(parents=True)
+    (left / "data-dead" / "part-1.parquet").write_bytes(b"half a file")
+    assert publish.publish(spark.range(40), root)["rows"] == 40 and publish.published(spark, root).count() == 40
+    # Two writers at once: the second finds the manifest at its commit, and takes its own folder away.
+    second = publish._data_source()
+    spark.dataSource.register(second)
+    with pytest.raises(Exception, match="published already"):
+        spark.range(5).write.format("exclusive_parquet").option("folder", "data-late").mode("append").save(root)
+    assert not (left / "data-late").exists() and publish.published(spark, root).count() == 40
+
+
+def test_manifests(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "i int, split string").write.partitionBy("split").parquet(f"file://{tmp_path}/data")
+    found = tables.relative(tables.artifact_hashes(spark, f"file://{tmp_path}/data"), f"file://{tmp_path}/data").filter("path like '%.parquet'")
+    assert tables.manifest_violations(found, found).count() == 0 and tables.content_fingerprint(found).first()["n"] == 2
     one = found.orderBy("path").first()["path"]
     listed = spark.createDataFrame([(one, "0"), ("../out", "0"), ("gone", "0"), ("twice", "0"), ("twice", "0")], "path string, sha256 string")
     problems = {r["path"]: r["problem"] for r in tables.manifest_violations(found, listed).collect()}
