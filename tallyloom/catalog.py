@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import agents, conversations, corpus, evaluation, groups, intervals, isolation, preferences, quantiles, reconcile, records, selection, tools, toolset  # noqa: F401  they register their queries
+from .operators import agents, conversations, corpus, evaluation, groups, intervals, isolation, judging, preferences, quantiles, reconcile, records, selection, tools, toolschemas, toolset  # noqa: F401  they register their queries
 from .plans.registry import REGISTRY
 from .streaming import windows  # noqa: F401
 

@@ -1,10 +1,7 @@
-"""Queries over JSON, calls, schemas, protocols and traces. The inputs are written from the tables, sound and broken ones in turn."""
+"""Queries over JSON, calls and schemas. The inputs are written from the tables, sound and broken ones in turn."""
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +11,7 @@ from ..functions import schemas as S
 from ..plans.registry import query
 from ..session import ship_package
 from ..sources.tables import table
-
-
-def _pick(number: Column, *options) -> Column:
-    """One of the options (columns or texts) in turn."""
-    return F.element_at(F.array(*(o if isinstance(o, Column) else F.lit(o) for o in options)), (number % len(options) + 1).cast("int"))
+from .judging import pick
 
 
 @query("""SELECT event_id, rule, CASE WHEN rule IS NULL THEN CASE k WHEN 0 THEN props_c WHEN 1 THEN '[1,1.0,"<é>",null,true]' ELSE '{"a":{"b":[]},"z":' || props_c || '}' END END AS canonical, CASE WHEN rule IS NULL THEN CASE k WHEN 1 THEN 'array' ELSE 'object' END END AS kind, CASE WHEN rule IS NULL THEN CASE k WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 5 END END AS nodes, CASE WHEN rule IS NULL THEN CASE k WHEN 2 THEN 2 ELSE 1 END END AS depth
@@ -26,7 +19,7 @@ FROM (SELECT event_id, k, replace(props, ' ', '') AS props_c, CASE k WHEN 3 THEN
 def props_strict_json(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
     wide = F.concat(F.lit(' {"z": '), F.col("props"), F.lit(', "a": {"b": []}}\n'))
-    text = _pick(F.col("event_id"), F.col("props"), '[1, 1.0, "<é>", null, true]', wide, F.concat(F.lit('{"k": 1, "k": '), F.col("props"), F.lit("}")), '{"k": NaN}', F.concat("props", F.lit(" x")), "{k: 1}", "[" * 66 + "]" * 66)
+    text = pick(F.col("event_id"), F.col("props"), '[1, 1.0, "<é>", null, true]', wide, F.concat(F.lit('{"k": 1, "k": '), F.col("props"), F.lit("}")), '{"k": NaN}', F.concat("props", F.lit(" x")), "{k: 1}", "[" * 66 + "]" * 66)
     found = table(spark, d, "events").select("event_id", J.column_of(J.json_report, J.REPORT, text).alias("r"))
     return found.select("event_id", "r.*")
 
@@ -44,7 +37,7 @@ def call_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
     size, brand = F.col("p_size").cast("string"), F.col("p_brand")
     whole = F.concat(F.lit("[find part(size="), size, F.lit(', brand="'), brand, F.lit('")]'))
-    text = _pick(
+    text = pick(
         F.col("p_partkey"), whole, F.concat(F.lit(' [ find( x = {"a": [1, '), size, F.lit("]} ) , order()]\n")), "[order( )]", F.concat(F.lit("[find("), size, F.lit(")]")),
         F.concat(F.lit("[find(brand='"), brand, F.lit("')]")), F.concat(whole, F.lit(" and more")), "[found(x=1)]", "find(x=1)", "[find(x=1, x=2)]", "[find(x=1]", "[find(x=NaN)]", "[" + ", ".join(["order()"] * 17) + "]",
     )
@@ -65,73 +58,11 @@ def tool_lists(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
     tools = F.concat(F.lit('[{"name": "'), F.col("s_name"), F.lit('"}, {"n": "b"}] x'))
     mark = F.lit(f"You may call. {_MARKER} ")
-    text = _pick(F.col("s_suppkey"), F.concat(mark, tools), F.concat(mark, mark, tools), F.concat(mark, F.lit("[{]")), F.concat(mark, F.lit("[1, 2]")))
+    text = pick(F.col("s_suppkey"), F.concat(mark, tools), F.concat(mark, mark, tools), F.concat(mark, F.lit("[{]")), F.concat(mark, F.lit("[1, 2]")))
     found = J.column_of(_list_report, "struct<rule string, n_tools bigint, n_characters bigint>", text)
     return table(spark, d, "supplier").select("s_suppkey", found.alias("r")).select("s_suppkey", "r.*")
 
 
-def raw_tools(spark: SparkSession, d: str) -> DataFrame:
-    """(p_partkey, tool): a tool's JSON for each part; of six forms in turn, the first portable by policy with edits."""
-    name, size = F.col("p_name"), F.col("p_size").cast("string")
-    tool = lambda schema: F.concat(F.lit('{"name": "Get '), name, F.lit('", "description": "d", "parameters": '), schema, F.lit("}"))
-    forms = [
-        F.concat(F.lit('{"type": "dict", "properties": {"size": {"type": "int", "default": '), size, F.lit('}, "tag/x": {"type": "string"}}}')),
-        F.lit('{"type": "object", "properties": {"a": {"type": "array", "items": {"type": "number"}, "maxItems": 5}}, "additionalProperties": false}'),
-        F.lit('{"type": "object", "properties": {"a": {"type": "string", "pattern": "x"}}}'),
-        F.lit('{"type": "object", "properties": {}, "additionalProperties": true}'),
-        F.concat(F.lit('{"type": "dict", "properties": {"a": {"type": "string", "default": '), size, F.lit("}}}")),
-        F.lit('{"type": ["string", "null"]}'),
-    ]
-    return table(spark, d, "part").select("p_partkey", tool(_pick(F.col("p_partkey"), *forms)).alias("tool"))
-
-
-def _conversion_report(text: str | None) -> dict:
-    rule, found = J.outcome(lambda t: S.converted(J.strict(t)), text)
-    reasons = Counter(c[1] for c in found[1]) if rule is None else {}
-    return {"rule": rule, "name": None if rule else found[0]["name"].rsplit("_", 1)[0], "n_changes": None if rule else sum(reasons.values()), "reasons": None if rule else ",".join(sorted(reasons))}
-
-
-_CONVERSION = "struct<rule string, name string, n_changes bigint, reasons string>"
-
-
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 'policy_schema_keyword_unsupported' WHEN 3 THEN 'policy_explicit_open_object' WHEN 4 THEN 'policy_default_conflicts_with_schema' WHEN 5 THEN 'policy_schema_type_unknown' END AS rule, CASE WHEN p_partkey % 6 < 2 THEN 'ta_get_' || replace(p_name, ' ', '_') END AS name, CASE p_partkey % 6 WHEN 0 THEN 7 WHEN 1 THEN 1 END AS n_changes, CASE p_partkey % 6 WHEN 0 THEN 'explicit_type_alias,preserve_default_in_description,project_bounded_string,project_closed_object,reversible_name_mapping,typed_annotation_not_argument' WHEN 1 THEN 'reversible_name_mapping' END AS reasons FROM part""")
-def tool_conversion(spark: SparkSession, d: str) -> DataFrame:
-    ship_package(spark)
-    return raw_tools(spark, d).select("p_partkey", J.column_of(_conversion_report, _CONVERSION, F.col("tool")).alias("r")).select("p_partkey", "r.*")
-
-
-@query("""WITH t AS (SELECT p_partkey % 6 AS k, p_name, p_size FROM part), r AS (SELECT k, CASE k WHEN 0 THEN 'explicit_type_alias,preserve_default_in_description,project_bounded_string,project_closed_object,reversible_name_mapping,typed_annotation_not_argument' WHEN 1 THEN 'reversible_name_mapping' END AS reasons, p_name || CASE WHEN k = 0 THEN '#' || p_size ELSE '' END AS tool FROM t WHERE k < 2), x AS (SELECT unnest(string_split(reasons, ',')) AS reason, tool FROM r) SELECT reason, count(*) AS n_occurrences, count(DISTINCT tool) AS n_tools FROM x GROUP BY 1""")
-def conversion_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Each reason by occurrences and by different tools; a tool's text is converted once, however often it occurs."""
-    ship_package(spark)
-    tools = raw_tools(spark, d).groupBy("tool").agg(F.count("*").alias("n"))
-    found = tools.select("n", J.column_of(_conversion_report, _CONVERSION, F.col("tool")).alias("r")).filter("r.rule is null")
-    reasons = found.select("n", F.explode(F.split("r.reasons", ",")).alias("reason"))
-    return reasons.groupBy("reason").agg(F.sum("n").alias("n_occurrences"), F.count("*").alias("n_tools"))
-
-
-_FLAGS = ["schema_object_unclosed,schema_string_unbounded,schema_type_unsupported,schema_keyword_unsupported", "", "schema_object_unclosed,schema_string_unbounded,schema_keyword_unsupported", "schema_object_unclosed", "schema_object_unclosed,schema_string_unbounded,schema_type_unsupported,schema_keyword_unsupported", "schema_type_unsupported"]
-
-
-@query("WITH t AS (SELECT " + repr(_FLAGS) + """[p_partkey % 6 + 1] || ',schema_contract_rejected' AS f, p_partkey % 6 AS k FROM part), x AS (SELECT k, unnest(string_split(f, ',')) AS flag FROM t UNION ALL SELECT k, 'tool_name_incompatible' FROM t UNION ALL SELECT k, 'side_effect_unknown_or_forbidden' FROM t UNION ALL SELECT k, 'tool_runtime_metadata_missing' FROM t) SELECT flag, count(*) AS n FROM x WHERE flag <> '' AND NOT (flag = 'schema_contract_rejected' AND k = 1) GROUP BY 1""")
-def tool_flag_counts(spark: SparkSession, d: str) -> DataFrame:
-    ship_package(spark)
-    flags = J.column_of(lambda t: sorted(S.tool_flags(J.strict(t))), "array<string>", F.col("tool"))
-    return raw_tools(spark, d).select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
-
-
-@query("""WITH t AS (SELECT p_partkey % 6 AS k, count(*) AS n FROM part GROUP BY 1), r AS (SELECT * FROM (VALUES (0, 'node', 'dict', 1), (0, 'node', 'int', 1), (0, 'node', 'string', 1), (0, 'keyword', 'type', 3), (0, 'keyword', 'properties', 1), (0, 'keyword', 'default', 1), (0, 'default', 'int:number', 1),
-(1, 'node', 'object', 1), (1, 'node', 'array', 1), (1, 'node', 'number', 1), (1, 'keyword', 'type', 3), (1, 'keyword', 'properties', 1), (1, 'keyword', 'items', 1), (1, 'keyword', 'maxItems', 1), (1, 'keyword', 'additionalProperties', 1),
-(2, 'node', 'object', 1), (2, 'node', 'string', 1), (2, 'keyword', 'type', 2), (2, 'keyword', 'properties', 1), (2, 'keyword', 'pattern', 1), (3, 'node', 'object', 1), (3, 'keyword', 'type', 1), (3, 'keyword', 'properties', 1), (3, 'keyword', 'additionalProperties', 1),
-(4, 'node', 'dict', 1), (4, 'node', 'string', 1), (4, 'keyword', 'type', 2), (4, 'keyword', 'properties', 1), (4, 'keyword', 'default', 1), (4, 'default', 'string:number', 1), (5, 'node', 'union', 1), (5, 'keyword', 'type', 1)) v(k, what, name, m)) SELECT what, name, CAST(sum(n * m) AS BIGINT) AS n FROM r JOIN t USING (k) GROUP BY ALL""")
-def schema_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds of schema nodes, keywords, and defaults by declared and actual type, over every occurrence of a tool."""
-    ship_package(spark)
-    rows = J.column_of(lambda t: [{"what": r[0], "name": r[1]} for r in S.catalog_rows(J.strict(t)["parameters"])], "array<struct<what string, name string>>", F.col("tool"))
-    tools = raw_tools(spark, d).groupBy("tool").agg(F.count("*").alias("n"))
-    return tools.select("n", F.explode(rows).alias("r")).groupBy("r.what", "r.name").agg(F.sum("n").alias("n"))
-
-
 _ARGUMENTS = {"type": "object", "properties": {"size": {"type": "integer", "minimum": 1, "maximum": 40}, "brand": {"type": "string", "maxLength": 8}, "tags": {"type": "array", "items": {"enum": [1, "a"], "type": "integer"}, "maxItems": 2}}, "required": ["size"], "additionalProperties": False}
 
 
@@ -139,7 +70,7 @@ _ARGUMENTS = {"type": "object", "properties": {"size": {"type": "integer", "mini
 def argument_checks(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
     size, brand = F.col("p_size").cast("string"), F.col("p_brand")
-    text = _pick(F.col("p_partkey"), F.concat(F.lit('{"size": '), size, F.lit('.0, "brand": "'), brand, F.lit('"}')), '{"size": true}', '{"brand": "x"}', '{"size": 5, "z": 1}', F.concat(F.lit('{"size": '), size, F.lit(', "tags": [1, 2]}')), F.concat(F.lit('{"size": '), size, F.lit(', "tags": [1, 1.0]}')))
+    text = pick(F.col("p_partkey"), F.concat(F.lit('{"size": '), size, F.lit('.0, "brand": "'), brand, F.lit('"}')), '{"size": true}', '{"brand": "x"}', '{"size": 5, "z": 1}', F.concat(F.lit('{"size": '), size, F.lit(', "tags": [1, 2]}')), F.concat(F.lit('{"size": '), size, F.lit(', "tags": [1, 1.0]}')))
     return table(spark, d, "part").select("p_partkey", J.column_of(lambda t: S.argument_problem(_ARGUMENTS, J.strict(t)), "string", text).alias("rule"))
 
 
@@ -148,7 +79,7 @@ def equivalent_schemas(spark: SparkSession, d: str) -> DataFrame:
     """Two writings of a schema: equal up to spaces, up to key order, up to annotations, and different by a bound."""
     ship_package(spark)
     base = '{"type": "object", "properties": {"a": {"type": "string", "maxLength": 5}}, "required": ["a"], "additionalProperties": false}'
-    other = _pick(F.col("s_suppkey"), base.replace(" ", ""), '{"additionalProperties": false, "required": ["a"], "properties": {"a": {"maxLength": 5, "type": "string"}}, "type": "object"}', base.replace('"maxLength": 5', '"maxLength": 5, "description": "d"'), base.replace("5", "6"))
+    other = pick(F.col("s_suppkey"), base.replace(" ", ""), '{"additionalProperties": false, "required": ["a"], "properties": {"a": {"maxLength": 5, "type": "string"}}, "type": "object"}', base.replace('"maxLength": 5', '"maxLength": 5, "description": "d"'), base.replace("5", "6"))
     report = lambda t: {"same_shape": S.shape(J.strict(t)) == S.shape(J.strict(base)), "same_semantics_key": J.digest(S.semantics(J.strict(t))) == J.digest(S.semantics(J.strict(base))), "same_text": J.dumped(J.strict(t)) == J.dumped(J.strict(base))}
     return table(spark, d, "supplier").select("s_suppkey", J.column_of(report, "struct<same_shape boolean, same_semantics_key boolean, same_text boolean>", other).alias("r")).select("s_suppkey", "r.*")
 
@@ -159,7 +90,7 @@ def action_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
     call = F.concat(F.lit('{"call_id": "c1", "name": "find", "arguments": {"q": "'), F.col("s_name"), F.lit('"}}'))
     calls = lambda *c: F.concat(F.lit('{"kind": "tool_calls", "content": "", "tool_calls": ['), *c, F.lit("]}"))
-    text = _pick(F.col("s_suppkey"), '{"kind": "final", "tool_calls": [], "content": "a < b"}', calls(call), calls(call, F.lit(","), call), '{"kind": "final", "tool_calls": [], "content": ""}', "[" * 30 + "]" * 30)
+    text = pick(F.col("s_suppkey"), '{"kind": "final", "tool_calls": [], "content": "a < b"}', calls(call), calls(call, F.lit(","), call), '{"kind": "final", "tool_calls": [], "content": ""}', "[" * 30 + "]" * 30)
 
     def report(t: str | None) -> dict:
         rule, value = J.outcome(J.parsed_action, t)
@@ -170,82 +101,3 @@ def action_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         return {"rule": rule, "written": written, "nodes": nodes, "depth": depth}
 
     return table(spark, d, "supplier").select("s_suppkey", J.column_of(report, "struct<rule string, written string, nodes bigint, depth bigint>", text).alias("r")).select("s_suppkey", "r.*")
-
-
-# Protocols and traces: rows of one history are folded in order
-
-
-def folded(rows: DataFrame, key: str, schema: str, function) -> DataFrame:
-    """One row for each key: function(rows of the key in order of `place`), as a dict of `schema`."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place", kind="stable").astype(object)
-        records = part.where(part.notna(), None).to_dict("records")
-        return pd.DataFrame([{key: records[0][key], **function(records)}])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
-
-
-@query("""SELECT DISTINCT conv_id, CASE WHEN k = 1 THEN 'call_not_observed' WHEN k = 2 THEN 'observation_without_call' WHEN k = 3 THEN 'call_id_repeated' WHEN k = 4 THEN 'not_before_a_decision' END AS rule FROM (SELECT conv_id, conv_id % 5 AS k FROM conversations)""")
-def protocol_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Histories with calls and observations written after each conversation's first turn, broken in four ways in turn."""
-    ship_package(spark)
-    first = table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("t"))
-    turn = lambda place, role, call, answers: F.struct(F.lit(place).alias("place"), F.lit(role).alias("role"), F.lit(call).cast("string").alias("call"), F.lit(answers).cast("string").alias("answers"))
-    user, call, seen = turn(0, "user", None, None), turn(1, "assistant", "c1", None), turn(2, "tool", None, "c1")
-    forms = [[user, call, seen], [user, call, turn(2, "user", None, None)], [user, turn(1, "tool", None, "c9")], [user, call, seen, turn(3, "assistant", "c1", None)], [user, turn(1, "assistant", None, None)]]
-    rows = first.select("conv_id", F.explode(_pick(F.col("conv_id"), *(F.array(*f) for f in forms))).alias("m")).select("conv_id", "m.*")
-    return folded(rows, "conv_id", "rule string", lambda ms: {"rule": C.protocol_problem([(m["role"], [m["call"]] if m["call"] else [], m["answers"]) for m in ms])})
-
-
-def _trace(user: Column) -> Column:
-    """Events of a recorded execution for a user, of eight forms in turn: place, index, event, call's id and size, status, retryable."""
-    event = lambda place, name, call=None, status=None, index=None, retry=False: F.struct(F.lit(place).alias("place"), F.lit(place if index is None else index).alias("index"), F.lit(name).alias("event"), F.lit(call).cast("string").alias("call_id"), F.lit(status).cast("string").alias("status"), F.lit(retry).alias("retryable"))
-    run = lambda at, call="c1": [event(at, "tool_execution", call), event(at + 1, "observing", call, "completed")]
-    forms = [
-        [event(0, "deciding"), *run(1), event(3, "finalized")], [event(0, "deciding"), *run(1), event(3, "timed_out")], [event(0, "deciding"), event(1, "tool_execution", "c1"), event(2, "finalized")],
-        [event(0, "deciding"), event(1, "observing", "c1", "completed")], [event(0, "deciding"), *run(1)[:1], event(2, "observing", "c2", "completed")], [event(0, "deciding"), event(1, "tool_execution", "c1", index=5)],
-        [event(0, "deciding"), event(1, "tool_execution", "c1"), event(2, "observing", "c1", "failed", retry=True), event(3, "deciding"), *run(4, "c2"), event(6, "finalized")], [event(0, "finalized")],
-    ]
-    return _pick(user, *(F.array(*f) for f in forms))
-
-
-def recorded_events(rows: list[dict]) -> list[dict]:
-    """Rows of a trace as events: the call of an event is `find` for the row's user."""
-    out = []
-    for r in rows:
-        call = {"call_id": r["call_id"], "name": "find", "arguments": {"user": int(r["user_id"])}} if r["call_id"] else None
-        result = {"call_id": r["call_id"], "status": r["status"], "output": None, "error_code": None, "retryable": bool(r["retryable"])} if r["status"] else None
-        out.append({"index": int(r["index"]), "event": r["event"], "call": call, "result": result})
-    return out
-
-
-def _judged(rows: list[dict]) -> dict:
-    events, user = recorded_events(rows), int(rows[0]["user_id"])
-    done = {"name": "find", "arguments": {"user": user}, "status": "completed", "output": None, "error_code": None, "retryable": False}
-    final = {"kind": "final", "value": user % 16} if any(e["event"] == "finalized" for e in events) else None
-    outcome, reason = C.verdict(events, [[done], [{**done, "status": "failed", "retryable": True}, done]], [{"kind": "final", "value": user % 16 if user % 3 else -1}], final)
-    calls, back = C.call_diagnostics(events, [[{"name": "find", "arguments": {"user": user}}]], {"find"}), C.recoveries(events)
-    return {"outcome": outcome, "reason": reason, "n_calls": len(calls), "n_matching": sum(bool(c["arguments"]) for c in calls), "n_unnecessary": sum(c["unnecessary"] is True for c in calls), "recovered": all(back) if back else None}
-
-
-@query("""SELECT user_id, CASE WHEN k IN (3, 4, 5) THEN 'unknown' WHEN k IN (0, 6) AND user_id % 3 <> 0 THEN 'success' ELSE 'failure' END AS outcome, CASE k WHEN 1 THEN 'terminated' WHEN 2 THEN 'incomplete_execution' WHEN 3 THEN 'observation_without_execution' WHEN 4 THEN 'observation_without_execution' WHEN 5 THEN 'discontinuous' WHEN 7 THEN 'execution_not_permitted' ELSE CASE WHEN user_id % 3 <> 0 THEN 'answer_and_execution_agree' ELSE 'final_value_differs' END END AS reason,
-CASE WHEN k IN (3, 7) THEN 0 WHEN k = 6 THEN 2 ELSE 1 END AS n_calls, CASE WHEN k IN (3, 7) THEN 0 ELSE 1 END AS n_matching, CASE WHEN k = 6 THEN 1 ELSE 0 END AS n_unnecessary, CASE WHEN k = 6 THEN true END AS recovered FROM (SELECT DISTINCT user_id, user_id % 8 AS k FROM events)""")
-def trace_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded executions judged against permitted ones and answers, with diagnostics of their calls; broken records are unknown."""
-    ship_package(spark)
-    users = table(spark, d, "events").select("user_id").distinct()
-    rows = users.select("user_id", F.explode(_trace(F.col("user_id"))).alias("e")).select("user_id", "e.*")
-    return folded(rows, "user_id", "outcome string, reason string, n_calls bigint, n_matching bigint, n_unnecessary bigint, recovered boolean", _judged)
-
-
-@query("SELECT s_suppkey, s_suppkey % 4 <> 2 AS observed FROM supplier")
-def dependency_observations(spark: SparkSession, d: str) -> DataFrame:
-    """Whether an execution's dependent one was decided only after its observation: two decisions, one for both, and none observed."""
-    ship_package(spark)
-    event = lambda place, name: F.struct(F.lit(place).alias("place"), F.lit(name).alias("event"))
-    apart = [event(i, n) for i, n in enumerate(("deciding", "tool_execution", "observing", "deciding", "tool_execution", "observing"))]
-    together = [event(i, n) for i, n in enumerate(("deciding", "tool_execution", "observing", "tool_execution", "observing"))]
-    rows = table(spark, d, "supplier").select("s_suppkey", F.explode(F.when(F.col("s_suppkey") % 4 == 2, F.array(*together)).otherwise(F.array(*apart))).alias("e")).select("s_suppkey", "e.*")
-    return folded(rows, "s_suppkey", "observed boolean", lambda es: {"observed": C.dependencies_observed(es, [(0, 1)])})

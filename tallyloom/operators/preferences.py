@@ -1,57 +1,12 @@
-"""Preference mining, score gates, benchmark projection, and checks of records, over rows written from the tables."""
+"""Lengths of preference pairs, score gates, and checks of records, over rows written from the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import json_rules as J
-from ..functions import preferences as P
 from ..plans.registry import query
-from ..session import ship_package
 from ..sources.tables import table
-from .agents import _pick
-
-_CALL = {"name": "find", "arguments": {"x": 1}}
-
-
-def _case(closed: bool) -> dict:
-    return {"strategies": [[_CALL]], "answers": [{"kind": "final", "value": "7"}], "domain": [_CALL], "needed": 1, "closed_answer": closed}
-
-
-def _action(form: int) -> dict:
-    calls = {0: [_CALL], 1: [{"name": "seek", "arguments": {}}], 2: [{"name": "find", "arguments": {"x": 2}}], 3: [_CALL, _CALL]}
-    if form in calls:
-        return {"kind": "tool_calls", "content": "", "tool_calls": [{**c, "call_id": f"c{form}{i}"} for i, c in enumerate(calls[form])]}
-    return {"kind": "final", "content": {4: "7", 5: "8"}[form], "tool_calls": []}
-
-
-@query("""SELECT s_suppkey, CASE WHEN seen THEN CASE k WHEN 4 THEN 'legal' ELSE 'illegal' END ELSE CASE k WHEN 0 THEN 'legal' ELSE 'illegal' END END AS verdict, CASE WHEN seen AND k IN (0, 3) THEN 'extra_call' WHEN NOT seen AND k = 0 THEN 'known_permitted_continuation' WHEN k = 3 THEN 'extra_call' WHEN k = 1 THEN 'tool_confusion' WHEN k = 2 THEN 'argument_semantics' WHEN k = 5 THEN 'final_semantics' WHEN seen THEN 'known_permitted_answer' ELSE 'premature_termination' END AS reason FROM (SELECT s_suppkey, s_suppkey % 6 AS k, s_suppkey % 4 < 2 AS seen FROM supplier)""")
-def decision_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Six actions in turn, before and after the one needed call was observed."""
-    ship_package(spark)
-    judge = lambda k: dict(zip(("verdict", "reason"), P.decision_verdict(_case(True), [_CALL] if k % 4 < 2 else [], _action(k % 6)), strict=True))
-    return table(spark, d, "supplier").select("s_suppkey", J.column_of(judge, "struct<verdict string, reason string>", F.col("s_suppkey")).alias("r")).select("s_suppkey", "r.*")
-
-
-def _trajectory(form: int, success: bool) -> dict:
-    actions = [_action(0 if success or form % 2 else 2 if form < 4 else 1), _action(4 if success else 5)]
-    before = [[], [_CALL]]
-    return {"outcome": "success" if success else "failure", "actions": actions, "before": before, "inputs": [{"turn": 0}, {"turn": 1, "branch": 0 if success or form != 5 else 1}]}
-
-
-def _pair(k: int) -> dict:
-    form = k % 6
-    left, right = _trajectory(form, True), _trajectory(form, form == 3)
-    left, right = (left, right) if k % 2 else (right, left)
-    return dict(zip(("disposition", "place", "reason"), P.compared(_case(form != 1), left, right), strict=True))
-
-
-@query("""SELECT p_partkey, CASE WHEN k = 3 THEN 'same_outcome' WHEN k = 5 THEN 'different_actual_prefix' WHEN k = 1 THEN 'unknown_current_semantics' ELSE 'selected' END AS disposition, CASE WHEN k IN (1, 5) THEN 1 WHEN k <> 3 THEN 0 END AS place, CASE WHEN k IN (0, 2) THEN 'argument_semantics' WHEN k = 4 THEN 'tool_confusion' END AS reason FROM (SELECT p_partkey, p_partkey % 6 AS k FROM part)""")
-def pair_comparisons(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of recorded trajectories: where the first illegal decision differs from a legal one made from the same input."""
-    ship_package(spark)
-    return table(spark, d, "part").select("p_partkey", J.column_of(_pair, "struct<disposition string, place bigint, reason string>", F.col("p_partkey")).alias("r")).select("p_partkey", "r.*")
 
 
 @query("SELECT conv_id, sum(n) FILTER (WHERE first) AS prompt_tokens, CAST(sum(n) FILTER (WHERE NOT first) + 1 AS BIGINT) AS completion_tokens, CASE WHEN sum(n) + 1 <= 300 THEN 'accepted' ELSE 'context_overflow' END AS disposition FROM (SELECT conv_id, len(string_split(text, ' ')) AS n, turn = min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY 1 HAVING count(*) > 1")
@@ -72,26 +27,6 @@ def score_gates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.when(~error, F.size(gates) == 0).alias("strict_success"), F.array_join(gates, ",").alias("gates"))
 
 
-def _projection(text: str | None) -> dict:
-    found, issues = P.projected(J.strict(text))
-    return {"aliases": None if found is None else ",".join(found), "n_rewrites": None if found is None else sum(len(f["rewrites"]) for f in found.values()), "issues": ",".join(sorted({c for _, c in issues})), "n_issues": len(issues)}
-
-
-@query("""SELECT p_partkey, CASE WHEN k < 2 THEN 'bench_0_get_' || replace(p_name, ' ', '_') END AS aliases, CASE k WHEN 0 THEN 2 WHEN 1 THEN 0 END AS n_rewrites, ['', '', 'object_not_explicitly_closed,string_without_supported_bound', 'unsupported_question_history', 'unsupported_or_duplicate_function_name', 'unsupported_parameter_type', 'unsupported_prompt_fields_or_tool_count'][k + 1] AS issues, [0, 0, 2, 1, 1, 1, 1][k + 1] AS n_issues FROM (SELECT p_partkey, p_name, p_partkey % 7 AS k FROM part)""")
-def benchmark_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts projected without loss, or with all their issues."""
-    ship_package(spark)
-    name = F.concat(F.lit("get."), F.replace("p_name", F.lit(" "), F.lit("_")))
-    prompt = lambda schema, names=name, question='[[{"role": "user", "content": "q"}]]', more="": F.concat(F.lit('{"id": 1, "question": ' + question + ', "function": [{"name": "'), names, F.lit('", "description": "d", "parameters": ' + schema + "}]" + more + "}"))
-    closed = '{"type": "object", "properties": {"a": {"type": "number"}}, "additionalProperties": false}'
-    forms = [
-        prompt('{"type": "dict", "properties": {"a": {"type": "float"}}, "additionalProperties": false}'), prompt(closed), prompt('{"type": "object", "properties": {"a": {"type": "string"}}}'),
-        prompt(closed, question="[]"), prompt(closed, names=F.lit("get it")), prompt('{"type": "any"}'), prompt(closed, more=', "answer": 1'),
-    ]
-    report = J.column_of(_projection, "struct<aliases string, n_rewrites bigint, issues string, n_issues bigint>", _pick(F.col("p_partkey"), *forms))
-    return table(spark, d, "part").select("p_partkey", report.alias("r")).select("p_partkey", "r.*")
-
-
 @query("""SELECT conv_id, string_agg('{"message":{"content":"' || n || '","role":"' || role || '"},"message_index":' || i || '}', chr(10) ORDER BY i) AS rendered FROM (SELECT conv_id, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY 1""")
 def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Messages as canonical JSON with their place, in order; contents stand as their lengths here, which need no escaping."""

@@ -162,26 +162,20 @@ def test_calls_and_protocols():
         assert outcome(calls.parse_calls, text, names) == (rule, None), text
     assert outcome(calls.parse_calls, "[f()]", ["f", "f"])[0] == "ambiguous_tool_names" and outcome(calls.parse_calls, "[" + "x" * 131_072, names)[0] == "call_text_budget"
     assert outcome(calls.parse_calls, "[f(" + ", ".join(f"a{i}=1" for i in range(129)) + ")]", names)[0] == "call_parameter_budget"
-    assert calls.protocol_problem([("user", [], None), ("assistant", ["a", "b"], None), ("tool", [], "b"), ("tool", [], "a")]) is None
-    assert calls.protocol_problem([]) == "not_before_a_decision"
-
-
-def test_schema_rules():
-    tool = {"name": "Größe Of", "description": "d", "parameters": {"type": "dict", "properties": {"a/b": {"type": "int", "default": 3}, "description": {"type": "string", "description": "x"}}}}
-    made, changes = schemas.converted(tool)
-    assert made["name"].startswith("ta_gr_e_of_") and schemas.portable_problem(made["parameters_json_schema"]) is None
-    assert {(c[0], c[1]) for c in changes} >= {("/parameters/properties/a~1b/type", "explicit_type_alias"), ("/parameters/additionalProperties", "project_closed_object")}
-    assert "never auto-filled" in made["parameters_json_schema"]["properties"]["a/b"]["description"] and "default" in tool["parameters"]["properties"]["a/b"]
-    assert schemas.shape(tool["parameters"])["properties"].keys() == {"a/b"}  # a property so named goes, too
-    assert schemas.semantics(made["parameters_json_schema"])["properties"].keys() == {"a/b", "description"}
-    strict = {"name": "f", "description": "d", "parameters": made["parameters_json_schema"], "tool_version": "1", "timeout_ms": 5, "side_effect_class": "read_only"}
-    assert schemas.converted_strictly(strict)["parameters_json_schema"] == made["parameters_json_schema"]
-    assert outcome(schemas.converted_strictly, {**strict, "timeout_ms": 0})[0] == "tool_contract_rejected" and outcome(schemas.converted_strictly, tool)[0] == "tool_incompatible"
-    assert schemas.argument_problem(made["parameters_json_schema"], {"a/b": 2.0}) is None and schemas.argument_problem(made["parameters_json_schema"], {"a/b": True}) == "argument_type"
+
+
+def test_schema_values():
+    raw = {"type": "dict", "properties": {"a/b": {"type": "int"}, "description": {"type": "string", "description": "x"}}, "required": ["a/b"]}
+    assert schemas.shape(raw)["properties"].keys() == {"a/b"}  # a property so named goes, too
+    assert schemas.semantics(raw)["properties"].keys() == {"a/b", "description"}
+    assert schemas.argument_problem(raw, {"a/b": 2.0}) is None and schemas.argument_problem(raw, {"a/b": True}) == "argument_type" and schemas.argument_problem(raw, {}) == "argument_missing"
+    rows = schemas.schema_rows(raw, "/parameters")
+    assert [r["pointer"] for r in rows] == ["/parameters", "/parameters/properties/a~1b", "/parameters/properties/description"] and rows[0]["ends"] == 2
+    assert schemas.edited('{"a/b": {"c": [1, 2]}}', [("/a~1b/c", None), ("/a~1b/d", '"é"')]) == '{"a/b":{"d":"é"}}'
     deep = {"type": "null"}
-    for _ in range(14):
+    for _ in range(60):
         deep = {"type": "array", "items": deep, "maxItems": 1}
-    assert schemas.portable_problem(deep) == "schema_shape" and "schema_depth_or_shape" in schemas.findings(deep)
+    assert len(schemas.schema_rows(deep, "")) == 33
 
 
 def test_small_rules():
