@@ -9,14 +9,13 @@ lives in any store Spark writes to: members joined are a WARC file. All work is
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import html
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +28,15 @@ _RAW = ("script", "style", "noscript", "template")
 _LINES = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul title".split())
 # What may stand in a head; any other element ends a head whose end tag was left out.
 _HEAD = frozenset("base basefont bgsound link meta title script style noscript template head html".split())
-#: A comment, a declaration, or a tag with its quoted attributes; a bare < is none.
-_MARK = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
+#: The rest of a tag with its quoted attributes. A quoted value that holds a < is looked for so far only, so that quotes that
+#: never end can't make a page's scan quadratic.
+_REST = r"((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'|[\"'])*+)>"
+#: A comment; a declaration; an element without markup, up to its end tag or the page's end; a tag. A bare < is none.
+_MARK = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(?ai:(script|style|noscript|template|title))(?![a-zA-Z0-9:-])" + _REST + r"(.*?)(?:(?ai:</\1)[^>]*(?:>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + _REST, re.S)
 _LINK = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _LANG = re.compile(r"""(?:^|\s)lang\s*=\s*["']?([A-Za-z-]+)""", re.I)
-_BLANKS = re.compile(r"[^\S\n]+")
+#: Runs of blanks within a line but the single space, which stays as it is.
+_BLANKS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")
 
 
 def page_parts(page: str | None) -> tuple[str, str | None, str | None, list[str]]:
@@ -43,42 +46,39 @@ def page_parts(page: str | None) -> tuple[str, str | None, str | None, list[str]
     tag ends at the first element, or text, that can't stand in one. Block elements stand on lines of their own. A < that
     begins no tag is text. Null is an empty page.
     """
-    out: list[str] = []
-    title, lang, links, inside, at, page = None, None, [], False, 0, page or ""
-    lower = page.lower()
-    if len(lower) != len(page):  # a capital whose small form is longer: fold ASCII alone
-        lower = page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    for m in iter(lambda: _MARK.search(page, at), None):
-        text = page[at : m.start()]
-        if inside and text.strip():
+    parts = _MARK.split(page or "")
+    out: list[str] = [parts[0]]
+    title, lang, links, inside = None, None, [], False
+    for raw, _, body, closing, name, rest, text in zip(*(parts[k::7] for k in range(1, 8)), strict=True):
+        if raw is not None:
+            if title is None and raw.lower() == "title":
+                title = body
+            elif raw.lower() == "title" and not inside:
+                out.append(_MARK.sub(" ", body))
+            out.append(" \n" if len(raw) == 5 and raw.lower() == "title" else " ")
+        elif name is None:
+            if not inside:
+                out.append(" ")
+        else:
+            name = name.lower()
+            if inside and (name not in _HEAD or closing and name == "head"):
+                inside = False
+            if name == "a":
+                if not closing and (link := _LINK.search(rest)):
+                    links.append(next(x for x in link.groups() if x is not None))
+            elif name == "head":
+                inside = not closing
+            elif name == "html":
+                lang = lang or (_LANG.search(rest) or [None, None])[1]
+            elif name in _LINES:
+                out.append("\n")
+            if name == "html":
+                out.append("\n")
+        if inside and text and not text.isspace():
             inside = False
         if not inside:
             out.append(text)
-        at = m.end()
-        if not m[2]:
-            out.append("" if inside else " ")
-            continue
-        name, closing = m[2].lower(), bool(m[1])
-        if inside and (name not in _HEAD or closing and name == "head"):
-            inside = False
-        if name in _RAW and not closing or name == "title" and not closing and title is None:
-            end = lower.find("</" + name, at)
-            body = page[at : end if end >= 0 else len(page)]
-            if name == "title":
-                title = body
-            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
-            out.append(" ")
-        elif name == "head":
-            inside = not closing
-        elif name == "html":
-            lang = lang or (_LANG.search(m[3]) or [None, None])[1]
-        elif name == "a" and not closing and (link := _LINK.search(m[3])):
-            links.append(next(x for x in link.groups() if x is not None))
-        if name in _LINES:
-            out.append("\n")
-    if not inside or page[at:].strip():
-        out.append(page[at:])
-    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape("".join(out)).split("\n"))
+    lines = map(str.strip, _BLANKS.sub(" ", html.unescape("".join(out))).split("\n"))
     return "\n".join(line for line in lines if line), title, lang, links
 
 
@@ -86,8 +86,14 @@ def plain_text(page: str | None) -> str:
     return page_parts(page)[0]
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_PAIRS = [a + b for a in _LETTERS for b in _LETTERS]
+
+
 def sha1_label(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """The digest in base 32, ten bits at a time."""
+    n = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([_PAIRS[n >> k & 1023] for k in range(150, -1, -10)])
 
 
 def record_id(*parts: str) -> str:
@@ -105,45 +111,112 @@ def member(record: bytes) -> bytes:
     return gzip.compress(record, 1, mtime=0)
 
 
-def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Headers and blocks of the records of a WARC file; a repeated header's values are joined by newlines.
+#: Fields whose names are read in any case.
+_FIELDS = {name.lower(): name for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Refers-To", "WARC-Refers-To-Payload-Digest", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type", "Content-Length")}
 
-    A file cut short gives its whole records; a record without Content-Length ends it.
+
+def records_of(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and blocks of the records of a WARC file that comes in pieces; a repeated header's values are joined by newlines.
+
+    What is held is one record and one piece. A file cut short gives its whole records; a record without Content-Length ends it.
     """
-    out, at = [], 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        headers: dict[str, str] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            headers[name] = f"{headers[name]}\n{value.strip()}" if name in headers else value.strip()
-        size = headers.get("Content-Length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            break
-        out.append((headers, data[end + 4 : end + 4 + int(size)]))
-        at = end + 4 + int(size)
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-    return out
+    data, at = b"", 0
+    wanted = 0  # bytes from `at` without which there is no use in looking
+    for piece in pieces:
+        data, at = data[at:] + piece if at < len(data) else piece[max(0, at - len(data)) :], 0
+        while len(data) - at >= wanted:
+            while data[at : at + 2] == b"\r\n":
+                at += 2
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                wanted = 0
+                break
+            headers: dict[str, str] = {}
+            for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                name, _, value = line.partition(":")
+                name, value = _FIELDS.get(name.strip().lower(), name), value.strip()
+                headers[name] = f"{headers[name]}\n{value}" if name in headers else value
+            size = headers.get("Content-Length", "")
+            if not (size.isascii() and size.isdigit()):
+                return
+            wanted = end + 4 + int(size) - at
+            if len(data) - at < wanted:
+                break
+            yield headers, data[end + 4 : at + wanted]
+            at, wanted = at + wanted, 0
+
+
+def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+    return list(records_of([data]))
+
+
+def unzipped_pieces(data: bytes, size: int = 1 << 13) -> Iterator[bytes]:
+    """The members of a gzip file, piece by piece; other data as it is. A member cut short gives what it holds."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        yield data
+    while view[at : at + 2] == b"\x1f\x8b":
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof and at < len(view):
+            parts.append(one.decompress(view[at : at + size]))
+            at = min(at + size, len(view))
+            if len(parts) > 64:
+                yield b"".join(parts)
+                parts = []
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def unzipped(data: bytes) -> bytes:
-    """The members of a gzip file, joined; other data as it is. A member cut short gives what it holds."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(data))
-        data = one.unused_data
-    return b"".join(out) if out else data
+    return b"".join(unzipped_pieces(data))
+
+
+def dechunked(body: bytes) -> bytes:
+    """A body without its transfer coding in chunks; what isn't so coded as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            return body
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if out else body
+
+
+def page_of(body: bytes, http_headers: str) -> str:
+    """The characters of a body: its gzip or deflate coding undone, and read as its header says, else as UTF-8; broken codings give the bytes as they are."""
+    for coding in re.findall(r"(?im)^content-encoding:[ \t]*([^\r\n]*)", http_headers)[:1]:
+        for name in reversed([c.strip().lower() for c in coding.split(",")]):
+            try:
+                if name in ("gzip", "x-gzip"):
+                    body = unzipped(body)
+                elif name == "deflate":
+                    body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+            except zlib.error:
+                break
+    charset = re.search(r"(?im)^content-type:[^\r\n]*charset=[\"']?([\w.-]+)", http_headers)
+    if charset is None or charset[1].lower() in ("utf-8", "utf8"):
+        try:
+            return body.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            return body.decode("utf-8", "replace")
+    try:
+        return body.decode(charset[1], "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
 
 
 def _clean(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value).strip()
 
 
-def derive(response_id: str, uri: str, date: str, http_headers: str, payload: str, source_headers: dict[str, str] | None = None) -> list[dict]:
-    """The conversion and the metadata record of one response; digests that its own record states are kept as they stand."""
-    body = payload.encode("utf-8", "surrogatepass")
-    text, title, lang, links = page_parts(payload)
+def derive(response_id: str, uri: str, date: str, http_headers: str, payload: bytes | str, source_headers: dict[str, str] | None = None) -> list[dict]:
+    """The conversion and the metadata record of one response; digests that its own record states are kept as they stand, others are of the payload's bytes."""
+    body = payload.encode("utf-8", "surrogatepass") if isinstance(payload, str) else payload
+    text, title, lang, links = page_parts(payload if isinstance(payload, str) else page_of(body, http_headers))
     links = [_clean(html.unescape(x)) for x in links]
     block, own = text.encode("utf-8", "surrogatepass"), source_headers or {}
     source = {"payload": own.get("WARC-Payload-Digest") or sha1_label(body), "block": own.get("WARC-Block-Digest") or sha1_label(http_headers.encode() + b"\r\n\r\n" + body)}
@@ -158,8 +231,9 @@ def derive(response_id: str, uri: str, date: str, http_headers: str, payload: st
     for kind, ident, content, mime in (("conversion", conversion_id, block, "text/plain; charset=utf-8"), ("metadata", metadata_id, meta, "application/warc-fields")):
         headers = [("WARC-Type", kind), ("WARC-Record-ID", ident), ("WARC-Date", date), ("WARC-Target-URI", _clean(uri)), ("WARC-Refers-To", response_id)]
         headers += [("WARC-Refers-To-Payload-Digest", source["payload"])] * (kind == "conversion")
-        headers += [("WARC-Block-Digest", sha1_label(content)), ("Content-Type", mime), ("Content-Length", str(len(content)))]
-        out.append({"kind": kind, "record_id": ident, "refers_to": response_id, "headers": headers, "block": content, "digest": sha1_label(content), "source_digest": source["payload"], "links": len(links)})
+        digest = sha1_label(content)
+        headers += [("WARC-Block-Digest", digest), ("Content-Type", mime), ("Content-Length", str(len(content)))]
+        out.append({"kind": kind, "record_id": ident, "refers_to": response_id, "headers": headers, "block": content, "digest": digest, "source_digest": source["payload"], "links": len(links)})
     return out
 
 
@@ -171,7 +245,7 @@ def _derive(keep: bool):
         for batch in slices(batches):
             keys, rows = [], []
             for k, (rid, uri, date, head, payload, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("response_id", "uri", "date", "http_headers", "payload", "record_headers")), strict=True)):
-                found = derive(rid, uri or "", date or "", head or "", payload or "", dict(own or ()))
+                found = derive(rid, uri or "", date or "", head or "", payload or b"", dict(own or ()))
                 keys += [k] * len(found)
                 rows += found
             column = lambda n, kind: pa.array([r[n] for r in rows], kind)
@@ -186,33 +260,43 @@ def _derive(keep: bool):
 # Sources
 
 
-RESPONSE = "response_id string, uri string, date string, http_headers string, payload string, record_headers map<string,string>"
+RESPONSE = "response_id string, uri string, date string, http_headers string, payload binary, record_headers map<string,string>"
 
 
 def response_of(headers: dict[str, str], block: bytes) -> tuple | None:
-    """A response record as a row of RESPONSE; None for other records. Bodies that aren't UTF-8 are read with their declared, else replaced, characters."""
+    """A response record as a row of RESPONSE, its body without transfer coding; None for other records."""
     if headers.get("WARC-Type") != "response" or "WARC-Record-ID" not in headers:
         return None
     head, found, body = block.partition(b"\r\n\r\n")
     head = head.decode("latin-1") if found else ""
     body = body if found else block
-    charset = re.search(r"(?im)^content-type:[^\r\n]*charset=[\"']?([\w.-]+)", head)
-    try:
-        text = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        text = body.decode("utf-8", "replace")
-    return headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), headers.get("WARC-Date"), head, text, headers
+    if re.search(r"(?im)^transfer-encoding:[^\r\n]*chunked", head):
+        body = dechunked(body)
+    return headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), headers.get("WARC-Date"), head, body, headers
 
 
 def _responses_of_files(batches) -> Iterator[pa.RecordBatch]:
-    names = ["key", "response_id", "uri", "date", "http_headers", "payload"]
-    for batch in slices(batches, 1):
-        key, data = batch.column("key")[0], batch.column("content")[0].as_py()
-        rows = [r for r in (response_of(*x) for x in parse_records(unzipped(data or b""))) if r]
-        for at in range(0, len(rows), 256):
-            part = rows[at : at + 256]
-            columns = [pa.array([key.as_py()] * len(part), key.type), *(pa.array([r[c] for r in part], pa.string()) for c in range(5)), pa.array([list(r[5].items()) for r in part], pa.map_(pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "record_headers"])
+    names = ["key", "response_id", "uri", "date", "http_headers", "payload", "record_headers"]
+    kinds = [*[pa.string()] * 4, pa.binary(), pa.map_(pa.string(), pa.string())]
+    keys, rows, held, schema = [], [], 0, None
+
+    def made():
+        columns = [pa.array(keys, schema), *(pa.array([list(r[c].items()) if c == 5 else r[c] for r in rows], kind) for c, kind in enumerate(kinds))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for batch in slices(batches):
+        schema = batch.schema.field("key").type
+        for key, data in zip(batch.column("key").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for found in records_of(unzipped_pieces(data or b"")):
+                if (row := response_of(*found)) is not None:
+                    keys.append(key)
+                    rows.append(row)
+                    held += len(row[4])
+                    if len(rows) >= 256 or held >= 1 << 24:
+                        yield made()
+                        keys, rows, held = [], [], 0
+    if rows:
+        yield made()
 
 
 def response_rows(files: DataFrame) -> DataFrame:
@@ -223,7 +307,7 @@ def response_rows(files: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of the WARC files at a path that Spark reads; key is the file's path. A file is read whole, in one task."""
+    """The response records of the WARC files at a path that Spark reads; key is the file's path. A file is read by one task, which unzips and parses it record by record."""
     return response_rows(spark.read.format("binaryFile").load(path).select(F.col("path").alias("key"), "content"))
 
 
@@ -284,7 +368,7 @@ def _parsed(batches) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         at, rows = [], []
         for k, data in enumerate(batch.column("content").to_pylist()):
-            for h, b in parse_records(unzipped(data)):
+            for h, b in records_of(unzipped_pieces(data)):
                 if h.get("WARC-Type") in ("conversion", "metadata"):
                     at.append(k)
                     rows.append((h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Block-Digest"], h.get("WARC-Refers-To-Payload-Digest") or field(b, "source-payload-digest"), len(b), b.count(b"\r\noutlink: ") if h["WARC-Type"] == "metadata" else 0))

@@ -1,5 +1,7 @@
 """The ten operators against brute force, exact round trips and held-out labels; and nulls, empty and odd rows for each."""
 
+import base64
+import gzip
 import hashlib
 import math
 import os
@@ -26,7 +28,7 @@ from tallyloom.llm.minhash_tensor import near_duplicates, shingle_set
 from tallyloom.llm.piece_codec import PieceCodec, encode_and_decode, read_model
 from tallyloom.llm.secret_forest import findings_sql, labelled_findings, redact, secret_findings, train_forest
 from tallyloom.llm.trie_counts import SharedTrie, rank_scores, token_counts
-from tallyloom.llm.warc_derivatives import derivatives, derive, member, parse_records, plain_text, read_derivatives, read_records, record_bytes, response_rows, responses, stored, unzipped, write_records
+from tallyloom.llm.warc_derivatives import derivatives, derive, member, page_parts, parse_records, plain_text, read_derivatives, read_records, record_bytes, records_of, response_of, response_rows, responses, sha1_label, stored, unzipped, unzipped_pieces, write_records
 
 SMALL = "/root/testdata/sf0.001"
 PIECES, WORDS = Q.tokenizer_path("piece_bpe_32k.model"), Q.tokenizer_path("word_bpe_49k.json")
@@ -281,7 +283,7 @@ def test_warc(spark, tmp_path):
     (tmp_path / "crawl" / "c.warc").write_bytes(b"")
     source = read_records(spark, f"file://{tmp_path}/crawl")
     rows = source.collect()
-    assert [(r["response_id"], r["date"], r["payload"], r["record_headers"]["WARC-Payload-Digest"]) for r in rows] == [("<urn:s>", "2021-02-03T04:05:06Z", "<p>é</p>", "sha1:OWN")] * 2
+    assert [(r["response_id"], r["date"], bytes(r["payload"]), r["record_headers"]["WARC-Payload-Digest"]) for r in rows] == [("<urn:s>", "2021-02-03T04:05:06Z", "<p>é</p>".encode("latin-1"), "sha1:OWN")] * 2
     write_records(derivatives(source), f"file://{tmp_path}/derived")
     kept = stored(spark, f"file://{tmp_path}/derived")
     texts = {h["WARC-Type"]: (h, b) for r in kept.collect() for h, b in parse_records(unzipped(bytes(r["content"])))}
@@ -290,6 +292,37 @@ def test_warc(spark, tmp_path):
     assert sorted((r["kind"], r["refers_to"], r["source_digest"]) for r in read_derivatives(kept).collect()) == [("conversion", "<urn:s>", "sha1:OWN")] * 2 + [("metadata", "<urn:s>", "sha1:OWN")] * 2
 
 
+def test_attributes_and_codings():
+    """Attributes that hold tags, bodies in chunks, gzip and other charsets, and what their digests are of."""
+    assert plain_text('<p>A <a title="a<b" href="u">link</a> end</p><div data-x="<i>z</i>">T</div>') == "A link end\nT"
+    assert page_parts('<a title="a<b" href="u">l</a>')[3] == ["u"] and plain_text('<p title="x>never closed <b>y') and page_parts("<title>a<title>b</title>")[1] == "a<title>b"
+    began = time.time()
+    assert plain_text('<a title="' * 60_000) and time.time() - began < 20
+    page = "<p>café</p>"
+    cases = [(page.encode(), ""), (page.encode("latin-1"), "Content-Type: text/html; charset=latin-1"), (gzip.compress(page.encode()), "Content-Encoding: gzip"), (zlib.compress(page.encode()), "content-encoding: deflate"), (b"not gzip", "Content-Encoding: gzip")]
+    for body, head in cases:
+        found = derive("<urn:x>", "u", "d", head, body)
+        assert found[0]["block"].decode() == ("not gzip" if body == b"not gzip" else "café") and found[0]["source_digest"] == sha1_label(body) and f"source-content-length: {len(body)}".encode() in found[1]["block"]
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>he\r\n8;x=y\r\nllo</p>!\r\n0\r\n\r\n"
+    assert response_of({"WARC-Type": "response", "WARC-Record-ID": "i"}, chunked)[4] == b"<p>hello</p>!"
+    assert sha1_label(b"x") == "sha1:" + base64.b32encode(hashlib.sha1(b"x").digest()).decode()
+
+
+def test_files_of_many_members():
+    """40 MB of members are read in seconds, in pieces of any size; field names in any case."""
+    one = record_bytes([("warc-type", "response"), ("WARC-RECORD-ID", "r"), ("content-length", "3000")], bytes(range(250)) * 12)
+    data = member(one) * 20_000 + member(one)[:-20]
+    assert len(data) > 6_000_000
+    began, n = time.time(), 0
+    for headers, block in records_of(unzipped_pieces(data)):
+        n += 1
+        assert headers["WARC-Type"] == "response" and len(block) == 3000
+    assert n == 20_000 and time.time() - began < 30
+    plain = one * 7 + b"\r\n" + one[:-500]
+    for size in (1, 3, 100, 5000):
+        assert len(list(records_of(plain[k : k + size] for k in range(0, len(plain), size)))) == 7
+
+
 def test_warc_of_pages(spark, odd):
     """The registered query's rows against plain derivation of every page."""
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
