@@ -210,7 +210,7 @@ def page_of(body: bytes, http_headers: str) -> str:
 
 
 def _clean(value: str) -> str:
-    return re.sub(r"[\r\n]+", " ", value).strip()
+    return (re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value).strip()
 
 
 def derive(response_id: str, uri: str, date: str, http_headers: str, payload: bytes | str, source_headers: dict[str, str] | None = None) -> list[dict]:
