@@ -11,7 +11,7 @@ from tallyloom.functions.json_rules import outcome
 from tallyloom.functions.text import template_of
 from tallyloom.operators.evaluation import bootstrap_status
 from tallyloom.operators.order import numbered
-from tallyloom.sources import lines, publish, tables
+from tallyloom.sources import arrays, lines, publish, tables
 from tallyloom.streaming.windows import first_requests, tumbling
 
 
@@ -183,3 +183,20 @@ def test_small_rules():
     assert outcome(json_rules.bounded, json.dumps(list(range(9000))))[0] == "over_complexity" and outcome(json_rules.bounded, '"' + "x" * 140_000 + '"')[0] == "over_bytes" and outcome(json_rules.strict, "1e999")[0] == "not_finite"
     assert template_of('Call “Ada” at HTTP://x.y/z on 2024-05-06, ｆｕｌｌ ß 日本 ２') == "call SLOT at URL on NUMBER full ss 日 本 NUMBER" and template_of(None) is None
     assert bootstrap_status([]) == ("NO_DATA", None, None) and bootstrap_status([(1, 2)])[0] == "NOT_ESTIMABLE" and bootstrap_status([(None, 2), (1, 1)])[0] == "INCOMPLETE_SCORING" and bootstrap_status([(-1, 1), (1, 1)]) == ("CALCULATED", -1.0, 1.0)
+
+
+def test_packed_arrays(spark, tmp_path):
+    """Any range of rows comes back as it was, from the blocks that hold it; null and empty sequences, long ones, items that don't fit."""
+    rows = [(k * 3, None if k == 5 else list(range(k % 17)) + [65_535] * (k % 2)) for k in range(200)] + [(10_000, list(range(3000)))]
+    df = spark.createDataFrame(rows, "i long, v array<int>").repartition(5)
+    path = f"file://{tmp_path}/a"
+    arrays.write_arrays(df, path, "i", "v", width=2, most=100)
+    want = sorted((i, v or []) for i, v in rows)
+    for start, stop in ((0, None), (0, 1), (37, 143), (200, 500), (50, 50), (900, None)):
+        got = arrays.read_arrays(spark, path, start, stop).orderBy("row").collect()
+        assert [(r["id"], r["items"]) for r in got] == want[start:stop] and [r["row"] for r in got] == list(range(start, start + len(got)))
+        assert all(r["start"] == sum(len(v) for _, v in want[: r["row"]]) for r in got)
+    with pytest.raises(Exception, match="doesn't fit"):
+        arrays.write_arrays(df, f"file://{tmp_path}/b", "i", "v", width=1)
+    arrays.write_arrays(df.limit(0), f"file://{tmp_path}/c", "i", "v")
+    assert arrays.read_arrays(spark, f"file://{tmp_path}/c").count() == 0
