@@ -200,3 +200,35 @@ def test_packed_arrays(spark, tmp_path):
         arrays.write_arrays(df, f"file://{tmp_path}/b", "i", "v", width=1)
     arrays.write_arrays(df.limit(0), f"file://{tmp_path}/c", "i", "v")
     assert arrays.read_arrays(spark, f"file://{tmp_path}/c").count() == 0
+
+
+def test_deadlines_of_a_stream(spark, tmp_path):
+    """A stream in several files, out of order within the watermark, gives what the batch gives; rows beyond the watermark are dropped."""
+    from datetime import datetime, timedelta
+    import random
+
+    from tallyloom.streaming.deadlines import outcomes, outcomes_of_stream
+
+    rng, start = random.Random(6), datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(seconds=40 * k + rng.randrange(30), microseconds=rng.randrange(3)), rng.randrange(4), rng.choice(["click", "click", "purchase", "error", "view"])) for k in range(240)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    parts = [rows[:100], rows[100:]]
+    for part in parts:
+        rng.shuffle(part)
+    for name, part in (("a", parts[0]), ("b", parts[1]), ("c", [(900, start + timedelta(days=3), 9, "click")]), ("d", [(901, start + timedelta(minutes=5), 0, "click"), (902, start + timedelta(days=9), 9, "click")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{name}")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for name in "abcd":
+            os.makedirs(tmp_path / "live", exist_ok=True)
+            for f in (tmp_path / "in" / name).glob("*.parquet"):
+                os.rename(f, tmp_path / "live" / f"{name}-{f.name}")
+            stream = outcomes_of_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/live"))
+            writer = stream.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/check").outputMode("append").trigger(availableNow=True)
+            writer.start(f"file://{tmp_path}/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+    want = sorted(tuple(r) for r in outcomes(spark.createDataFrame(rows + [(900, start + timedelta(days=3), 9, "click")], schema)).collect())
+    assert got == want and {r[2] for r in got} == {"dispatched", "cancelled", "timed_out"}
