@@ -81,17 +81,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z_]+|[㐀-鿿]|\p{L}+"), F.lit(0))
 
 
-def shingles(tokens: Column, size: int = 3, least: int = 8, each=None) -> Column:
-    """Distinct runs of `size` tokens, or `each` of them; none where there are fewer than `least` tokens."""
+def shingles(tokens: Column, size: int = 3, least: int = 8) -> Column:
+    """Distinct runs of `size` tokens; none where there are fewer than `least` tokens."""
     run = lambda i: F.array_join(F.slice(tokens, i, size), " ")
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (size - 1)), (lambda i: each(run(i))) if each else run)
+    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (size - 1)), run)
     return F.when(F.size(tokens) >= least, F.array_distinct(runs))
 
 
-def with_shingles(df, text: str = "text", out: str = "sh", least: int = 8, each=None):
+def with_shingles(df, text: str = "text", out: str = "sh", least: int = 8):
     """The rows of df that have shingles, with them. The tokens are bound to a lambda's variable: as a column they would
     be inlined wherever the optimizer copies the expression below a filter, and then be found anew for each shingle."""
-    bound = F.get(F.transform(F.array(words(F.col(text))), lambda w: shingles(w, least=least, each=each)), F.lit(0))
+    bound = F.get(F.transform(F.array(words(F.col(text))), lambda w: shingles(w, least=least)), F.lit(0))
     return df.withColumn(out, bound).filter(F.size(out) > 0)
 
 

@@ -62,10 +62,39 @@ def ascii_template_hash(spark: SparkSession, d: str) -> DataFrame:
 BROADCAST_SHINGLES = 1_000_000
 
 
-def hashed_shingles(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n, h) of the rows that have shingles: their number, and their distinct 64-bit hashes."""
-    own = T.with_shingles(rows.select(key, "text"), out="h", each=F.xxhash64)
-    return own.select(key, F.size("h").cast("bigint").alias("n"), "h")
+_MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _hashed_runs(size: int, least: int):
+    """Of (key, w): sorted distinct 64-bit hashes of the runs of `size` words; a batch's different words are hashed once."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column("w")
+            flat = words.flatten().dictionary_encode()
+            each = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in flat.dictionary.to_pylist()], dtype=np.uint64)
+            one = each[flat.indices.to_numpy(zero_copy_only=False)] if len(each) else np.array([], np.uint64)
+            many = np.zeros(max(0, len(one) - size + 1), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(size):
+                    many = (many + one[k : k + len(many)]) * _MIX[k % 3]
+                    many ^= many >> np.uint64(29 + k % 4)
+            ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            found = [np.unique(many[a : b - size + 1].view(np.int64)) for a, b in zip(ends, ends[1:], strict=False) if b - a >= least]
+            own = batch.column("key").filter(pa.array(np.diff(ends) >= least))
+            sizes = np.array([len(f) for f in found], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([*found, np.array([], np.int64)])))
+            yield pa.RecordBatch.from_arrays([own, pa.array(sizes), lists], ["key", "n", "h"])
+
+    return run
+
+
+def hashed_shingles(rows: DataFrame, key: str, size: int = 3, least: int = 8) -> DataFrame:
+    """(key, n, h) of the rows that have shingles: their number, and their sorted distinct 64-bit hashes."""
+    ship_package(rows.sparkSession)
+    words = rows.select(F.col(key).alias("key"), F.coalesce(T.words(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    kind = rows.schema[key].dataType.simpleString()
+    return words.mapInArrow(_hashed_runs(size, least), f"key {kind}, n long, h array<long>").withColumnRenamed("key", key)
 
 
 def met_by(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -94,7 +123,7 @@ class SimilarSets:
     def __init__(self, docs: DataFrame, percent: int = 85):
         checkpoint_folder(docs.sparkSession)
         self.percent = percent
-        sets = hashed_shingles(docs, "doc_id").withColumn("h", F.sort_array("h")).withColumn("same", F.struct("n", F.xxhash64("h"), F.hash("h"))).checkpoint()
+        sets = hashed_shingles(docs, "doc_id").withColumn("same", F.struct("n", F.xxhash64("h"), F.hash("h"))).checkpoint()
         #: (doc_id, rep): the first document with the same set; texts without shingles left out.
         self.classes = sets.select("doc_id", "same").join(sets.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep").checkpoint()
         self.sets = sets.drop("same").join(self.classes.filter("doc_id = rep").select("doc_id"), "doc_id").checkpoint()
@@ -109,7 +138,7 @@ class SimilarSets:
         """
         flat = self.sets.select("doc_id", "n", F.explode("h").alias("s"))
         common = flat.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
-        lists = flat.join(common, "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("v"))
+        lists = flat.join(common, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("v"))
         first = F.expr(f"slice(v, 1, int(greatest(0, size(v) - ceil({self.percent} * n / 100) + 1)))")
         return lists.select("doc_id", "n", F.size("v").alias("k"), F.posexplode(first).alias("i", "v")).select("doc_id", "n", (F.col("k") - F.col("i")).cast("bigint").alias("left"), F.col("v.s").alias("s"))
 
