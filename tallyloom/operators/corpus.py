@@ -48,14 +48,13 @@ def script_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.script_label(F.col("text")).alias("script"))
 
 
-_ASCII = r"^[\x00-\x7F]*$"
 _TEMPLATE = r"""array_to_string(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://[^\s]+', 'URL', 'g'), '"[^"\n]*"', 'SLOT', 'g'), '[0-9]+(?:[.,][0-9]+)*', 'NUMBER', 'g'), '[a-z_]+|[A-Z]+'), ' ')"""
 
 
-@query(rf"SELECT doc_id, sha256({_TEMPLATE}) AS template_sha256 FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@query(rf"SELECT doc_id, sha256({_TEMPLATE}) AS template_sha256 FROM documents")
 def ascii_template_hash(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(_ASCII))
-    return docs.select("doc_id", F.sha2(T.template(F.col("text")), 256).alias("template_sha256"))
+    """The template of every text by its ASCII words; `template_bridges` takes the words of all scripts."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.template(F.col("text")), 256).alias("template_sha256"))
 
 
 #: Most shingles of a small table that are broadcast (64 MB as a hashed relation at most); beyond it the join shuffles.

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..plans.registry import query
 from ..session import checkpoint_folder, ship_package
 from ..sources.tables import table
-from .corpus import _ASCII, _PAIRS, _TEMPLATE, SimilarSets, met_by
+from .corpus import _PAIRS, _TEMPLATE, SimilarSets, met_by
 
 
 def first_owner_edges(keys: DataFrame) -> DataFrame:
@@ -98,9 +98,9 @@ def isolation_violations(spark: SparkSession, d: str) -> DataFrame:
     return dealt.groupBy("component").agg(F.count_distinct("split").alias("n_splits"), F.count("*").alias("n_documents")).filter("n_splits > 1")
 
 
-@query(rf"WITH t AS (SELECT doc_id, source, sha256({_TEMPLATE}) AS k FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')), b AS (SELECT k FROM t GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT doc_id, k AS template_sha256 FROM t WHERE k IN (SELECT k FROM b)")
+@query(rf"WITH t AS (SELECT doc_id, source, sha256({_TEMPLATE}) AS k FROM documents), b AS (SELECT k FROM t GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT doc_id, k AS template_sha256 FROM t WHERE k IN (SELECT k FROM b)")
 def bridge_guard(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(_ASCII)).select("doc_id", "source", F.sha2(T.template(F.col("text")), 256).alias("template_sha256"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2(T.template(F.col("text")), 256).alias("template_sha256"))
     bad = docs.groupBy("template_sha256").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).filter("lo < hi").select("template_sha256")
     return docs.join(bad, "template_sha256", "left_semi").select("doc_id", "template_sha256")
 

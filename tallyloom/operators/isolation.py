@@ -9,8 +9,8 @@ from ..functions import text as T
 from ..plans.registry import query
 from ..session import checkpoint_folder
 from ..sources.tables import table
-from .corpus import SimilarSets, met_by
-from .groups import _GROUPS, _ITEMS, components, near_groups
+from .corpus import _TEMPLATE, SimilarSets, met_by
+from .groups import _GROUPS, _ITEMS, components, first_owner_edges, near_groups
 from .order import running_sums
 
 #: Most rows of changed labels that are broadcast.
@@ -98,6 +98,17 @@ def isolation_paths(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return every.select("doc_id", "distance", "kind", "parent", "item_id", F.array_join(F.transform(path, lambda i: i.cast("string")), ">").alias("path"))
 
 
+_KEYED = _GROUPS.replace(", grp AS", f""", tk AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({_TEMPLATE})) AS x FROM documents), kw AS (SELECT x, y FROM way UNION ALL SELECT x, doc_id FROM tk UNION ALL SELECT doc_id, x FROM tk), kr AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT kw.y, kr.root FROM kr JOIN kw ON kw.x = kr.doc_id WHERE kr.root < kw.y), keyed AS (SELECT doc_id, min(root) AS component FROM kr GROUP BY 1), grp AS""")
+
+
+@query(f"WITH RECURSIVE {_KEYED} SELECT doc_id, component FROM keyed")
+def keyed_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Documents connected by near-duplicate links and by their templates: a star from a template's first document joins the components it touches."""
+    docs = table(spark, d, "documents")
+    keys = docs.select("doc_id", F.sha2(T.template(F.col("text")), 256).alias("key")).filter("key is not null")
+    return merged_components(near_groups(docs), first_owner_edges(keys))
+
+
 @query(f"""WITH RECURSIVE {_GROUPS}, {_HELD}, start AS (SELECT doc_id, min(item_id) AS item_id FROM held GROUP BY 1),
 step AS (SELECT doc_id, 1 AS distance FROM start UNION SELECT way.y, step.distance + 1 FROM step JOIN way ON way.x = step.doc_id WHERE step.distance < 25),
 dist AS (SELECT doc_id, min(distance) AS distance FROM step GROUP BY 1),

@@ -27,11 +27,11 @@ def score_gates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.when(~error, F.size(gates) == 0).alias("strict_success"), F.array_join(gates, ",").alias("gates"))
 
 
-@query("""SELECT conv_id, string_agg('{"message":{"content":"' || n || '","role":"' || role || '"},"message_index":' || i || '}', chr(10) ORDER BY i) AS rendered FROM (SELECT conv_id, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY 1""")
+@query("""SELECT conv_id, string_agg('{"message":{"content":' || to_json(text) || ',"role":"' || role || '"},"message_index":' || i || '}', chr(10) ORDER BY i) AS rendered FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY 1""")
 def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Messages as canonical JSON with their place, in order; contents stand as their lengths here, which need no escaping."""
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.char_length("text").alias("n")))).alias("m"))
-    line = lambda x, i: F.concat(F.lit('{"message":{"content":"'), x["n"].cast("string"), F.lit('","role":"'), x["role"], F.lit('"},"message_index":'), i.cast("string"), F.lit("}"))
+    """Messages as canonical JSON with their place, in order."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    line = lambda x, i: F.concat(F.lit('{"message":'), F.to_json(F.struct(x["text"].alias("content"), x["role"].alias("role"))), F.lit(',"message_index":'), i.cast("string"), F.lit("}"))
     return turns.select("conv_id", F.array_join(F.transform("m", line), "\n").alias("rendered"))
 
 
@@ -58,14 +58,13 @@ def run_record_violations(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", rule.alias("rule")).filter("rule is not null")
 
 
-@query("""SELECT item_id, 'task-' || substr(sha256('{"family":' || (item_id % 4) || ',"length":' || length(text) || '}'), 1, 32) AS task_id, item_id % 6 <> 0 AS agrees FROM benchmark""")
+@query(r"""SELECT item_id, 'task-' || substr(sha256('{"case":"' || sha256(regexp_replace(text, '\s+', ' ', 'g')) || '"}'), 1, 32) AS task_id, regexp_replace(text, '\s+', ' ', 'g') = text AS agrees FROM benchmark""")
 def authored_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Tasks named by the digest of their case, against an authoring of which every sixth was changed since."""
-    text = lambda n: F.concat(F.lit('{"family":'), (F.col("item_id") % 4).cast("string"), F.lit(',"length":'), n.cast("string"), F.lit("}"))
-    ident = lambda n: F.concat(F.lit("task-"), F.substring(F.sha2(text(n), 256), 1, 32))
-    items = table(spark, d, "benchmark").select("item_id", F.char_length("text").alias("n"))
-    authored = items.select("item_id", ident(F.col("n") + F.when(F.col("item_id") % 6 == 0, 1).otherwise(0)).alias("authored"))
-    return items.select("item_id", ident(F.col("n")).alias("task_id")).join(authored, "item_id").select("item_id", "task_id", (F.col("task_id") == F.col("authored")).alias("agrees"))
+    """Tasks named by the digest of their case, with single blanks, against the names of the texts as they stand."""
+    ident = lambda text: F.concat(F.lit("task-"), F.substring(F.sha2(F.concat(F.lit('{"case":"'), F.sha2(text, 256), F.lit('"}')), 256), 1, 32))
+    items = table(spark, d, "benchmark")
+    authored = items.select("item_id", ident(F.col("text")).alias("authored"))
+    return items.select("item_id", ident(F.regexp_replace("text", r"\s+", " ")).alias("task_id")).join(authored, "item_id").select("item_id", "task_id", (F.col("task_id") == F.col("authored")).alias("agrees"))
 
 
 @query("SELECT s_suppkey, CASE WHEN NOT synthetic AND scripted THEN 'scripted_is_not_formal' WHEN NOT synthetic AND s_nationkey <> 3 THEN 'not_the_selected_model' END AS rule FROM (SELECT s_suppkey, s_nationkey, s_suppkey % 2 = 0 AS synthetic, s_suppkey % 5 = 0 AS scripted FROM supplier)")

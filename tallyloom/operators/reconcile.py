@@ -53,10 +53,11 @@ def clone_links(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy("n", "o").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_name AS k1, p_brand || p_type AS k2 FROM part WHERE p_partkey % 7 = 0), b AS (SELECT p_partkey AS id, p_name AS k1, p_brand || p_type AS k2 FROM part WHERE p_partkey % 41 = 1) SELECT a.id AS n, b.id AS o, CASE WHEN a.k1 = b.k1 AND a.k2 = b.k2 THEN 'k1,k2' WHEN a.k1 = b.k1 THEN 'k1' ELSE 'k2' END AS keys FROM a, b WHERE a.k1 = b.k1 OR a.k2 = b.k2""")
+@query("""WITH a AS (SELECT p_partkey AS id, p_name AS k1, p_brand || p_type AS k2 FROM part WHERE p_size < 3), b AS (SELECT p_partkey AS id, p_name AS k1, p_brand || p_type AS k2 FROM part WHERE p_size > 48) SELECT a.id AS n, b.id AS o, CASE WHEN a.k1 = b.k1 AND a.k2 = b.k2 THEN 'k1,k2' WHEN a.k1 = b.k1 THEN 'k1' ELSE 'k2' END AS keys FROM a, b WHERE a.k1 = b.k1 OR a.k2 = b.k2""")
 def development_clones(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("k1"), F.concat("p_brand", "p_type").alias("k2"))
-    return clone_links(part.filter("id % 7 = 0"), part.filter("id % 41 = 1"), ["k1", "k2"])
+    """Parts of the smallest sizes against those of the largest: the keys in which they are the same."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("k1"), F.concat("p_brand", "p_type").alias("k2"), "p_size")
+    return clone_links(part.filter("p_size < 3").drop("p_size"), part.filter("p_size > 48").drop("p_size"), ["k1", "k2"])
 
 
 @query("""WITH w AS (SELECT doc_id, 'r' || (doc_id % 3) AS reviewer FROM labels WHERE doc_id % 2 = 0), g AS (SELECT doc_id, 'r' || (doc_id % 3) AS reviewer, quality FROM labels WHERE doc_id % 10 <> 4) SELECT coalesce(w.doc_id, g.doc_id) AS doc_id, coalesce(w.reviewer, g.reviewer) AS reviewer, CASE WHEN g.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'unexpected' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict FROM w FULL JOIN g ON w.doc_id = g.doc_id AND w.reviewer = g.reviewer""")
@@ -148,10 +149,10 @@ def exclusion_view(spark: SparkSession, d: str) -> DataFrame:
     return earlier.join(gone, "doc_id", "left").select("doc_id", F.coalesce("state", F.lit("kept")).alias("state"))
 
 
-@query("""WITH e AS (SELECT conv_id, min(turn) AS t FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0 GROUP BY 1) SELECT c.conv_id, c.turn, CASE WHEN c.turn = e.t THEN 'edited' WHEN c.turn > e.t AND c.role = 'assistant' THEN 'prefix_rewritten' WHEN c.turn > e.t THEN 'unverified' ELSE 'unchanged' END AS state FROM conversations c JOIN e USING (conv_id)""")
+@query("""WITH e AS (SELECT conv_id, min(turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT c.conv_id, c.turn, CASE WHEN c.turn = e.t THEN 'edited' WHEN c.turn > e.t AND c.role = 'assistant' THEN 'prefix_rewritten' WHEN c.turn > e.t THEN 'unverified' ELSE 'unchanged' END AS state FROM conversations c JOIN e USING (conv_id)""")
 def staged_annotations(spark: SparkSession, d: str) -> DataFrame:
     """An edit of the first assistant turn: later decisions have a rewritten prefix, later other turns are unverified."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role").filter("conv_id % 3 = 0")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
     first = turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.min("turn").alias("t"))
     later = F.col("turn") > F.col("t")
     state = F.when(F.col("turn") == F.col("t"), "edited").when(later & (F.col("role") == "assistant"), "prefix_rewritten").when(later, "unverified").otherwise("unchanged")
@@ -329,11 +330,11 @@ def subset_coverage(spark: SparkSession, d: str, wanted: int = 200) -> DataFrame
     return counted.union(lacking)
 
 
-@query("""WITH d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, role || ':' || length(text) AS v FROM conversations), p AS (SELECT a.conv_id AS left_conv, b.conv_id AS right_conv FROM (SELECT DISTINCT conv_id FROM d) a JOIN (SELECT DISTINCT conv_id FROM d) b ON b.conv_id = a.conv_id + 1) SELECT left_conv, right_conv, min(i) AS first_divergence FROM p JOIN LATERAL (SELECT coalesce(x.i, y.i) AS i FROM (SELECT * FROM d WHERE conv_id = left_conv) x FULL JOIN (SELECT * FROM d WHERE conv_id = right_conv) y ON x.i = y.i WHERE x.v IS DISTINCT FROM y.v) ON true GROUP BY ALL""")
+@query("""WITH d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(role, '') || ':' || coalesce(text, '') AS v FROM conversations), p AS (SELECT a.conv_id AS left_conv, b.conv_id AS right_conv FROM (SELECT DISTINCT conv_id FROM d) a JOIN (SELECT DISTINCT conv_id FROM d) b ON b.conv_id = a.conv_id + 1) SELECT left_conv, right_conv, min(i) AS first_divergence FROM p JOIN LATERAL (SELECT coalesce(x.i, y.i) AS i FROM (SELECT * FROM d WHERE conv_id = left_conv) x FULL JOIN (SELECT * FROM d WHERE conv_id = right_conv) y ON x.i = y.i WHERE x.v IS DISTINCT FROM y.v) ON true GROUP BY ALL""")
 def first_divergence(spark: SparkSession, d: str) -> DataFrame:
-    """The first place at which each conversation and the next differ in role or length."""
+    """The first place at which each conversation and the next differ in role or text."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    steps = table(spark, d, "conversations").select("conv_id", place.cast("bigint").alias("i"), F.concat("role", F.lit(":"), F.char_length("text").cast("string")).alias("v"))
+    steps = table(spark, d, "conversations").select("conv_id", place.cast("bigint").alias("i"), F.concat(F.coalesce("role", F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).alias("v"))
     left = steps.select(F.col("conv_id").alias("left_conv"), "i", F.col("v").alias("a"))
     right = steps.select((F.col("conv_id") - 1).alias("left_conv"), "i", F.col("v").alias("b"))
     both = left.select("left_conv").distinct().join(right.select("left_conv").distinct(), "left_conv")

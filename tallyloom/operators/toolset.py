@@ -40,14 +40,14 @@ def release_manifest(spark: SparkSession, d: str) -> DataFrame:
     return looked_up(lines.select((F.col("l_orderkey") + 1).alias("l_orderkey"), "l_linenumber"), release, ["l_orderkey", "l_linenumber"], "unknown_release")
 
 
-@query("WITH s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM events), dd AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events) SELECT u.user_id, dd.day, n_events, total, CASE WHEN n_events IS NULL THEN 'snapshot_missing' END AS error FROM u CROSS JOIN dd LEFT JOIN s ON s.user_id = u.user_id AND s.day = dd.day WHERE u.user_id % 10 = 0")
+@query("WITH s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM events), dd AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events) SELECT u.user_id, dd.day, n_events, total, CASE WHEN n_events IS NULL THEN 'snapshot_missing' END AS error FROM u CROSS JOIN dd LEFT JOIN s ON s.user_id = u.user_id AND s.day = dd.day")
 def deployment_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """What each tenth user's deployment was on each day; a day without a snapshot is an error row."""
+    """What each user's deployment was on each day of the calendar; a day without a snapshot is an error row."""
     events = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
-    days = events.select("day").distinct()
+    days = events.agg(F.array_sort(F.collect_set("day")).alias("days"))  # one row, of the calendar's days
     taken = events.groupBy("user_id", "day").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
-    users = events.filter("user_id % 10 = 0").select("user_id").distinct()
-    asked = users.withColumn("day", F.explode(F.array(*[F.lit(r["day"]) for r in days.orderBy("day").collect()])))  # the calendar's days
+    users = events.select("user_id").distinct()
+    asked = users.join(F.broadcast(days)).select("user_id", F.explode("days").alias("day"))
     return looked_up(asked, taken, ["user_id", "day"], "snapshot_missing")
 
 
@@ -71,10 +71,12 @@ def incident_policy(events: Column, critical: Column, event_threshold: Column, c
     return F.when(~wrong, F.when(page, "page").otherwise("observe")), F.when(wrong, "inconsistent_counts")
 
 
-@query("SELECT s_suppkey, CASE WHEN c <= n THEN CASE WHEN n >= 60 OR c >= 5 THEN 'page' ELSE 'observe' END END AS recommendation, CASE WHEN c > n THEN 'inconsistent_counts' END AS error FROM (SELECT s_suppkey, s_suppkey % 100 AS n, s_suppkey % 7 AS c FROM supplier)")
+@query("SELECT user_id, CASE WHEN c <= n THEN CASE WHEN n >= 60 OR c >= 5 THEN 'page' ELSE 'observe' END END AS recommendation, CASE WHEN c > n THEN 'inconsistent_counts' END AS error FROM (SELECT user_id, count(*) FILTER (event_type = 'click') AS n, count(*) FILTER (event_type = 'error') AS c FROM events GROUP BY 1)")
 def incident_recommendation(spark: SparkSession, d: str) -> DataFrame:
-    advice, error = incident_policy(F.col("s_suppkey") % 100, F.col("s_suppkey") % 7, F.lit(60), F.lit(5))
-    return table(spark, d, "supplier").select("s_suppkey", advice.alias("recommendation"), error.alias("error"))
+    """Of each user's clicks, and the errors among what they did; more errors than clicks don't go together."""
+    counts = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("n"), F.count_if(F.col("event_type") == "error").alias("c"))
+    advice, error = incident_policy(F.col("n"), F.col("c"), F.lit(60), F.lit(5))
+    return counts.select("user_id", advice.alias("recommendation"), error.alias("error"))
 
 
 @query("SELECT a.p_brand, a.p_type, a.p_size, n_builds, CASE WHEN n_builds IS NULL THEN 'build_missing' END AS error FROM (SELECT DISTINCT p_brand, p_type, p_size + 1 AS p_size FROM part) a LEFT JOIN (SELECT p_brand, p_type, p_size, count(*) AS n_builds FROM part GROUP BY ALL) b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size")
