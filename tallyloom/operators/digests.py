@@ -17,8 +17,8 @@ from .order import running_sums
 
 #: Bits of keys of a leaf's range, and of each level above; differing leaves whose bounds are sent to the scan at most.
 LEAF_BITS, LEVEL_BITS, MOST_RANGES = 8, 6, 256
-#: Most differing nodes that are broadcast.
-BROADCAST_NODES = 500_000
+#: Most differing nodes that are broadcast; nodes of two trees that are compared without looking at those above them.
+BROADCAST_NODES, FEW_NODES = 500_000, 10_000
 
 
 def content_text(*columns: Column) -> Column:
@@ -101,9 +101,11 @@ def range_tree(rows: DataFrame, key: str, content: Column, levels: int = 10) ->
 
 
 def differing_ranges(left: DataFrame, right: DataFrame, levels: int = 10) -> DataFrame:
-    """(node): the leaf ranges in which two stored trees differ, found from the top: below equal nodes nothing is read."""
+    """(node): the leaf ranges in which two stored trees differ, found from the lowest level of few nodes down: below equal nodes nothing is read."""
     above = None
-    for k in reversed(range(levels)):
+    sizes = {r["level"]: r["count"] for r in left.select("level").union(right.select("level")).groupBy("level").count().collect()}  # a row a level
+    top = next((k for k in range(levels) if sizes.get(k, 0) <= FEW_NODES), levels - 1)
+    for k in reversed(range(top + 1)):
         x, y = (t.filter(F.col("level") == k).select("node", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "a", "b"))) for t, s in ((left, "x"), (right, "y")))
         if above is not None:
             few = F.broadcast(above) if above.count() <= BROADCAST_NODES else above

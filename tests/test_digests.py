@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.operators import digests
 from tallyloom.operators.digests import content_text, differing_ranges, differing_rows, first_mismatches, prefix_prints, range_tree
 
 EVENTS = "k string, turn long, text string"
@@ -36,8 +38,10 @@ def test_changes_are_found_at_their_place(spark):
     assert {r["k"]: (r["turn"], r["reason"]) for r in found.collect()} == {"c1": (7, "changed"), "c2": (29, "missing_event"), "c3": (0, "missing_event"), "c4": (30, "extra_event"), "c5": (4, "changed"), "c6": (0, "missing_event"), "c9": (3, "extra_event")}
 
 
-def test_differing_rows_by_trees(spark):
+@pytest.mark.parametrize("few", [10_000, 20])
+def test_differing_rows_by_trees(spark, monkeypatch, few):
     """Far keys, negative and null ones, repeated rows; only ranges that differ are read."""
+    monkeypatch.setattr(digests, "FEW_NODES", few)
     rng = random.Random(3)
     rows = [(rng.randrange(-(2**40), 2**40), f"v{k}") for k in range(500)] + [(k, "near") for k in range(3000)] + [(None, "n"), (7, "near"), (8, "near")]
     frame = lambda x: spark.createDataFrame(x, "k long, text string")
