@@ -3,7 +3,9 @@
 The distinct pre-tokens of a task's documents are inserted in a trie. A node stands for a prefix, and its best unigram
 segmentation (highest sum of piece scores, on ties the fewest pieces) follows from those of its ancestors, so it is
 computed once when the node is made, however many pre-tokens share the prefix; a pre-token's count is what its terminal
-node holds. Documents sum the counts of their pre-tokens. Nothing is shuffled; the trie starts anew beyond `max_nodes`.
+node holds. Documents sum the counts of their pre-tokens. Nothing is shuffled; the trie starts anew beyond `max_nodes`, and
+pre-tokens of more than `LONG_WORD` bytes, which share no prefix worth a node, are scored by the same recurrence over the
+last few places alone: of a word of any length a task holds its text and as many places as the longest piece has characters.
 
 Pre-tokens: the words [^\\x20\\x09-\\x0D]+ of a text, each with the space mark before it.
 """
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame
 from .common import documents, shared, ship_package, slices, worker_state
 
 SPACE = "▁"
+#: Bytes beyond which a pre-token gets no nodes.
+LONG_WORD = 4_096
 
 
 def rank_scores(model_path: str, offset: float = 2.7) -> dict[str, float]:
@@ -72,7 +76,26 @@ class SharedTrie:
             path.append(node)
         return node
 
+    def rolled(self, token: str) -> tuple[int, float]:
+        """The same recurrence without nodes: (pieces, score), over a ring of the last places."""
+        ring = self.longest + 1
+        best, count, scores = [0.0] * ring, [0] * ring, self.scores
+        for depth, char in enumerate(token, 1):
+            before = (depth - 1) % ring
+            score, pieces = best[before] + scores.get(char, self.unknown), count[before] + 1
+            for size in range(2, min(self.longest, depth) + 1):
+                own = scores.get(token[depth - size : depth])
+                if own is not None:
+                    back = (depth - size) % ring
+                    total, n = best[back] + own, count[back] + 1
+                    if total > score or total == score and n < pieces:
+                        score, pieces = total, n
+            best[depth % ring], count[depth % ring] = score, pieces
+        return count[len(token) % ring], best[len(token) % ring]
+
     def counts(self, word: bytes) -> tuple[int, float]:
+        if len(word) > LONG_WORD:
+            return self.rolled(SPACE + word.decode())
         found = self.terminal.get(word)
         if found is None:
             if len(self.best) > self.max_nodes:
@@ -88,7 +111,7 @@ def _count(broadcast):
         trie = worker_state(("trie", key), lambda: SharedTrie(scores))
         for batch in slices(batches):
             words = [t.encode().split() if t else [] for t in batch.column("text").to_pylist()]
-            for w in sorted(set().union(*words)):
+            for w in sorted(w for w in set().union(*words) if len(w) <= LONG_WORD):
                 trie.counts(w)
             n, tokens, score = [], [], []
             for own in words:

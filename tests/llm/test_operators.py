@@ -379,6 +379,43 @@ def test_trie_counts_equal_plain_viterbi(spark, docs, texts, odd):
     assert token_counts(odd, scores).count() == 9 and token_counts(docs.limit(0), scores).count() == 0
 
 
+def plain_segmentation(word, scores, unknown, longest):
+    """Best score and fewest pieces by a table over all places."""
+    token = "▁" + word
+    best = [(0.0, 0)]
+    for end in range(1, len(token) + 1):
+        ways = [(best[end - 1][0] + scores.get(token[end - 1], unknown), best[end - 1][1] + 1)]
+        ways += [(best[end - k][0] + scores[token[end - k : end]], best[end - k][1] + 1) for k in range(2, min(longest, end) + 1) if token[end - k : end] in scores]
+        best.append(min(ways, key=lambda x: (-x[0], x[1])))
+    return best[-1]
+
+
+def test_trie_rows_equal_plain_segmentation(spark, texts):
+    """The registered query's rows, scores included, of all whole texts."""
+    scores = rank_scores(PIECES)
+    unknown, longest, memo = min(scores.values()) - 10, max(map(len, scores)), {}
+    for r in Q.op7_trie_counts(spark, SMALL).collect():
+        words = [w.decode() for w in (texts[r["doc_id"]] or "").encode().split()]
+        for w in words:
+            if w not in memo:
+                memo[w] = plain_segmentation(w, scores, unknown, longest)
+        assert (r["n_pretokens"], r["n_tokens"]) == (len(words), sum(memo[w][1] for w in words))
+        assert math.isclose(r["score"], math.fsum(memo[w][0] for w in words), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_trie_of_long_words(spark):
+    """A word of any length makes no nodes, and counts as a short one would by the table."""
+    scores = rank_scores(PIECES)
+    trie, rng = SharedTrie(scores), random.Random(2)
+    for n in (4_096, 4_097, 9_000):
+        word = "".join(rng.choice("etaoinshrd日ü") for _ in range(n))
+        pieces, score = trie.counts(word.encode())
+        want = plain_segmentation(word, scores, trie.unknown, trie.longest)
+        assert pieces == want[1] and math.isclose(score, want[0], rel_tol=1e-9)
+    before = len(trie.best)
+    assert trie.counts(b"ab" * 150_000)[0] > 1_000 and len(trie.best) == before and len(trie.terminal) <= 1
+
+
 def test_contamination(spark, docs, texts, odd):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     windows = {}
