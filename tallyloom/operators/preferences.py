@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
@@ -35,27 +35,26 @@ def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", F.array_join(F.transform("m", line), "\n").alias("rendered"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN p <= 0 THEN 'prompt_tokens' WHEN p + c + 1 <> n THEN 'total_tokens' WHEN first_place <> p - 1 THEN 'first_supervised' WHEN last_place <> n - 2 THEN 'last_supervised' END AS problem FROM (SELECT o_orderkey, o_orderkey % 9 AS p, o_orderkey % 5 + 1 AS c, o_orderkey % 9 + o_orderkey % 5 + 2 + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS n, o_orderkey % 9 - 1 - CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS first_place, o_orderkey % 9 + o_orderkey % 5 - CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS last_place FROM orders) WHERE problem IS NOT NULL""")
+@query("""SELECT doc_id, p, c, n, CASE WHEN p <= 0 THEN 'prompt_tokens' WHEN c IS NULL THEN 'no_completion' WHEN p + c + 1 <> n THEN 'total_tokens' END AS problem FROM (SELECT doc_id, n_chars AS n, CASE WHEN strpos(text, chr(10)) > 0 THEN strpos(text, chr(10)) - 1 ELSE length(text) END AS p, CASE WHEN strpos(text, chr(10)) > 0 THEN length(text) - strpos(text, chr(10)) END AS c FROM documents WHERE text IS NOT NULL) WHERE problem IS NOT NULL""")
 def sequence_violations(spark: SparkSession, d: str) -> DataFrame:
-    """The arithmetic of measured sequences: P + C + 1 = N, and the first and last supervised places."""
-    key = F.col("o_orderkey")
-    off = lambda m: F.when(key % m == 0, 1).otherwise(0)
-    p, c = key % 9, key % 5 + 1
-    rows = table(spark, d, "orders").select("o_orderkey", p.alias("p"), c.alias("c"), (p + c + 1 + off(13)).alias("n"), (p - 1 - off(17)).alias("first"), (p + c - 1 - off(19)).alias("last"))
-    problem = F.when(F.col("p") <= 0, "prompt_tokens").when(F.col("p") + F.col("c") + 1 != F.col("n"), "total_tokens").when(F.col("first") != F.col("p") - 1, "first_supervised").when(F.col("last") != F.col("n") - 2, "last_supervised")
-    return rows.select("o_orderkey", problem.alias("problem")).filter("problem is not null")
+    """The arithmetic of measured sequences: of every document's first line and the rest, with the break between, and its stated length; P + 1 + C = N."""
+    at = F.instr("text", "\n")
+    size = F.char_length("text")
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.when(at > 0, at - 1).otherwise(size).cast("bigint").alias("p"), F.when(at > 0, size - at).cast("bigint").alias("c"), F.col("n_chars").alias("n"))
+    problem = F.when(F.col("p") <= 0, "prompt_tokens").when(F.col("c").isNull(), "no_completion").when(F.col("p") + F.col("c") + 1 != F.col("n"), "total_tokens")
+    return rows.withColumn("problem", problem).filter("problem is not null")
 
 
-@query("""SELECT o_orderkey, CASE WHEN status NOT IN ('running', 'succeeded', 'failed') THEN 'status' WHEN status = 'running' AND (ended OR code IS NOT NULL) THEN 'running_with_end' WHEN status <> 'running' AND NOT (ended AND code IS NOT NULL) THEN 'terminal_without_end' WHEN status = 'succeeded' AND code <> 0 OR status = 'failed' AND code = 0 THEN 'status_and_code' WHEN ended AND o_orderkey % 23 = 0 THEN 'ends_before_start' END AS rule FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'failed' ELSE 'x' END AS status, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 7 <> 0 THEN NULL ELSE o_orderkey % 3 END AS code, o_orderstatus <> 'O' AND o_orderkey % 11 <> 0 AS ended FROM orders) WHERE rule IS NOT NULL""")
+@query("""WITH s AS (SELECT DISTINCT * FROM sales), l AS (SELECT sale_id, count(*) AS n_lines, min(shipped_at) AS shipped FROM (SELECT DISTINCT * FROM sale_lines) GROUP BY 1)
+SELECT sale_id, rule, count(*) AS n FROM (SELECT s.sale_id, CASE WHEN status IS NULL OR status NOT IN ('open', 'done', 'held') THEN 'status' WHEN sold_at IS NULL THEN 'no_start' WHEN arrived_at < sold_at THEN 'ends_before_start' WHEN client_id IS NULL THEN 'no_owner' WHEN status = 'done' AND total IS NULL THEN 'terminal_without_total' WHEN status = 'done' AND n_lines IS NULL THEN 'terminal_without_lines' WHEN shipped < sold_at THEN 'line_before_start' END AS rule FROM s LEFT JOIN l ON l.sale_id = s.sale_id) WHERE rule IS NOT NULL GROUP BY ALL""")
 def run_record_violations(spark: SparkSession, d: str) -> DataFrame:
-    """The first rule that each run's record breaks: status, end and exit code must agree, and a run ends after it starts."""
-    key, kind = F.col("o_orderkey"), F.col("o_orderstatus")
-    status = F.when(kind == "O", "running").when(kind == "F", "succeeded").when(kind == "P", "failed").otherwise("x")
-    rows = table(spark, d, "orders").select("o_orderkey", status.alias("status"), F.when((kind == "O") & (key % 7 != 0), None).otherwise(key % 3).alias("code"), ((kind != "O") & (key % 11 != 0)).alias("ended"))
-    running, known = F.col("status") == "running", F.col("code").isNotNull()
-    rule = F.when(~F.col("status").isin("running", "succeeded", "failed"), "status").when(running & (F.col("ended") | known), "running_with_end").when(~running & ~(F.col("ended") & known), "terminal_without_end")
-    rule = rule.when((F.col("status") == "succeeded") & (F.col("code") != 0) | (F.col("status") == "failed") & (F.col("code") == 0), "status_and_code").when(F.col("ended") & (key % 23 == 0), "ends_before_start")
-    return rows.select("o_orderkey", rule.alias("rule")).filter("rule is not null")
+    """The first rule that each sale's records break, repeated rows aside: status, start, end, owner, total and lines must agree."""
+    lines = table(spark, d, "sale_lines").distinct().groupBy("sale_id").agg(F.count("*").alias("n_lines"), F.min("shipped_at").alias("shipped"))
+    rows = table(spark, d, "sales").distinct().join(lines, "sale_id", "left")
+    done = F.col("status") == "done"
+    rule = F.when(~F.coalesce(F.col("status").isin("open", "done", "held"), F.lit(False)), "status").when(F.col("sold_at").isNull(), "no_start").when(F.col("arrived_at") < F.col("sold_at"), "ends_before_start").when(F.col("client_id").isNull(), "no_owner")
+    rule = rule.when(done & F.col("total").isNull(), "terminal_without_total").when(done & F.col("n_lines").isNull(), "terminal_without_lines").when(F.col("shipped") < F.col("sold_at"), "line_before_start")
+    return rows.select("sale_id", rule.alias("rule")).filter("rule is not null").groupBy("sale_id", "rule").agg(F.count("*").alias("n"))
 
 
 @query(r"""SELECT item_id, 'task-' || substr(sha256('{"case":"' || sha256(regexp_replace(text, '\s+', ' ', 'g')) || '"}'), 1, 32) AS task_id, regexp_replace(text, '\s+', ' ', 'g') = text AS agrees FROM benchmark""")
@@ -67,17 +66,19 @@ def authored_tasks(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", ident(F.regexp_replace("text", r"\s+", " ")).alias("task_id")).join(authored, "item_id").select("item_id", "task_id", (F.col("task_id") == F.col("authored")).alias("agrees"))
 
 
-@query("SELECT s_suppkey, CASE WHEN NOT synthetic AND scripted THEN 'scripted_is_not_formal' WHEN NOT synthetic AND s_nationkey <> 3 THEN 'not_the_selected_model' END AS rule FROM (SELECT s_suppkey, s_nationkey, s_suppkey % 2 = 0 AS synthetic, s_suppkey % 5 = 0 AS scripted FROM supplier)")
+@query("SELECT client_id, source, CASE WHEN source IS NULL THEN 'unknown_source' WHEN source <> 'partner' AND email IS NULL THEN 'scripted_is_not_formal' WHEN source <> 'partner' AND client_id IS DISTINCT FROM master_id THEN 'not_the_selected_model' END AS rule FROM clients")
 def generation_models(spark: SparkSession, d: str) -> DataFrame:
-    """Formal runs need the selected model; a scripted one is for synthetic runs alone."""
-    formal = F.col("s_suppkey") % 2 != 0
-    rule = F.when(formal & (F.col("s_suppkey") % 5 == 0), "scripted_is_not_formal").when(formal & (F.col("s_nationkey") != 3), "not_the_selected_model")
-    return table(spark, d, "supplier").select("s_suppkey", rule.alias("rule"))
+    """Formal records, of all sources but partners, need an address of their own and must be their client's selected one."""
+    formal = F.col("source") != "partner"
+    rule = F.when(F.col("source").isNull(), "unknown_source").when(formal & F.col("email").isNull(), "scripted_is_not_formal").when(formal & ~F.col("client_id").eqNullSafe(F.col("master_id")), "not_the_selected_model")
+    return table(spark, d, "clients").select("client_id", "source", rule.alias("rule"))
 
 
-@query("""SELECT conv_id, n_calls, CASE WHEN n_calls > 0 AND conv_id % 3 = 0 THEN n_calls END AS n_matching, CASE WHEN conv_id % 4 = 0 THEN n_calls ELSE 0 END AS n_unnecessary, 'N/A' AS recovery FROM (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS n_calls FROM conversations GROUP BY 1)""")
+@query("""WITH t AS (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations)
+SELECT conv_id, count(*) FILTER (role = 'assistant') AS n_calls, CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN count(*) FILTER (role = 'assistant' AND was = 'user') END AS n_matching, count(*) FILTER (role = 'assistant' AND was IS DISTINCT FROM 'user') AS n_unnecessary, 'N/A' AS recovery FROM t GROUP BY 1""")
 def single_decision_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    """Diagnostics of single decisions: a passed match confirms all calls, a failed one leaves them unknown; what a single decision can't show is N/A."""
-    calls = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n_calls"))
-    n = F.col("n_calls")
-    return calls.select("conv_id", "n_calls", F.when((n > 0) & (F.col("conv_id") % 3 == 0), n).alias("n_matching"), F.when(F.col("conv_id") % 4 == 0, n).otherwise(0).alias("n_unnecessary"), F.lit("N/A").alias("recovery"))
+    """Diagnostics of decisions: those that answer a user's turn match, others are needless; without decisions a match is unknown; what a single decision can't show is N/A."""
+    turns = table(spark, d, "conversations").select("conv_id", "role", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("was"))
+    made, asked = F.col("role") == "assistant", F.col("was").eqNullSafe(F.lit("user"))
+    sums = turns.groupBy("conv_id").agg(F.count_if(made).alias("n_calls"), F.count_if(made & asked).alias("m"), F.count_if(made & ~asked).alias("n_unnecessary"))
+    return sums.select("conv_id", "n_calls", F.when(F.col("n_calls") > 0, F.col("m")).alias("n_matching"), "n_unnecessary", F.lit("N/A").alias("recovery"))

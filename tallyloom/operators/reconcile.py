@@ -263,12 +263,11 @@ def output_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", ladder.alias("status"))
 
 
-@query("SELECT mode, count(*) AS n, least(count(*), cap) AS allowed, count(*) > cap AS violates FROM (SELECT CASE conv_id % 4 WHEN 0 THEN 'smoke' WHEN 1 THEN 'formal' WHEN 2 THEN 'probe' ELSE 'pilot' END AS mode, CASE conv_id % 4 WHEN 0 THEN 48 WHEN 1 THEN 60 WHEN 2 THEN 2 ELSE 4 END AS cap FROM conversations) GROUP BY mode, cap")
+@query("SELECT lang AS mode, count(*) AS n, least(count(*), cap) AS allowed, count(*) > cap AS violates FROM (SELECT lang, CASE lang WHEN 'en' THEN 500 WHEN 'de' THEN 200 ELSE 100 END AS cap FROM documents) GROUP BY lang, cap")
 def mode_caps(spark: SparkSession, d: str) -> DataFrame:
-    """Inputs of each mode against the mode's cap, as violations; no row is cut."""
-    caps = F.create_map(*(F.lit(x) for pair in (("smoke", 48), ("formal", 60), ("probe", 2), ("pilot", 4)) for x in pair))
-    mode = F.element_at(F.array(*map(F.lit, ("smoke", "formal", "probe", "pilot"))), (F.col("conv_id") % 4 + 1).cast("int"))
-    rows = table(spark, d, "conversations").groupBy(mode.alias("mode")).agg(F.count("*").alias("n")).withColumn("cap", F.element_at(caps, F.col("mode")).cast("bigint"))
+    """Documents of each language against the language's cap, as violations; no row is cut."""
+    cap = F.when(F.col("lang") == "en", 500).when(F.col("lang") == "de", 200).otherwise(100).cast("bigint")
+    rows = table(spark, d, "documents").groupBy(F.col("lang").alias("mode"), cap.alias("cap")).agg(F.count("*").alias("n"))
     return rows.select("mode", "n", F.least("n", "cap").alias("allowed"), (F.col("n") > F.col("cap")).alias("violates"))
 
 
@@ -277,17 +276,12 @@ def conversation_features(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg((F.count("*") > 4).alias("long"), F.bool_or(F.col("role") == "system").alias("has_system"), F.bool_or(F.col("text").rlike(r"[^\x00-\x7F]")).alias("non_ascii"), F.bool_or(F.col("text").contains("?")).alias("asks"))
 
 
-@query("SELECT doc_id, CASE WHEN v NOT IN ('pass', 'unknown', 'fail') THEN 'verdict' WHEN doc_id % 19 = 0 THEN 'identity' WHEN doc_id % 23 = 0 THEN 'time' END AS problem FROM (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 'maybe' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS v FROM labels) WHERE problem IS NOT NULL")
+@query("SELECT stamp_id, source, CASE WHEN raw IS NULL THEN 'missing' WHEN zone IS NULL THEN 'identity' WHEN NOT regexp_full_match(raw, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]{1,6})?(Z|\\+00:00)') THEN 'time' END AS problem FROM stamps WHERE problem IS NOT NULL")
 def review_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Filled reviews against blank ones: identity columns equal, verdict one of three, time in UTC."""
-    from ..functions.records import utc_timestamp
-
-    key = F.col("doc_id")
-    blank = table(spark, d, "labels").select("doc_id", F.concat(F.lit("d"), key.cast("string")).alias("identity"))
-    verdict = F.when(key % 29 == 0, "maybe").when(F.col("quality") == 1, "pass").otherwise("fail")
-    filled = table(spark, d, "labels").select("doc_id", F.concat(F.when(key % 19 == 0, "x").otherwise("d"), key.cast("string")).alias("given"), verdict.alias("verdict"), F.when(key % 23 == 0, "2024-01-01T00:00:00+02:00").otherwise("2024-01-01T00:00:00Z").alias("time"))
-    problem = F.when(~F.col("verdict").isin("pass", "unknown", "fail"), "verdict").when(F.col("given") != F.col("identity"), "identity").when(utc_timestamp(F.col("time")).isNull(), "time")
-    return blank.join(filled, "doc_id", "left").select("doc_id", problem.alias("problem")).filter("problem is not null")
+    """Times as recorded by every source: given at all, with a zone on record, and written in UTC; the first rule that each breaks."""
+    utc = F.col("raw").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(Z|\+00:00)$")
+    problem = F.when(F.col("raw").isNull(), "missing").when(F.col("zone").isNull(), "identity").when(~utc, "time")
+    return table(spark, d, "stamps").select("stamp_id", "source", problem.alias("problem")).filter("problem is not null")
 
 
 @query("SELECT doc_id, regexp_extract(t, 'Today is ([0-9]{4}-[0-9]{2}-[0-9]{2}), (Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)\\.', 1) AS day, replace(t, 'You are an assistant. ', '') AS kept, starts_with(t, 'You are an assistant. ') AS known FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'You are an assistant. Today is 2024-01-0' || (doc_id % 9 + 1) || ', Monday.' WHEN 1 THEN 'You are an assistant. ' ELSE 'Today is 2024-1-1, Mon.' END AS t FROM labels)")
@@ -365,12 +359,15 @@ def length_audit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.bool_and(need <= 4096).alias("passes"), F.max(need).cast("bigint").alias("longest"))
 
 
-@query("SELECT s_suppkey, expected, actual, expected IS NOT DISTINCT FROM actual AS agrees FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS expected FROM supplier) LEFT JOIN (SELECT s_suppkey AS k, CASE WHEN s_acctbal > 0 THEN 'positive' ELSE 'negative' END AS actual FROM supplier WHERE s_suppkey % 7 <> 0) ON k = s_suppkey")
+@query("""WITH m AS (SELECT nation_id, avg(balance) AS mean FROM vendors GROUP BY 1)
+SELECT vendor_id, expected, actual, expected IS NOT DISTINCT FROM actual AS agrees FROM (SELECT vendor_id, CASE WHEN mean > 0 THEN 'positive' WHEN mean <= 0 THEN 'negative' END AS expected, CASE WHEN balance > 0 THEN 'positive' WHEN balance <= 0 THEN 'negative' END AS actual FROM vendors v LEFT JOIN m ON m.nation_id = v.nation_id)""")
 def scripted_checks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "supplier")
-    actual = rows.filter("s_suppkey % 7 <> 0").select("s_suppkey", F.when(F.col("s_acctbal") > 0, "positive").otherwise("negative").alias("actual"))
-    expected = rows.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "positive").otherwise("negative").alias("expected"))
-    return expected.join(actual, "s_suppkey", "left").select("s_suppkey", "expected", "actual", F.col("expected").eqNullSafe(F.col("actual")).alias("agrees"))
+    """Each vendor's balance against what its nation's mean has one expect; unknown ones agree with unknown ones alone."""
+    rows = table(spark, d, "vendors")
+    sign = lambda c: F.when(F.col(c) > 0, "positive").when(F.col(c) <= 0, "negative")
+    means = rows.groupBy("nation_id").agg(F.avg("balance").alias("mean"))
+    both = rows.join(means, "nation_id", "left").select("vendor_id", sign("mean").alias("expected"), sign("balance").alias("actual"))
+    return both.withColumn("agrees", F.col("expected").eqNullSafe(F.col("actual")))
 
 
 @query("""WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS a, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS b, row_number() OVER (PARTITION BY source ORDER BY sha256('["review",42,"' || doc_id || '"]'), doc_id) AS c, row_number() OVER (ORDER BY sha256('["review",42,"' || doc_id || '"]'), doc_id) AS f FROM documents), p AS (SELECT doc_id, CASE WHEN a <= 2 THEN 'shortest' WHEN b <= 2 THEN 'longest' WHEN c = 1 THEN 'first_of_source' ELSE 'fill' END AS reason, f FROM r), q AS (SELECT *, row_number() OVER (PARTITION BY reason = 'fill' ORDER BY f) AS g FROM p), n AS (SELECT count(*) AS k FROM p WHERE reason <> 'fill') SELECT doc_id, reason FROM q, n WHERE reason <> 'fill' OR g <= greatest(0, 30 - k)""")
