@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import agents, conversations, corpus, digests, evaluation, groups, intervals, isolation, judging, packed, preferences, quantiles, reconcile, records, selection, tools, toolschemas, toolset  # noqa: F401  they register their queries
+from .operators import agents, conversations, corpus, digests, evaluation, groups, intervals, isolation, judging, packed, pairing, preferences, quantiles, reconcile, records, selection, tools, toolschemas, toolset  # noqa: F401  they register their queries
 from .plans.registry import REGISTRY
 from .streaming import deadlines, windows  # noqa: F401
 

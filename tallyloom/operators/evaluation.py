@@ -103,13 +103,14 @@ def failure_index(spark: SparkSession, d: str) -> DataFrame:
     return failed.groupBy(F.col("event_type").alias("category"), F.when(F.col("value") > 90, "too_high").otherwise("too_low").alias("reason")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
 
 
-@query("WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS p, event_id % 2 AS side FROM events) SELECT a.user_id, a.p AS place, a.event_type = b.event_type AS same, round(b.value - a.value, 6) AS delta FROM e a JOIN e b ON a.user_id = b.user_id AND a.p = b.p AND a.side = 0 AND b.side = 1")
+@query("WITH e AS (SELECT user_id, props, value, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events WHERE event_type IN ('view', 'click')) SELECT a.user_id, a.p AS place, a.props = b.props AS same, round(b.value - a.value, 6) AS delta FROM e a JOIN e b ON a.user_id = b.user_id AND a.p = b.p AND a.event_type = 'view' AND b.event_type = 'click'")
 def cache_pairing(spark: SparkSession, d: str) -> DataFrame:
-    """Two conditions paired by sequence and place."""
-    e = table(spark, d, "events").select("user_id", "event_type", "value", "event_id", "ts", (F.col("event_id") % 2).alias("side"))
-    e = e.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "side").orderBy("ts", "event_id")).cast("bigint"))
-    a, b = (e.filter(F.col("side") == s).select("user_id", "place", F.col("event_type").alias(f"t{s}"), F.col("value").alias(f"v{s}")) for s in (0, 1))
-    return a.join(b, ["user_id", "place"]).select("user_id", "place", (F.col("t0") == F.col("t1")).alias("same"), F.round(F.col("v1") - F.col("v0"), 6).alias("delta"))
+    """Two conditions, a user's views and clicks, paired by place; `same` and `delta` are unknown where either side is."""
+    e = table(spark, d, "events").filter(F.col("event_type").isin("view", "click")).select("user_id", "event_type", "props", "value", "event_id", "ts")
+    e = e.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).cast("bigint"))
+    a, b = (e.filter(F.col("event_type") == s).select("user_id", "place", F.col("props").alias(f"p{k}"), F.col("value").alias(f"v{k}")) for k, s in enumerate(("view", "click")))
+    same = F.when(F.col("p0").isNotNull() & F.col("p1").isNotNull(), F.col("p0") == F.col("p1"))
+    return a.join(b, ["user_id", "place"]).select("user_id", "place", same.alias("same"), F.round(F.col("v1") - F.col("v0"), 6).alias("delta"))
 
 
 @query("SELECT event_id, lead(event_type) OVER w AS next_type, CAST(date_diff('second', ts, lead(ts) OVER w) AS BIGINT) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

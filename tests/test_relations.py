@@ -10,6 +10,7 @@ from tallyloom.operators.groups import components
 from tallyloom.operators.intervals import micros, overlaps
 from tallyloom.operators.isolation import group_selection, isolation_paths, merged_components
 from tallyloom.operators.order import running_sums
+from tallyloom.operators.pairing import applied_review, pair_dispositions, plan_states
 from tallyloom.operators.quantiles import exact_quantiles
 
 
@@ -132,3 +133,30 @@ def test_running_sums(spark):
     rows = [(g, k, k % 5) for g in ("x", None, "y") for k in range(200 if g == "x" else 3)]
     got = running_sums(spark.createDataFrame(rows, "g string, k long, v long").repartition(3), "g", ["k"], "v", "s").collect()
     assert all(r["s"] == sum(v for g, k, v in rows if g == r["g"] and k <= r["k"]) for r in got) and len(got) == len(rows)
+
+
+def test_plans_pairs_and_reviews(spark):
+    """Missing, unplanned and repeated records; the first valid pair with all dispositions against a loop over all pairs; a review's gates."""
+    plan, records = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k long"), spark.createDataFrame([(1, 1), (1, 1), (1, 2), (3, 1), (None, 1)], "k long, part int")
+    assert {tuple(r) for r in plan_states(plan, records, "k", "part").collect()} == {(1, "planned", 3, 1), (2, "missing", 0, 0), (3, "unplanned", 1, 0), (None, "planned", 1, 0)}
+    rng = random.Random(4)
+    rows = [(t, rng.randrange(12), rng.choice(["success", "failure", "unknown", None]), rng.choice([True, True, True, False, None])) for t in range(30) for _ in range(9)]
+    want = {}
+    for task in range(30):
+        ids = {}
+        for t, i, o, v in rows:
+            if t == task:
+                ids.setdefault(i, []).append((o, v))
+        good = sorted((i, x[0][0]) for i, x in ids.items() if len(x) == 1 and x[0][1] and x[0][0] in ("success", "failure"))
+        pairs = [(a, b) for k, a in enumerate(good) for b in good[k + 1 :]]
+        valid = [p for p in pairs if p[0][1] != p[1][1]]
+        first = sorted(valid[0], key=lambda x: x[1], reverse=True) if valid else ((None,), (None,))
+        once = [x[0] for x in ids.values() if len(x) == 1]
+        want[task] = (first[0][0], first[1][0], len(ids) - len(once), sum(not v for _, v in once), sum(bool(v) and o not in ("success", "failure") for o, v in once), len(good), len(pairs) - len(valid), len(valid), max(0, len(valid) - 1))
+    got = {r["task"]: tuple(r)[1:] for r in pair_dispositions(spark.createDataFrame(rows, "task int, id int, outcome string, valid boolean")).collect()}
+    assert got == want and any(w[0] is None for w in want.values()) and any(w[7] > 1 for w in want.values())
+    pool = spark.range(100)
+    gate = lambda sample, verdicts: tuple(applied_review(spark.createDataFrame([(k,) for k in sample], "id long"), pool, spark.createDataFrame(verdicts, "id long, verdict string")).first())
+    fine = [(k, "pass") for k in range(40)]
+    assert gate(range(20), [*fine[1:], (0, "fail"), (50, "unknown")]) == (20, 0, 1, 2, 98, False)
+    assert gate(range(20), [*fine[2:], (0, "fail"), (1, "unknown")]) == (20, 0, 2, 2, 98, True) and gate(range(41), fine)[5] is True and gate([], fine)[5] is True
