@@ -45,6 +45,9 @@ class SharedTrie:
     def __init__(self, scores: dict[str, float], max_nodes: int = 400_000):
         self.scores, self.max_nodes = scores, max_nodes
         self.longest = max(map(len, scores), default=1)
+        # Every end, of two characters or more, of every piece, with its score if it is one: what isn't here ends no longer piece.
+        self.ends: dict[str, float | None] = {piece[k:]: None for piece in scores for k in range(len(piece) - 1)}
+        self.ends.update((piece, score) for piece, score in scores.items() if len(piece) > 1)
         self.unknown = min(scores.values(), default=0.0) - 10
         self.clear()
 
@@ -56,18 +59,19 @@ class SharedTrie:
     def insert(self, token: str) -> int:
         """The terminal node of a pre-token, with the nodes on its way."""
         node, path = 0, [0]
-        children, best, count, scores = self.children, self.best, self.count, self.scores
+        children, best, count, scores, end_of, none = self.children, self.best, self.count, self.scores, self.ends.get, self.unknown
         for depth, char in enumerate(token, 1):
             key = node << 21 | ord(char)
             node = children.get(key)
             if node is None:
-                score = best[path[-1]] + scores.get(char, self.unknown)
+                score = best[path[-1]] + scores.get(char, none)
                 pieces = count[path[-1]] + 1
-                for size in range(2, min(self.longest, depth) + 1):
-                    own = scores.get(token[depth - size : depth])
+                for start in range(depth - 2, -1, -1):
+                    own = end_of(token[start:depth], none)
+                    if own is none:
+                        break
                     if own is not None:
-                        back = path[-size]
-                        total, n = best[back] + own, count[back] + 1
+                        total, n = best[path[start]] + own, count[path[start]] + 1
                         if total > score or total == score and n < pieces:
                             score, pieces = total, n
                 node = children[key] = len(best)
@@ -111,14 +115,11 @@ def _count(broadcast):
         trie = worker_state(("trie", key), lambda: SharedTrie(scores))
         for batch in slices(batches):
             words = [t.encode().split() if t else [] for t in batch.column("text").to_pylist()]
-            for w in sorted(w for w in set().union(*words) if len(w) <= LONG_WORD):
-                trie.counts(w)
-            n, tokens, score = [], [], []
-            for own in words:
-                found = [trie.counts(w) for w in own]
-                n.append(len(own))
-                tokens.append(sum(f[0] for f in found))
-                score.append(math.fsum(f[1] for f in found))
+            # Each different word of the batch is counted once, words of one prefix after each other.
+            found = {w: trie.counts(w) for w in sorted(set().union(*words))}
+            pieces, scored = {w: f[0] for w, f in found.items()}.__getitem__, {w: f[1] for w, f in found.items()}.__getitem__
+            n = list(map(len, words))
+            tokens, score = [sum(map(pieces, own)) for own in words], [math.fsum(map(scored, own)) for own in words]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(tokens, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_pretokens", "n_tokens", "score"])
 
     return run
