@@ -20,7 +20,8 @@ connects; more such rounds follow while one still joins more than a twentieth of
   passage, however many, aren't compared for it.
 
 All that is left is confirmed on the whole sets. So neither a large group of near copies, nor a passage in very many
-documents, yields rows by the square of its members. Links are lost by the tables (2.2e-4 of the pairs at 0.75, less above),
+documents that differ otherwise, yields rows by the square of its members. Documents of crowded keys that are put together
+from the same few passages, none of them rare, do: the filter by rare shingles keeps their pairs. Links are lost by the tables (2.2e-4 of the pairs at 0.75, less above),
 `tables` (2e-5) and the sketch (5e-5), and where 32-bit hashes of a pair's sets collide (below 1e-5).
 """
 

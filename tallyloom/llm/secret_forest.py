@@ -29,7 +29,8 @@ _NAME = "(?=[acpstACPST])(?i:a(?:pi[_-]?key|ccess[_-]key|uth[_-]token)|credentia
 _TO = r"[\"'`]?[ \t]{0,2}(?::=|=>|[=:])[ \t]{0,2}[\"'`]?"
 _RUN = r"[A-Za-z0-9+/=_.\-]"
 _VALUE = r"[^\s\"'`,;<>]{5,}[^\s\"'`,;<>.)]"
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+#: A key of any length; its body has no dash, so the search for its end goes as far as the next one, once.
+_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
 #: A match is a key block, a name with what is assigned to it, or a run.
 CANDIDATE = rf"{_BLOCK}|{_NAME}{_TO}{_VALUE}|(?<!{_RUN})(?={_RUN}{{16}})(?={_RUN}*[0-9]|{_RUN}*[A-Z]{_RUN}*[A-Z]){_RUN}{{16,}}"
 #: The name at the beginning of such a match, and where nothing at all can match.
@@ -40,9 +41,6 @@ DICTIONARY = "the and for with from this that have about your user name file dat
 KEY_WORDS = "token secret passw pwd passphrase apikey api_key api-key access_key credential auth bearer private_key client_key signing"
 HASH_WORDS = "commit sha1 sha256 sha-1 sha-256 md5 digest checksum etag revision hash uuid guid build base64 image/ card order invoice isbn serial fingerprint"
 
-_WORDS = "token secret passw pwd apikey api_key api-key access_key credential auth bearer private_key client_key signing"
-HASH_WORDS = "commit sha1 sha256 sha-1 sha-256 md5 digest checksum etag revision hash uuid guid build base64 image/ card order invoice isbn serial fingerprint"
-
 _WORDS = "|".join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w)))
 _any = lambda words: "|".join(w.replace("-", "[-]") for w in words.split())
 
