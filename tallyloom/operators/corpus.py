@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -141,12 +142,20 @@ class SimilarSets:
         first = F.expr(f"slice(v, 1, int(greatest(0, size(v) - ceil({self.percent} * n / 100) + 1)))")
         return lists.select("doc_id", "n", F.size("v").alias("k"), F.posexplode(first).alias("i", "v")).select("doc_id", "n", (F.col("k") - F.col("i")).cast("bigint").alias("left"), F.col("v.s").alias("s"))
 
+    def scale(self, n: Column) -> Column:
+        """The class of a set's size: sizes of similar sets are of one class or the next, so others of a common key don't meet."""
+        return F.floor(F.log(n.cast("double")) / math.log(100 / self.percent))
+
+    def reach(self, n: Column) -> Column:
+        """The classes in which a set meets larger ones; one more than sizes need, for the logarithms' rounding."""
+        return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: self.scale(n) + k)
+
     def candidates(self, rows: DataFrame, across: str) -> DataFrame:
         """(x, y), x < y, of rows of one shingle for which `across` holds (of the columns and their small_ namesakes) and sizes and places fit."""
         p = self.percent
-        small = rows.filter(f"{100 + p} * left >= {2 * p} * n").select("s", *(F.col(c).alias(f"small_{c}") for c in rows.columns if c != "s"))
+        small = rows.filter(f"{100 + p} * left >= {2 * p} * n").select("s", *(F.col(c).alias(f"small_{c}") for c in rows.columns if c != "s"), F.explode(self.reach(F.col("n"))).alias("scale"))
         fits = f"({across}) AND (small_n < n OR small_n = n AND small_doc_id < doc_id) AND 100 * small_n >= {p} * n AND {100 + p} * least(small_left, left) >= {p} * (small_n + n)"
-        pairs = rows.join(small, "s").filter(fits)
+        pairs = rows.withColumn("scale", self.scale(F.col("n"))).join(small, ["s", "scale"]).filter(fits)
         return pairs.select(F.least("doc_id", "small_doc_id").alias("x"), F.greatest("doc_id", "small_doc_id").alias("y")).distinct()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -204,8 +213,11 @@ def neardup_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
     sets = SimilarSets(docs)
     texts = docs.join(sets.sets.select("doc_id"), "doc_id", "left_semi")
     bands = T.with_shingles(texts.select("doc_id", "text")).select("doc_id", "sh").mapInArrow(minhash_bands(), "doc_id long, keys array<binary>")
-    flat = bands.select("doc_id", F.explode("keys").alias("key")).checkpoint()
-    pairs = flat.select(F.col("doc_id").alias("x"), "key").join(flat.select(F.col("doc_id").alias("y"), "key"), "key").filter("x < y").select("x", "y").distinct()
+    flat = bands.select("doc_id", F.explode("keys").alias("key")).join(sets.sets.select("doc_id", "n"), "doc_id").checkpoint()
+    large = flat.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "key", sets.scale(F.col("n")).alias("scale"))
+    small = flat.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "key", F.explode(sets.reach(F.col("n"))).alias("scale"))
+    fits = f"(na < nb OR na = nb AND a < b) AND 100 * na >= {sets.percent} * nb"
+    pairs = small.join(large, ["key", "scale"]).filter(fits).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     return sets.confirmed(pairs)
 
 

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators.groups import components
+from tallyloom.operators.corpus import similar_pairs
+from tallyloom.operators.groups import components, near_groups
 from tallyloom.operators.intervals import micros, overlaps
 from tallyloom.operators.isolation import group_selection, isolation_paths, merged_components
 from tallyloom.operators.order import running_sums
@@ -160,3 +161,25 @@ def test_plans_pairs_and_reviews(spark):
     fine = [(k, "pass") for k in range(40)]
     assert gate(range(20), [*fine[1:], (0, "fail"), (50, "unknown")]) == (20, 0, 1, 2, 98, False)
     assert gate(range(20), [*fine[2:], (0, "fail"), (1, "unknown")]) == (20, 0, 2, 2, 98, True) and gate(range(41), fine)[5] is True and gate([], fine)[5] is True
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    """Texts cut to every length about the limit of 85 in 100, edited ones, copies and short ones, against all pairs of their sets."""
+    rng, texts = random.Random(7), []
+    names = [chr(97 + k // 26) + chr(97 + k % 26) * 2 for k in range(400)]
+    for base in range(3):
+        own = rng.sample(names, 122)
+        texts += [" ".join(own[: 122 - cut]) for cut in range(0, 40, 2)] + [" ".join(own), " ".join(own[:7])]
+        for _ in range(12):
+            edited = list(own)
+            for _ in range(rng.randrange(1, 6)):
+                edited[rng.randrange(122)] = rng.choice(names)
+            texts.append(" ".join(edited))
+    texts += ["", None, " ".join(names[:9]), " ".join(names[:10])]
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in enumerate(texts) if len(w := (t or "").split()) >= 8}
+    reps = {k: min(j for j in sets if sets[j] == s) for k, s in sets.items()}
+    want = sorted((a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b and reps[a] == a and reps[b] == b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, similar_pairs(docs).collect())) == want and len(want) > 200
+    groups = {r["doc_id"]: r["component"] for r in near_groups(docs).collect()}
+    assert all(groups[a] == groups[b] for a, b, _, _ in want) and all(groups[k] == groups[r] for k, r in reps.items()) and len(set(groups.values())) >= 3
