@@ -153,9 +153,9 @@ def first_valid_pair(spark: SparkSession, d: str) -> DataFrame:
     return both.filter("chosen is not null and rejected is not null").select("source", "chosen", "rejected")
 
 
-@query("WITH p AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) SELECT coalesce(p.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN p.doc_id IS NULL THEN 'unplanned' ELSE 'planned' END AS state FROM p FULL JOIN labels l ON p.doc_id = l.doc_id")
+@query("WITH p AS (SELECT doc_id FROM documents WHERE lang = 'en') SELECT coalesce(p.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN p.doc_id IS NULL THEN 'unplanned' ELSE 'planned' END AS state FROM p FULL JOIN labels l ON p.doc_id = l.doc_id")
 def missing_planned(spark: SparkSession, d: str) -> DataFrame:
-    plan = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("p"))
+    plan = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.lit(1).alias("p"))
     have = table(spark, d, "labels").select("doc_id", F.lit(1).alias("l"))
     state = F.when(F.col("l").isNull(), "missing").when(F.col("p").isNull(), "unplanned").otherwise("planned")
     return plan.join(have, "doc_id", "full").select("doc_id", state.alias("state"))

@@ -90,11 +90,12 @@ def leakage_free_split_report(spark: SparkSession, d: str) -> DataFrame:
     return dealt.groupBy("split").agg(F.count("*").alias("n_documents"), F.count_distinct("component").alias("n_groups"), F.sum("n_chars").alias("n_chars"))
 
 
-@query(f"WITH RECURSIVE {_GROUPS}, s AS (SELECT doc_id, component, CASE WHEN doc_id % 17 = 0 THEN 'moved' ELSE {_split_sql('component')} END AS split FROM grp) SELECT component, count(DISTINCT split) AS n_splits, count(*) AS n_documents FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query(f"WITH RECURSIVE {_GROUPS}, s AS (SELECT doc_id, component, CASE WHEN lang = 'es' THEN {_split_sql('doc_id')} ELSE {_split_sql('component')} END AS split FROM grp JOIN documents USING (doc_id)) SELECT component, count(DISTINCT split) AS n_splits, count(*) AS n_documents FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def isolation_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Components whose documents are in more than one split, of an assignment in which every seventeenth document was moved."""
-    split = F.when(F.col("doc_id") % 17 == 0, "moved").otherwise(T.hash_split(F.col("component"), 17, 0.1))
-    dealt = near_groups(table(spark, d, "documents")).withColumn("split", split)
+    """Components whose documents are in more than one split, of an assignment that deals Spanish documents one by one."""
+    docs = table(spark, d, "documents")
+    split = T.hash_split(F.when(F.col("lang") == "es", F.col("doc_id")).otherwise(F.col("component")), 17, 0.1)
+    dealt = near_groups(docs).join(docs.select("doc_id", "lang"), "doc_id").withColumn("split", split)
     return dealt.groupBy("component").agg(F.count_distinct("split").alias("n_splits"), F.count("*").alias("n_documents")).filter("n_splits > 1")
 
 

@@ -18,23 +18,27 @@ def strict_pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return both.select(on, problem.alias("problem")).filter("problem is not null")
 
 
-@query("WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 11 = 0), l AS (SELECT doc_id, count(*) AS l FROM a GROUP BY 1), r AS (SELECT doc_id, count(*) AS r FROM b GROUP BY 1) SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN r IS NULL THEN 'missing' WHEN l IS NULL THEN 'extra' ELSE 'duplicate' END AS problem FROM l FULL JOIN r ON l.doc_id = r.doc_id WHERE r IS NULL OR l IS NULL OR l > 1 OR r > 1")
+@query("WITH l AS (SELECT sale_id, count(*) AS l FROM sales GROUP BY 1), r AS (SELECT sale_id, count(*) AS r FROM sale_lines WHERE line_no = 1 GROUP BY 1) SELECT coalesce(l.sale_id, r.sale_id) AS sale_id, CASE WHEN r IS NULL THEN 'missing' WHEN l IS NULL THEN 'extra' ELSE 'duplicate' END AS problem FROM l FULL JOIN r ON l.sale_id = r.sale_id WHERE r IS NULL OR l IS NULL OR l > 1 OR r > 1")
 def one_to_one_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Documents outside a held-back third against labels, of which some lack and some stand twice; the third is skipped before the lookup."""
-    labels = table(spark, d, "labels").select("doc_id")
-    return strict_pairs(table(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id"), labels.filter("doc_id % 5 <> 0").union(labels.filter("doc_id % 11 = 0")), "doc_id")
+    """Sales against their first lines, as recorded: some lack, some stand twice."""
+    lines = table(spark, d, "sale_lines").filter("line_no = 1").select("sale_id")
+    return strict_pairs(table(spark, d, "sales").select("sale_id"), lines, "sale_id")
 
 
-@query("""WITH e AS (SELECT doc_id, doc_id % 4 AS split, source AS grp FROM documents), a AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 9 ELSE doc_id % 4 END AS split FROM documents WHERE doc_id % 31 <> 0), l AS (SELECT doc_id, CASE WHEN doc_id % 89 = 0 THEN 'other' ELSE source END AS grp FROM documents WHERE doc_id % 37 <> 0)
-SELECT e.doc_id, CASE WHEN a.doc_id IS NULL THEN 'no_assignment' WHEN l.doc_id IS NULL THEN 'no_lineage' WHEN a.split <> e.split THEN 'split_differs' ELSE 'group_differs' END AS problem FROM e LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id) WHERE a.doc_id IS NULL OR l.doc_id IS NULL OR a.split <> e.split OR l.grp <> e.grp""")
+@query("""WITH e AS (SELECT client_id, arg_max(segment, (updated_at, source)) AS split, arg_max(source, (updated_at, source)) AS grp, arg_max(master_id, (updated_at, source)) AS master FROM clients WHERE client_id IS NOT NULL AND updated_at IS NOT NULL AND source IS NOT NULL AND segment IS NOT NULL AND master_id IS NOT NULL GROUP BY 1),
+a AS (SELECT client_id, arg_max(segment, (seq, change_id)) AS split FROM client_changes WHERE client_id IS NOT NULL AND seq IS NOT NULL AND change_id IS NOT NULL AND segment IS NOT NULL GROUP BY 1)
+SELECT client_id, problem FROM (SELECT e.client_id, CASE WHEN a.client_id IS NULL THEN 'no_assignment' WHEN l.client_id IS NULL THEN 'no_lineage' WHEN a.split <> e.split THEN 'split_differs' WHEN l.grp <> e.grp THEN 'group_differs' END AS problem FROM e LEFT JOIN a ON a.client_id = e.client_id LEFT JOIN e l ON l.client_id = e.master) WHERE problem IS NOT NULL""")
 def three_way_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    """Examples against assignments and lineage: rows that lack in either, and those whose split or group differs."""
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("split"), F.col("source").alias("grp"))
-    assigned = docs.filter("doc_id % 31 <> 0").select("doc_id", F.when(F.col("doc_id") % 97 == 0, 9).otherwise(F.col("split")).alias("a_split"))
-    lineage = docs.filter("doc_id % 37 <> 0").select("doc_id", F.when(F.col("doc_id") % 89 == 0, "other").otherwise(F.col("grp")).alias("l_grp"))
-    joined = docs.join(assigned, "doc_id", "left").join(lineage, "doc_id", "left")
+    """Clients against their last change (the assignment) and their master record (the lineage): rows that lack in either, and those whose segment or source differs."""
+    known = table(spark, d, "clients").filter("client_id is not null and updated_at is not null and source is not null and segment is not null and master_id is not null")
+    last = lambda c, name: F.max_by(c, F.struct("updated_at", "source")).alias(name)
+    own = known.groupBy("client_id").agg(last("segment", "split"), last("source", "grp"), last("master_id", "master"))
+    changes = table(spark, d, "client_changes").filter("client_id is not null and seq is not null and change_id is not null and segment is not null")
+    assigned = changes.groupBy("client_id").agg(F.max_by("segment", F.struct("seq", "change_id")).alias("a_split"))
+    lineage = own.select(F.col("client_id").alias("master"), F.col("grp").alias("l_grp"))
+    joined = own.join(assigned, "client_id", "left").join(lineage, "master", "left")
     problem = F.when(F.col("a_split").isNull(), "no_assignment").when(F.col("l_grp").isNull(), "no_lineage").when(F.col("a_split") != F.col("split"), "split_differs").when(F.col("l_grp") != F.col("grp"), "group_differs")
-    return joined.select("doc_id", problem.alias("problem")).filter("problem is not null")
+    return joined.select("client_id", problem.alias("problem")).filter("problem is not null")
 
 
 @query("SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey")
@@ -60,33 +64,37 @@ def development_clones(spark: SparkSession, d: str) -> DataFrame:
     return clone_links(part.filter("p_size < 3").drop("p_size"), part.filter("p_size > 48").drop("p_size"), ["k1", "k2"])
 
 
-@query("""WITH w AS (SELECT doc_id, 'r' || (doc_id % 3) AS reviewer FROM labels WHERE doc_id % 2 = 0), g AS (SELECT doc_id, 'r' || (doc_id % 3) AS reviewer, quality FROM labels WHERE doc_id % 10 <> 4) SELECT coalesce(w.doc_id, g.doc_id) AS doc_id, coalesce(w.reviewer, g.reviewer) AS reviewer, CASE WHEN g.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'unexpected' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict FROM w FULL JOIN g ON w.doc_id = g.doc_id AND w.reviewer = g.reviewer""")
+@query("""WITH w AS (SELECT DISTINCT client_id, source FROM clients WHERE client_id IS NOT NULL AND source IS NOT NULL), g AS (SELECT client_id, source, arg_max(op, (seq, change_id)) AS op FROM client_changes WHERE client_id IS NOT NULL AND source IS NOT NULL AND seq IS NOT NULL AND change_id IS NOT NULL AND op IS NOT NULL GROUP BY ALL)
+SELECT coalesce(w.client_id, g.client_id) AS client_id, coalesce(w.source, g.source) AS source, CASE WHEN g.client_id IS NULL THEN 'missing' WHEN w.client_id IS NULL THEN 'unexpected' WHEN op <> 'D' THEN 'pass' ELSE 'fail' END AS verdict FROM w FULL JOIN g ON w.client_id = g.client_id AND w.source = g.source""")
 def review_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Expected reviews against given ones on a composite key; none is dropped."""
-    rows = table(spark, d, "labels").select("doc_id", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("reviewer"), "quality")
-    want, given = rows.filter("doc_id % 2 = 0").select("doc_id", "reviewer", F.lit(True).alias("want")), rows.filter("doc_id % 10 <> 4")
-    verdict = F.when(F.col("quality").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("quality") == 1, "pass").otherwise("fail")
-    return want.join(given, ["doc_id", "reviewer"], "full").select("doc_id", "reviewer", verdict.alias("verdict"))
+    """The source each client is registered by against the sources that reported on it, on the composite key; none is dropped."""
+    want = table(spark, d, "clients").filter("client_id is not null and source is not null").select("client_id", "source").distinct().withColumn("want", F.lit(True))
+    changes = table(spark, d, "client_changes").filter("client_id is not null and source is not null and seq is not null and change_id is not null and op is not null")
+    given = changes.groupBy("client_id", "source").agg(F.max_by("op", F.struct("seq", "change_id")).alias("op"))
+    verdict = F.when(F.col("op").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("op") != "D", "pass").otherwise("fail")
+    return want.join(given, ["client_id", "source"], "full").select("client_id", "source", verdict.alias("verdict"))
 
 
-@query("""SELECT o_orderkey, n_lines, CASE WHEN c_custkey IS NULL THEN 'no_input' WHEN n_lines IS NULL THEN 'no_answer' WHEN o_orderstatus = 'P' THEN 'unmeasured' WHEN n_lines >= 4 THEN 'success' ELSE 'failure' END AS score FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 9 <> 0) ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+@query("""SELECT o_orderkey, n_lines, CASE WHEN c_custkey IS NULL THEN 'no_input' WHEN n_lines IS NULL THEN 'no_answer' WHEN o_orderstatus = 'P' THEN 'unmeasured' WHEN n_lines >= 4 THEN 'success' ELSE 'failure' END AS score FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def score_binding(spark: SparkSession, d: str) -> DataFrame:
     """Planned rows bound to inputs and answers; what is missing, or not measured, keeps its row and its reason."""
-    inputs = table(spark, d, "customer").filter("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("has_input"))
+    inputs = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("has_input"))
     answers = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"))
     bound = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(inputs, "o_custkey", "left").join(answers, "o_orderkey", "left")
     score = F.when(F.col("has_input").isNull(), "no_input").when(F.col("n_lines").isNull(), "no_answer").when(F.col("o_orderstatus") == "P", "unmeasured").when(F.col("n_lines") >= 4, "success").otherwise("failure")
     return bound.select("o_orderkey", "n_lines", score.alias("score"))
 
 
-@query("WITH e AS (SELECT doc_id AS x, doc_id * 2 AS y FROM documents WHERE doc_id % 5 = 0), n AS (SELECT doc_id, doc_id % 8 = 0 AS fresh FROM documents) SELECT x, y, CASE WHEN p.doc_id IS NULL OR q.doc_id IS NULL THEN 'endpoint_missing' ELSE 'endpoint_new' END AS problem FROM e LEFT JOIN n p ON p.doc_id = x LEFT JOIN n q ON q.doc_id = y WHERE p.doc_id IS NULL OR q.doc_id IS NULL OR p.fresh OR q.fresh")
+@query("""WITH n AS (SELECT client_id, max(updated_at) >= TIMESTAMP '2024-04-01 00:00:00' AS fresh FROM clients WHERE client_id IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT client_id AS x, master_id AS y FROM clients WHERE client_id IS DISTINCT FROM master_id)
+SELECT x, y, CASE WHEN p.client_id IS NULL OR q.client_id IS NULL THEN 'endpoint_missing' ELSE 'endpoint_new' END AS problem FROM e LEFT JOIN n p ON p.client_id = x LEFT JOIN n q ON q.client_id = y WHERE p.client_id IS NULL OR q.client_id IS NULL OR p.fresh OR q.fresh""")
 def inherited_edge_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of an earlier audit, both of whose ends must exist and not be new."""
-    docs = table(spark, d, "documents").select("doc_id")
-    edges = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("x"), (F.col("doc_id") * 2).alias("y"))
-    ends = [docs.select(F.col("doc_id").alias(k), (F.col("doc_id") % 8 == 0).alias(f"new_{k}")) for k in "xy"]
+    """Clients' links to their masters as an earlier audit's edges, both of whose ends must exist and not be updated since April."""
+    clients = table(spark, d, "clients")
+    edges = clients.filter(~F.col("client_id").eqNullSafe(F.col("master_id"))).select(F.col("client_id").alias("x"), F.col("master_id").alias("y")).distinct()
+    nodes = clients.filter("client_id is not null").groupBy("client_id").agg((F.max("updated_at") >= F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")).alias("fresh"))
+    ends = [nodes.select(F.col("client_id").alias(k), F.lit(True).alias(f"has_{k}"), F.coalesce("fresh", F.lit(False)).alias(f"new_{k}")) for k in "xy"]
     joined = edges.join(ends[0], "x", "left").join(ends[1], "y", "left")
-    problem = F.when(F.col("new_x").isNull() | F.col("new_y").isNull(), "endpoint_missing").when(F.col("new_x") | F.col("new_y"), "endpoint_new")
+    problem = F.when(F.col("has_x").isNull() | F.col("has_y").isNull(), "endpoint_missing").when(F.col("new_x") | F.col("new_y"), "endpoint_new")
     return joined.select("x", "y", problem.alias("problem")).filter("problem is not null")
 
 
@@ -109,11 +117,11 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 _RANKED = "SELECT doc_id, source, n_chars, sha256('[\"training\",42,\"' || CAST(doc_id AS VARCHAR) || '\"]') AS rank FROM documents"
 
 
-@query(f"WITH r AS ({_RANKED}), f AS (SELECT doc_id FROM r WHERE n_chars <= 8000), s AS (SELECT doc_id FROM r WHERE n_chars <= 2000 AND doc_id % 50 <> 1 UNION SELECT doc_id FROM r WHERE doc_id % 100 = 1) SELECT doc_id, 'smoke_only' AS problem FROM s WHERE doc_id NOT IN (SELECT doc_id FROM f)")
+@query(f"WITH r AS ({_RANKED}), f AS (SELECT doc_id FROM r WHERE n_chars <= 8000), s AS (SELECT doc_id FROM r WHERE n_chars <= 2000 UNION SELECT doc_id FROM r WHERE source = 'src3' OR n_chars > 9000) SELECT doc_id, 'smoke_only' AS problem FROM s WHERE doc_id NOT IN (SELECT doc_id FROM f)")
 def subset_guard(spark: SparkSession, d: str) -> DataFrame:
     """Ids of a smoke selection that its formal one lacks; a guard that must be empty, here shown on a faulty selection."""
     rows = _ranked(spark, d)
-    smoke = rows.filter("n_chars <= 2000 and doc_id % 50 <> 1 or doc_id % 100 = 1")
+    smoke = rows.filter("n_chars <= 2000 or source = 'src3' or n_chars > 9000")
     return smoke.join(rows.filter("n_chars <= 8000"), "doc_id", "left_anti").select("doc_id", F.lit("smoke_only").alias("problem"))
 
 
@@ -141,11 +149,11 @@ def united_nodes(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(turns, allowMissingColumns=True).unionByName(items, allowMissingColumns=True)
 
 
-@query("SELECT doc_id, 'kept' AS state FROM documents WHERE doc_id % 10 <> 3 AND doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'removed' FROM documents WHERE doc_id % 10 <> 3 AND doc_id % 7 = 0")
+@query("SELECT doc_id, 'kept' AS state FROM documents WHERE lang <> 'es' AND n_chars >= 300 UNION ALL SELECT doc_id, 'removed' FROM documents WHERE lang <> 'es' AND n_chars < 300")
 def exclusion_view(spark: SparkSession, d: str) -> DataFrame:
     """An earlier selection without a further exclusion; what the earlier one excluded is never restored."""
-    earlier = table(spark, d, "documents").filter("doc_id % 10 <> 3").select("doc_id")
-    gone = table(spark, d, "documents").filter("doc_id % 7 = 0").select("doc_id", F.lit("removed").alias("state"))
+    earlier = table(spark, d, "documents").filter("lang <> 'es'").select("doc_id")
+    gone = table(spark, d, "documents").filter("n_chars < 300").select("doc_id", F.lit("removed").alias("state"))
     return earlier.join(gone, "doc_id", "left").select("doc_id", F.coalesce("state", F.lit("kept")).alias("state"))
 
 
@@ -181,20 +189,20 @@ def retained_tasks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").join(kept, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, n_chars AS measured, CASE WHEN doc_id % 3 = 0 THEN 'measured' ELSE 'reused' END AS origin FROM documents")
+@query("SELECT doc_id, n_chars AS measured, CASE WHEN lang = 'en' THEN 'reused' ELSE 'measured' END AS origin FROM documents")
 def reused_measurements(spark: SparkSession, d: str) -> DataFrame:
     """Measures of unchanged texts come from the earlier run by their hash; the rest is measured anew."""
-    docs = table(spark, d, "documents").select("doc_id", T.text_hash(F.col("text")).alias("h"), "text")
-    earlier = docs.filter("doc_id % 3 <> 0").groupBy("doc_id", "h").agg(F.max(F.char_length("text")).alias("was"))
+    docs = table(spark, d, "documents").select("doc_id", T.text_hash(F.col("text")).alias("h"), "text", "lang")
+    earlier = docs.filter("lang = 'en'").groupBy("doc_id", "h").agg(F.max(F.char_length("text")).alias("was"))
     joined = docs.join(earlier, ["doc_id", "h"], "left")
     return joined.select("doc_id", F.coalesce("was", F.char_length("text")).cast("bigint").alias("measured"), F.when(F.col("was").isNull(), "measured").otherwise("reused").alias("origin"))
 
 
-@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'smoke' ELSE 'formal' END AS profile, doc_id % 4 AS split, count(*) AS original, count(*) FILTER (WHERE quality = 0) AS failed, count(*) FILTER (WHERE quality IS NULL) AS unknown, count(*) FILTER (WHERE quality = 1) AS effective FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+@query("SELECT CASE WHEN n_chars <= 2000 THEN 'smoke' ELSE 'formal' END AS profile, lang AS split, count(*) AS original, count(*) FILTER (WHERE quality = 0) AS failed, count(*) FILTER (WHERE quality IS NULL) AS unknown, count(*) FILTER (WHERE quality = 1) AS effective FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
 def quality_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    profile = F.when(F.col("doc_id") % 2 == 0, "smoke").otherwise("formal")
-    return rows.groupBy(profile.alias("profile"), (F.col("doc_id") % 4).alias("split")).agg(F.count("*").alias("original"), F.count_if(F.col("quality") == 0).alias("failed"), F.count_if(F.col("quality").isNull()).alias("unknown"), F.count_if(F.col("quality") == 1).alias("effective"))
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    profile = F.when(F.col("n_chars") <= 2000, "smoke").otherwise("formal")
+    return rows.groupBy(profile.alias("profile"), F.col("lang").alias("split")).agg(F.count("*").alias("original"), F.count_if(F.col("quality") == 0).alias("failed"), F.count_if(F.col("quality").isNull()).alias("unknown"), F.count_if(F.col("quality") == 1).alias("effective"))
 
 
 @query("SELECT lang, source, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 4) AS percent FROM documents GROUP BY ALL")
@@ -217,11 +225,11 @@ def metadata_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "source")
 
 
-@query("""SELECT o_orderkey, coalesce(status, CASE WHEN o_orderkey % 5 = 0 THEN 'interrupted' ELSE 'not_started' END) AS status, status IS NOT NULL AND o_orderkey % 5 <> 0 AS conflict FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'failed' ELSE 'completed' END AS status FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1) ON l_orderkey = o_orderkey""")
+@query("""SELECT o_orderkey, coalesce(status, CASE WHEN o_orderstatus <> 'O' THEN 'interrupted' ELSE 'not_started' END) AS status, status IS NOT NULL AND NOT coalesce(o_orderstatus <> 'O', false) AS conflict FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'failed' ELSE 'completed' END AS status FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON l_orderkey = o_orderkey""")
 def batch_states(spark: SparkSession, d: str) -> DataFrame:
     """Planned units with started marks and terminal rows; a terminal row of a unit that never started is a conflict."""
-    done = table(spark, d, "lineitem").filter("l_orderkey % 4 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(F.bool_or(F.col("l_returnflag") == "R"), "failed").otherwise("completed").alias("done"))
-    started = table(spark, d, "orders").filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit(True).alias("started"))
+    done = table(spark, d, "lineitem").filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(F.bool_or(F.col("l_returnflag") == "R"), "failed").otherwise("completed").alias("done"))
+    started = table(spark, d, "orders").filter("o_orderstatus <> 'O'").select("o_orderkey", F.lit(True).alias("started"))
     rows = table(spark, d, "orders").select("o_orderkey").join(done, "o_orderkey", "left").join(started, "o_orderkey", "left")
     status = F.coalesce("done", F.when(F.col("started"), "interrupted").otherwise("not_started"))
     return rows.select("o_orderkey", status.alias("status"), (F.col("done").isNotNull() & F.col("started").isNull()).alias("conflict"))
@@ -414,10 +422,10 @@ def frozen_plans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_brand").agg(n.alias("n"), state.alias("state"))
 
 
-@query("SELECT count(*) FILTER (WHERE k = 1) AS n_only_first, count(*) FILTER (WHERE k = 2) AS n_only_second, count(*) FILTER (WHERE k = 3) AS n_both FROM (SELECT doc_id, sum(b) AS k FROM (SELECT doc_id, 1 AS b FROM documents WHERE n_chars > 1000 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 2 = 0) GROUP BY 1)")
+@query("SELECT count(*) FILTER (WHERE k = 1) AS n_only_first, count(*) FILTER (WHERE k = 2) AS n_only_second, count(*) FILTER (WHERE k = 3) AS n_both FROM (SELECT doc_id, sum(b) AS k FROM (SELECT doc_id, 1 AS b FROM documents WHERE n_chars > 1000 UNION ALL SELECT doc_id, 2 FROM documents WHERE length(text) > 1000) GROUP BY 1)")
 def rebuilt_selection(spark: SparkSession, d: str) -> DataFrame:
     """A selection against its rebuilding: rows in one only, and in both."""
-    docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    rows = docs.filter("n_chars > 1000").select("doc_id", F.lit(1).alias("b")).union(docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(2)))
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.char_length("text").alias("measured"))
+    rows = docs.filter("n_chars > 1000").select("doc_id", F.lit(1).alias("b")).union(docs.filter("measured > 1000").select("doc_id", F.lit(2)))
     each = rows.groupBy("doc_id").agg(F.sum("b").alias("k"))
     return each.agg(*(F.count_if(F.col("k") == k).alias(n) for k, n in ((1, "n_only_first"), (2, "n_only_second"), (3, "n_both"))))

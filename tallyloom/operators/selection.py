@@ -148,13 +148,13 @@ def revision_delta(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "doc_id", "full").select("doc_id", change.alias("change"))
 
 
-@query("WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE n_chars <= 4096), c AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE n_chars <= 2048 OR doc_id % 50 = 0) SELECT c.doc_id, CASE WHEN b.doc_id IS NULL THEN 'no_parent' WHEN b.h <> c.h THEN 'changed' WHEN a.h <> b.h THEN 'parent_changed' ELSE 'same' END AS link FROM c LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)")
+@query("WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT doc_id, CASE WHEN lang = 'es' THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE n_chars <= 4096), c AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE n_chars <= 2048 OR lang = 'fr') SELECT c.doc_id, CASE WHEN b.doc_id IS NULL THEN 'no_parent' WHEN b.h <> c.h THEN 'changed' WHEN a.h <> b.h THEN 'parent_changed' ELSE 'same' END AS link FROM c LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)")
 def three_generation_link(spark: SparkSession, d: str) -> DataFrame:
     """The current rows against the previous and the original generation, by the digest of their text; the previous one has some changed."""
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", "text")
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "text")
     first = docs.select("doc_id", T.text_hash(F.col("text")).alias("a"))
-    second = docs.filter("n_chars <= 4096").select("doc_id", T.text_hash(F.when(F.col("doc_id") % 41 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("b"))
-    third = docs.filter("n_chars <= 2048 or doc_id % 50 = 0").select("doc_id", T.text_hash(F.col("text")).alias("c"))
+    second = docs.filter("n_chars <= 4096").select("doc_id", T.text_hash(F.when(F.col("lang") == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("b"))
+    third = docs.filter("n_chars <= 2048 or lang = 'fr'").select("doc_id", T.text_hash(F.col("text")).alias("c"))
     link = F.when(F.col("b").isNull(), "no_parent").when(F.col("b") != F.col("c"), "changed").when(F.col("a") != F.col("b"), "parent_changed").otherwise("same")
     return third.join(second, "doc_id", "left").join(first, "doc_id", "left").select("doc_id", link.alias("link"))
 
