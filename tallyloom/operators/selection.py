@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.registry import query
 from ..sources.tables import table
+from .digests import prints
 
 
 def _rank(col: str, domain: str = "select") -> str:
@@ -178,7 +179,11 @@ def microbatches(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source", F.floor((place - 1) / 8).alias("batch"))
 
 
-@query("SELECT sha256('[\"' || string_agg(CAST(doc_id AS VARCHAR), '\",\"' ORDER BY doc_id) || '\"]') AS fingerprint, count(*) AS n FROM labels")
+@query("""WITH r AS (SELECT sha256(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || coalesce(CAST(quality AS VARCHAR), '-') || '|' || coalesce(CAST(toxic AS VARCHAR), '-')) AS h FROM labels)
+SELECT sha256(count(*) || ':' || sum(CAST(CAST('0x' || substr(h, 1, 15) AS UBIGINT) AS HUGEINT)) || ':' || sum(CAST(CAST('0x' || substr(h, 16, 15) AS UBIGINT) AS HUGEINT))) AS fingerprint, count(*) AS n FROM r""")
 def selection_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "labels").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"), F.count("*").alias("n"))
-    return ids.select(F.sha2(F.concat(F.lit('["'), F.array_join(F.col("ids").cast("array<string>"), '","'), F.lit('"]')), 256).alias("fingerprint"), "n")
+    """One digest of a selection's rows, whatever their order and however many: of their number and of the sums of their prints."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    a, b = prints(F.concat_ws("|", text("doc_id"), text("quality"), text("toxic")))
+    sums = table(spark, d, "labels").agg(F.count("*").alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"))
+    return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256).alias("fingerprint"), "n")
