@@ -218,6 +218,7 @@ def manifest(df: DataFrame, tree: str, row: str, columns: list[str], *, fanout:
     name = F.coalesce(F.concat(F.lit("="), value(tree).cast("string")), F.lit(""))  # a null name comes first
     rows = df.select(name.alias("tree"), value(row).alias("row"), leaf_hash(*map(value, columns)).alias("digest"), other.alias("altered"))
     with Scratch(spark) as scratch:
+        rows = scratch.written(rows, "leaves")  # the range sort samples its input first: without this, values would be read and hashed twice
         inner, roots, top = forest(rows, scratch, fanout)
         names = roots.select(F.lit("").alias("tree"), F.col("tree").alias("row"), "digest", F.lit(None).cast("string").alias("altered"))
         inner2, root, top2 = forest(names, scratch, fanout)
