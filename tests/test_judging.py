@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.json_rules import strict
-from tallyloom.operators.judging import decision_rules, dependencies, judged_traces, preferred_pairs, protocol_breaks
+from tallyloom.operators.judging import decision_rules, dependencies, judged_traces, pair_comparisons, preferred_pairs, protocol_breaks
 from tallyloom.operators.toolschemas import catalog_counts, flag_rows, policy_edits, policy_tools, prompt_projection, strict_tools
 
 CLOSED = {"type": "object", "properties": {"a": {"type": "string", "maxLength": 5}}, "required": ["a"], "additionalProperties": False}
@@ -141,6 +141,13 @@ def test_pairs_of_trajectories(spark, rules):
     assert got == {1: ("selected", 0, "tool_confusion"), 2: ("legal_alternative_tie", 0, None), 3: ("equivalent_decisions", None, None), 4: ("selected", 1, "premature_termination"), 5: ("different_actual_prefix", 0, None), 6: ("same_outcome", None, None)}
 
 
+def test_pairs_are_joined_by_merge(spark):
+    """Trajectories grow with the table, so no side of theirs may be broadcast, however small the planner thinks it."""
+    plan = pair_comparisons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin" in plan and not [line for line in joins if "[pair#" in line or "[id#" in line]
+
+
 def test_no_rows(spark, rules):
     none = spark.range(0)
     assert flag_rows(none.select("id", F.lit("").alias("tool"))).count() == 0 and policy_tools(none.select("id", F.lit("").alias("tool"))).count() == 0
