@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators.corpus import similar_pairs
+from tallyloom.operators.corpus import SimilarSets, hashed_shingles, similar_pairs
 from tallyloom.operators.groups import components, near_groups
 from tallyloom.operators.intervals import micros, overlaps
 from tallyloom.operators.isolation import group_selection, isolation_paths, merged_components
@@ -183,3 +183,24 @@ def test_similar_pairs_equal_all_pairs(spark):
     assert sorted(map(tuple, similar_pairs(docs).collect())) == want and len(want) > 200
     groups = {r["doc_id"]: r["component"] for r in near_groups(docs).collect()}
     assert all(groups[a] == groups[b] for a, b, _, _ in want) and all(groups[k] == groups[r] for k, r in reps.items()) and len(set(groups.values())) >= 3
+
+
+def test_shingles_are_hashed_without_python(spark):
+    """Runs of words by their words, not their letters; sorted, without repeats; short and null texts have none."""
+    texts = ["a b c d e f g h", "ab c d e f g h i", "a bc d e f g h i", "a b c a b c a b c a b c", "a b c", None]
+    found = hashed_shingles(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
+    assert "Python" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "InArrow" not in plan
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert {k: r["n"] for k, r in rows.items()} == {0: 6, 1: 6, 2: 6, 3: 3} and all(r["h"] == sorted(set(r["h"])) for r in rows.values())
+    assert len({h for r in rows.values() for h in r["h"]}) == 12
+
+
+def test_sets_are_not_shuffled_to_be_confirmed(spark):
+    """Sets of hashes stay where they were written; pairs and ids of few documents go to them."""
+    words = [chr(97 + k % 26) + chr(97 + k // 26) for k in range(40)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words, "x"]), " ".join(reversed(words))]
+    sets = SimilarSets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    pairs = sets.pairs()
+    assert [(r["x"], r["y"]) for r in pairs.collect()] == [(0, 2)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan and "Python" not in plan and "InArrow" not in plan
