@@ -1,4 +1,4 @@
-"""Overlap join of two tables of intervals that share no key."""
+"""Overlaps of two tables of intervals that share no key: as pairs, or counted and summed without them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..session import checkpoint_folder
 from ..sources.tables import table
+from .order import running_totals
 
 #: Parts of a level's bin, or of one that is divided; rows of both sides beyond which a bin is divided.
 PARTS, CROWD = 64, 4_096
@@ -68,6 +69,28 @@ def overlaps(left: DataFrame, right: DataFrame, width: int, *, levels: int = 4,
     return met.select("left_id", "right_id", begins.alias("start"), F.least("end_left", "end_right").alias("end"))
 
 
+def overlap_totals(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, n, total) of the intervals of `right` that overlap any of `left`: how many, and how long together; both (id, start, end), whole numbers.
+
+    No pair is formed. Up to any time t, the starts before it less the ends are the intervals open, and the time spent in
+    them all is t times these, less the sum of the starts' times, plus that of the ends'. An interval's figures are differences of such running sums
+    at its end and start. Equal times go as one point, so rows are as many as different times.
+    """
+    real = "start < end"
+    l, r = left.filter(real).select("start", "end"), right.filter(real).select("id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    # At one time: ends come first, then what is asked, then starts.
+    point = lambda at, kind, n_starts, n_ends: F.struct(F.col(at).cast("bigint").alias("t"), F.lit(kind).alias("kind"), F.lit(n_starts).cast("bigint").alias("starts"), F.lit(n_ends).cast("bigint").alias("ends"))
+    points = l.select(F.explode(F.array(point("start", 2, 1, 0), point("end", 0, 0, 1))).alias("p")).union(r.select(F.explode(F.array(point("start", 1, 0, 0), point("end", 1, 0, 0)))))
+    at = points.groupBy("p.t", "p.kind").agg(F.sum("p.starts").alias("starts"), F.sum("p.ends").alias("ends")).withColumns({"g": F.lit(0), "moment": F.col("t").cast("decimal(38,0)") * (F.col("starts") - F.col("ends"))})
+    sums = running_totals(at, "g", ["t", "kind"], {"starts": "n_starts", "ends": "n_ends", "moment": "moments"}).filter("kind = 1")
+    spent = F.col("t").cast("decimal(38,0)") * (F.col("n_starts") - F.col("n_ends")) - F.col("moments")
+    known = sums.select("t", "n_starts", "n_ends", spent.alias("spent")).checkpoint()
+    begun = known.select(F.col("t").alias("start"), F.col("n_ends").alias("gone"), F.col("spent").alias("spent_before"))
+    ended = known.select(F.col("t").alias("end"), F.col("n_starts").alias("come"), "spent")
+    met = r.join(begun, "start").join(ended, "end").withColumn("n", F.col("come") - F.col("gone")).filter("n > 0")
+    return met.select("id", "n", (F.col("spent") - F.col("spent_before")).cast("bigint").alias("total"))
+
+
 def micros(ts: Column) -> Column:
     """A timestamp's microseconds since 1970; of one without a zone, as if in UTC."""
     day = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000
@@ -84,5 +107,5 @@ def clicks_under_way(spark: SparkSession, d: str) -> DataFrame:
     """Of the ten minutes after each error event: the clicks that were under way then (made, not yet arrived), and for how long together."""
     clicks = table(spark, d, "clicks").select(F.col("click_id").alias("id"), micros(F.col("ts")).alias("start"), micros(F.col("arrived_at")).alias("end"))
     errors = table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), micros(F.col("ts")).alias("start"))
-    found = overlaps(clicks, errors.withColumn("end", F.col("start") + 600_000_000), 600_000_000)
-    return found.groupBy(F.col("right_id").alias("event_id")).agg(F.count("*").alias("n_clicks"), F.sum(F.col("end") - F.col("start")).alias("overlap_us"))
+    found = overlap_totals(clicks, errors.withColumn("end", F.col("start") + 600_000_000))
+    return found.groupBy(F.col("id").alias("event_id")).agg(F.sum("n").alias("n_clicks"), F.sum("total").alias("overlap_us"))

@@ -26,16 +26,23 @@ def numbered(rows: DataFrame, order: str, out: str) -> DataFrame:
 
 
 def running_sums(rows: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
-    """rows with the sum of `value` over their group's rows up to and with them, in an order without ties.
+    """rows with the sum of `value` over their group's rows up to and with them, in an order without ties."""
+    return running_totals(rows, group, order, {value: out})
+
+
+def running_totals(rows: DataFrame, group: str, order: list[str], values: dict[str, str]) -> DataFrame:
+    """rows with sums of several columns, named by `values`, over their group's rows up to and with them, in an order without ties.
 
     Rows are dealt by ranges of (group, order), so a large group spans many tasks: each sums its own part, and the sums of a
     group's parts before it, a row for each part, are added.
     """
     checkpoint_folder(rows.sparkSession)
     dealt = rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    parts = dealt.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), before.alias("_before"))
-    within = F.sum(value).over(Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    own = dealt.withColumn("_within", within).join(offsets, (F.col("_of") == F.col("_part")) & F.col("_group").eqNullSafe(F.col(group)))
-    return own.withColumn(out, F.col("_before") + F.col("_within")).drop("_part", "_of", "_group", "_before", "_within")
+    parts = dealt.groupBy(group, "_part").agg(*(F.sum(v).alias(f"_sum_{v}") for v in values))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), *(F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values))
+    upto = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.withColumns({f"_within_{v}": F.sum(v).over(upto) for v in values})
+    own = within.join(offsets, (F.col("_of") == F.col("_part")) & F.col("_group").eqNullSafe(F.col(group)))
+    summed = own.withColumns({out: F.col(f"_before_{v}") + F.col(f"_within_{v}") for v, out in values.items()})
+    return summed.drop("_part", "_of", "_group", *(f"_{kind}_{v}" for kind in ("before", "within") for v in values))

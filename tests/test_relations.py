@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.corpus import SimilarSets, hashed_shingles, similar_pairs
 from tallyloom.operators.groups import components, near_groups
-from tallyloom.operators.intervals import micros, overlaps
+from tallyloom.operators.intervals import micros, overlap_totals, overlaps
 from tallyloom.operators.isolation import group_selection, isolation_paths, merged_components
 from tallyloom.operators.order import running_sums
 from tallyloom.operators.pairing import applied_review, pair_dispositions, plan_states
@@ -75,6 +75,20 @@ def test_overlaps_equal_all_pairs(spark, crowd):
     plan = found._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert overlaps(frames[0].filter("id < 0"), frames[1], 10).count() == 0
+    totals = {}
+    for _, b, lo, hi in want:
+        n, total = totals.get(b, (0, 0))
+        totals[b] = n + 1, total + hi - lo
+    summed = overlap_totals(*frames)
+    assert {r["id"]: (r["n"], r["total"]) for r in summed.collect()} == totals
+    assert overlap_totals(frames[0].filter("id < 0"), frames[1]).count() == 0
+
+
+def test_totals_of_overlaps_form_no_pairs(spark):
+    """Ten million pairs of intervals are summed from as many rows as there are different times."""
+    same = spark.range(100_000).selectExpr("id", "id * 0 + 1700000000000000 AS start", "id * 0 + 1700000600000000 AS end")
+    found = overlap_totals(same, same.filter("id < 100"))
+    assert {tuple(r)[1:] for r in found.collect()} == {(100_000, 60_000_000_000_000)} and found.count() == 100
 
 
 def test_microseconds(spark):
