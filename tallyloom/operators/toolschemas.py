@@ -13,7 +13,7 @@ from ..functions import json_rules as J
 from ..functions import schemas as S
 from ..functions.schemas import ALIASES, COMMON, DEEPEST, KEYWORDS, MOST_ITEMS, MOST_LENGTH, MOST_PROPERTIES
 from ..plans.registry import query
-from ..session import ship_package
+from ..session import checkpoint_folder, ship_package
 from ..sources.tables import table
 from .judging import pick
 
@@ -221,7 +221,10 @@ _FLAGS = ["schema_object_unclosed,schema_string_unbounded,schema_type_unsupporte
 
 @query("WITH t AS (SELECT " + repr(_FLAGS) + """[p_partkey % 6 + 1] || ',schema_contract_rejected' AS f, p_partkey % 6 AS k FROM part), x AS (SELECT k, unnest(string_split(f, ',')) AS flag FROM t UNION ALL SELECT k, 'tool_name_incompatible' FROM t UNION ALL SELECT k, 'side_effect_unknown_or_forbidden' FROM t UNION ALL SELECT k, 'tool_runtime_metadata_missing' FROM t) SELECT flag, count(*) AS n FROM x WHERE flag <> '' AND NOT (flag = 'schema_contract_rejected' AND k = 1) GROUP BY 1""")
 def tool_flag_counts(spark: SparkSession, d: str) -> DataFrame:
-    return flag_rows(raw_tools(spark, d).withColumnRenamed("p_partkey", "id")).groupBy("flag").agg(F.count("*").alias("n"))
+    """Tools by flag; a tool's text is read once, however often it occurs."""
+    checkpoint_folder(spark)
+    tools = raw_tools(spark, d).groupBy("tool").agg(F.count("*").alias("n"), F.min("p_partkey").alias("id")).checkpoint()
+    return flag_rows(tools.select("id", "tool")).join(tools.select("id", "n"), "id").groupBy("flag").agg(F.sum("n").alias("n"))
 
 
 @query("""WITH t AS (SELECT p_partkey % 6 AS k, count(*) AS n FROM part GROUP BY 1), r AS (SELECT * FROM (VALUES (0, 'node', 'dict', 1), (0, 'node', 'int', 1), (0, 'node', 'string', 1), (0, 'keyword', 'type', 3), (0, 'keyword', 'properties', 1), (0, 'keyword', 'default', 1), (0, 'default', 'int:number', 1),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.json_rules import strict
+from tallyloom.operators import toolschemas
 from tallyloom.operators.judging import decision_rules, dependencies, judged_traces, pair_comparisons, preferred_pairs, protocol_breaks
 from tallyloom.operators.toolschemas import catalog_counts, flag_rows, policy_edits, policy_tools, prompt_projection, strict_tools
 
@@ -151,3 +152,11 @@ def test_pairs_are_joined_by_merge(spark):
 def test_no_rows(spark, rules):
     none = spark.range(0)
     assert flag_rows(none.select("id", F.lit("").alias("tool"))).count() == 0 and policy_tools(none.select("id", F.lit("").alias("tool"))).count() == 0
+
+
+def test_tools_of_one_text_are_read_once(spark, monkeypatch):
+    seen, plain = [], toolschemas.flag_rows
+    monkeypatch.setattr(toolschemas, "flag_rows", lambda tools: seen.append(tools.count()) or plain(tools))
+    toolschemas.tool_flag_counts(spark, "/root/testdata/sf0.001")
+    tools = toolschemas.raw_tools(spark, "/root/testdata/sf0.001")
+    assert seen == [tools.select("tool").distinct().count()] and seen[0] < tools.count()
