@@ -87,7 +87,7 @@ def overlap_totals(left: DataFrame, right: DataFrame) -> DataFrame:
     known = sums.select("t", "n_starts", "n_ends", spent.alias("spent")).checkpoint()
     begun = known.select(F.col("t").alias("start"), F.col("n_ends").alias("gone"), F.col("spent").alias("spent_before"))
     ended = known.select(F.col("t").alias("end"), F.col("n_starts").alias("come"), "spent")
-    met = r.join(begun, "start").join(ended, "end").withColumn("n", F.col("come") - F.col("gone")).filter("n > 0")
+    met = r.hint("merge").join(begun, "start").join(ended.hint("merge"), "end").withColumn("n", F.col("come") - F.col("gone")).filter("n > 0")
     return met.select("id", "n", (F.col("spent") - F.col("spent_before")).cast("bigint").alias("total"))
 
 
